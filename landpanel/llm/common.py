@@ -64,3 +64,12 @@ def by_blocks(df: DataFrame, columns: list[str], schema: str, block, rows: int =
                 yield out(block(held))
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def attach(df: DataFrame, side: DataFrame, keys: list[str], rows: int = 200_000, how: str = "inner") -> DataFrame:
+    """Join `side`, which has one row a key: broadcast if a count finds at most `rows` rows, else by shuffle.
+
+    A shuffle join leaves hot keys to adaptive execution, which splits them.
+    """
+    few = side.limit(rows + 1).count() <= rows
+    return df.join(F.broadcast(side) if few else side.hint("merge"), keys, how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 
 def vocabulary(name: str) -> str:
@@ -14,6 +14,24 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, words
+
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("size")))
+    mixed = mix(docs.withColumnRenamed("size", "_words"), size_col="_words")
+    rows = mixed.withColumn("place", F.try_element_at("copies.place", F.lit(1)))
+    rows = rows.select("doc_id", "size", "source_size", "target", "taken", F.floor(F.col("place") * 1_000_000).cast("bigint").alias("place_ppm"), "place")
+    return rows.orderBy("place", "doc_id").drop("place")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan, written
+
+    found = scan(table(spark, sf_dir, "documents"))
+    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))]
+    return found.select("doc_id", *count, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"), F.size(F.filter("spans", lambda s: s["kind"] == 3)).cast("bigint").alias("n_markov"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
@@ -44,5 +62,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(segments(rows.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op6_pieces, op7_token_counts, op9_media, op10_chat)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mixing, op5_secrets, op6_pieces, op7_token_counts, op9_media, op10_chat)}
+from .sql import SQL  # noqa: E402, F401
