@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import by_blocks, text_or_empty
 
 MARK = "▁"
-MEMO = 200_000
+MEMO = 400_000
 WINDOW = 4096
 
 
