@@ -24,6 +24,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy("place", "doc_id").drop("place")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan, written
 
@@ -62,5 +69,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(segments(rows.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op5_secrets, op6_pieces, op7_token_counts, op9_media, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_language, op5_secrets, op6_pieces, op7_token_counts, op9_media, op10_chat)}
 from .sql import SQL  # noqa: E402, F401
