@@ -51,6 +51,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import describe, pack
 
@@ -69,5 +75,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(segments(rows.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_language, op5_secrets, op6_pieces, op7_token_counts, op9_media, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_language, op5_secrets, op6_pieces, op7_token_counts, op8_topk, op9_media, op10_chat)}
 from .sql import SQL  # noqa: E402, F401

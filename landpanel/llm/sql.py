@@ -38,3 +38,15 @@ f AS (
 SELECT doc_id, size, source_size, target, (t0 + t1)::BIGINT AS taken,
        CASE WHEN t0 + t1 > 0 THEN floor(place * 1000000)::BIGINT END AS place_ppm
 FROM f"""
+
+SQL["op8_topk"] = """
+WITH v AS (
+  SELECT vec_id AS id, min(list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+w AS (SELECT id, v FROM v WHERE len(v) = (SELECT len(v) AS n FROM v GROUP BY n ORDER BY count(*) DESC, n LIMIT 1)),
+s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM w q JOIN w c ON q.id % 50 = 0 AND q.id <> c.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
