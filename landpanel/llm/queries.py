@@ -24,6 +24,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy("place", "doc_id").drop("place")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify, train
 
@@ -75,5 +81,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(segments(rows.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_language, op5_secrets, op6_pieces, op7_token_counts, op8_topk, op9_media, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_language, op5_secrets, op6_pieces, op7_token_counts, op8_topk, op9_media, op10_chat)}
 from .sql import SQL  # noqa: E402, F401

@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """Word bytes to 64 bits of BLAKE2b; forgets everything when `limit` words are held, so memory stays bounded."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
 
@@ -36,22 +36,32 @@ class WordHash(dict):
         return h
 
 
-def shingles(text: str | None, words: WordHash, width: int) -> np.ndarray:
-    """The sorted distinct shingles of one text; with fewer words than `width`, the whole sequence as one.
+def shingle_sets(texts: list[str | None], words: WordHash, width: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text; with fewer words than `width`, the whole sequence as one.
 
     bytes.split() cuts at exactly the six ASCII white-space characters and bytes.lower() changes A-Z alone.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, U)
-    h = np.fromiter(map(words.__getitem__, found), U, len(found))
+    found = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    counts = [len(f) for f in found]
+    h = np.fromiter((words[w] for f in found for w in f), U, sum(counts))
     n = len(h) - width + 1
-    if n < 1:
-        n, width = 1, len(h)
-    out = np.full(n, U(width))
+    rolled = np.full(max(n, 0), U(width))
     for k in range(width):
-        out = mix((out ^ h[k : k + n]) + _STEP * U(k + 1))
-    return np.unique(out)
+        rolled = mix((rolled ^ h[k : k + max(n, 0)]) + np.array([_STEP]) * U(k + 1))
+    out, at = [], 0
+    for c in counts:
+        if c >= width:
+            s = np.sort(rolled[at : at + c - width + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        elif c:
+            x = np.full(1, U(c))
+            for k in range(c):
+                x = mix((x ^ h[at + k : at + k + 1]) + np.array([_STEP]) * U(k + 1))
+            out.append(x)
+        else:
+            out.append(np.empty(0, U))
+        at += c
+    return out
 
 
 def fast_sketch(sets: list[np.ndarray], t: int, seed: int = 1) -> np.ndarray:
@@ -71,7 +81,7 @@ def fast_sketch(sets: list[np.ndarray], t: int, seed: int = 1) -> np.ndarray:
     for i in range(2 * t):
         if not len(elements):
             break
-        h = mix(elements + U(seed) * _STEP + U(i + 1) * _M2)
+        h = mix(elements + (np.array([U(seed)]) * _STEP + np.array([U(i + 1)]) * _M2))
         # the low 24 bits choose the bin, the high 40 the value; the round stands above the value
         bins = (h & U(0xFFFFFF)) % U(t) if i < t else np.full(len(h), U(i - t))
         at = owner * t + bins.astype(np.int64)

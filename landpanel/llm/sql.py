@@ -50,3 +50,19 @@ s AS (
   FROM w q JOIN w c ON q.id % 50 = 0 AND q.id <> c.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+SQL["op2_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM g),
+e AS (SELECT doc_id, unnest(g) AS s FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS id, a AS to_id FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.to_id),
+k AS (SELECT id, min(to_id) AS component FROM r GROUP BY id)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(component, doc_id)::BIGINT AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM n LEFT JOIN k ON k.id = n.doc_id"""
