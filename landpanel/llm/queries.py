@@ -37,6 +37,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan, written
 
@@ -81,5 +88,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(segments(rows.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_language, op5_secrets, op6_pieces, op7_token_counts, op8_topk, op9_media, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_language, op4_line_dedup, op5_secrets, op6_pieces, op7_token_counts, op8_topk, op9_media, op10_chat)}
 from .sql import SQL  # noqa: E402, F401
