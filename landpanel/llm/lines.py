@@ -231,12 +231,13 @@ def dropped(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFram
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFrame:
-    """The columns of `docs`, texts without their duplicate lines, and n_lines and n_dropped."""
+    """The columns of `docs`, texts without their duplicate lines, and _line_count and _line_dropped."""
     gone = cut(dropped(docs, least, edits))
-    d = docs.withColumns({"_line_doc": F.col("doc_id"), "_line_text": F.xxhash64("text")})
+    d = docs.select(F.struct(*docs.columns).alias("_line_row"), F.col("doc_id").alias("_line_doc"), F.xxhash64("text").alias("_line_text"))
     d = attach(d, gone, ["_line_doc", "_line_text"], rows=1_000_000, how="left")
-    split = F.split("text", "\n")
+    split = F.split("_line_row.text", "\n")
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_line_drop"), i)), "\n")
-    d = d.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("bigint"), "n_dropped": F.coalesce(F.size("_line_drop"), F.lit(0)).cast("bigint")})
-    d = d.withColumn("text", F.when(F.col("_line_drop").isNull(), F.col("text")).otherwise(kept))
-    return d.select(*docs.columns, "n_lines", F.greatest("n_dropped", F.lit(0)).alias("n_dropped"))
+    text = F.when(F.col("_line_drop").isNull(), F.col("_line_row.text")).otherwise(kept)
+    columns = [text.alias(c) if c == "text" else F.col("_line_row").getField(c).alias(c) for c in docs.columns]
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("bigint")
+    return d.select(*columns, count(split).alias("_line_count"), count("_line_drop").alias("_line_dropped"))
