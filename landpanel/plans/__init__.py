@@ -1 +1,4 @@
-"""See the module names."""
+"""The registered queries of the library, each with the SQL that gives the same rows."""
+
+from . import panel  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
