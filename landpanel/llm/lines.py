@@ -50,14 +50,17 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
 
 
 def key_columns(line: Column, length: Column, edits: int) -> Column:
-    """All keys of a line, its own segments among them (other line as long, no shift)."""
-    keys = []
+    """All keys of a line, its own segments among them (other line as long, no shift).
+
+    In UTF-32 every character has four bytes, so a substring is found without walking along the line.
+    """
+    wide, keys = F.encode(line, "UTF-32"), []
     for d, i, shift in probes(edits):
         n = length - d
         base, more = F.floor(n / (edits + 1)).cast("int"), F.pmod(n, F.lit(edits + 1)).cast("int")
         start = base * i + F.greatest(F.lit(0), F.lit(i - edits - 1) + more)
         size = base + F.when(F.lit(i) >= F.lit(edits + 1) - more, 1).otherwise(0)
-        keys.append(F.xxhash64(F.lit(i), F.substring(line, start + (shift + 1), size)))
+        keys.append(F.xxhash64(F.lit(i), F.substring(wide, (start + shift) * 4 + 1, size * 4)))
     return F.array_distinct(F.array(*keys))
 
 
