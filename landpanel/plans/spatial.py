@@ -52,7 +52,7 @@ def g6_cell_dedup(spark, sf_dir):
 
 @query()
 def g7_thin(spark, sf_dir):
-    return spatial.thin(points(spark, sf_dir).select("row_id", "lon", "lat"), 60.0).select("row_id")
+    return spatial.thin(points(spark, sf_dir).select("row_id", "lon", "lat"), 150.0).select("row_id")
 
 
 @query(f"WITH {GRID} SELECT row // 3 AS row, col // 3 AS col, code FROM grid WHERE row % 3 = 1 AND col % 3 = 1")
