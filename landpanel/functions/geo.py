@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # WGS84
-A, E2 = 6378137.0, 0.00669437999014
+A, FLATTENING = 6378137.0, 1 / 298.257223563
+E2 = FLATTENING * (2 - FLATTENING)
 E1 = math.sqrt(E2)
 EARTH_KM = 6371.0088
 

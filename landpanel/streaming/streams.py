@@ -20,9 +20,14 @@ def copy_new(spark: SparkSession, source: str, target: str, checkpoint: str, sch
     return spark.read.parquet(target).count()
 
 
+def watermarked(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """A stream with a watermark on `ts`, which watermarks need as a time with zone; a batch as it is."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+
+
 def progress(events: DataFrame, window: str = "1 day", late: str = "1 hour", ts: str = "ts", owner: str = "owner") -> DataFrame:
     """(start, owner, n, n_ok, n_fail) per tumbling window; rows later than `late` behind the newest are dropped in a stream."""
-    d = events.withWatermark(ts, late) if events.isStreaming else events
+    d = watermarked(events, ts, late)
     d = d.groupBy(F.window(ts, window).alias("w"), owner).agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_fail"))
     return d.select(F.col("w.start").alias("start"), owner, "n", "n_ok", "n_fail")
 
@@ -34,7 +39,7 @@ def run_once(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], No
 
 def finished_once(events: DataFrame, key: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Each key once: a repeated success within the watermark changes nothing."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return watermarked(events, ts, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def missing_outputs(expected: DataFrame, written: DataFrame, key: str) -> DataFrame:
