@@ -107,28 +107,32 @@ def a24_threshold_sweep(spark, sf_dir):
 
 
 T2 = f"{SCORED}, t AS (SELECT zone, count(*) FILTER (score > 0.5 AND label = 0)::DOUBLE AS a, count(*) FILTER (score > 0.5 AND label = 1)::DOUBLE AS b, count(*) FILTER (score <= 0.5 AND label = 0)::DOUBLE AS c, count(*) FILTER (score <= 0.5 AND label = 1)::DOUBLE AS d FROM scored GROUP BY zone)"
-EXPOSED, CASE = F.expr("score > 0.5D"), F.expr("label = 0")
+
+
+def sides():
+    """(exposed, case)"""
+    return F.col("score") > 0.5, F.col("label") == 0
 
 
 @query(f"WITH {T2}, s AS (SELECT sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM t), o AS (SELECT *, a * d / (b * c) AS r, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS se FROM s) SELECT a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c, d::BIGINT AS d, round(r, 6) AS odds_ratio, round(exp(ln(r) - 1.96::DOUBLE * se), 6) AS lo, round(exp(ln(r) + 1.96::DOUBLE * se), 6) AS hi FROM o")
 def a20_odds_ratio(spark, sf_dir):
-    return rounded(E.odds_ratio(scored(spark, sf_dir), EXPOSED, CASE), "odds_ratio", "lo", "hi")
+    return rounded(E.odds_ratio(scored(spark, sf_dir), *sides()), "odds_ratio", "lo", "hi")
 
 
 @query(f"WITH {T2} SELECT count(*) AS n_strata, round(sum(a * d / (a + b + c + d)) / sum(b * c / (a + b + c + d)), 6) AS mh_odds_ratio FROM t")
 def a20_mh_odds_ratio(spark, sf_dir):
-    return rounded(E.mh_odds_ratio(scored(spark, sf_dir), ["zone"], EXPOSED, CASE), "mh_odds_ratio")
+    return rounded(E.mh_odds_ratio(scored(spark, sf_dir), ["zone"], *sides()), "mh_odds_ratio")
 
 
 @query(f"WITH {T2} SELECT round((sum(a) / (sum(a) + sum(b))) / (sum(c) / (sum(c) + sum(d))), 6) AS rr, round(sum(a * (c + d) / (a + b + c + d)) / sum(c * (a + b) / (a + b + c + d)), 6) AS mh_rr FROM t")
 def a21_risk_ratio(spark, sf_dir):
-    return rounded(E.risk_ratio(scored(spark, sf_dir), ["zone"], EXPOSED, CASE), "rr", "mh_rr")
+    return rounded(E.risk_ratio(scored(spark, sf_dir), ["zone"], *sides()), "rr", "mh_rr")
 
 
 @query()
 def a21_permutation_p(spark, sf_dir):
     d = scored(spark, sf_dir).withColumn("k", F.col("row_id") * 10000 + F.col("year"))
-    return E.permutation_p(d, ["zone"], EXPOSED, CASE, perms=50, key="k")
+    return E.permutation_p(d, ["zone"], *sides(), perms=50, key="k")
 
 
 @query(f"WITH {OA_BY}, f AS (SELECT year, avg(CASE WHEN zone < 'p3' THEN oa END) AS a, avg(CASE WHEN zone >= 'p3' THEN oa END) AS b FROM o GROUP BY year) SELECT count(*) AS n, round(avg(a - b), 6) AS mean, round(stddev_samp(a - b), 6) AS sd, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t FROM f")
