@@ -1,14 +1,13 @@
 """Operator 8: exact top-k inner products by a three-phase uniform threshold.
 
 A score is a sum over nodes: each node holds one slice of the components of every vector and can score by its slice
-alone. Scores of a node are made non-negative by taking off a lower bound for the query and slice, found in phase 1.
+alone.
 
-1. Every node gives its k best local scores for each query. Adding up what is known of a candidate gives lower bounds
-   of totals; the k-th best of them, over the number of nodes, is a cutoff that no candidate of the answer can stay
-   below in all nodes.
-2. Every node gives all local scores that reach the cutoff. A candidate's upper bound takes the cutoff for what is
-   missing; candidates whose upper bound is below the k-th best lower bound are dropped.
-3. The missing local scores of the rest are computed, and the k best totals stand.
+1. Every node gives its k best local scores for each query and block of rows. The totals of the candidates on these lists
+   are looked up; the k-th best of them is a safe cutoff: the answer's totals are not below it.
+2. A total that reaches the cutoff has a local score of at least the cutoff over the number of nodes in some node. Every
+   node gives all entries that reach this uniform threshold; all other candidates are out.
+3. The scores that the other nodes hold of these candidates are computed, and the k best totals stand.
 
 Queries and rows are packed into blocks, and each pair of a block of queries with a block of rows is one task's unit of
 work: two matrix products. Packed blocks meet by an equi-join on the query block's number, to which the row blocks are
@@ -72,7 +71,7 @@ def local_scores(qm: bytes, rm: bytes, nq: int, nr: int):
 
 
 def phase1(k: int):
-    """(qb, query, node, floor, top): a block pair's least local score and its k best (score, id)."""
+    """(qb, query, totals): the k best totals among the candidates on a block pair's local lists."""
 
     def run(batches):
         import pyarrow as pa
@@ -80,36 +79,35 @@ def phase1(k: int):
         for batch in batches:
             for qb, qids, qm, rids, rm in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 qi, ri = np.frombuffer(qids, "<i8"), np.frombuffer(rids, "<i8")
-                for node, p in enumerate(local_scores(qm, rm, len(qi), len(ri))):
-                    floor = p.min(axis=1)
-                    own = qi[:, None] == ri[None, :]
+                parts = list(local_scores(qm, rm, len(qi), len(ri)))
+                own = qi[:, None] == ri[None, :]
+                for p in parts:
                     p[own] = -np.inf
-                    n = min(k, len(ri))
-                    best = np.argpartition(-p, n - 1, axis=1)[:, :n] if n < len(ri) else np.broadcast_to(np.arange(n), (len(qi), n))
-                    score = np.take_along_axis(p, best, 1)
-                    tops = [[{"score": int(s), "id": int(i)} for s, i in zip(a, ri[b], strict=True) if s > -np.inf] for a, b in zip(score, best, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([qb] * len(qi), pa.int64()), pa.array(qi), pa.array([node] * len(qi), pa.int32()), pa.array(floor.astype(np.int64)), pa.array(tops, pa.list_(pa.struct([("score", pa.int64()), ("id", pa.int64())])))], names=["qb", "query", "node", "floor", "top"])
+                n = min(k, len(ri))
+                lists = np.concatenate([np.argpartition(-p, n - 1, axis=1)[:, :n] for p in parts], axis=1)
+                lists.sort(axis=1)
+                total = sum(np.take_along_axis(p, lists, 1) for p in parts)
+                total[:, 1:][lists[:, 1:] == lists[:, :-1]] = -np.inf  # a candidate on several lists counts once
+                best = -np.sort(-total, axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array([qb] * len(qi), pa.int64()), pa.array(qi), pa.array([[int(x) for x in row if x > -np.inf] for row in best], pa.list_(pa.int64()))], names=["qb", "query", "totals"])
 
     return run
 
 
 def phase2(batches):
-    """(query, id, node, score): local scores, less the floor, that reach the query's cutoff.
-
-    A cell that reaches it in one node gives one row for each node that it reaches it in.
-    """
+    """(query, id): candidates with a local score that reaches the query's uniform threshold in at least one node."""
     import pyarrow as pa
 
     for batch in batches:
-        for qb, qids, qm, rids, rm, floors, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for _, qids, qm, rids, rm, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             qi, ri = np.frombuffer(qids, "<i8"), np.frombuffer(rids, "<i8")
-            floors, cuts = dict(floors), dict(cuts)
-            cut_ = np.array([cuts[q] for q in qi.tolist()], float)
-            for node, p in enumerate(local_scores(qm, rm, len(qi), len(ri))):
-                low = np.array([floors[q][node] for q in qi.tolist()], float)
-                p -= low[:, None]
-                a, b = np.nonzero((p >= cut_[:, None]) & (qi[:, None] != ri[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(ri[b]), pa.array(np.full(len(a), node, np.int32)), pa.array(p[a, b].astype(np.int64))], names=["query", "id", "node", "score"])
+            cuts = dict(cuts)
+            least = np.array([cuts[q] for q in qi.tolist()], float)[:, None]
+            hit = np.zeros((len(qi), len(ri)), bool)
+            for p in local_scores(qm, rm, len(qi), len(ri)):
+                hit |= p * NODES >= least
+            a, b = np.nonzero(hit & (qi[:, None] != ri[None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(ri[b])], names=["query", "id"])
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -129,29 +127,18 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
     dealt = attach(dealt, q, ["qb"], rows=64).repartition(F.col("qb"), F.col("rb"))
     cells = ["qb", "qids", "qm", "rids", "rm"]
 
-    lists = dealt.select(*cells).mapInArrow(phase1(k), "qb bigint, query bigint, node int, floor bigint, top array<struct<score: bigint, id: bigint>>")
-    lists = cut(lists)
-    floors = lists.groupBy("qb", "query", "node").agg(F.min("floor").alias("floor"))
-    best = lists.select("qb", "query", "node", F.explode("top").alias("t")).select("qb", "query", "node", "t.score", "t.id")
-    local = Window.partitionBy("query", "node").orderBy(F.desc("score"), "id")
-    best = best.withColumn("place", F.row_number().over(local)).where(F.col("place") <= k).join(floors, ["qb", "query", "node"])
-    known = best.groupBy("qb", "query", "id").agg(F.sum(F.col("score") - F.col("floor")).alias("low"))
-    kth = known.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("low"), "id"))).where(F.col("place") == k)
-    cutoff = floors.groupBy("qb", "query").agg(F.sort_array(F.collect_list(F.struct("node", "floor")))["floor"].alias("floors"))
-    cutoff = cutoff.join(kth.select("query", (F.ceil(F.col("low") / NODES)).cast("bigint").alias("cut")), "query", "left")
-    cutoff = cut(cutoff.select("qb", "query", "floors", F.coalesce("cut", F.lit(0)).alias("cut")))
-    # a block's cutoffs are at most QUERIES entries; they travel with the block
-    by_block = cutoff.groupBy("qb").agg(F.map_from_entries(F.collect_list(F.struct("query", "floors"))).alias("floors"), F.map_from_entries(F.collect_list(F.struct("query", "cut"))).alias("cuts"))
-    second = attach(dealt, by_block, ["qb"], rows=64).select(*cells, "floors", "cuts")
-    found = cut(second.mapInArrow(phase2, "query bigint, id bigint, node int, score bigint"))
-    parts = found.groupBy("query", "id").agg(F.sum("score").alias("low"), F.count("*").alias("n"))
-    parts = parts.join(cutoff.select("query", "cut", "floors"), "query")
-    high = F.col("low") + F.greatest(NODES - F.col("n"), F.lit(0)) * F.col("cut")
-    parts = parts.withColumn("high", high)
-    bar = parts.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("low"), "id"))).where(F.col("place") == k).select("query", F.col("low").alias("bar"))
-    left = parts.join(bar, "query", "left").where(F.col("bar").isNull() | (F.col("high") >= F.col("bar"))).select("query", "id")
+    lists = dealt.select(*cells).mapInArrow(phase1(k), "qb bigint, query bigint, totals array<bigint>")
+    best = Window.partitionBy("query").orderBy(F.desc("total"))
+    kth = lists.select("qb", "query", F.explode_outer("totals").alias("total")).withColumn("place", F.row_number().over(best))
+    # with fewer than k candidates every one is part of the answer
+    cuts = kth.groupBy("qb", "query").agg(F.coalesce(F.max(F.when(F.col("place") == k, F.col("total"))), F.lit(-(1 << 62))).alias("cut"))
+    # a block's cutoffs are at most its queries; they travel with the block
+    by_block = cut(cuts.groupBy("qb").agg(F.map_from_entries(F.collect_list(F.struct("query", "cut"))).alias("cuts")))
+    second = attach(dealt, by_block, ["qb"], rows=64).select(*cells, "cuts")
+    left = second.mapInArrow(phase2, "query bigint, id bigint")
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    full = left.join(v, "id").join(v.select(F.col("id").alias("query"), F.col("v").alias("qv")), "query").select("query", "id", dot.alias("score"))
+    asked = v.where(F.col("id") % every == 0).select(F.col("id").alias("query"), F.col("v").alias("qv"))
+    full = attach(left.join(v.hint("merge"), "id"), asked, ["query"], rows=20_000).select("query", "id", dot.alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
