@@ -1,0 +1,66 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+import __spark_entry__ as entry
+from landpanel.llm.queries import QUERIES
+from landpanel.llm.sql import SQL
+
+from oracle import connect, same
+from test_text_operators import brute_components
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    same(QUERIES[name](spark, sf_dir), connect(sf_dir), SQL[name])
+
+
+def test_all_ten_and_the_pipeline_are_registered():
+    names = entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op8_topk", "op10_chat"}))
+def test_one_row_a_document(spark, sf_dir, name):
+    d = QUERIES[name](spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert d.count() == n == d.select("doc_id").distinct().count()
+
+
+def test_the_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(k)))
+        before, docs = docs, spark.read.parquet(str(tmp_path / str(k)))
+        seen[name] = (before, docs)
+        if k < 4:
+            assert docs.columns == columns
+    before, after = seen["near_duplicates"]
+    texts = {r.doc_id: r.text for r in before.collect()}
+    want = {k for k, (_, c) in brute_components(texts, 5, 80).items() if k == c}
+    assert {r.doc_id for r in after.select("doc_id").collect()} == want
+    before, after = seen["mixing"]
+    words = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "))
+    assert abs(after.agg(F.sum(words)).first()[0] / before.agg(F.sum(words)).first()[0] - 1.5) < 0.25
+    assert after.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    assert after.join(before, columns, "left_anti").count() == 0
+    before, after = seen["pieces"]
+    assert after.count() == before.count()
+    row = after.first()
+    assert row.n_tokens == len(row.ids) and row.ids_sha256 == hashlib.sha256(",".join(map(str, row.ids)).encode()).hexdigest()
+    before, after = seen["language"]
+    assert before.join(after, "doc_id", "left_anti").count() <= 2
+
+
+def test_pipeline_carries_columns_with_clashing_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).withColumns({c: F.lit(7) for c in ("size", "copies", "place", "epoch", "hash", "kept", "target", "row")})
+    odd = docs.unionByName(docs.limit(2).withColumns({"text": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == docs.columns and out.where("size <> 7 OR copies <> 7").count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, sf_dir).count() == odd.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
