@@ -54,13 +54,13 @@ def yearly_delta(panel: DataFrame) -> DataFrame:
     return panel.select("row_id", "year", "v").join(a, ["row_id", "year"]).select("row_id", "year", vec.nan_to_null(vec.l2distance("v", "u")).alias("delta"))
 
 
-def robust_z(df: DataFrame, c: str, out: str, by: list[str], min_n: int = 100) -> DataFrame:
-    """Adds (x - median) / (1.4826 * MAD + 1e-9) of each group with at least `min_n` values."""
-    mid = df.groupBy(*by).agg(F.expr(f"percentile({c}, 0.5)").alias("_med"), F.count(c).alias("_n"))
-    d = df.join(mid, by, "left").withColumn("_dev", F.abs(F.col(c) - F.col("_med")))
-    mad = d.groupBy(*by).agg(F.expr("percentile(_dev, 0.5)").alias("_mad"))
-    z = F.when(F.col("_n") >= min_n, (F.col(c) - F.col("_med")) / (F.lit(1.4826) * F.col("_mad") + 1e-9))
-    return d.join(mad, by, "left").withColumn(out, z).drop("_med", "_n", "_dev", "_mad")
+def robust_z(df: DataFrame, columns: dict[str, str], by: list[str], min_n: int = 100) -> DataFrame:
+    """Adds (x - median) / (1.4826 * MAD + 1e-9) of each group with at least `min_n` values, for {column: name} in two passes."""
+    mid = df.groupBy(*by).agg(*(F.expr(f"percentile({c}, 0.5)").alias(f"_med_{c}") for c in columns), *(F.count(c).alias(f"_n_{c}") for c in columns))
+    d = df.join(mid, by, "left")
+    mad = d.groupBy(*by).agg(*(F.expr(f"percentile(abs({c} - _med_{c}), 0.5)").alias(f"_mad_{c}") for c in columns))
+    z = {out: F.when(F.col(f"_n_{c}") >= min_n, (F.col(c) - F.col(f"_med_{c}")) / (F.lit(1.4826) * F.col(f"_mad_{c}") + 1e-9)) for c, out in columns.items()}
+    return d.join(mad, by, "left").withColumns(z).drop(*(f"{k}_{c}" for k in ("_med", "_n", "_mad") for c in columns))
 
 
 def class_percentiles(df: DataFrame, c: str = "cos_center", by=("class_new", "year"), min_n: int = 100, approx: bool = False) -> DataFrame:
@@ -100,8 +100,7 @@ def quality(panel: DataFrame, points: DataFrame, apply_window: bool = True, min_
     else:
         d = with_deltas(cos_to_center(d, min_n)).drop("v").join(meta, "row_id")
         d = d.where(in_window(F.col("year"))) if apply_window else d
-    for c in ("delta_prev", "delta_next"):
-        d = robust_z(d, c, f"{c}_z", ["class_new", "year"], min_n_stats)
+    d = robust_z(d, {c: f"{c}_z" for c in ("delta_prev", "delta_next")}, ["class_new", "year"], min_n_stats)
     p = class_percentiles(d, min_n=min_n_stats).drop("n")
     d = qc_ladder(d.join(p, ["class_new", "year"], "left")).drop("p01", "p05", "valid_from", "valid_to")
     return d.withColumn("train_weight", scalar.train_weight(F.col("tier"), F.col("qc_weight"), F.col("src_conf")))

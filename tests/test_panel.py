@@ -49,8 +49,8 @@ def test_deltas_only_between_adjacent_years(spark):
 
 def test_small_classes_have_no_statistics(spark):
     d = spark.createDataFrame([(i, 2020, 1, float(i)) for i in range(5)], "row_id bigint, year int, class_new int, x double")
-    assert all(r.z is None for r in P.robust_z(d, "x", "z", ["class_new", "year"], 6).collect())
-    assert P.robust_z(d, "x", "z", ["class_new", "year"], 5).where("row_id = 2").first().z == 0.0
+    assert all(r.z is None for r in P.robust_z(d, {"x": "z"}, ["class_new", "year"], 6).collect())
+    assert P.robust_z(d, {"x": "z"}, ["class_new", "year"], 5).where("row_id = 2").first().z == 0.0
 
 
 def test_training_weight(spark):
