@@ -49,19 +49,23 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return [(d, i, s) for d in range(edits + 1) for i in range(edits + 1) for s in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
 
 
-def key_columns(line: Column, length: Column, edits: int) -> Column:
+def key_columns(wide: Column, length: Column, edits: int) -> Column:
     """All keys of a line, its own segments among them (other line as long, no shift).
 
-    In UTF-32 every character has four bytes, so a substring is found without walking along the line.
+    The line comes in UTF-32, in which every character has four bytes, so a substring is found without walking along it.
     """
-    wide, keys = F.encode(line, "UTF-32"), []
-    for d, i, shift in probes(edits):
-        n = length - d
-        base, more = F.floor(n / (edits + 1)).cast("int"), F.pmod(n, F.lit(edits + 1)).cast("int")
-        start = base * i + F.greatest(F.lit(0), F.lit(i - edits - 1) + more)
-        size = base + F.when(F.lit(i) >= F.lit(edits + 1) - more, 1).otherwise(0)
-        keys.append(F.xxhash64(F.lit(i), F.substring(wide, (start + shift) * 4 + 1, size * 4)))
-    return F.array_distinct(F.array(*keys))
+    plan = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(p, ("less", "segment", "shift"), strict=True))) for p in probes(edits)))
+    parts = F.lit(edits + 1)
+
+    def key(p: Column) -> Column:
+        # as a function over a constant plan: twelve copies of the expression would be too long for the JVM to compile
+        n, i = length - p["less"], p["segment"]
+        more = n % parts
+        base = ((n - more) / parts).cast("int")
+        start = base * i + F.greatest(F.lit(0), i - parts + more) + p["shift"]
+        return F.xxhash64(i, F.substring(wide, start * 4 + 1, (base + (i >= parts - more).cast("int")) * 4))
+
+    return F.array_distinct(F.transform(plan, key))
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -205,7 +209,9 @@ def links(blocks: DataFrame, edits: int) -> DataFrame:
 
 def near_lines(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     """(hash, component) of the lines that have a near line."""
-    keys = lines.select("hash", F.explode(key_columns(F.col("line"), F.length("line"), edits)).alias("key"))
+    # width and length are columns of their own below the generator, so they are computed once a line
+    fixed = lines.select("hash", F.encode("line", "UTF-32").alias("wide")).withColumn("length", F.floor(F.octet_length("wide") / 4).cast("int"))
+    keys = fixed.select("hash", F.explode(key_columns(F.col("wide"), F.col("length"), edits)).alias("key"))
     shared = keys.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where(F.col("a") != F.col("b")).select("key", "a")
     stars = attach(keys, cut(shared), ["key"], rows=2_000_000).where(F.col("hash") != F.col("a")).select("a", F.col("hash").alias("b"))
     groups = components(stars).select(F.col("id").alias("hash"), F.col("component").alias("grp"))
