@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import by_blocks, text_or_empty
 
 MARK = "▁"
-MEMO = 400_000
+MEMO = 200_000
 WINDOW = 4096
 
 
@@ -69,8 +69,9 @@ class Pieces:
         free = "".join(re.escape(c) for c in "\n\t\r" if not any(c in p for p in self.near)) if self.by_mark else ""
         self.cut = re.compile(rf"{MARK}*[^{MARK}{free}]+|{MARK}+" + (f"|[{free}]" if free else "")) if self.by_mark else re.compile(r"(?s).+")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.memo: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
         self.limit = memo
 
     @classmethod
@@ -191,26 +192,25 @@ class Pieces:
         # leftmost first with equal scores: the first piece grows as far as the vocabulary allows, then the next
         return leftmost(parts, self.score)
 
-    def one(self, part: str) -> tuple[int, str, str]:
-        """How many ids a part has, the ids joined by commas, and its decoded form.
+    def one(self, part: str) -> str:
+        """The ids of a part, joined by commas.
 
-        A part met for the first time falls apart where no merge can cross; those smaller parts are looked up too.
+        A part met for the first time falls apart where no merge can cross; those smaller parts are looked up too. Its
+        ids are decoded when it is met: a part that does not decode to itself goes to `odd` with what it decodes to.
         """
         if (known := self.memo.get(part) or self.older.get(part)) is None:
             near = self.near
             cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in near]
             if cuts and not part.startswith(MARK + MARK):
-                found = [self.one(part[i:j]) for i, j in zip([0, *cuts], [*cuts, len(part)], strict=True)]
-                known = (sum([x[0] for x in found]), ",".join([x[1] for x in found]), "".join([x[2] for x in found]))
-                if any("\ufffd" in x[2] for x in found):  # bytes are decoded together
-                    ids = [int(i) for i in known[1].split(",")]
-                    known = (len(ids), known[1], self.decode_part(ids))
+                known = ",".join([self.one(part[i:j]) for i, j in zip([0, *cuts], [*cuts, len(part)], strict=True)])
             else:
                 ids = []
                 for p in self.split(part):
                     i = self.ids.get(p)
                     ids += [i] if i is not None else [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
-                known = (len(ids), ",".join(map(str, ids)), self.decode_part(ids))
+                known = ",".join(map(str, ids))
+                if (text := self.decode_part(ids)) != part.replace(MARK, " "):
+                    self.odd[part] = text
         if len(part) <= 64:
             if len(self.memo) >= self.limit:  # what was used lately stays for another round
                 self.older, self.memo = self.memo, {}
@@ -234,14 +234,19 @@ class Pieces:
             out.append(raw.decode("utf-8", "replace"))
         return "".join(out).replace(MARK, " ")
 
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
+    def both(self, text: str) -> tuple[str, str]:
+        """(ids joined by commas, decoded text)."""
         if not text:
-            return []
-        memo, one = self.memo, self.one
-        return [memo.get(p) or one(p) for p in self.cut.findall(MARK + text.replace(" ", MARK))]
+            return "", ""
+        marked, memo, one = MARK + text.replace(" ", MARK), self.memo, self.one
+        ids = ",".join([memo.get(p) or one(p) for p in self.cut.findall(marked)])
+        if self.odd:
+            return ids, self.decode(list(map(int, ids.split(","))))
+        return ids, marked.replace(MARK, " ")[1:]  # every part was found to decode to itself
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) for i in ids.split(",")]
+        ids = self.both(text)[0]
+        return list(map(int, ids.split(","))) if ids else []
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_part(ids).removeprefix(" ")
@@ -265,10 +270,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def block(rows):
         v, out = Pieces.load(model), []
         for key, text in rows:
-            found = v.parts(text)
-            ids = ",".join([x[1] for x in found])
-            decoded = "".join([x[2] for x in found]).removeprefix(" ")
-            row = (key, sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+            ids, decoded = v.both(text)
+            row = (key, ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
             out.append(row + ((list(map(int, ids.split(","))) if ids else [], decoded) if with_ids else ()))
         return out
 
