@@ -83,9 +83,9 @@ def w1_deltas(spark, sf_dir):
     return rounded(P.with_deltas(panel(spark, sf_dir)).select("row_id", "year", "delta_prev", "delta_next"), "delta_prev", "delta_next")
 
 
-@query(f"WITH {QC} SELECT row_id, year, round(least(delta_prev_z, 100), 4) + 0.0::DOUBLE AS delta_prev_z, round(least(delta_next_z, 100), 4) + 0.0::DOUBLE AS delta_next_z FROM qc")
+@query(f"WITH {QC} SELECT row_id, year, CASE WHEN delta_prev_z IS NOT NULL THEN round(greatest(least(delta_prev_z, 100), -100), 4) + 0.0::DOUBLE END AS delta_prev_z, CASE WHEN delta_next_z IS NOT NULL THEN round(greatest(least(delta_next_z, 100), -100), 4) + 0.0::DOUBLE END AS delta_next_z FROM qc")
 def a4_robust_z(spark, sf_dir):
-    return rounded(quality(spark, sf_dir).select("row_id", "year", *(F.least(c, F.lit(100.0)).alias(c) for c in ("delta_prev_z", "delta_next_z"))), "delta_prev_z", "delta_next_z", digits=4)
+    return rounded(quality(spark, sf_dir).select("row_id", "year", *(F.when(F.col(c).isNotNull(), F.greatest(F.least(c, F.lit(100.0)), F.lit(-100.0))).alias(c) for c in ("delta_prev_z", "delta_next_z"))), "delta_prev_z", "delta_next_z", digits=4)
 
 
 @query(f"WITH {CENTRED} SELECT class_new, year, count(cos_center) AS n, round(quantile_cont(cos_center, 0.01), 6) AS p01, round(quantile_cont(cos_center, 0.05), 6) AS p05 FROM cosined GROUP BY ALL HAVING count(cos_center) >= 10")
