@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 
 KM_PER_DEG = geo.EARTH_KM * math.pi / 180
+HALF_ROUND_KM = geo.EARTH_KM * math.pi
 
 
 def recover_ids(pool: DataFrame, library: DataFrame, digits: int | None = None) -> DataFrame:
@@ -88,21 +89,16 @@ def min_distance_from(a: DataFrame, b: DataFrame, km: float, a_key: str = "a_id"
     return a.join(close, a_key, "left_anti")
 
 
-def nearest(a: DataFrame, b: DataFrame, km: float = 25.0, grow: float = 4.0, limit: float = 21000.0, a_key: str = "a_id", b_key: str = "b_id") -> DataFrame:
-    """(a_id, b_id, km): the nearest row of b, the smaller id at a tie. Rings grow until every row is served."""
+def nearest(a: DataFrame, b: DataFrame, km: float = 25.0, grow: float = 4.0, a_key: str = "a_id", b_key: str = "b_id") -> DataFrame:
+    """(a_id, b_id, km): the nearest row of b, the smaller id at a tie. Rings grow until every row is served; nothing if b is empty."""
     left, found = a.select(F.col(a_key).alias("a_id"), "lon", "lat"), None
     while True:
         hit = within_km(left, b, km, "a_id", b_key).groupBy("a_id").agg(F.min(F.struct("km", "b_id")).alias("m")).select("a_id", "m.b_id", "m.km").persist()
         found = hit if found is None else found.unionByName(hit)
         left = left.join(hit, "a_id", "left_anti").persist()
+        if km > HALF_ROUND_KM or left.isEmpty():
+            return found
         km *= grow
-        if km > limit / 4 or left.isEmpty():
-            break
-    if left.isEmpty():
-        return found
-    # what is left lies beyond a quarter of the globe from everything: b is small or far, compare in blocks of b
-    far = left.join(b.select(F.col(b_key).alias("b_id"), F.col("lon").alias("_x"), F.col("lat").alias("_y"))).withColumn("km", geo.haversine_km(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y")))
-    return found.unionByName(far.groupBy("a_id").agg(F.min(F.struct("km", "b_id")).alias("m")).select("a_id", "m.b_id", "m.km"))
 
 
 def borrow(tiles: DataFrame, points: DataFrame, margin: float = 2.0, k: int = 20000, deg: float = 2.0) -> DataFrame:

@@ -35,8 +35,11 @@ def with_validity(panel: DataFrame) -> DataFrame:
 
 
 def cos_to_center(panel: DataFrame, min_n: int = 30) -> DataFrame:
-    """Adds cos_center: cosine of a valid vector to its class-year centre, null below `min_n` members."""
-    out = panel.join(class_centres(panel, min_n).drop("n"), ["class_new", "year"], "left")
+    """Adds cos_center: cosine of a valid vector to its class-year centre, null below `min_n` members.
+
+    There are as many centres as classes times years, so they are broadcast and the vectors stay where they are.
+    """
+    out = panel.join(F.broadcast(class_centres(panel, min_n).drop("n")), ["class_new", "year"], "left")
     return out.withColumn("cos_center", F.when(F.col("emb_valid"), vec.dot(vec.unit("v"), "centre"))).drop("centre")
 
 
@@ -102,7 +105,7 @@ def quality(panel: DataFrame, points: DataFrame, apply_window: bool = True, min_
         d = d.where(in_window(F.col("year"))) if apply_window else d
     d = robust_z(d, {c: f"{c}_z" for c in ("delta_prev", "delta_next")}, ["class_new", "year"], min_n_stats)
     p = class_percentiles(d, min_n=min_n_stats).drop("n")
-    d = qc_ladder(d.join(p, ["class_new", "year"], "left")).drop("p01", "p05", "valid_from", "valid_to")
+    d = qc_ladder(d.join(F.broadcast(p), ["class_new", "year"], "left")).drop("p01", "p05", "valid_from", "valid_to")
     return d.withColumn("train_weight", scalar.train_weight(F.col("tier"), F.col("qc_weight"), F.col("src_conf")))
 
 

@@ -43,6 +43,11 @@ def save(df: DataFrame, path: str, by: str | None = "year", mode: str = "overwri
     (w.partitionBy(by) if by else w).parquet(path)
 
 
+def save_predictions(df: DataFrame, path: str) -> None:
+    """Predictions by year, with the columns that the metrics read."""
+    save(df.select("row_id", "year", "class_new", "pred", "src", "zone"), path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
