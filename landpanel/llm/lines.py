@@ -209,11 +209,16 @@ def links(blocks: DataFrame, edits: int) -> DataFrame:
 
 def near_lines(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     """(hash, component) of the lines that have a near line."""
+    # of a repeated line only the first occurrence is looked at, so that rows of a key are different lines
+    again = distinct.where("n > 1").select("hash", "first")
+    once = attach(lines, again, ["hash"], how="left").where(F.col("first").isNull() | ((F.col("_line_doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at"))))
     # width and length are columns of their own below the generator, so they are computed once a line
-    fixed = lines.select("hash", F.encode("line", "UTF-32").alias("wide")).withColumn("length", F.floor(F.octet_length("wide") / 4).cast("int"))
-    keys = fixed.select("hash", F.explode(key_columns(F.col("wide"), F.col("length"), edits)).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where(F.col("a") != F.col("b")).select("key", "a")
-    stars = attach(keys, cut(shared), ["key"], rows=2_000_000).where(F.col("hash") != F.col("a")).select("a", F.col("hash").alias("b"))
+    fixed = once.select("hash", F.encode("line", "UTF-32").alias("wide")).withColumn("length", F.floor(F.octet_length("wide") / 4).cast("int"))
+    keys = cut(fixed.select("hash", F.explode(key_columns(F.col("wide"), F.col("length"), edits)).alias("key")))
+    shared = cut(keys.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.count("*").alias("n")).where(F.col("a") != F.col("b")))
+    # two rows are a link; more of them make a star
+    stars = attach(keys, shared.where("n > 2").select("key", "a"), ["key"]).where(F.col("hash") != F.col("a")).select("a", F.col("hash").alias("b"))
+    stars = stars.unionByName(shared.where("n = 2").select("a", "b"))
     groups = components(stars).select(F.col("id").alias("hash"), F.col("component").alias("grp"))
     groups = cut(groups.join(distinct.select("hash", "first", "chars"), "hash"))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
@@ -221,7 +226,7 @@ def near_lines(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     nb = F.greatest(F.ceil(F.col("n") / each), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
     members = attach(groups, sizes.select("grp", nb.alias("nb")), ["grp"])
     members = cut(members.select("grp", F.pmod(F.xxhash64("hash"), F.col("nb")).cast("int").alias("blk"), "nb", "hash", F.col("first.doc").alias("doc"), F.col("first.at").alias("place")))
-    texts = attach(lines, members, ["hash"], rows=1_000_000).where((F.col("_line_doc") == F.col("doc")) & (F.col("at") == F.col("place")))
+    texts = attach(lines, members, ["hash"]).where((F.col("_line_doc") == F.col("doc")) & (F.col("at") == F.col("place")))
     texts = texts.select("grp", "blk", "nb", "hash", "line").dropDuplicates(["grp", "blk", "hash"])
     return components(links(cut(packed(texts)), edits)).select(F.col("id").alias("hash"), "component")
 
@@ -234,7 +239,7 @@ def dropped(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFram
     firsts = near.join(distinct.select("hash", "first"), "hash").groupBy("component").agg(F.min("first").alias("stays"))
     near = near.join(firsts, "component").select("hash", "stays")
     verdict = distinct.where("n > 1").select("hash", "first").join(near, "hash", "full").select("hash", F.coalesce("stays", "first").alias("stays"))
-    gone = attach(lines.drop("line"), cut(verdict), ["hash"], rows=2_000_000)
+    gone = attach(lines.drop("line"), cut(verdict), ["hash"])
     gone = gone.where((F.col("_line_doc") != F.col("stays.doc")) | (F.col("at") != F.col("stays.at")))
     return gone.groupBy("_line_doc", "_line_text").agg(F.collect_set("at").alias("_line_drop"))
 
@@ -243,7 +248,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> Data
     """The columns of `docs`, texts without their duplicate lines, and _line_count and _line_dropped."""
     gone = cut(dropped(docs, least, edits))
     d = docs.select(F.struct(*docs.columns).alias("_line_row"), F.col("doc_id").alias("_line_doc"), F.xxhash64("text").alias("_line_text"))
-    d = attach(d, gone, ["_line_doc", "_line_text"], rows=1_000_000, how="left")
+    d = attach(d, gone, ["_line_doc", "_line_text"], how="left")
     split = F.split("_line_row.text", "\n")
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_line_drop"), i)), "\n")
     text = F.when(F.col("_line_drop").isNull(), F.col("_line_row.text")).otherwise(kept)
