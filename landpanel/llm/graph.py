@@ -15,21 +15,17 @@ def undirected(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of `edges` (a, b), the component being its smallest id.
 
-    Each round maps every id to the one of itself and its neighbours that comes first in an order, and links what the
-    ends of the remaining links were mapped to. The order is by id and by scattered id in turn: by id a star around its
-    smallest id collapses at once; in a scattered order an id chosen by none of its neighbours disappears, so the links
-    run out after a number of rounds about the logarithm of the largest component. Hubs of stars are grouped with
-    map-side combining; each round is cut to the shared folder.
+    Each round maps every id to the one of itself and its neighbours that comes first in a scattered order, and that in
+    turn to where it is mapped, and links what the ends of the remaining links were mapped to. An id chosen by none of
+    its neighbours disappears, so the links run out after a number of rounds about the logarithm of the largest
+    component. Hubs of stars are grouped with map-side combining; each round is cut to the shared folder.
     """
     left, maps = cut(undirected(edges)), []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if len(maps) % 2:
-            to = both.groupBy("a").agg(F.min(F.xxhash64("b")).alias("h"), F.min_by("b", F.xxhash64("b")).alias("b"))
-            to = to.select(F.col("a").alias("id"), F.when(F.col("h") < F.xxhash64("a"), F.col("b")).otherwise(F.col("a")).alias("to"))
-        else:
-            to = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to"))
-        to = cut(to)
+        first = both.groupBy("a").agg(F.min(F.xxhash64("b")).alias("h"), F.min_by("b", F.xxhash64("b")).alias("b"))
+        first = first.select(F.col("a").alias("id"), F.when(F.col("h") < F.xxhash64("a"), F.col("b")).otherwise(F.col("a")).alias("to"))
+        to = cut(first.join(first.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
         maps.append(to)
         ends = left.join(to.select(F.col("id").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b")
         left = cut(undirected(ends.select(F.col("ta").alias("a"), F.col("tb").alias("b"))))
