@@ -71,5 +71,5 @@ def attach(df: DataFrame, side: DataFrame, keys: list[str], rows: int = 200_000,
 
     A shuffle join leaves hot keys to adaptive execution, which splits them.
     """
-    few = side.limit(rows + 1).count() <= rows
+    few = side.limit(max(rows, 0) + 1).count() <= rows
     return df.join(F.broadcast(side) if few else side.hint("merge"), keys, how)

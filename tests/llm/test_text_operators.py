@@ -345,3 +345,25 @@ def test_marks_in_texts_come_back(spark):
     assert (got[-1].in_order, got[6].in_order, got[6].n_turns, got[None].n_turns) == (True, False, 2, 1)
     whole = {r.conv_id: r.formatted for r in chat.formatted(chat.segments(d)).collect()}
     assert chat.Template().turns(whole[-1]) == [("user", said), ("assistant", said)]
+
+
+# sides too large to broadcast
+
+
+def test_shuffled_sides_give_the_same(spark, monkeypatch):
+    from landpanel.llm import common
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+
+    def results():
+        return [sorted(map(str, x.collect())) for x in (neardup.near_duplicates(d, 4), lines.dedup_lines(d), mixing.mix(d), topk.top_k(v))]
+
+    want = results()
+
+    def shuffled(df, side, keys, rows=0, how="inner"):
+        return common.attach(df, side, keys, rows=-1, how=how)
+
+    for m in (neardup, lines, mixing, topk):
+        monkeypatch.setattr(m, "attach", shuffled)
+    assert results() == want
