@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import attach, cut
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -35,4 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
     for later in maps[1:]:
         found = found.join(later.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select("id", F.coalesce("next", "to").alias("to"))
     found = cut(found)
-    return found.join(found.groupBy("to").agg(F.min("id").alias("component")), "to").select("id", "component")
+    names = cut(found.groupBy("to").agg(F.min("id").alias("component")))
+    return attach(found, names, ["to"]).select("id", "component")
