@@ -30,8 +30,8 @@ def l2norm(v: Column | str) -> Column:
 
 
 def unit(v: Column | str) -> Column:
-    """v / (norm + 1e-12)."""
-    return F.transform(col(v), lambda x: x / (l2norm(v) + F.lit(1e-12)))
+    """v / (norm + 1e-12). The norm is bound once; inside the inner function it would be computed for every component."""
+    return F.get(F.transform(F.array(l2norm(v) + F.lit(1e-12)), lambda n: F.transform(col(v), lambda x: x / n)), F.lit(0))
 
 
 def l2distance(a: Column | str, b: Column | str) -> Column:

@@ -23,8 +23,8 @@ def nearest_centroid(test: DataFrame, train: DataFrame, by: list[str] | None = N
     c = train.groupBy(*by, F.col("class_new").alias("_c")).agg(F.count("*").alias("_n"), mean.alias("_m")).where(F.col("_n") >= min_n).select(*by, "_c", vec.unit("_m").alias("_m"))
     packed = c.groupBy(*by).agg(F.collect_list(F.struct("_c", "_m")).alias("_all"))  # one row a group: its classes
     j = test.join(packed, by) if by else test.join(F.broadcast(packed))
-    scored = F.transform("_all", lambda x: F.struct(F.round(vec.dot(vec.unit("v"), x["_m"]), 9).alias("s"), (-x["_c"]).alias("c")))
-    return j.withColumn("pred", -F.array_max(scored)["c"]).drop("_all")
+    scored = F.transform("_all", lambda x: F.struct(F.round(vec.dot("_u", x["_m"]), 9).alias("s"), (-x["_c"]).alias("c")))
+    return j.withColumn("_u", vec.unit("v")).withColumn("pred", -F.array_max(scored)["c"]).drop("_all", "_u")
 
 
 def holdout_split(df: DataFrame, keys: DataFrame, block: Column) -> tuple[DataFrame, DataFrame]:
@@ -102,8 +102,8 @@ def logo_eval(df: DataFrame, group: str) -> DataFrame:
     rest = total.join(F.broadcast(groups)).join(sums, ["class_new", group, "k"], "left").select("class_new", group, "k", (F.col("t") - F.coalesce("s", F.lit(0.0))).alias("m"))
     c = rest.groupBy(group, "class_new").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("m")).where(vec.l2norm("m") > 1e-6)
     packed = c.groupBy(group).agg(F.collect_list(F.struct(F.col("class_new").alias("c"), vec.unit("m").alias("m"))).alias("_all"))
-    scored = F.transform("_all", lambda x: F.struct(F.round(vec.dot(vec.unit("v"), x["m"]), 9).alias("s"), (-x["c"]).alias("c")))
-    return df.join(packed, group).withColumn("pred", -F.array_max(scored)["c"]).drop("_all")
+    scored = F.transform("_all", lambda x: F.struct(F.round(vec.dot("_u", x["m"]), 9).alias("s"), (-x["c"]).alias("c")))
+    return df.join(packed, group).withColumn("_u", vec.unit("v")).withColumn("pred", -F.array_max(scored)["c"]).drop("_all", "_u")
 
 
 def baseline_compare(train: DataFrame, val: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def cos_to_center(panel: DataFrame, min_n: int = 30) -> DataFrame:
     There are as many centres as classes times years, so they are broadcast and the vectors stay where they are.
     """
     out = panel.join(F.broadcast(class_centres(panel, min_n).drop("n")), ["class_new", "year"], "left")
-    return out.withColumn("cos_center", F.when(F.col("emb_valid"), vec.dot(vec.unit("v"), "centre"))).drop("centre")
+    return out.withColumn("cos_center", F.when(F.col("emb_valid"), vec.dot("v", "centre") / (F.col("norm") + 1e-12))).drop("centre")
 
 
 def with_deltas(panel: DataFrame) -> DataFrame:
