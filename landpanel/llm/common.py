@@ -73,3 +73,14 @@ def attach(df: DataFrame, side: DataFrame, keys: list[str], rows: int = 200_000,
     """
     few = side.limit(max(rows, 0) + 1).count() <= rows
     return df.join(F.broadcast(side) if few else side.hint("merge"), keys, how)
+
+
+_HELD: dict = {}
+
+
+def only(name: str, forget) -> None:
+    """Say that operator `name` works in this Python process: what the memos of others hold is let go."""
+    if name not in _HELD:
+        for other in list(_HELD):
+            _HELD.pop(other)()
+        _HELD[name] = forget

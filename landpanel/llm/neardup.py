@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, by_blocks, cut, text_or_empty
+from .common import attach, by_blocks, cut, only, text_or_empty
 from .graph import components
 from .sketch import WordHash, band_keys, fast_sketch, shingle_sets
 
@@ -42,6 +42,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, bands); digest and bands are null for an empty set."""
 
     def block(rows):
+        only("shingles", words().clear)
         sets = shingle_sets([r[1] for r in rows], words(), width)
         full = [i for i, s in enumerate(sets) if len(s)]
         keys = band_keys(fast_sketch([sets[i] for i in full], BANDS * ROWS), ROWS).view(np.int64).tolist() if full else []

@@ -23,12 +23,13 @@ import hashlib
 import re
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import by_blocks, text_or_empty
+from .common import by_blocks, only, text_or_empty
 
 MARK = "▁"
-MEMO = 200_000
+MEMO = 150_000
 WINDOW = 4096
 
 
@@ -87,7 +88,7 @@ class Pieces:
     def compatible(self, a: str, b: str) -> bool:
         key = (a, b)
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= 2 * self.limit:
+            if len(self.pairs) >= self.limit:
                 self.pairs.clear()
             known = self.pairs[key] = a[-1] + b[0] not in self.near or merge(a + b, self.score) == [a, b]
         return known
@@ -234,6 +235,9 @@ class Pieces:
             out.append(raw.decode("utf-8", "replace"))
         return "".join(out).replace(MARK, " ")
 
+    def forget(self) -> None:
+        self.memo, self.older, self.pairs = {}, {}, {}
+
     def both(self, text: str) -> tuple[str, str]:
         """(ids joined by commas, decoded text)."""
         if not text:
@@ -269,10 +273,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def block(rows):
         v, out = Pieces.load(model), []
+        only("pieces", v.forget)
         for key, text in rows:
             ids, decoded = v.both(text)
             row = (key, ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-            out.append(row + ((list(map(int, ids.split(","))) if ids else [], decoded) if with_ids else ()))
+            out.append(row + ((np.fromstring(ids, np.int32, sep=","), decoded) if with_ids else ()))
         return out
 
-    return by_blocks(docs.select(id_col, text_or_empty(text_col).alias(text_col)), [id_col, text_col], schema, block)
+    return by_blocks(docs.select(id_col, text_or_empty(text_col).alias(text_col)), [id_col, text_col], schema, block, chars=1_000_000)

@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import by_blocks, text_or_empty
+from .common import by_blocks, only, text_or_empty
 
 MEMO = 300_000
 HUGE = 65_536
@@ -45,6 +45,9 @@ class Counter:
     def load(cls, path: str) -> Counter:
         return cls(path)
 
+    def forget(self) -> None:
+        self.memo, self.older = {}, {}
+
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """(start in the text, id) of every token."""
         e = self.encoder.encode(text, add_special_tokens=False)
@@ -129,6 +132,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 2048, id_col: str = "
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         c = Counter.load(model)
+        only("token_counts", c.forget)
         few = c.small([t if len(t) < huge else "" for _, t in rows])
         out = []
         for (key, text), n in zip(rows, few, strict=True):
