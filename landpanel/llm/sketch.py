@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """Word bytes to 64 bits of BLAKE2b; forgets everything when `limit` words are held, so memory stays bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
