@@ -29,7 +29,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of lines, with n_chars of what is left; a text that lost all its words goes."""
-    done = dedup_lines(docs)
+    done = dedup_lines(docs, short=True)
     left = (F.col("_line_dropped") == 0) | F.regexp(F.coalesce("text", F.lit("")), F.lit(r"\S"))
     done = done.where(left).withColumn("n_chars", F.when(F.col("_line_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)

@@ -11,8 +11,10 @@ links: no pairs are written out, and a group's size has no limit.
 The first occurrence of a line, by doc_id and line number, stays, and so does the first of each connected group of near
 lines; all others are dropped from their texts.
 
-Defined results: lines end at \\n; lines shorter than `least` characters always stay, since an edit changes their
-meaning; null text stays null; texts without a dropped line stay as they are; rows equal in doc_id and text are one
+Lines shorter than `least` characters have no near lines, since an edit changes their meaning; with `short`, as in the
+query and the pipeline, their exact repeats are dropped like those of longer lines, else they always stay.
+
+Defined results: lines end at \\n; blank lines (white space alone) shorter than `least` characters always stay; null text stays null; texts without a dropped line stay as they are; rows equal in doc_id and text are one
 document, so a line's first occurrence stays in each of them; rows without a doc_id take no part and stay whole; an
 empty table gives an empty result. Columns whose names begin with `_line` are not allowed, all others are carried along.
 Lines are told apart by 64-bit hashes; near lines are verified on their characters.
@@ -111,10 +113,14 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return min(score, most + 1)
 
 
-def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """(_line_doc, _line_text, at, hash, line): the lines of `least` characters or more, by document."""
+def occurrences(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
+    """(_line_doc, _line_text, at, hash, line): the lines of `least` characters or more, by document.
+
+    With `short` also the shorter ones that are not blank.
+    """
     d = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("_line_doc"), F.xxhash64("text").alias("_line_text"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return d.where(F.length("line") >= least).withColumn("hash", F.xxhash64("line"))
+    long = F.length("line") >= least
+    return d.where(long | F.regexp("line", F.lit(r"\S")) if short else long).withColumn("hash", F.xxhash64("line"))
 
 
 def packed(members: DataFrame) -> DataFrame:
@@ -231,11 +237,11 @@ def near_lines(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     return components(links(cut(packed(texts)), edits)).select(F.col("id").alias("hash"), "component")
 
 
-def dropped(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFrame:
+def dropped(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False) -> DataFrame:
     """(_line_doc, _line_text, _line_drop): for each document that loses lines, their numbers from 0."""
-    lines = occurrences(docs, least)
+    lines = occurrences(docs, least, short)
     distinct = cut(lines.groupBy("hash").agg(F.min(F.struct(F.col("_line_doc").alias("doc"), "at")).alias("first"), F.count("*").alias("n"), F.max(F.length("line")).alias("chars")))
-    near = cut(near_lines(lines, distinct, edits))
+    near = cut(near_lines(occurrences(docs, least), distinct.where(F.col("chars") >= least), edits))
     firsts = near.join(distinct.select("hash", "first"), "hash").groupBy("component").agg(F.min("first").alias("stays"))
     near = near.join(firsts, "component").select("hash", "stays")
     verdict = distinct.where("n > 1").select("hash", "first").join(near, "hash", "full").select("hash", F.coalesce("stays", "first").alias("stays"))
@@ -244,9 +250,9 @@ def dropped(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFram
     return gone.groupBy("_line_doc", "_line_text").agg(F.collect_set("at").alias("_line_drop"))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False) -> DataFrame:
     """The columns of `docs`, texts without their duplicate lines, and _line_count and _line_dropped."""
-    gone = cut(dropped(docs, least, edits))
+    gone = cut(dropped(docs, least, edits, short))
     d = docs.select(F.struct(*docs.columns).alias("_line_row"), F.col("doc_id").alias("_line_doc"), F.xxhash64("text").alias("_line_text"))
     d = attach(d, gone, ["_line_doc", "_line_text"], how="left")
     split = F.split("_line_row.text", "\n")

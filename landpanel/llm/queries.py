@@ -40,7 +40,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
-    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return done.select("doc_id", F.col("_line_count").alias("n_lines"), F.col("_line_dropped").alias("n_dropped"), F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
