@@ -321,6 +321,14 @@ def t9_prefer_longer(spark, sf_dir):
     return textlog.prefer_longer(a, b, "doc_id").select("doc_id", F.md5("text").alias("text_md5"), "origin")
 
 
+@query(r"WITH a AS (SELECT doc_id, regexp_replace(text, '^[^\n]*\n', '') AS a FROM documents), b AS (SELECT doc_id, text AS b FROM documents), j AS (SELECT doc_id, a, b, coalesce(a IS NULL OR strlen(b) > strlen(a) + 200, false) AS t FROM a FULL JOIN b USING (doc_id)) SELECT doc_id, md5(CASE WHEN t THEN b ELSE a END) AS text_md5, CASE WHEN t THEN 'b' ELSE 'a' END AS origin FROM j")
+def t9_prefer_longer_whole(spark, sf_dir):
+    """All rows and whole texts: the text without its first line against the text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a = d.select("doc_id", F.regexp_replace("text", r"^[^\n]*\n", "").alias("text"))
+    return textlog.prefer_longer(a, d, "doc_id").select("doc_id", F.md5("text").alias("text_md5"), "origin")
+
+
 @query("SELECT conv_id, arg_max(text, (length(text), turn)) AS text, arg_max(turn, (length(text), turn)) AS ts FROM conversations GROUP BY conv_id")
 def w7_best_per_key(spark, sf_dir):
     return textlog.best_per_key(table(spark, sf_dir, "conversations").withColumnRenamed("turn", "ts"), "conv_id")
