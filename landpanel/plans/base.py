@@ -66,6 +66,12 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 90).alias("row"), (F.col("l_partkey") % 80).alias("col")).agg(F.min(F.col("l_suppkey") % 4).cast("int").alias("code"))
 
 
+def whole_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class grid with a cell for each order: columns grow with the table, the code is that of the order's first line."""
+    first = F.min_by(F.col("l_suppkey") % 4, F.struct("l_linenumber", "l_partkey", "l_suppkey")).cast("int")
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 90).alias("row"), F.floor(F.col("l_orderkey") / 90).cast("bigint").alias("col")).agg(first.alias("code"))
+
+
 def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(k.alias("row_id"), lon(k).alias("lon"), lat(k).alias("lat"), F.col("o_custkey").alias("cust"), "o_orderstatus", F.col("o_totalprice").alias("price"))
@@ -97,6 +103,8 @@ predictions AS (
 
 GRID = "grid AS (SELECT l_orderkey % 90 AS row, l_partkey % 80 AS col, min(l_suppkey % 4)::INTEGER AS code FROM lineitem GROUP BY ALL)"
 
+WHOLE_GRID = "grid AS (SELECT l_orderkey % 90 AS row, l_orderkey // 90 AS col, arg_min(l_suppkey % 4, (l_linenumber, l_partkey, l_suppkey))::INTEGER AS code FROM lineitem GROUP BY ALL)"
+
 ORDER_POINTS = f"order_points AS (SELECT o_orderkey AS row_id, {lonlat('o_orderkey')}, o_custkey AS cust, o_orderstatus, o_totalprice AS price FROM orders)"
 
 #: The vector helpers of functions.vec as DuckDB expressions.

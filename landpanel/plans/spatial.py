@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import diag, joins, model, sampling, spatial
 from ..sources.io import table
-from .base import GRID, HAVERSINE, ORDER_POINTS, POINTS, SEEDED, grid, lonlat, order_points, points, query, rounded
+from .base import GRID, HAVERSINE, ORDER_POINTS, POINTS, QUERIES, SEEDED, SQL, WHOLE_GRID, grid, lonlat, order_points, points, query, rounded, whole_grid
 
 N, C, RHO0 = geo.albers_constants()
 ALBERS = f"""alb0 AS (SELECT *, sin(radians(lat)) AS s FROM points),
@@ -56,8 +58,8 @@ def g7_thin(spark, sf_dir):
 
 
 @query(f"WITH {GRID} SELECT row // 3 AS row, col // 3 AS col, code FROM grid WHERE row % 3 = 1 AND col % 3 = 1")
-def g8_downsample_nearest(spark, sf_dir):
-    return spatial.downsample_nearest(grid(spark, sf_dir), 3)
+def g8_downsample_nearest(spark, sf_dir, of=grid):
+    return spatial.downsample_nearest(of(spark, sf_dir), 3)
 
 
 @query(f"WITH {POINTS} SELECT row_id, floor((90 - lat) / 0.25::DOUBLE)::BIGINT AS row, floor((lon + 180) / 0.25::DOUBLE)::BIGINT AS col FROM points")
@@ -70,13 +72,13 @@ FOCAL = "SELECT a.row, a.col, a.code, count(*) AS n, count(*) FILTER (a.code = b
 
 
 @query(f"WITH {GRID}, f AS ({FOCAL.format(1)}) SELECT *, round(same / n, 6) AS share FROM f")
-def a27_focal(spark, sf_dir):
-    return rounded(spatial.focal(grid(spark, sf_dir), 1), "share")
+def a27_focal(spark, sf_dir, of=grid):
+    return rounded(spatial.focal(of(spark, sf_dir), 1), "share")
 
 
 @query(f"WITH {GRID}, a AS ({FOCAL.format(1)}), b AS ({FOCAL.format(2)}) SELECT a.row, a.col, a.code FROM a JOIN b USING (row, col) WHERE a.same >= a.n - 3 AND b.same >= 0.4 * b.n")
-def a27_purity(spark, sf_dir):
-    g = grid(spark, sf_dir)
+def a27_purity(spark, sf_dir, of=grid):
+    g = of(spark, sf_dir)
     a = spatial.focal(g, 1).where("same >= n - 3").select("row", "col", "code")
     return a.join(spatial.focal(g, 2).where("same >= 0.4 * n").select("row", "col"), ["row", "col"])
 
@@ -85,18 +87,24 @@ PIXEL = "pow(6371.0088::DOUBLE * radians(0.25::DOUBLE), 2) * cos(radians(50 - ro
 
 
 @query(f"WITH {GRID} SELECT code, count(*) AS pixels, round(sum({PIXEL}), 4) AS km2 FROM grid GROUP BY code")
-def a28_area_by_class(spark, sf_dir):
-    return rounded(spatial.area_by_class(grid(spark, sf_dir), 0.25, 50 - F.col("row") * F.lit(0.25)), "km2", digits=4)
+def a28_area_by_class(spark, sf_dir, of=grid):
+    return rounded(spatial.area_by_class(of(spark, sf_dir), 0.25, 50 - F.col("row") * F.lit(0.25)), "km2", digits=4)
 
 
 @query(f"WITH {GRID} SELECT round(avg((code = 1)::INTEGER), 6) AS pixel_share, round(sum(CASE WHEN code = 1 THEN {PIXEL} ELSE 0 END) / sum({PIXEL}), 6) AS km2_share FROM grid")
-def a29_coverage_dual(spark, sf_dir):
-    return rounded(spatial.coverage_dual(grid(spark, sf_dir), F.col("code") == 1, 0.25, 50 - F.col("row") * F.lit(0.25)), "pixel_share", "km2_share")
+def a29_coverage_dual(spark, sf_dir, of=grid):
+    return rounded(spatial.coverage_dual(of(spark, sf_dir), F.col("code") == 1, 0.25, 50 - F.col("row") * F.lit(0.25)), "pixel_share", "km2_share")
 
 
 @query(f"WITH {GRID}, p AS (SELECT (a.col % 10 = 9) AS e, (a.code <> b.code)::INTEGER AS d FROM grid a JOIN grid b ON b.row = a.row AND b.col = a.col + 1 UNION ALL SELECT (a.row % 10 = 9), (a.code <> b.code)::INTEGER FROM grid a JOIN grid b ON b.col = a.col AND b.row = a.row + 1) SELECT round(avg(d) FILTER (e), 6) AS edge, round(avg(d) FILTER (NOT e), 6) AS inside, round(avg(d) FILTER (e) / avg(d) FILTER (NOT e), 6) AS ratio FROM p")
-def a42_seam_ratio(spark, sf_dir):
-    return rounded(spatial.seam_ratio(grid(spark, sf_dir), 10), "edge", "inside", "ratio")
+def a42_seam_ratio(spark, sf_dir, of=grid):
+    return rounded(spatial.seam_ratio(of(spark, sf_dir), 10), "edge", "inside", "ratio")
+
+
+# the same queries over the grid that grows with the table
+for _f in (g8_downsample_nearest, a27_focal, a27_purity, a28_area_by_class, a29_coverage_dual, a42_seam_ratio):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, of=whole_grid)
+    SQL[f"{_f.__name__}_whole"] = SQL[_f.__name__].replace(GRID, WHOLE_GRID)
 
 
 CUST = f"cust AS (SELECT c_custkey AS b_id, {lonlat('(c_custkey + 7)')} FROM customer)"
