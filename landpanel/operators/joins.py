@@ -125,8 +125,53 @@ def edges_of(polygons: DataFrame, ring: str = "ring") -> DataFrame:
     return e.select("region", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
 
 
+def edge_foot(lon: Column, lat: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
+    """The place on an edge that is nearest to a point, in the plane in which a degree of longitude is as long as at the point."""
+    k = F.cos(F.radians(lat))
+    dx, dy = (x2 - x1) * k, y2 - y1
+    t = F.coalesce(F.try_divide((lon - x1) * k * dx + (lat - y1) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    return x1 + t * (x2 - x1), y1 + t * (y2 - y1)
+
+
+def cells_of_edge(km: float, size: float, max_lat: float = 85.0) -> Column:
+    """All cells (x, y) of `size` degrees within km of an edge: the edge is cut into pieces of at most `size` degrees."""
+    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / size).cast("int"))
+    dy = F.lit(km / KM_PER_DEG)
+
+    def around(i: Column) -> Column:
+        at = lambda a, b, j: F.col(a) + (F.col(b) - F.col(a)) * j / n
+        xa, xb, ya, yb = at("x1", "x2", i), at("x1", "x2", i + 1), at("y1", "y2", i), at("y1", "y2", i + 1)
+        dx = dy / F.cos(F.radians(F.least(F.greatest(F.abs(ya), F.abs(yb)) + dy, F.lit(max_lat))))
+        xs = F.sequence(geo.cell(F.least(xa, xb) - dx, size), geo.cell(F.greatest(xa, xb) + dx, size))
+        ys = F.sequence(geo.cell(F.least(ya, yb) - dy, size), geo.cell(F.greatest(ya, yb) + dy, size))
+        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), around)))
+
+
+def nearest_edge(a: DataFrame, edges: DataFrame, km: float = 50.0, grow: float = 4.0) -> DataFrame:
+    """(row_id, region, km) for each row (row_id, lon, lat): the region of the nearest edge, to a millimetre, the smaller one at a tie.
+
+    Edges are dealt to the cells within `km` of them; rings grow until every row is served. Nothing if there are no edges.
+    """
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    left, found = a.select("row_id", "lon", "lat"), None
+    while True:
+        size = max(km / KM_PER_DEG, 1e-6)
+        e = edges.select("region", *ends, F.explode(cells_of_edge(km, size)).alias("_c")).select("region", *ends, F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y"))
+        j = left.withColumns({"_x": geo.cell(F.col("lon"), size), "_y": geo.cell(F.col("lat"), size)}).join(e, ["_x", "_y"])
+        j = j.withColumn("km", geo.haversine_km(F.col("lon"), F.col("lat"), *edge_foot(F.col("lon"), F.col("lat"), *ends))).where(F.col("km") <= km)
+        hit = j.groupBy("row_id").agg(F.min(F.struct(F.round("km", 6).alias("km"), "region")).alias("m")).select("row_id", "m.region", "m.km").persist()
+        found = hit if found is None else found.unionByName(hit)
+        left = left.join(hit, "row_id", "left_anti").persist()
+        if km > HALF_ROUND_KM or left.isEmpty():
+            return found
+        km *= grow
+
+
 def attribute_region(points: DataFrame, edges: DataFrame, size: float = 1.0) -> DataFrame:
-    """(row_id, region, inside, edge_km): the polygon that holds a point, else the one with the nearest corner.
+    """(row_id, region, inside, edge_km): the polygon that holds a point, else the one with the nearest edge and its distance.
 
     An edge can cross a ray to the east only of points in its band of latitudes; bands of `size` degrees are the join
     key, and an odd number of crossings is inside. The smallest region wins where polygons overlap.
@@ -136,9 +181,8 @@ def attribute_region(points: DataFrame, edges: DataFrame, size: float = 1.0) ->
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * F.try_divide(F.col("lat") - F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1"))
     inside = p.join(e, "_b").where(crosses).groupBy("row_id", "region").agg((F.count("*") % 2).alias("odd")).where("odd = 1").groupBy("row_id").agg(F.min("region").alias("region"))
     done = points.select("row_id", "lon", "lat").join(inside, "row_id", "left")
-    corners = edges.select("region", F.col("x1").alias("lon"), F.col("y1").alias("lat")).distinct()
-    out = nearest(done.where("region IS NULL").select(F.col("row_id").alias("a_id"), "lon", "lat"), corners.withColumnRenamed("region", "b_id"), km=50.0)
-    return done.join(out.withColumnRenamed("a_id", "row_id"), "row_id", "left").select("row_id", F.coalesce("region", "b_id").alias("region"), F.col("region").isNotNull().alias("inside"), F.when(F.col("region").isNull(), F.col("km")).alias("edge_km"))
+    out = nearest_edge(done.where("region IS NULL"), edges).select("row_id", F.col("region").alias("_near"), "km")
+    return done.join(out, "row_id", "left").select("row_id", F.coalesce("region", "_near").alias("region"), F.col("region").isNotNull().alias("inside"), F.when(F.col("region").isNull(), F.col("km")).alias("edge_km"))
 
 
 def matched_controls(a: DataFrame, b: DataFrame, km: float = 3.0, k: int = 1) -> DataFrame:

@@ -164,6 +164,24 @@ def j13_attribute_region(spark, sf_dir):
     return d.agg(F.count("*").alias("n"), F.count(inside).alias("n_inside"), F.count_distinct(inside).alias("n_regions"), F.sum(F.when(F.col("inside"), F.col("row_id")).otherwise(0)).alias("id_sum"))
 
 
+FOOT = HAVERSINE.format("lon", "lat", "(x1 + t * (x2 - x1))", "(y1 + t * (y2 - y1))")
+
+
+@query(f"""WITH {POINTS}, b AS (SELECT n_name AS region, n_nationkey % 3 = 0 AS c, 73.0::DOUBLE + (n_nationkey % 5) * 12.0::DOUBLE AS x, 18.0::DOUBLE + floor(n_nationkey / 5) * 7.0::DOUBLE AS y FROM nation),
+i AS (SELECT row_id, min(region) AS region FROM points JOIN b ON lon >= x AND lon < x + 11 AND lat >= y AND lat < y + 6.5 AND (NOT c OR lat < y + 3 OR lon < x + 11 - (lat - y - 3) / 3.5::DOUBLE * 5) GROUP BY row_id),
+e AS (SELECT region, x AS x1, y AS y1, x + 11 AS x2, y AS y2 FROM b UNION ALL SELECT region, x, y + 6.5, x, y FROM b
+  UNION ALL SELECT region, x + 11, y, x + 11, y + (CASE WHEN c THEN 3.0 ELSE 6.5 END)::DOUBLE FROM b UNION ALL SELECT region, x + (CASE WHEN c THEN 6.0 ELSE 11.0 END)::DOUBLE, y + 6.5, x, y + 6.5 FROM b
+  UNION ALL SELECT region, x + 11, y + 3, x + 6, y + 6.5 FROM b WHERE c),
+o AS (SELECT row_id, lon, lat, cos(radians(lat)) AS k FROM points WHERE row_id NOT IN (SELECT row_id FROM i)),
+d AS (SELECT o.*, e.*, greatest(0, least(1, ((lon - x1) * k * ((x2 - x1) * k) + (lat - y1) * (y2 - y1)) / (((x2 - x1) * k) * ((x2 - x1) * k) + (y2 - y1) * (y2 - y1)))) AS t FROM o CROSS JOIN e),
+m AS (SELECT row_id, region, round({FOOT}, 6) AS km FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY km, region) AS r FROM m)
+SELECT row_id, coalesce(i.region, n.region) AS region, i.region IS NOT NULL AS inside, CASE WHEN i.region IS NULL THEN n.km END AS edge_km
+FROM points LEFT JOIN i USING (row_id) LEFT JOIN (SELECT row_id, region, km FROM n WHERE r = 1) n USING (row_id)""")
+def j13_nearest_region(spark, sf_dir):
+    return joins.attribute_region(points(spark, sf_dir), joins.edges_of(regions(spark, sf_dir)))
+
+
 @query(f"WITH {ORDER_POINTS}, g AS (SELECT cust % 40 AS grp, row_id, row_number() OVER (PARTITION BY cust % 40 ORDER BY {SEEDED.format('row_id', 3)}, row_id) AS r FROM order_points) SELECT grp, row_id FROM g WHERE r <= 15")
 def w6_cap_per_group(spark, sf_dir):
     d = order_points(spark, sf_dir).select((F.col("cust") % 40).alias("grp"), "row_id")
