@@ -15,7 +15,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of its own only where the session names none, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local") or sc.master.startswith("local-cluster") and not shared:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -66,12 +69,32 @@ def by_blocks(df: DataFrame, columns: list[str], schema: str, block, rows: int =
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def attach(df: DataFrame, side: DataFrame, keys: list[str], rows: int = 200_000, how: str = "inner") -> DataFrame:
-    """Join `side`, which has one row a key: broadcast if a count finds at most `rows` rows, else by shuffle.
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 8 for each column and array element, and the bytes of texts."""
 
-    A shuffle join leaves hot keys to adaptive execution, which splits them.
+    def of(c: Column, kind) -> Column:
+        name = kind.typeName()
+        if name in ("string", "binary"):
+            return F.octet_length(c) + 8
+        if name == "struct":
+            return sum((of(c.getField(f.name), f.dataType) for f in kind), F.lit(0))
+        if name == "array" and kind.elementType.typeName() in ("string", "binary", "struct", "array", "map") or name == "map":
+            return F.octet_length(F.to_json(c)) + 8
+        return F.size(c) * 8 + 8 if name == "array" else F.lit(8)
+
+    return sum((F.coalesce(of(F.col(f"`{f.name}`"), f.dataType), F.lit(8)) for f in df.schema), F.lit(0)).cast("bigint")
+
+
+def attach(df: DataFrame, side: DataFrame, keys: list[str], most: int = 2_000_000, how: str = "inner") -> DataFrame:
+    """Join `side`, which has one row a key: broadcast if its rows are found to take at most `most` bytes, else by shuffle.
+
+    The bound does not grow with the data. A shuffle join leaves hot keys to adaptive execution, which splits them.
+    `side` is read once more for its size, so it should be cut if it is costly.
     """
-    few = side.limit(max(rows, 0) + 1).count() <= rows
+    few = False
+    if most > 0:
+        n, held = side.select(row_bytes(side).alias("b")).limit(most // 8 + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+        few = n <= most // 8 and held <= most
     return df.join(F.broadcast(side) if few else side.hint("merge"), keys, how)
 
 

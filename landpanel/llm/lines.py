@@ -1,12 +1,11 @@
 """Operator 4: duplicate and nearly duplicate lines, by a segment-partition edit join.
 
 Two lines within `edits` edits share one of the edits + 1 segments into which the shorter one is cut, at a place that
-the lengths and the number of edits before it bound. Each line gives the keys of its own segments and of the substrings
-it has to look up for lengths from its own down to `edits` less; keys are numbers, native, and equal ones of a line are
-given once. Keys shared by different lines link those lines in stars, and stars make candidate groups. Groups are cut
-into blocks of lines; each pair of blocks is a task's unit of work, in which the same index on segments proposes pairs
-and a banded bit-parallel edit distance decides, for pairs not yet connected. The answer is a spanning forest of true
-links: no pairs are written out, and a group's size has no limit.
+the lengths and the number of edits before it bound. Each different line gives the keys of its own segments and of the
+substrings it has to look up for lengths from its own down to `edits` less: numbers from one running sum over its
+characters. Lines that share a key are candidates, compared as `candidates.connect` says: each with the hub of its key,
+then, where a key is not connected by that, by blocks of its lines, inside which the same index on segments proposes
+pairs. A banded bit-parallel edit distance decides. No pairs are written out, and a key may be held by any number of lines.
 
 The first occurrence of a line, by doc_id and line number, stays, and so does the first of each connected group of near
 lines; all others are dropped from their texts.
@@ -14,25 +13,31 @@ lines; all others are dropped from their texts.
 Lines shorter than `least` characters have no near lines, since an edit changes their meaning; with `short`, as in the
 query and the pipeline, their exact repeats are dropped like those of longer lines, else they always stay.
 
-Defined results: lines end at \\n; blank lines (white space alone) shorter than `least` characters always stay; null text stays null; texts without a dropped line stay as they are; rows equal in doc_id and text are one
-document, so a line's first occurrence stays in each of them; rows without a doc_id take no part and stay whole; an
-empty table gives an empty result. Columns whose names begin with `_line` are not allowed, all others are carried along.
-Lines are told apart by 64-bit hashes; near lines are verified on their characters.
+Defined results: lines end at \\n; blank lines (white space alone) shorter than `least` characters always stay; null
+text stays null; texts without a dropped line stay as they are; rows equal in doc_id and text are one document, so a
+line's first occurrence stays in each of them; rows without a doc_id take no part and stay whole; an empty table gives
+an empty result. Columns whose names begin with `_line` are not allowed, all others are carried along. Lines are told
+apart by two independent 64-bit hashes; near lines are verified on their characters.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut
-from .graph import components
+from .candidates import connect, sets, tiles
+from .common import attach, by_blocks, cut
+from .sketch import _STEP, U, mix
 
 LEAST, EDITS = 24, 2
-BLOCK_LINES, BLOCK_CHARS, BLOCKS = 96, 500_000, 32
+BLOCK_LINES, BLOCK_CHARS = 96, 500_000
+#: Base of the running sums and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -51,23 +56,44 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return [(d, i, s) for d in range(edits + 1) for i in range(edits + 1) for s in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
 
 
-def key_columns(wide: Column, length: Column, edits: int) -> Column:
-    """All keys of a line, its own segments among them (other line as long, no shift).
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2^64."""
+    up, down = np.full(n, U(BASE)), np.full(n, U(INVERSE))
+    up[:1] = down[:1] = U(1)
+    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
 
-    The line comes in UTF-32, in which every character has four bytes, so a substring is found without walking along it.
-    """
-    plan = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(p, ("less", "segment", "shift"), strict=True))) for p in probes(edits)))
-    parts = F.lit(edits + 1)
 
-    def key(p: Column) -> Column:
-        # as a function over a constant plan: twelve copies of the expression would be too long for the JVM to compile
-        n, i = length - p["less"], p["segment"]
-        more = n % parts
-        base = ((n - more) / parts).cast("int")
-        start = base * i + F.greatest(F.lit(0), i - parts + more) + p["shift"]
-        return F.xxhash64(i, F.substring(wide, start * 4 + 1, (base + (i >= parts - more).cast("int")) * 4))
+def line_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which line, key) of all different keys of each line.
 
-    return F.array_distinct(F.transform(plan, key))
+    A substring's hash is the difference of two running sums of scattered characters times powers of the base, moved to
+    the beginning by a power of the inverse; so each key takes the same few steps whatever its length.
+    """
+    sizes = np.array([len(x) for x in lines], np.int64)
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.cumsum(sizes) - sizes
+    up, down = powers(1 << int(sizes.max(initial=1) + 1).bit_length())
+    place = np.arange(len(points)) - np.repeat(first, sizes)
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(points.astype(U) + _STEP) * up[place], dtype=U)])
+    out, parts = np.zeros((len(lines), len(probes(edits))), U), edits + 1
+    good = np.zeros(out.shape, bool)
+    for k, (less, i, shift) in enumerate(probes(edits)):
+        n = sizes - less
+        base, more = n // parts, n % parts
+        start = base * i + np.maximum(0, i - parts + more) + shift
+        size = base + (i >= parts - more)
+        good[:, k] = ok = (n > edits) & (start >= 0) & (start + size <= sizes)
+        a = np.where(ok, first + start, 0)
+        e = np.where(ok, a + size, 0)
+        out[:, k] = mix((sums[e] - sums[a]) * down[np.where(ok, start, 0)] + np.array([i + 1], U) * _STEP + size.astype(U))
+    row, col = np.nonzero(good)
+    key = out[row, col].view(np.int64)
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return row[new], key[new]
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -114,17 +140,39 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def occurrences(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
-    """(_line_doc, _line_text, at, hash, line): the lines of `least` characters or more, by document.
+    """(_line_doc, _line_text, at, h1, h2, line): the lines of `least` characters or more, by document.
 
     With `short` also the shorter ones that are not blank.
     """
     d = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("_line_doc"), F.xxhash64("text").alias("_line_text"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     long = F.length("line") >= least
-    return d.where(long | F.regexp("line", F.lit(r"\S")) if short else long).withColumn("hash", F.xxhash64("line"))
+    return d.where(long | F.regexp("line", F.lit(r"\S")) if short else long).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+
+
+def keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """(h1, h2, key): all keys of the lines (h1, h2, line)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            h1, h2 = (batch.column(k).to_numpy() for k in (0, 1))
+            at = 0
+            while at < batch.num_rows:  # about a million characters at once
+                part, chars = [], 0
+                while at + len(part) < batch.num_rows and len(part) < 4096 and chars < 1_000_000:
+                    part.append(batch.column(2)[at + len(part)].as_py())
+                    chars += len(part[-1])
+                owner, key = line_keys(part, edits)
+                yield pa.RecordBatch.from_arrays([pa.array(h1[at + owner]), pa.array(h2[at + owner]), pa.array(key)], names=["h1", "h2", "key"])
+                at += len(part)
+
+    return lines.select("h1", "h2", "line").mapInArrow(run, "h1 bigint, h2 bigint, key bigint")
 
 
 def packed(members: DataFrame) -> DataFrame:
-    """(grp, blk, nb, ids, lines) from (grp, blk, nb, hash, line), one row a block; texts of near lines shrink well."""
+    """(grp, blk, apart, nb, ids, named, lines) from (grp, blk, apart, nb, id, component, line), one row a block."""
+    schema = "grp bigint, blk int, apart int, nb int, ids binary, named binary, lines binary"
 
     def run(batches):
         import pyarrow as pa
@@ -132,10 +180,10 @@ def packed(members: DataFrame) -> DataFrame:
         held: list = []
 
         def out():
-            grp, blk, nb = held[0][:3]
-            lines = zlib.compress("\n".join(r[4] for r in held).encode("utf-8", "surrogatepass"), 1)
-            cols = ([grp], [blk], [nb], [np.array([r[3] for r in held], "<i8").tobytes()], [lines])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["grp", "blk", "nb", "ids", "lines"])
+            lines = zlib.compress("\n".join(r[6] for r in held).encode("utf-8", "surrogatepass"), 1)
+            cols = (*([x] for x in held[0][:4]), *([np.array([r[k] for r in held], "<i8").tobytes()] for k in (4, 5)), [lines])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["grp", "blk", "apart", "nb", "ids", "named", "lines"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -146,14 +194,15 @@ def packed(members: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    rows = members.repartition("grp", "blk").sortWithinPartitions("grp", "blk", "hash").select("grp", "blk", "nb", "hash", "line")
-    return rows.mapInArrow(run, "grp bigint, blk int, nb int, ids binary, lines binary")
+    rows = members.repartition("grp", "blk").sortWithinPartitions("grp", "blk", "id").select("grp", "blk", "apart", "nb", "id", "component", "line")
+    return rows.mapInArrow(run, schema)
 
 
-def linked(ids: list[int], lines: list[str], edits: int) -> list[tuple[int, int]]:
-    """Links that connect all lines within `edits` edits of each other."""
+def linked(ids: list[int], lines: list[str], edits: int, named: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all lines within `edits` edits of each other; lines of one name are connected already."""
     order = sorted(range(len(lines)), key=lambda x: (len(lines[x]), ids[x]))
-    root = list(range(len(lines)))
+    first: dict[int, int] = {}
+    root = [first.setdefault(name, x) for x, name in enumerate(named)] if named else list(range(len(lines)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -183,10 +232,7 @@ def linked(ids: list[int], lines: list[str], edits: int) -> list[tuple[int, int]
 
 
 def links(blocks: DataFrame, edits: int) -> DataFrame:
-    """(a, b): links inside and between the blocks of each group."""
-    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("nb") - 1, F.lit(0))))
-    tiles = blocks.select("*", other.alias("other")).where((F.col("other") != F.col("blk")) | (F.col("nb") == 1))
-    tiles = tiles.withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
+    """(a, b): links inside and between the blocks that meet."""
 
     def run(batches):
         import pyarrow as pa
@@ -195,8 +241,9 @@ def links(blocks: DataFrame, edits: int) -> DataFrame:
 
         def out():
             ids = [int(x) for b in held for x in np.frombuffer(b[0], "<i8")]
-            lines = [x for b in held for x in zlib.decompress(b[1]).decode("utf-8", "surrogatepass").split("\n")]
-            found = linked(ids, lines, edits)
+            named = [int(x) for b in held for x in np.frombuffer(b[1], "<i8")]
+            lines = [x for b in held for x in zlib.decompress(b[2]).decode("utf-8", "surrogatepass").split("\n")]
+            found = linked(ids, lines, edits, named)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -209,55 +256,95 @@ def links(blocks: DataFrame, edits: int) -> DataFrame:
         if held:
             yield out()
 
-    cols = ["grp", "i", "j", "ids", "lines"]
-    return tiles.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").select(*cols).mapInArrow(run, "a bigint, b bigint")
+    cols = ["grp", "i", "j", "ids", "named", "lines"]
+    return tiles(blocks).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").select(*cols).mapInArrow(run, "a bigint, b bigint")
+
 
+def check(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """The pairs (a, b) within `edits` edits."""
 
-def near_lines(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
-    """(hash, component) of the lines that have a near line."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for at in range(0, batch.num_rows, 512):
+                found += [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True) if edit_distance(x, y, edits) <= edits]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    j = attach(pairs, texts.select(F.col("id").alias("b"), F.col("line").alias("y")), ["b"])
+    j = attach(j, texts.select(F.col("id").alias("a"), F.col("line").alias("x")), ["a"])
+    return j.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def near_lines(docs: DataFrame, distinct: DataFrame, least: int, edits: int) -> DataFrame:
+    """(h1, h2, component) of the lines that have a near line."""
+    lines = occurrences(docs, least)
+    first = (F.col("_line_doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at"))
     # of a repeated line only the first occurrence is looked at, so that rows of a key are different lines
-    again = distinct.where("n > 1").select("hash", "first")
-    once = attach(lines, again, ["hash"], how="left").where(F.col("first").isNull() | ((F.col("_line_doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at"))))
-    # width and length are columns of their own below the generator, so they are computed once a line
-    fixed = once.select("hash", F.encode("line", "UTF-32").alias("wide")).withColumn("length", F.floor(F.octet_length("wide") / 4).cast("int"))
-    keys = cut(fixed.select("hash", F.explode(key_columns(F.col("wide"), F.col("length"), edits)).alias("key")))
-    shared = cut(keys.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.count("*").alias("n")).where(F.col("a") != F.col("b")))
-    # two rows are a link; more of them make a star
-    stars = attach(keys, shared.where("n > 2").select("key", "a"), ["key"]).where(F.col("hash") != F.col("a")).select("a", F.col("hash").alias("b"))
-    stars = stars.unionByName(shared.where("n = 2").select("a", "b"))
-    groups = components(stars).select(F.col("id").alias("hash"), F.col("component").alias("grp"))
-    groups = cut(groups.join(distinct.select("hash", "first", "chars"), "hash"))
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    each = F.greatest(F.lit(BLOCK_LINES), F.least(F.ceil(F.col("n") / BLOCKS), F.lit(20 * BLOCK_LINES)))
-    nb = F.greatest(F.ceil(F.col("n") / each), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
-    members = attach(groups, sizes.select("grp", nb.alias("nb")), ["grp"])
-    members = cut(members.select("grp", F.pmod(F.xxhash64("hash"), F.col("nb")).cast("int").alias("blk"), "nb", "hash", F.col("first.doc").alias("doc"), F.col("first.at").alias("place")))
-    texts = attach(lines, members, ["hash"]).where((F.col("_line_doc") == F.col("doc")) & (F.col("at") == F.col("place")))
-    texts = texts.select("grp", "blk", "nb", "hash", "line").dropDuplicates(["grp", "blk", "hash"])
-    return components(links(cut(packed(texts)), edits)).select(F.col("id").alias("hash"), "component")
+    again = distinct.where("n > 1").select("h1", "h2", "first")
+    once = attach(lines, again, ["h1", "h2"], how="left").where(F.col("first").isNull() | first)
+    once = once.dropDuplicates(["h1", "h2"]) if repeated(docs) else once
+    keys = cut(keyed(once, edits))
+    shared = attach(keys, cut(sets(keys, "h1", "h2").select("key")), ["key"])
+    # numbers without collisions for the lines that share a key; they are fixed once written
+    ids = cut(shared.select("h1", "h2").distinct().withColumn("id", F.monotonically_increasing_id()))
+    places = cut(attach(ids, distinct.select("h1", "h2", "first", "chars"), ["h1", "h2"]))
+    keys = cut(attach(shared, ids, ["h1", "h2"]).select("key", "id"))
+
+    where = places.select("h1", "h2", "id", F.col("first.doc").alias("_line_doc"), F.col("first.at").alias("at"))
+    some = attach(docs, cut(where.select(F.col("_line_doc").alias("doc_id")).distinct()), ["doc_id"], how="left_semi")
+    texts = cut(attach(occurrences(some, least).select("h1", "h2", "_line_doc", "at", "line"), where, ["h1", "h2", "_line_doc", "at"]).select("id", "line").dropDuplicates(["id"]))
+    found = connect(
+        keys, places.select("id", F.col("chars").alias("weight")), lambda pairs: check(pairs, texts, edits),
+        lambda members: links(cut(packed(attach(members, texts, ["id"]))), edits), heavy=BLOCK_CHARS, block=BLOCK_LINES,
+    )
+    return attach(ids, cut(found), ["id"]).select("h1", "h2", "component")
+
+
+def repeated(docs: DataFrame) -> bool:
+    """Whether a doc_id stands in several rows."""
+    return not docs.groupBy("doc_id").count().where(F.col("doc_id").isNotNull() & (F.col("count") > 1)).isEmpty()
 
 
 def dropped(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False) -> DataFrame:
     """(_line_doc, _line_text, _line_drop): for each document that loses lines, their numbers from 0."""
     lines = occurrences(docs, least, short)
-    distinct = cut(lines.groupBy("hash").agg(F.min(F.struct(F.col("_line_doc").alias("doc"), "at")).alias("first"), F.count("*").alias("n"), F.max(F.length("line")).alias("chars")))
-    near = cut(near_lines(occurrences(docs, least), distinct.where(F.col("chars") >= least), edits))
-    firsts = near.join(distinct.select("hash", "first"), "hash").groupBy("component").agg(F.min("first").alias("stays"))
-    near = near.join(firsts, "component").select("hash", "stays")
-    verdict = distinct.where("n > 1").select("hash", "first").join(near, "hash", "full").select("hash", F.coalesce("stays", "first").alias("stays"))
-    gone = attach(lines.drop("line"), cut(verdict), ["hash"])
+    distinct = cut(lines.groupBy("h1", "h2").agg(F.min(F.struct(F.col("_line_doc").alias("doc"), "at")).alias("first"), F.count("*").alias("n"), F.max(F.length("line")).alias("chars")))
+    near = cut(near_lines(docs, distinct.where(F.col("chars") >= least), least, edits))
+    firsts = attach(near, distinct.select("h1", "h2", "first"), ["h1", "h2"])
+    stays = cut(firsts.groupBy("component").agg(F.min("first").alias("stays")))
+    near = attach(near, stays, ["component"]).select("h1", "h2", "stays")
+    verdict = distinct.where("n > 1").select("h1", "h2", "first").join(near, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("stays", "first").alias("stays"))
+    gone = attach(lines.drop("line"), cut(verdict), ["h1", "h2"])
     gone = gone.where((F.col("_line_doc") != F.col("stays.doc")) | (F.col("at") != F.col("stays.at")))
     return gone.groupBy("_line_doc", "_line_text").agg(F.collect_set("at").alias("_line_drop"))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False) -> DataFrame:
-    """The columns of `docs`, texts without their duplicate lines, and _line_count and _line_dropped."""
+    """The columns of `docs`, texts without their duplicate lines, and _line_count, _line_dropped and _line_chars (before)."""
     gone = cut(dropped(docs, least, edits, short))
-    d = docs.select(F.struct(*docs.columns).alias("_line_row"), F.col("doc_id").alias("_line_doc"), F.xxhash64("text").alias("_line_text"))
-    d = attach(d, gone, ["_line_doc", "_line_text"], how="left")
-    split = F.split("_line_row.text", "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_line_drop"), i)), "\n")
-    text = F.when(F.col("_line_drop").isNull(), F.col("_line_row.text")).otherwise(kept)
-    columns = [text.alias(c) if c == "text" else F.col("_line_row").getField(c).alias(c) for c in docs.columns]
-    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("bigint")
-    return d.select(*columns, count(split).alias("_line_count"), count("_line_drop").alias("_line_dropped"))
+    d = attach(docs.withColumns({"_line_doc": F.col("doc_id"), "_line_text": F.xxhash64("text")}), gone, ["_line_doc", "_line_text"], how="left")
+    d = d.select(*docs.columns, "_line_drop")
+    names, schema = docs.columns, docs.withColumns({c: F.lit(0).cast("bigint") for c in ("_line_count", "_line_dropped", "_line_chars")}).schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            text, drop, counts = batch.column(names.index("text")), batch.column(len(names)), ([], [], [])
+            out = []
+            for x, gone in zip(text, drop, strict=True):
+                whole = x.as_py() if x.is_valid else None
+                parts = None if whole is None else whole.split("\n")
+                left = whole
+                if gone.is_valid:
+                    without = set(gone.as_py())
+                    left = "\n".join([p for i, p in enumerate(parts) if i not in without])
+                out.append(left)
+                for c, n in zip(counts, (len(parts or ()), len(parts or ()) and len(gone.as_py() or ()), len(whole or "")), strict=True):
+                    c.append(n)
+            columns = [pa.array(out, text.type) if c == "text" else batch.column(k) for k, c in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)], names=[f.name for f in schema])
+
+    return d.mapInArrow(run, schema)

@@ -124,7 +124,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
     r = cut(packed(v.withColumn("rb", F.pmod(F.monotonically_increasing_id(), F.lit(row_blocks))), "rb"))
     # every block of rows goes to every block of queries: the stated query set against all rows, in blocks
     dealt = r.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint"))).alias("qb"), "rb", F.col("ids").alias("rids"), F.col("m").alias("rm"))
-    dealt = attach(dealt, q, ["qb"], rows=64).repartition(F.col("qb"), F.col("rb"))
+    dealt = attach(dealt, q, ["qb"]).repartition(F.col("qb"), F.col("rb"))
     cells = ["qb", "qids", "qm", "rids", "rm"]
 
     lists = dealt.select(*cells).mapInArrow(phase1(k), "qb bigint, query bigint, totals array<bigint>")
@@ -134,11 +134,11 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
     cuts = kth.groupBy("qb", "query").agg(F.coalesce(F.max(F.when(F.col("place") == k, F.col("total"))), F.lit(-(1 << 62))).alias("cut"))
     # a block's cutoffs are at most its queries; they travel with the block
     by_block = cut(cuts.groupBy("qb").agg(F.map_from_entries(F.collect_list(F.struct("query", "cut"))).alias("cuts")))
-    second = attach(dealt, by_block, ["qb"], rows=64).select(*cells, "cuts")
+    second = attach(dealt, by_block, ["qb"]).select(*cells, "cuts")
     left = second.mapInArrow(phase2, "query bigint, id bigint")
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda a, x: a + x)
     asked = v.where(F.col("id") % every == 0).select(F.col("id").alias("query"), F.col("v").alias("qv"))
-    full = attach(left.join(v.hint("merge"), "id"), asked, ["query"], rows=20_000).select("query", "id", dot.alias("score"))
+    full = attach(left.join(v.hint("merge"), "id"), asked, ["query"]).select("query", "id", dot.alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
