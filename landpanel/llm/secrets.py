@@ -1,27 +1,35 @@
 """Operator 5: secret scans by patterns and by character Markov models, in DataFrame operations alone.
 
-Three patterns give the base spans. The method adds spans of its own: tokens of 16 or more key-like characters that hold
-a digit or a change from lower to upper case and touch no base span are scored by the log-likelihood ratio of two
-first-order character models, one of random strings and one of ordinary identifiers; those above a threshold become
-spans of kind `markov`. Both models are trained from labelled samples: random strings are the values of all base spans
-of the corpus, ordinary identifiers are the words of 4 or more such characters, outside base spans, of a bounded sample
-of documents (`ordinary_docs`, those first in a fixed scattering of doc_id). A model mixes character pairs with pairs of
-character classes, each class uniform inside, so that strings over an alphabet rarely seen still count as random. Only
-the pair counts, at most 2 x 68 x 68 numbers, reach the driver.
+Three patterns give the base spans. The method adds spans of its own: every token of 16 or more key-like characters that
+touches no base span is scored by the mean log-likelihood ratio of its character pairs under two first-order models, one
+of random strings and one of ordinary identifiers; those above a threshold become spans of kind `markov`.
+
+Both models are trained from labelled samples. Random strings are the values of all base spans of the corpus, and for
+each of five usual alphabets (base64, base64 in one case, letters and digits in one or both cases) `drawn` strings cut
+from digests of the numbers from 0; every kind has the same weight. Ordinary identifiers are the words of 4 or more
+key-like characters, outside base spans and without a mixture of letters and digits, of a bounded sample of documents
+(`ordinary_docs`, those first in a fixed scattering of doc_id), alone and joined in threes as identifiers are (camelCase,
+snake_case, with hyphens and slashes). A model mixes character pairs with pairs of character classes, each class uniform
+inside. Of both samples a part is held out; the threshold stands between the means of the held-out identifiers, of
+which one in a thousand may lie above it, and those of the held-out random strings. Only pair counts, at most
+7 x 68 x 68 numbers, and the threshold reach the driver.
+
+Matches are found in one pass; their places are running sums of the gaps between them, over the matches of one text.
 
 Defined results: null text is the empty text and has no spans; equal texts get equal spans; a corpus without base spans
-trains the random model from its priors alone; repeated rows are scanned each; an empty table gives an empty result;
-other columns are not read. Spans count code points, with the end exclusive.
+trains the random model from the drawn strings alone; one without words trains the other from its priors; repeated rows
+are scanned each; an empty table gives an empty result; other columns are not read. Spans count code points, with the
+end exclusive.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import attach, cut, text_or_empty
 from .mixing import order_key
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,35 +39,29 @@ HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
-SPAN = "array<struct<start: int, kind: int, end: int, value: string>>"
+MATCH = "array<struct<kind: int, k: int, gap: int, size: int, value: string>>"
+SPAN = "array<struct<start: int, kind: int, end: int>>"
 
 
-def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Leftmost non-overlapping matches as (start, kind, end, value), without those whose `group` is too short."""
+def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
+    """Leftmost non-overlapping matches as (kind, number, gap before it, size, value of the group)."""
     p = F.lit(pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
     values = F.regexp_extract_all(text, p, F.lit(group)) if group else found
     both = F.zip_with(F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"))), values, lambda x, v: F.struct(x["gap"], x["size"], v.alias("value")))
-    both = F.filter(both, lambda x: x["size"].isNotNull())
+    both = F.transform(F.filter(both, lambda x: x["size"].isNotNull()), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("k"), x["gap"], x["size"], x["value"]))
+    return F.when(F.regexp(text, p), both.cast(MATCH)).otherwise(F.array().cast(MATCH))
 
-    def add(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + x["size"]
-        new = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.when(F.length(x["value"]) >= least, new).otherwise(F.array().cast(SPAN))).alias("out"))
 
-    listed = F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), add, lambda acc: acc["out"])
-    return F.when(F.regexp(text, p), listed).otherwise(F.array().cast(SPAN))
-
-
-def pairs(df: DataFrame, label: int, value: str) -> DataFrame:
-    """(label, pair of characters, how often)."""
-    inside = F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.substring(F.col(value), i, F.lit(2)))
-    return df.where(F.length(value) > 1).select(F.explode(inside).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).select(F.lit(label).alias("label"), "pair", "n")
+def pairs(value: Column) -> Column:
+    """The pairs of neighbouring characters, in one walk along the text."""
+    c = F.split(value, "")
+    c = F.filter(c, lambda x: x != "")
+    return F.filter(F.zip_with(c, F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull())
 
 
 def ratios(counts: list, mix: float = 0.5) -> list[tuple[str, float]]:
-    """(pair, log-likelihood ratio) of random over ordinary for all pairs of the alphabet."""
+    """(pair, log-likelihood ratio) of random over ordinary for all pairs of the alphabet, from (label, pair, weight)."""
 
     def kind(c: str) -> str:
         return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-"
@@ -67,7 +69,10 @@ def ratios(counts: list, mix: float = 0.5) -> list[tuple[str, float]]:
     width = {k: sum(kind(c) == k for c in ALPHABET) for k in "aA0-"}
     models = []
     for label in (1, 0):
-        n = {p: c for which, p, c in counts if which == label and len(p) == 2 and p[0] in ALPHABET and p[1] in ALPHABET}
+        n: dict = {}
+        for which, p, c in counts:
+            if which == label and len(p) == 2 and p[0] in ALPHABET and p[1] in ALPHABET:
+                n[p] = n.get(p, 0) + c
         rows, classes = {}, {}
         for p, c in n.items():
             rows[p[0]] = rows.get(p[0], 0) + c
@@ -83,31 +88,85 @@ def ratios(counts: list, mix: float = 0.5) -> list[tuple[str, float]]:
     return [(a + b, math.log(models[0](a, b) / models[1](a, b))) for a in ALPHABET for b in ALPHABET]
 
 
-def scan(docs: DataFrame, threshold: float = 8.0, ordinary_docs: int = 2000, text_col: str = "text") -> DataFrame:
-    """doc_id, and all spans of its text as an array of (start, kind, end), sorted."""
-    spark = docs.sparkSession
+def drawn(spark, n: int) -> DataFrame:
+    """(sample, value): n random strings of 24 to 40 characters for each alphabet, cut from digests of numbers."""
+    raw = F.base64(F.unhex(F.sha2(F.concat(F.lit("drawn "), F.col("id").cast("string")), 256)))
+    plain = F.regexp_replace(raw, "[+/=]", "")
+    kinds = {"base64": raw, "url": F.translate(raw, "+/=", "-_"), "mixed": plain, "upper": F.upper(plain), "lower": F.lower(plain)}
+    d = spark.range(n).select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("sample"), v.alias("value")) for k, v in kinds.items()))).alias("x"))
+    return d.select("x.sample", F.substring("x.value", F.lit(1), (F.lit(24) + F.col("id") % 17).cast("int")).alias("value"))
+
+
+def ordinary(docs: DataFrame, text: Column, n: int) -> DataFrame:
+    """(sample, value): words of the first `n` documents, and identifiers made of three words that stand in a row."""
+    first = docs.select(order_key().alias("o"), "doc_id").orderBy("o", "doc_id").limit(n).select("doc_id").distinct()
+    some = attach(docs, first, ["doc_id"], how="left_semi").select(F.regexp_replace(text, f"{ASSIGN}|{ACCESS}|{HEX}", " ").alias("text"))
+    # a maximal run of key-like characters that is all letters or holds none
+    word = F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9+/_=-])(?:[A-Za-z+/_=-]{4,}|[0-9+/_=-]{4,})(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    after = [F.slice(word, F.lit(k), F.lit(1 << 30)) for k in (2, 3)]
+    w = some.select(F.posexplode(F.arrays_zip(word.alias("a"), *(x.alias(n) for x, n in zip(after, "bc", strict=True)))).alias("i", "x")).where(F.col("i") % 3 == 0).select("x.*")
+    b, c = (F.coalesce(k, F.lit("")) for k in "bc")
+    cap = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
+    whole = {"words": F.array("a", b, c), "camel": F.array(F.concat("a", cap(b), cap(c)), F.concat(cap(F.col("a")), cap(b), cap(c))), "joined": F.array(F.concat_ws("_", "a", b, c), F.concat_ws("-", "a", b, c), F.concat_ws("/", "a", b, c))}
+    return w.select(F.explode(F.array(*(F.struct(F.lit(k).alias("sample"), v.alias("v")) for k, v in whole.items()))).alias("x")).select("x.sample", F.explode("x.v").alias("value"))
+
+
+def fit(samples: DataFrame) -> tuple[list[tuple[str, float]], float]:
+    """The ratio of each pair, and the threshold on their mean, from labelled samples (label, sample, value).
+
+    One value in five, by its hash, is held out for the threshold. Kinds of samples weigh the same within a label.
+    """
+    s = cut(samples.withColumn("held", F.pmod(F.xxhash64("value"), F.lit(5)) == 0))
+    known = F.col("pair").rlike("^[A-Za-z0-9+/_=.-]{2}$")
+    counts = s.where(~F.col("held")).select("label", "sample", F.explode(pairs(F.col("value"))).alias("pair")).where(known).groupBy("label", "sample", "pair").agg(F.count("*").alias("n")).collect()
+    total: dict = {}
+    for r in counts:
+        total[r.label, r["sample"]] = total.get((r.label, r["sample"]), 0) + r.n
+    llr = ratios([(r.label, r.pair, 10_000 * r.n / total[r.label, r["sample"]]) for r in counts])
+    held = s.where(F.col("held") & (F.length("value") >= 16)).select(F.monotonically_increasing_id().alias("row"), "label", "value")
+    means = scored(cut(held), llr, "row", "label").groupBy("label").agg(F.expr("percentile(score, array(0.01D, 0.999D))").alias("p")).collect()
+    p = {r.label: r.p for r in means}
+    if 0 in p and 1 in p:  # between one in a thousand identifiers and one in a hundred random strings
+        return llr, max(p[0][1], (p[0][1] + p[1][0]) / 2)
+    return llr, 0.5 * p[1][0] if 1 in p else 0.0
+
+
+def scored(values: DataFrame, llr: list[tuple[str, float]], *keys: str) -> DataFrame:
+    """(keys, score): the mean ratio of the pairs of each value."""
+    table = values.sparkSession.createDataFrame(llr, "pair string, llr double")
+    one = values.select(*keys, F.explode(pairs(F.col("value"))).alias("pair")).join(F.broadcast(table), "pair")  # 68 x 68 rows
+    return one.groupBy(*keys).agg((F.sum(F.round("llr", 9)) / F.count("*")).alias("score"))
+
+
+def scan(docs: DataFrame, threshold: float | None = None, ordinary_docs: int = 400, random_strings: int = 500, text_col: str = "text") -> DataFrame:
+    """doc_id, and the base spans and all spans of its text as arrays of (start, kind, end), sorted.
+
+    `threshold` on the mean ratio is taken from held-out samples unless it is given.
+    """
     text = text_or_empty(text_col)
-    base = F.array_sort(F.concat(spans(text, ASSIGN, 0, 2, 12), spans(text, ACCESS, 1), spans(text, HEX, 2)))
-    tokens = F.filter(spans(text, TOKEN, 3), lambda t: F.regexp(t["value"], F.lit("[0-9]|[a-z][A-Z]")))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", base.alias("base"), tokens.alias("tokens"))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    rows = cut(rows.select("row", "doc_id", "base", F.when(F.size("base") == 0, F.col("tokens")).otherwise(free).alias("tokens")))
-
-    random = rows.select(F.explode("base.value").alias("value"))
-    first = docs.select(order_key().alias("o"), "doc_id").orderBy("o", "doc_id").limit(ordinary_docs).select("doc_id").distinct()
-    sample = docs.join(F.broadcast(first), "doc_id", "left_semi").select(F.regexp_replace(text, f"{ASSIGN}|{ACCESS}|{HEX}", " ").alias("text"))
-    ordinary = sample.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("value"))
-    counts = pairs(random, 1, "value").unionByName(pairs(ordinary, 0, "value")).where(F.col("pair").rlike("^[A-Za-z0-9+/_=.-]{2}$"))
-    llr = spark.createDataFrame(ratios([tuple(r) for r in counts.collect()]), "pair string, llr double")
-
-    one = rows.select("row", F.explode("tokens").alias("t"))
-    inside = F.transform(F.sequence(F.lit(1), F.length("t.value") - 1), lambda i: F.substring(F.col("t.value"), i, F.lit(2)))
-    scored = one.select("row", "t", F.explode(inside).alias("pair")).join(F.broadcast(llr), "pair")
-    scored = scored.groupBy("row", F.col("t.start").alias("start"), F.col("t.end").alias("end")).agg(F.sum(F.round("llr", 9)).alias("llr")).where(F.col("llr") > threshold)
-    extra = scored.groupBy("row").agg(F.collect_list(F.struct(F.col("start"), F.lit(3).alias("kind"), F.col("end"))).alias("extra"))
-    plain = F.transform("base", lambda b: F.struct(b["start"], b["kind"], b["end"]))
-    joined = rows.select("row", "doc_id", plain.alias("base")).join(extra, "row", "left")
-    return joined.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start: int, kind: int, end: int>>")))).alias("spans"))
+    found = F.concat(matches(text, ASSIGN, 0, 2), matches(text, ACCESS, 1), matches(text, HEX, 2), matches(text, TOKEN, 3))
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("found")))
+    each = rows.select("row", F.explode("found").alias("m")).select("row", "m.*")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("k"))
+    each = each.withColumn("end", end.cast("int")).withColumn("start", (F.col("end") - F.col("size")).cast("int"))
+    each = each.where((F.col("kind") > 0) | (F.length("value") >= 12))
+    # a token touches a base span if one that began before it ends inside it, or the next one begins inside it
+    base, along = F.col("kind") < 3, Window.partitionBy("row").orderBy("start", "kind", "end")
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"), F.desc("end"))  # frames that only grow take linear time
+    before = F.max(F.when(base, F.col("end"))).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumns({"before": before, "after": after})
+    free = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("after") >= F.col("end"), F.lit(True)))
+    each = cut(each.where(base | free).select("row", "start", "kind", "end", "value"))
+
+    random = each.where(base).select(F.get(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("sample"), "value").unionByName(drawn(docs.sparkSession, random_strings))
+    samples = random.withColumn("label", F.lit(1)).unionByName(ordinary(docs, text, ordinary_docs).withColumn("label", F.lit(0)))
+    llr, held_out = fit(samples)
+    markov = scored(each.where(~base), llr, "row", "start", "end").where(F.col("score") > (held_out if threshold is None else threshold))
+    spans = each.where(base).select("row", "start", "kind", "end").unionByName(markov.select("row", "start", F.lit(3).alias("kind"), "end"))
+    spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).cast(SPAN).alias("spans"))
+    out = attach(rows.select("row", "doc_id"), cut(spans), ["row"], how="left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    return out.select("doc_id", F.filter("spans", lambda s: s["kind"] < 3).alias("base"), "spans")
 
 
 def written(column: str) -> Column:

@@ -229,7 +229,7 @@ def test_secret_spans_equal_a_plain_scan(spark):
         assert set(map(tuple, row.base)) <= set(map(tuple, row.spans))
 
 
-def test_models_tell_random_from_ordinary(spark):
+def test_models_tell_random_from_ordinary():
     random_counts = [(1, a + b, 5) for a in "0123456789abcdefABCDEFGH" for b in "0123456789abcdefXYZ"]
     ordinary = [(0, "the"[i : i + 2], 500) for i in range(2)] + [(0, "er", 300), (0, "re", 300), (0, "in", 300), (0, "ng", 300)]
     llr = dict(secrets.ratios(random_counts + ordinary))
@@ -237,6 +237,27 @@ def test_models_tell_random_from_ordinary(spark):
     assert score("a9F3c0D7e1B4a9F3") > 8 > score("therethereingthere")
 
 
+def test_models_find_planted_keys_and_leave_identifiers(spark):
+    """Random tokens of five alphabets in ordinary sentences; identifiers of words that the models have not seen joined."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    r = random.Random(9)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
+    keys = ["Zk9Qw3xT7vB2nM5pR8sL1cD4", *("".join(r.choice(alphabets[k % 5]) for _ in range(r.randint(20, 40))) for k in range(200))]
+    words = sorted({w for x in docs.select("text").limit(300).collect() for w in re.findall("[a-z]{4,9}", x.text or "")})
+    names = [f(w) for w in ([r.choice(words) for _ in range(4)] for _ in range(100)) for f in ("_".join, lambda w: w[0] + "".join(x.title() for x in w[1:]), "-".join, "/".join, lambda w: "_".join(w).upper())]
+    more = [(-1 - i, f"the value of it is {k} as was said") for i, k in enumerate(keys)] + [(-10_001 - i, f"call {n} from here") for i, n in enumerate(names)]
+    got = {x.doc_id: [tuple(s) for s in x.spans] for x in secrets.scan(docs.unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))).where("doc_id < 0").collect()}
+    hit = [got[-1 - i] == [(19, 3, 19 + len(k))] for i, k in enumerate(keys)]
+    assert hit[0] and sum(hit) >= 0.9 * len(keys)
+    assert sum(bool(got[-10_001 - i]) for i in range(len(names))) < 0.01 * len(names)
+
+
+def test_many_matches_take_linear_time(spark):
+    d = spark.createDataFrame([(1, "0123456789abcdef " * 30_000)], "doc_id bigint, text string")
+    row = secrets.scan(d, ordinary_docs=1).first()
+    assert len(row.base) == 30_000 and tuple(row.base[-1]) == (29_999 * 17, 2, 29_999 * 17 + 16)
+
+
 # 6 and 7
 
 ALPHABET = "ab  ▁\n\té,.;:<>0x41日本語the ing　́ﬁ😀​\x00{}()'sΣ"
