@@ -9,10 +9,12 @@ one is put behind the first character of each mark, so no mark can appear inside
 Rows are dealt out by conversation and sorted by turn inside their partitions; the machine reads them as a stream and
 gives each segment away at once, so a conversation of any length needs the memory of one turn.
 
-Defined results: null text is the empty text; a null role or a role unknown to the template is a state of its own,
-`?`, which may stand anywhere and has no loss, and whose turn keeps the role's name; rows with equal turn stand in the
-order of role and text; `valid` is false if any turn breaks the order, and its rows are still formatted; rows without a
-conversation id form one conversation with a null id; an empty table gives an empty result; other columns are not read.
+Defined results: null text is the empty text; a null role is the role `?`; a role that the template does not declare
+breaks the order wherever it stands, has no loss, leaves the state as it was, and its turn keeps the role's name; rows
+with equal turn stand in the order of role and text, each turn whole; `in_order` is false from a turn that breaks the order,
+and its rows are still formatted; rows without a conversation id form one conversation with a null id; an empty table
+gives an empty result; other columns are not read. One conversation is read by one task, since its digests and its states
+run along its turns; the task holds one turn of it.
 """
 
 from __future__ import annotations
@@ -74,7 +76,7 @@ class Template:
     def step(self, state: str, role: str) -> tuple[str, bool]:
         """(next state, whether the turn is in order)."""
         if role not in self.follows:
-            return state, True
+            return state, False
         return role, role in self.follows.get(state, ())
 
 
@@ -85,23 +87,26 @@ def ordered(turns: DataFrame) -> DataFrame:
 
 
 def segments(turns: DataFrame, template: Template | None = None) -> DataFrame:
-    """(conv_id, turn, role, part, segment, in_loss, in_order): the formatted text in pieces, three for each turn."""
+    """(conv_id, row, turn, role, part, segment, in_loss, in_order): the formatted text in pieces, three for each turn.
+
+    `row` numbers the turns of a conversation from 0; the order of the text is that of (row, part).
+    """
     tpl = template or Template()
-    schema = "conv_id bigint, turn bigint, role string, part int, segment string, in_loss boolean, in_order boolean"
+    schema = "conv_id bigint, row bigint, turn bigint, role string, part int, segment string, in_loss boolean, in_order boolean"
 
     def run(batches):
         import pyarrow as pa
 
-        last, state = object(), ""
+        last, state, row = object(), "", -1
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 out = []
                 for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True):
-                    state = state if conv == last else ""
+                    state, row = (state, row + 1) if conv == last else ("", 0)
                     last = conv
                     state, fine = tpl.step(state, role)
-                    out += [(conv, turn, role, k, s, loss, fine) for k, (s, loss) in enumerate(tpl.segments(role, text))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()), strict=True)], names=["conv_id", "turn", "role", "part", "segment", "in_loss", "in_order"])
+                    out += [(conv, row, turn, role, k, s, loss, fine) for k, (s, loss) in enumerate(tpl.segments(role, text))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()), strict=True)], names=["conv_id", "row", "turn", "role", "part", "segment", "in_loss", "in_order"])
 
     return ordered(turns).mapInArrow(run, schema)
 
@@ -154,18 +159,46 @@ def digests(parts: DataFrame, template: Template | None = None) -> DataFrame:
 
 
 def formatted(parts: DataFrame, longest: int = 1_000_000) -> DataFrame:
-    """(conv_id, formatted, loss_spans) for conversations of ordinary length, whole; longer ones stay as segments."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "part")
-    at = F.coalesce(F.sum(F.length("segment")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = parts.withColumn("start", at)
-    sizes = rows.groupBy("conv_id").agg(F.sum(F.length("segment")).alias("n_chars")).where(F.col("n_chars") <= longest)
-    rows = rows.join(sizes, "conv_id", "left_semi")
-    return rows.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "part", "segment"))), lambda x: x["segment"]), "").alias("formatted"),
-        F.to_json(F.sort_array(F.collect_list(F.when(F.col("in_loss"), F.struct(F.col("start"), (F.col("start") + F.length("segment")).alias("end")))))).alias("loss_spans"),
-    )
+    """(conv_id, piece, start, formatted, loss_spans): the text of each conversation, and where in it the loss counts.
+
+    A conversation is one row unless it has more than `longest` characters; then it goes on in pieces numbered from 0, each
+    of whole turns and no longer than that, but for a turn that is longer by itself. `start` and the spans, JSON pairs of
+    (start, end), count characters from the beginning of the conversation.
+    """
+    schema = "conv_id bigint, piece int, start bigint, formatted string, loss_spans string"
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string())
+        last, piece, start, at, text, spans, turn = None, 0, 0, 0, [], [], []
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((last[0], piece, start, "".join(text), json.dumps(spans)), kinds, strict=True)], names=["conv_id", "piece", "start", "formatted", "loss_spans"])
+
+        for batch in batches:
+            for at_row in range(0, batch.num_rows, 512):
+                for conv, part, segment, in_loss in zip(*(c.to_pylist() for c in batch.slice(at_row, 512).columns), strict=True):
+                    if last is None or conv != last[0]:
+                        if last is not None:
+                            yield out()
+                        last, piece, start, at, text, spans = (conv,), 0, 0, 0, [], []
+                    turn = [(segment, in_loss)] if part == 0 else [*turn, (segment, in_loss)]
+                    if part < 2:
+                        continue
+                    size = sum(len(x) for x, _ in turn)
+                    if text and at + size - start > longest:
+                        yield out()
+                        piece, start, text, spans = piece + 1, at, [], []
+                    for x, loss in turn:
+                        if loss:
+                            spans.append((at, at + len(x)))
+                        text.append(x)
+                        at += len(x)
+        if last is not None:
+            yield out()
+
+    return parts.select("conv_id", "part", "segment", "in_loss").mapInArrow(run, schema)
 
 
 def template_json(template: Template) -> str:

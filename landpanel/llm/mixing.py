@@ -7,13 +7,14 @@ inverting it at the cumulative words of the documents before a document gives th
 range sort by place gives the order of the corpus.
 
 The order inside a source is a fixed multiplicative hash of doc_id. Its running sum of words has two levels, so that a
-source with a third of all rows is never in one task: sums of 1,024 hash ranges for each source, added up along the
-ranges, then running sums inside each range.
+source with a third of all rows is never in one task: sums of hash ranges for each source, added up along the ranges,
+then running sums inside each range. There are at least 1,024 ranges, and as many more as leave about `PER_RANGE` rows to
+each; their number changes no result.
 
 Defined results: null text has 0 words; documents without words are not taken and have no place; a source without words
 has target 0; null source is a source of its own and comes last; rows with equal doc_id stand next to each other, ordered
-by size, and equal rows are interchangeable; a null doc_id counts as 0 in the order; an empty table gives an empty
-result. Columns of the input whose names begin with `_mix` are not allowed; all others are carried along.
+by size, and equal rows are interchangeable; a null doc_id counts as 0 in the order; an empty table gives an empty result. All columns of the input are carried along as
+they are; those that are added have names that begin with `_mix_`, which columns of the input must not have.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, attach, cut, text_or_empty
 
-RANGES = 1024
+RANGES, PER_RANGE = 1024, 200_000
 #: Curves by rank of the source, in rotation: (time, height) knots; only the shape counts, the target sets the area.
 CURVES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (0.5, 1.5), (1.0, 0.5)))
 
@@ -73,22 +74,24 @@ def place(part: Column, curve: tuple[tuple[float, float], ...]) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, curves=CURVES, whole: bool = False, text_col: str = "text", size_col: str | None = None) -> DataFrame:
-    """The columns of `docs` and size, source_size, target, taken and copies: an array of (epoch, taken, place).
+    """The columns of `docs` and _mix_size, _mix_source_size, _mix_target, _mix_taken and _mix_copies: an array of (epoch, taken, place).
 
     The stream takes a source's documents in order, again from the start in a second epoch, until its target is
     reached; the last document is taken in part. With whole=True a copy is taken whole if at least half of it lies
     below the target, else not at all.
     """
     size = F.col(size_col) if size_col else words(text_col)
-    d = docs.withColumns({"_mix_size": size, "_mix_key": F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")), "_mix_order": order_key()})
-    d = d.withColumn("_mix_range", F.floor(F.col("_mix_order") / (2147483648 // RANGES)).cast("int"))
-    ranges = cut(d.groupBy("_mix_key", "_mix_range").agg(F.sum("_mix_size").alias("_mix_words"), F.any_value("source").alias("source")))
+    rows = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_mix_row")
+    d = docs.select(rows, "doc_id", size.alias("_mix_size"), F.col("source"), F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("_mix_key"), order_key().alias("_mix_order"))
+    ranges = max(RANGES, -(-docs.count() // PER_RANGE))
+    d = d.withColumn("_mix_range", F.floor(F.col("_mix_order") * ranges / 2147483648).cast("int"))
+    sums = cut(d.groupBy("_mix_key", "_mix_range").agg(F.sum("_mix_size").alias("_mix_words"), F.any_value("source").alias("source")))
     along = Window.partitionBy("_mix_key").orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select("_mix_key", "_mix_range", F.coalesce(F.sum("_mix_words").over(along), F.lit(0)).alias("_mix_from"))
-    sources = ranges.groupBy("_mix_key").agg(F.sum("_mix_words").alias("source_size"), F.any_value("source").alias("source"))
+    starts = sums.select("_mix_key", "_mix_range", F.coalesce(F.sum("_mix_words").over(along), F.lit(0)).alias("_mix_from"))
+    sources = sums.groupBy("_mix_key").agg(F.sum("_mix_words").alias("source_size"), F.any_value("source").alias("source"))
     goals = targets(sources, weights, share, repeats).drop("source")
     starts = attach(starts, cut(goals), ["_mix_key"])
-    d = d.join(starts.hint("merge"), ["_mix_key", "_mix_range"])
+    d = d.drop("source").join(starts.hint("merge"), ["_mix_key", "_mix_range"])
     inside = Window.partitionBy("_mix_key", "_mix_range").orderBy("_mix_order", "doc_id", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_mix_from", F.col("_mix_from") + F.coalesce(F.sum("_mix_size").over(inside), F.lit(0)))
     copies = []
@@ -102,12 +105,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         for k, curve in enumerate(curves):
             chosen = F.when(F.col("rank") % len(curves) == k, place(part, curve)).otherwise(chosen)
         copies.append(F.struct(F.lit(epoch).alias("epoch"), taken.cast("bigint").alias("taken"), chosen.alias("place")))
-    d = d.withColumn("copies", F.filter(F.array(*copies), lambda c: c["taken"] > 0))
-    d = d.withColumn("taken", F.aggregate("copies", F.lit(0).cast("bigint"), lambda a, c: a + c["taken"]))
-    return d.withColumnRenamed("_mix_size", "size").drop("_mix_key", "_mix_order", "_mix_range", "_mix_from", "weight", "rank")
+    d = d.withColumn("_mix_copies", F.filter(F.array(*copies), lambda c: c["taken"] > 0))
+    taken = F.aggregate("_mix_copies", F.lit(0).cast("bigint"), lambda a, c: a + c["taken"])
+    added = [F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), taken.alias("_mix_taken"), "_mix_copies"]
+    return d.select(*(F.col("_mix_row").getField(c).alias(c) for c in docs.columns), "_mix_size", *added)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
-    """One row for each copy that is taken, with epoch, place and the words of it that are taken, range-sorted by place."""
-    d = mixed.withColumn("_mix_copy", F.explode("copies")).drop("copies", "taken")
-    return d.select("*", "_mix_copy.*").drop("_mix_copy").orderBy("place", "doc_id", "epoch")
+    """One row for each copy that is taken, with _mix_epoch, _mix_place and the words of it that are _mix_taken, range-sorted by place."""
+    d = mixed.drop("_mix_taken").withColumn("_mix_copy", F.explode("_mix_copies")).drop("_mix_copies")
+    d = d.withColumns({f"_mix_{c}": F.col(f"_mix_copy.{c}") for c in ("epoch", "taken", "place")}).drop("_mix_copy")
+    return d.orderBy("_mix_place", "doc_id", "_mix_epoch")

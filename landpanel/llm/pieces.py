@@ -31,6 +31,8 @@ from .common import by_blocks, only, text_or_empty
 MARK = "▁"
 MEMO = 150_000
 WINDOW = 4096
+#: Texts that normalisers, other marks for white space and other types of model would treat differently.
+PROBES = ("", " ", "a", " a  b ", "word\tword\nword", "ﬁ Ａ１ é e\u0301 \u00a0 ½", "Internationalisation of 12,345 words", "▁a ▁▁b", "\U0001f600 日本語\x00")
 
 
 def merge(text: str, score: dict[str, float]) -> list[str]:
@@ -72,7 +74,6 @@ class Pieces:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, str] = {}
         self.older: dict[str, str] = {}
-        self.odd: dict[str, str] = {}
         self.limit = memo
 
     @classmethod
@@ -83,7 +84,11 @@ class Pieces:
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         n = range(m.get_piece_size())
         plain = {m.id_to_piece(i): (i, m.get_score(i)) for i in n if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))}
-        return cls(plain, [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        out = cls(plain, [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        for text in PROBES:
+            if out.encode(text) != m.encode(text) or out.decode(m.encode(text)) != m.decode(m.encode(text)):
+                raise ValueError(f"{path}: not a merge-type model without a normaliser: {text!r} comes out differently")
+        return out
 
     def compatible(self, a: str, b: str) -> bool:
         key = (a, b)
@@ -194,10 +199,10 @@ class Pieces:
         return leftmost(parts, self.score)
 
     def one(self, part: str) -> str:
-        """The ids of a part, joined by commas.
+        """The ids of a part, joined by commas, and a `!` at the end if they do not decode to it.
 
         A part met for the first time falls apart where no merge can cross; those smaller parts are looked up too. Its
-        ids are decoded when it is met: a part that does not decode to itself goes to `odd` with what it decodes to.
+        ids are decoded when it is met and bytes are among them.
         """
         if (known := self.memo.get(part) or self.older.get(part)) is None:
             near = self.near
@@ -205,13 +210,14 @@ class Pieces:
             if cuts and not part.startswith(MARK + MARK):
                 known = ",".join([self.one(part[i:j]) for i, j in zip([0, *cuts], [*cuts, len(part)], strict=True)])
             else:
-                ids = []
+                ids, raw = [], False
                 for p in self.split(part):
                     i = self.ids.get(p)
+                    raw |= i is None
                     ids += [i] if i is not None else [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
                 known = ",".join(map(str, ids))
-                if (text := self.decode_part(ids)) != part.replace(MARK, " "):
-                    self.odd[part] = text
+                if raw and self.decode_part(ids) != part.replace(MARK, " "):  # pieces alone are the part itself
+                    known += "!"
         if len(part) <= 64:
             if len(self.memo) >= self.limit:  # what was used lately stays for another round
                 self.older, self.memo = self.memo, {}
@@ -244,7 +250,8 @@ class Pieces:
             return "", ""
         marked, memo, one = MARK + text.replace(" ", MARK), self.memo, self.one
         ids = ",".join([memo.get(p) or one(p) for p in self.cut.findall(marked)])
-        if self.odd:
+        if "!" in ids:
+            ids = ids.replace("!", "")
             return ids, self.decode(list(map(int, ids.split(","))))
         return ids, marked.replace(MARK, " ")[1:]  # every part was found to decode to itself
 

@@ -17,11 +17,11 @@ def vocabulary(name: str) -> str:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, words
 
-    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("size")))
-    mixed = mix(docs.withColumnRenamed("size", "_words"), size_col="_words")
-    rows = mixed.withColumn("place", F.try_element_at("copies.place", F.lit(1)))
-    rows = rows.select("doc_id", "size", "source_size", "target", "taken", F.floor(F.col("place") * 1_000_000).cast("bigint").alias("place_ppm"), "place")
-    return rows.orderBy("place", "doc_id").drop("place")
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("_words")))
+    mixed = mix(docs, size_col="_words")
+    rows = mixed.withColumn("place", F.try_element_at("_mix_copies.place", F.lit(1)))
+    names = [F.col(f"_mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken")]
+    return rows.select("doc_id", *names, F.floor(F.col("place") * 1_000_000).cast("bigint").alias("place_ppm"), "place").orderBy("place", "doc_id").drop("place")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ A huge document is encoded in chunks that overlap, with offsets. Two neighbourin
 their overlap where both have a token that begins right after an ASCII white-space character, and from which both give
 the same tokens up to the last such place that the first chunk is sure of. Such a place is stable by the make-up of the
 encoder: its pre-tokenizer matches no white space, its normalizers neither compose across white space nor look past it,
-and no special string holds any. If the overlap holds no such place it is doubled, up to the rest of the document.
+and no special string holds any. This is read from the encoder when it is loaded; texts of an encoder of another make-up
+are encoded whole. If the overlap holds no such place it is doubled, and where the whole chunk holds none the chunk is,
+so that a text without white space costs a small multiple of encoding it once.
 
 By the same fact a count is the sum over the parts between white space, so documents below the size of a chunk are
 counted part by part through a bounded memo; only parts not met before reach the encoder. (The plain encoder's 1.3 MB a
@@ -16,6 +18,7 @@ repeated rows give repeated results; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import json
 import re
 from collections import ChainMap
 from functools import lru_cache
@@ -32,6 +35,19 @@ OVERLAP = 256
 STABLE = re.compile(r"(?<=[\x20\x09-\x0D])[^\s]")
 
 
+def splits_at_white_space(made: dict) -> bool:
+    """Whether an encoder, as declared, gives a text the tokens of its parts between white space."""
+    flat = lambda x, many: [] if x is None else [z for y in x[many] for z in flat(y, many)] if x["type"] == "Sequence" else [x]
+    white = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    pre = flat(made.get("pre_tokenizer"), "pretokenizers")
+    kept = pre and pre[0]["type"] == "Split" and pre[0].get("invert") and pre[0].get("behavior") == "Removed"
+    pattern = pre[0]["pattern"].get("Regex", " ") if kept else " "
+    # what the pattern matches is kept: letters, digits and what is none of these nor white space
+    kept = kept and not re.search(r"\\s", pattern.replace(r"[^\s", "")) and " " not in pattern and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in pre[1:])
+    plain = all(x["type"] in ("NFC", "Lowercase") or x == white for x in flat(made.get("normalizer"), "normalizers"))
+    return bool(kept and plain and made["model"]["type"] == "BPE" and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in made["added_tokens"]))
+
+
 class Counter:
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
@@ -39,6 +55,7 @@ class Counter:
         self.encoder, self.memo, self.older, self.limit = Tokenizer.from_file(path), {}, {}, memo
         self.encoder.no_truncation()
         self.encoder.no_padding()
+        self.splits = splits_at_white_space(json.loads(self.encoder.to_str()))
 
     @classmethod
     @lru_cache(maxsize=2)
@@ -70,7 +87,7 @@ class Counter:
                     held, start, end = [(s + begin - splice, i) for s, i in after if s + begin >= splice], splice, after_end
                     break
                 if begin == start:  # no stable place between them: grow the first chunk itself
-                    end = min(n, end + chunk)
+                    end = min(n, start + 2 * (end - start))
                     held = self.offsets(text[start:end])
                     if end == n:
                         break
@@ -105,6 +122,9 @@ class Counter:
             out.update(zip(words[at : at + 4096], np.bincount(own, minlength=len(texts)).tolist(), strict=True))
         return out
 
+    def whole(self, texts: list[str]) -> list[int]:
+        return [len(self.encoder.encode(t, add_special_tokens=False)) for t in texts]
+
     def small(self, texts: list[str]) -> list[int]:
         memo, older = self.memo, self.older
         parts = [t.encode("utf-8", "surrogatepass").split() for t in texts]
@@ -133,10 +153,10 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 2048, id_col: str = "
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         c = Counter.load(model)
         only("token_counts", c.forget)
-        few = c.small([t if len(t) < huge else "" for _, t in rows])
+        few = c.small([t if len(t) < huge else "" for _, t in rows]) if c.splits else c.whole([t for _, t in rows])
         out = []
         for (key, text), n in zip(rows, few, strict=True):
-            n = c.huge(text, huge) if len(text) >= huge else n
+            n = c.huge(text, huge) if len(text) >= huge and c.splits else n
             out.append((key, len(text.encode("utf-8", "surrogatepass")), n, n > limit))
         return out
 

@@ -1,6 +1,7 @@
 """The text operators against libraries, brute force and round trips, and on the rows that break things."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -42,7 +43,8 @@ def test_every_operator_takes_odd_rows_and_empty_tables(spark, odd, none):
     n = len(ROWS)
     m = langid.train(odd, per_lang=5)
     for d, count in ((odd, n), (none, 0)):
-        assert mixing.mix(d.select("doc_id", "source", "text")).count() == count
+        mixed = mixing.mix(d)
+        assert mixed.select(*d.columns).exceptAll(d).count() == 0 and mixed.count() == count
         assert neardup.near_duplicates(d, 5).count() == count
         assert langid.identify(d, m).count() == count
         assert lines.dedup_lines(d).count() == count
@@ -64,12 +66,12 @@ def test_mix_meets_targets_and_limits(spark):
     rows = [(i, f"s{i % 3}" if i % 7 else None, 1 + i * 37 % 50) for i in range(400)] + [(1000, "tiny", 3)]
     d = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, w int"), size_col="w").cache()
     total = sum(r[2] for r in rows)
-    by = d.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k"), F.sum("size").alias("s")).collect()
+    by = d.groupBy("source").agg(F.first("_mix_target").alias("t"), F.sum("_mix_taken").alias("k"), F.sum("_mix_size").alias("s")).collect()
     assert abs(sum(r.t for r in by) - 1.5 * total) < 1e-6
     for r in by:
         assert r.k == int(r.t) and r.t <= 2 * r.s
     assert next(r.t for r in by if r.source == "tiny") == 6
-    assert d.where("taken > 2 * size OR taken < 0").count() == 0
+    assert d.where("_mix_taken > 2 * _mix_size OR _mix_taken < 0").count() == 0
 
 
 def test_places_follow_the_curve(spark):
@@ -78,14 +80,22 @@ def test_places_follow_the_curve(spark):
     for u, t in d.select("u", mixing.place(F.col("u"), curve)).collect():
         assert abs(0.5 * t + 0.5 * t * t - u) < 1e-9  # the integral at the place is the demand
     mixed = mixing.in_order(mixing.mix(spark.createDataFrame([(i, "a", 10) for i in range(50)], "doc_id bigint, source string, w int"), size_col="w"))
-    places = [r.place for r in mixed.collect()]
+    places = [r._mix_place for r in mixed.collect()]
     assert places == sorted(places) and len(places) == 75
 
 
 def test_null_source_comes_last_and_zero_words_are_not_taken(spark):
     d = mixing.mix(spark.createDataFrame([(1, None, 10), (2, "a", 10), (3, "b", 0)], "doc_id bigint, source string, w int"), size_col="w")
     r = {x.doc_id: x for x in d.collect()}
-    assert r[3].taken == 0 and r[3].target == 0 and r[1].target == 12.0 and r[2].target == 18.0
+    assert r[3]._mix_taken == 0 and r[3]._mix_target == 0 and r[1]._mix_target == 12.0 and r[2]._mix_target == 18.0
+
+
+def test_the_number_of_ranges_changes_nothing(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"s{i % 2}", i % 9) for i in range(300)], "doc_id bigint, source string, w int")
+    want = sorted(map(str, mixing.mix(d, size_col="w").collect()))
+    monkeypatch.setattr(mixing, "RANGES", 3)
+    monkeypatch.setattr(mixing, "PER_RANGE", 60)
+    assert sorted(map(str, mixing.mix(d, size_col="w").collect())) == want
 
 
 # 2
@@ -155,9 +165,46 @@ def test_components_of_paths_stars_and_nothing(spark):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_rows_of_one_doc_id_are_one_document(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    d = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b), (7, "")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(d).collect()} == {(1, 1), (5, 1), (9, 1), (7, 7)}
+    assert sorted(r.doc_id for r in neardup.drop_near_duplicates(d).collect()) == [1, 7]
+
+
 # 3
 
 
+def test_letters_of_all_planes_and_no_signs(spark):
+    d = spark.createDataFrame([(i, "en", x) for i, x in enumerate(["plain words here"] * 20)] + [(100, None, "½ ²"), (101, None, "Ⅷ 😀"), (102, None, "𐐨𐐩"), (103, None, "x")], "doc_id bigint, lang string, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(d, langid.train(d)).where("doc_id >= 100").collect()}
+    assert got == {100: "und", 101: "und", 102: "en", 103: "en"}
+    assert set(langid.coded("𐐨𐐩").tolist()) == {0x10428, 0x10429} and (langid.coded("😀½²Ⅷ") == 0).all()
+
+
+def test_a_language_of_long_texts_is_learned_and_the_sample_is_bounded(spark):
+    rows = [(i, "en", "the thing and the other") for i in range(60)] + [(i, "fr", "le chose et les autres ") for i in range(60, 120)] + [(2, "en", "the thing and the other")] * 300
+    d = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").withColumn("text", F.when(F.col("lang") == "fr", F.repeat("text", 20)).otherwise(F.col("text")))
+    m = langid.train(d, per_lang=8, longest=100)
+    assert m.langs == ["en", "fr"] and {x for x, _ in m.predict(["les autres et le chose"])} == {"fr"}
+
+
+def test_the_kernel_is_shared_presence_over_mean_size():
+    texts = ["abc abd", "abc", "xyz und"]
+    flags = langid.np.zeros(langid.PLACES, bool)
+    sets = [langid.presence(langid.coded(t), flags) for t in texts]
+
+    def grams(t):
+        t = " " + t + " "
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    x = langid.matrix(sets, langid.np.unique(langid.np.concatenate(sets)))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            want = len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5
+            assert abs(float(x[i] @ x[j]) - want) < 1e-5
+
+
 def test_language_is_told_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     p = langid.identify(d, langid.train(d)).join(d.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -306,6 +353,27 @@ def test_token_counts_equal_the_library(spark):
     assert [got[i].n_tokens for i in range(len(texts))] == want and all(got[i].over_limit == (n > 20) for i, n in enumerate(want))
 
 
+def test_an_encoder_of_another_make_up_is_encoded_whole(spark):
+    c = token_counts.Counter.load(model("byte_bpe_50k.json"))
+    assert not c.splits and token_counts.Counter.load(model("word_bpe_49k.json")).splits
+    texts = strings(50, 8)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(d, model("byte_bpe_50k.json"), huge=30).collect()}
+    assert [got[i] for i in range(50)] == [len(c.encoder.encode(t, add_special_tokens=False)) for t in texts]
+
+
+def test_texts_without_white_space_are_not_encoded_over_and_over():
+    c = token_counts.Counter.load(model("word_bpe_49k.json"))
+    seen, plain = [], c.offsets
+    c.offsets = lambda t: seen.append(len(t)) or plain(t)
+    try:
+        text = "ab1cd" * 8000
+        assert c.huge(text, 1000, 16) == len(c.encoder.encode(text, add_special_tokens=False))
+    finally:
+        del c.offsets
+    assert sum(seen) < 12 * len(text)
+
+
 # 8
 
 
@@ -322,6 +390,8 @@ def test_top_k_with_ties_nulls_and_few_candidates(spark):
             want += [(q, k + 1, i, -n) for k, (n, i) in enumerate(s)]
     assert sorted(tuple(x) for x in topk.top_k(d).collect()) == sorted(want)
     assert topk.top_k(d.where("vec_id IN (0, 1, 2)")).count() == 2
+    clash = d.withColumns({c: F.lit(1) for c in ("id", "v", "query", "score", "rank", "qb", "rb", "ids", "m")})
+    assert sorted(tuple(x) for x in topk.top_k(clash).collect()) == sorted(want)
 
 
 # 9
@@ -362,7 +432,21 @@ def test_marks_in_texts_come_back(spark):
     assert got[5].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb\\\n").hexdigest()
     assert (got[-1].in_order, got[6].in_order, got[6].n_turns, got[None].n_turns) == (True, False, 2, 1)
     whole = {r.conv_id: r.formatted for r in chat.formatted(chat.segments(d)).collect()}
-    assert chat.Template().turns(whole[-1]) == [("user", said), ("assistant", said)]
+    assert chat.Template().turns(whole[-1]) == [("user", said), ("assistant", said)] and len(whole) == len(got)
+
+
+def test_long_conversations_go_on_in_pieces_and_equal_turns_stay_whole(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"text {i} <|im_end|>") for i in range(9)] + [(2, 0, "user", "a"), (2, 0, "user", "b"), (3, 0, "robot", "x")]
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    parts = chat.segments(d)
+    pieces_ = sorted((r.conv_id, r.piece, r.start, r.formatted, r.loss_spans) for r in chat.formatted(parts, longest=150).collect())
+    one = {r.conv_id: r for r in chat.formatted(parts).collect()}
+    text = "".join(p[3] for p in pieces_ if p[0] == 1)
+    assert len(pieces_) > 3 and text == one[1].formatted and all(len(p[3]) <= 150 for p in pieces_)
+    spans = [s for p in pieces_ if p[0] == 1 for s in json.loads(p[4])]
+    assert spans == json.loads(one[1].loss_spans) and [chat.Template().show(text[a:b]) for a, b in spans] == [f"text {i} <|im_end|>" for i in range(1, 9, 2)]
+    assert chat.Template().turns(one[2].formatted) == [("user", "a"), ("user", "b")]
+    assert not chat.digests(parts).where("conv_id = 3").first().in_order
 
 
 # sides too large to broadcast
