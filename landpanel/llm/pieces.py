@@ -273,18 +273,19 @@ def leftmost(parts: list[str], score: dict[str, float]) -> list[str]:
     return out
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256), and the ids and the decoded text themselves if asked for."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256), and the ids and the decoded text themselves if asked for, and columns carried along."""
+    keys = [id_col, *(carry or [])]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys)
+    schema = f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def block(rows):
         v, out = Pieces.load(model), []
         only("pieces", v.forget)
-        for key, text in rows:
+        for *key, text in rows:
             ids, decoded = v.both(text)
-            row = (key, ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+            row = (*key, ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
             out.append(row + ((np.fromstring(ids, np.int32, sep=","), decoded) if with_ids else ()))
         return out
 
-    return by_blocks(docs.select(id_col, text_or_empty(text_col).alias(text_col)), [id_col, text_col], schema, block, chars=1_000_000)
+    return by_blocks(docs.select(*keys, text_or_empty(text_col).alias(text_col)), [*keys, text_col], schema, block, chars=1_000_000)

@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import __spark_entry__ as entry
+from landpanel.llm.mixing import in_order, mix
 from landpanel.llm.queries import QUERIES
 from landpanel.llm.sql import SQL
 
 from oracle import connect, same
 from test_text_operators import brute_components
+from test_whole_lines import brute_dedup
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -33,11 +35,18 @@ def test_the_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, seen = docs.columns, {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(name != "mixing").lower())
         stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(k)))
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         before, docs = docs, spark.read.parquet(str(tmp_path / str(k)))
         seen[name] = (before, docs)
         if k < 4:
             assert docs.columns == columns
+    before, after = seen["lines"]
+    want = brute_dedup({r.doc_id: r.text for r in before.collect()})
+    whole = {r.doc_id: r.text for r in before.collect()}
+    want = {k: t for k, t in want.items() if t == whole[k] or t.strip() and len(t) >= 0.05 * len(whole[k])}
+    assert {r.doc_id: r.text for r in after.collect()} == want
     before, after = seen["near_duplicates"]
     texts = {r.doc_id: r.text for r in before.collect()}
     want = {k for k, (_, c) in brute_components(texts, 5, 80).items() if k == c}
@@ -49,6 +58,10 @@ def test_the_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
     assert after.join(before, columns, "left_anti").count() == 0
     before, after = seen["pieces"]
     assert after.count() == before.count()
+    # the places of the last stage are the order of training, over several files
+    order = [r.doc_id for r in in_order(mix(seen["mixing"][0], whole=True)).collect()]
+    assert len(before.inputFiles()) > 1
+    assert [r.doc_id for r in after.orderBy("place").select("doc_id").collect()] == order
     row = after.first()
     assert row.n_tokens == len(row.ids) and row.ids_sha256 == hashlib.sha256(",".join(map(str, row.ids)).encode()).hexdigest()
     before, after = seen["language"]
