@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.vec import finite
+from ..sources.shared import cut
 
 #: Climate and terrain rules over columns in units (see functions.scalar.decode_scaled); thresholds are arguments' defaults.
 BATTERY = {
@@ -97,13 +98,25 @@ def dedup(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFra
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], ranges: int = 256) -> DataFrame:
+    """Adds, for each name, the sum of a column over the rows before, in a total order, without one task for all rows.
+
+    A range sort whose parts are numbered and written once; sums of the parts, which are `ranges` at most, added up; then
+    running sums inside each part.
+    """
+    d = df.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id())
+    d = cut(d.withColumns({f"_v_{n}": c for n, c in sums.items()}))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = d.groupBy("_p").agg(*(F.sum(f"_v_{n}").alias(f"_v_{n}") for n in sums))
+    parts = parts.select("_p", *(F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums))
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(F.broadcast(parts), "_p")
+    return d.withColumns({n: F.col(f"_s_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums}).drop("_p", *(f"_{k}_{n}" for n in sums for k in "vs"))
+
+
 def assign_ids(df: DataFrame, order: Sequence[str], name: str = "new_id", ranges: int = 256) -> DataFrame:
-    """Dense ids from 0 in a total order, without one task for all rows: a range sort, then counts of its parts."""
-    d = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    d = d.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33)).persist()
-    sizes = d.groupBy("_p").agg(F.count("*").alias("_c"))
-    starts = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    return d.join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")  # at most `ranges` rows are broadcast
+    """Dense ids from 0 in a total order, without one task for all rows."""
+    return running(df, order, {name: F.lit(1).cast("bigint")}, ranges)
 
 
 def exclude(df: DataFrame, ids: DataFrame, coords: DataFrame, key: str = "row_id") -> DataFrame:

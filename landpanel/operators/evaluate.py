@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clean import running
+
 
 def confusion(df: DataFrame, by: list[str] | None = None, truth: str = "truth", pred: str = "pred") -> DataFrame:
     by = by or []
@@ -92,10 +94,10 @@ def kappa(cm: DataFrame) -> DataFrame:
 
 
 def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """(n_pos, n_neg, auc) by the rank-sum form with average ranks; scores are counted first, so the window is over distinct scores."""
+    """(n_pos, n_neg, auc) by the rank-sum form with average ranks; running sums over distinct scores, in ranges of scores."""
     s = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = s.withColumn("u", F.col("p") * (below + F.col("q") / 2.0)).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("u").alias("u"))
+    s = running(s, ["s"], {"below": F.col("q")})
+    t = s.withColumn("u", F.col("p") * (F.col("below") + F.col("q") / 2.0)).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("u").alias("u"))
     return t.select("n_pos", "n_neg", F.try_divide("u", F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
@@ -135,20 +137,30 @@ def risk_ratio(df: DataFrame, strata: list[str], exposed: Column, case: Column)
     return t.agg(F.try_divide(F.try_divide(a, a + b), F.try_divide(c, c + d)).alias("rr"), mh.alias("mh_rr"))
 
 
-def permutation_p(df: DataFrame, strata: list[str], exposed: Column, case: Column, perms: int = 200, seed: int = 7, key: str = "row_id") -> DataFrame:
+def permutation_p(df: DataFrame, strata: list[str], exposed: Column, case: Column, perms: int = 200, seed: int = 7) -> DataFrame:
     """(observed, p): share of within-stratum shuffles whose difference in risk is at least as large as the observed one.
 
-    A shuffle keeps each stratum's number of exposed rows and hands exposure to the rows first in a seeded order. The
-    rows are multiplied by `perms`, all in one job.
+    A shuffle keeps each stratum's numbers of exposed rows and of cases, so only the number of exposed cases is left to
+    chance, and it is hypergeometric. It is drawn for each stratum from its four counts, the same for the same seed and
+    stratum; rows are counted once and never shuffled. A stratum may have 10^9 rows of one kind, the draw's limit.
     """
-    d = df.select(*strata, F.col(key).alias("_k"), exposed.cast("int").alias("_e"), case.cast("int").alias("_c"))
-    d = d.withColumn("_n", F.sum("_e").over(Window.partitionBy(*strata)))
-    many = d.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(perms))))
-    many = many.withColumn("_x", (F.row_number().over(Window.partitionBy("_r", *strata).orderBy(F.xxhash64("_k", "_r", F.lit(seed)), "_k")) <= F.col("_n")).cast("int"))
-    diff = lambda e: F.abs(F.try_divide(F.sum(F.col(e) * F.col("_c")), F.sum(e)) - F.try_divide(F.sum((1 - F.col(e)) * F.col("_c")), F.sum(1 - F.col(e))))
-    null = many.groupBy("_r").agg(diff("_x").alias("stat"))
-    seen = d.agg(diff("_e").alias("observed"))
-    return null.join(F.broadcast(seen)).groupBy("observed").agg(((F.count_if(F.col("stat") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p"))
+    t = _table2(df, strata, exposed, case).select(F.xxhash64(F.lit(seed), *strata).alias("h"), *"abcd")
+    risk = lambda x, n: F.try_divide(x, n)
+    whole = t.agg(*(F.sum(x).alias(x) for x in "abcd"))
+    seen = whole.select(F.abs(risk(F.col("a"), F.col("a") + F.col("b")) - risk(F.col("c"), F.col("c") + F.col("d"))).alias("observed"), (F.col("a") + F.col("b")).alias("n1"), (F.col("c") + F.col("d")).alias("n0"), (F.col("a") + F.col("c")).alias("cases"))
+
+    def draw(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for h, a, b, c, d in batch.itertuples(index=False):
+                x = np.random.default_rng([h & 0xFFFFFFFF, h >> 32 & 0xFFFFFFFF]).hypergeometric(a + c, b + d, a + b, perms) if a + b else np.zeros(perms, int)
+                yield pd.DataFrame({"r": np.arange(perms), "x": x})
+
+    null = t.mapInPandas(draw, "r int, x bigint").groupBy("r").agg(F.sum("x").alias("x")).join(F.broadcast(seen))
+    stat = F.abs(risk(F.col("x"), F.col("n1")) - risk(F.col("cases") - F.col("x"), F.col("n0")))
+    return null.groupBy("observed").agg(((F.count_if(F.round(stat - F.col("observed"), 12) >= 0) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def paired_t(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -171,6 +183,32 @@ def bootstrap_ci(df: DataFrame, value: str, reps: int = 200, seed: int = 7, key:
     return each.agg(F.avg("m").alias("mean"), F.expr("percentile(m, 0.025)").alias("lo"), F.expr("percentile(m, 0.975)").alias("hi"))
 
 
+def normal_draw(n: Column, seed: int = 7) -> Column:
+    """A standard normal number for a whole number, from two fixed scatterings of it, as any engine can compute it.
+
+    A scattering is a product and two squares modulo a prime: products alone would leave neighbours in step.
+    """
+    u = []
+    for k in (seed, seed + 104729):
+        x = (n % 2147483647 + k) * 2654435761 % 2147483647
+        y = (x * x + k) % 2147483647
+        u.append(((y * y + x) % 2147483647 + 0.5) / 2147483647.0)
+    return F.sqrt(-2.0 * F.log(u[0])) * F.cos(2.0 * F.lit(3.141592653589793) * u[1])
+
+
+def parametric_ci(df: DataFrame, a: str = "a", b: str = "b", draws: int = 20_000, seed: int = 7) -> DataFrame:
+    """(n, mean, lo, hi): parametric bootstrap of the mean difference of paired folds.
+
+    Each draw takes as many normal differences as there are folds, with their mean and deviation; lo and hi are the 2.5
+    and 97.5 % points of the draws' means.
+    """
+    t = paired_t(df, a, b).where(F.col("n") > 0)
+    d = t.select("n", "mean", F.coalesce("sd", F.lit(0.0)).alias("sd"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))).alias("r"))
+    d = d.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    each = d.groupBy("r", "n", "mean").agg(F.avg(F.col("mean") + F.col("sd") * normal_draw(F.col("r") * F.col("n") + F.col("i"), seed)).alias("m"))
+    return each.groupBy("n", "mean").agg(F.expr("percentile(m, 0.025)").alias("lo"), F.expr("percentile(m, 0.975)").alias("hi"))
+
+
 def weighted_oa(df: DataFrame, weights: DataFrame, strata: list[str], hit: Column) -> DataFrame:
     """(oa, se, lo, hi): overall accuracy weighted by the area of strata; `weights` has (strata, w)."""
     s = df.groupBy(*strata).agg(F.count("*").alias("n"), F.avg(hit.cast("int")).alias("p")).join(weights, strata)

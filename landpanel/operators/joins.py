@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.shared import cut
 
 KM_PER_DEG = geo.EARTH_KM * math.pi / 180
 HALF_ROUND_KM = geo.EARTH_KM * math.pi
@@ -64,22 +65,53 @@ def newest_after(a: DataFrame, b: DataFrame, key: str, ts: str, value: str) -> D
     return last.join(best, key, "left").select(key, "last", F.col("_b._t").alias("newest_ts"), F.col("_b._v").alias("newest"))
 
 
-def near_cells(lon: Column, lat: Column, km: float, size: float, max_lat: float = 85.0) -> Column:
-    """All cells (x, y) of `size` degrees that lie within km of a point; the longitude reach grows with latitude."""
-    dy = F.lit(km / KM_PER_DEG)
-    dx = dy / F.cos(F.radians(F.least(F.abs(lat) + dy, F.lit(max_lat))))
-    xs = F.sequence(geo.cell(lon - dx, size), geo.cell(lon + dx, size))
-    ys = F.sequence(geo.cell(lat - dy, size), geo.cell(lat + dy, size))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+def columns_of(row: Column, size: float) -> Column:
+    """How many cells a row of the globe has: cells are `size` degrees high and at least as wide on the ground at their narrow end."""
+    low = row * size - 90.0
+    far = F.least(F.lit(90.0), F.greatest(F.abs(low), F.abs(low + size)))
+    return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(far)) / size)).cast("bigint")
 
 
-def within_km(a: DataFrame, b: DataFrame, km: float, a_key: str = "a_id", b_key: str = "b_id") -> DataFrame:
-    """(a_id, b_id, km) of all pairs at most `km` apart: b is dealt to the cells it can serve, a stands in one cell."""
-    size = max(km / KM_PER_DEG, 1e-6)
-    left = a.select(F.col(a_key).alias("a_id"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), geo.cell(F.col("lon"), size).alias("_x"), geo.cell(F.col("lat"), size).alias("_y"))
-    right = b.select(F.col(b_key).alias("b_id"), F.col("lon").alias("_lon2"), F.col("lat").alias("_lat2"), F.explode(near_cells(F.col("lon"), F.col("lat"), km, size)).alias("_c"))
-    right = right.select("b_id", "_lon2", "_lat2", F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y"))
-    j = left.join(right, ["_x", "_y"]).withColumn("km", geo.haversine_km(F.col("_lon"), F.col("_lat"), F.col("_lon2"), F.col("_lat2")))
+def cell_of(lon: Column, lat: Column, size: float) -> Column:
+    """The cell (x, y) that holds a point; x runs round the globe, so 180 W and 180 E are neighbours."""
+    y = F.floor((lat + 90.0) / size).cast("bigint")
+    n = columns_of(y, size)
+    return F.struct(F.least(n - 1, F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n)).cast("bigint").alias("x"), y.alias("y"))
+
+
+def near_cells(west: Column, east: Column, south: Column, north: Column, km: float, size: float) -> Column:
+    """All cells within km of a box. The reach in longitude is that of a circle on the sphere; where it holds a pole, it is all round."""
+    d = min(km / KM_PER_DEG, 180.0) + 1e-9
+    top = F.greatest(F.abs(south), F.abs(north))
+    reach = F.when(top + d >= 90.0, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(min(d, 90.0)))) / F.cos(F.radians(top))))) + 1e-9)
+    last = math.floor(180.0 / size)
+    rows = F.sequence(F.greatest(F.lit(0), F.floor((south - d + 90.0) / size)).cast("bigint"), F.least(F.lit(last), F.floor((north + d + 90.0) / size)).cast("bigint"))
+
+    def across(y: Column) -> Column:
+        n = columns_of(y, size)
+        at = lambda x: F.floor((x + 180.0) / 360.0 * n).cast("bigint")
+        a, b = at(west - reach), at(east + reach)
+        xs = F.when(b - a + 1 >= n, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.transform(F.sequence(a, F.greatest(a, b)), lambda x: F.pmod(x, n)))
+        return F.transform(xs, lambda x: F.struct(x.alias("x"), y.alias("y")))
+
+    return F.flatten(F.transform(rows, across))
+
+
+def within_km(a: DataFrame, b: DataFrame, km: float, a_key: str = "a_id", b_key: str = "b_id", deal: str = "b") -> DataFrame:
+    """(a_id, b_id, km) of all pairs at most `km` apart: the side named by `deal` is dealt to the cells it can reach, the other stands in one cell.
+
+    Rows without a finite position have no pairs.
+    """
+    size = min(180.0, max(km / KM_PER_DEG, 1e-6))
+
+    def side(d: DataFrame, key: str, name: str, lon: str, lat: str) -> DataFrame:
+        x, y = F.col("lon"), F.col("lat")
+        d = d.where((F.abs(x) < 1e6) & (F.abs(y) <= 90.0))
+        cells = F.explode(near_cells(x, x, y, y, km, size)) if deal == name[0] else cell_of(x, y, size)
+        return d.select(F.col(key).alias(name), x.alias(lon), y.alias(lat), cells.alias("_c")).select(name, lon, lat, F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y"))
+
+    j = side(a, a_key, "a_id", "_lon", "_lat").join(side(b, b_key, "b_id", "_lon2", "_lat2"), ["_x", "_y"])
+    j = j.withColumn("km", geo.haversine_km(F.col("_lon"), F.col("_lat"), F.col("_lon2"), F.col("_lat2")))
     return j.where(F.col("km") <= km).select("a_id", "b_id", "km")
 
 
@@ -90,12 +122,16 @@ def min_distance_from(a: DataFrame, b: DataFrame, km: float, a_key: str = "a_id"
 
 
 def nearest(a: DataFrame, b: DataFrame, km: float = 25.0, grow: float = 4.0, a_key: str = "a_id", b_key: str = "b_id") -> DataFrame:
-    """(a_id, b_id, km): the nearest row of b, the smaller id at a tie. Rings grow until every row is served; nothing if b is empty."""
-    left, found = a.select(F.col(a_key).alias("a_id"), "lon", "lat"), None
+    """(a_id, b_id, km): the nearest row of b, the smaller id at a tie. Rings grow until every row is served; nothing if b is empty.
+
+    A row served within a ring is done, since the ring holds all that is nearer. The rows not yet served, fewer in each
+    round, are dealt to the cells; those of b stand in one cell each. Rounds are cut to the shared folder.
+    """
+    left, found = cut(a.select(F.col(a_key).alias("a_id"), "lon", "lat").where((F.abs("lon") < 1e6) & (F.abs("lat") <= 90.0))), None
     while True:
-        hit = within_km(left, b, km, "a_id", b_key).groupBy("a_id").agg(F.min(F.struct("km", "b_id")).alias("m")).select("a_id", "m.b_id", "m.km").persist()
+        hit = cut(within_km(left, b, km, "a_id", b_key, deal="a").groupBy("a_id").agg(F.min(F.struct("km", "b_id")).alias("m")).select("a_id", "m.b_id", "m.km"))
         found = hit if found is None else found.unionByName(hit)
-        left = left.join(hit, "a_id", "left_anti").persist()
+        left = cut(left.join(hit, "a_id", "left_anti"))
         if km > HALF_ROUND_KM or left.isEmpty():
             return found
         km *= grow
@@ -134,18 +170,14 @@ def edge_foot(lon: Column, lat: Column, x1: Column, y1: Column, x2: Column, y2:
     return x1 + t * (x2 - x1), y1 + t * (y2 - y1)
 
 
-def cells_of_edge(km: float, size: float, max_lat: float = 85.0) -> Column:
-    """All cells (x, y) of `size` degrees within km of an edge: the edge is cut into pieces of at most `size` degrees."""
+def cells_of_edge(km: float, size: float) -> Column:
+    """All cells within km of an edge: the edge is cut into pieces of at most `size` degrees."""
     n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / size).cast("int"))
-    dy = F.lit(km / KM_PER_DEG)
 
     def around(i: Column) -> Column:
         at = lambda a, b, j: F.col(a) + (F.col(b) - F.col(a)) * j / n
         xa, xb, ya, yb = at("x1", "x2", i), at("x1", "x2", i + 1), at("y1", "y2", i), at("y1", "y2", i + 1)
-        dx = dy / F.cos(F.radians(F.least(F.greatest(F.abs(ya), F.abs(yb)) + dy, F.lit(max_lat))))
-        xs = F.sequence(geo.cell(F.least(xa, xb) - dx, size), geo.cell(F.greatest(xa, xb) + dx, size))
-        ys = F.sequence(geo.cell(F.least(ya, yb) - dy, size), geo.cell(F.greatest(ya, yb) + dy, size))
-        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+        return near_cells(F.least(xa, xb), F.greatest(xa, xb), F.least(ya, yb), F.greatest(ya, yb), km, size)
 
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), around)))
 
@@ -153,18 +185,22 @@ def cells_of_edge(km: float, size: float, max_lat: float = 85.0) -> Column:
 def nearest_edge(a: DataFrame, edges: DataFrame, km: float = 50.0, grow: float = 4.0) -> DataFrame:
     """(row_id, region, km) for each row (row_id, lon, lat): the region of the nearest edge, to a millimetre, the smaller one at a tie.
 
-    Edges are dealt to the cells within `km` of them; rings grow until every row is served. Nothing if there are no edges.
+    Edges are dealt to the cells within `km` of them; rings grow until every row is served. An edge may lie across 180
+    degrees from a point: it is measured from the point's own side. Nothing if there are no edges.
     """
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    left, found = a.select("row_id", "lon", "lat"), None
+    lon, lat = F.col("lon"), F.col("lat")
+    left, found = cut(a.select("row_id", "lon", "lat").where((F.abs(lon) < 1e6) & (F.abs(lat) <= 90.0))), None
     while True:
-        size = max(km / KM_PER_DEG, 1e-6)
+        size = min(180.0, max(km / KM_PER_DEG, 1e-6))
         e = edges.select("region", *ends, F.explode(cells_of_edge(km, size)).alias("_c")).select("region", *ends, F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y"))
-        j = left.withColumns({"_x": geo.cell(F.col("lon"), size), "_y": geo.cell(F.col("lat"), size)}).join(e, ["_x", "_y"])
-        j = j.withColumn("km", geo.haversine_km(F.col("lon"), F.col("lat"), *edge_foot(F.col("lon"), F.col("lat"), *ends))).where(F.col("km") <= km)
-        hit = j.groupBy("row_id").agg(F.min(F.struct(F.round("km", 6).alias("km"), "region")).alias("m")).select("row_id", "m.region", "m.km").persist()
+        cell = cell_of(lon, lat, size)
+        j = left.withColumns({"_x": cell["x"], "_y": cell["y"]}).join(e, ["_x", "_y"])
+        turns = F.round((F.col("x1") + F.col("x2") - 2 * lon) / 720.0) * 360.0
+        j = j.withColumn("km", geo.haversine_km(lon, lat, *edge_foot(lon, lat, F.col("x1") - turns, F.col("y1"), F.col("x2") - turns, F.col("y2")))).where(F.col("km") <= km)
+        hit = cut(j.groupBy("row_id").agg(F.min(F.struct(F.round("km", 6).alias("km"), "region")).alias("m")).select("row_id", "m.region", "m.km"))
         found = hit if found is None else found.unionByName(hit)
-        left = left.join(hit, "row_id", "left_anti").persist()
+        left = cut(left.join(hit, "row_id", "left_anti"))
         if km > HALF_ROUND_KM or left.isEmpty():
             return found
         km *= grow

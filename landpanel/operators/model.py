@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from . import evaluate
-from .panel import class_centres
 
 
 def nearest_centroid(test: DataFrame, train: DataFrame, by: list[str] | None = None, min_n: int = 1) -> DataFrame:
@@ -95,13 +93,18 @@ def local_models(test: DataFrame, samples: DataFrame, tiles: list[str]) -> DataF
 
 
 def logo_eval(df: DataFrame, group: str) -> DataFrame:
-    """Leave-one-group-out with centres: a group's centres without it are the sums of all others."""
-    sums = df.select("class_new", group, F.posexplode("v").alias("k", "x")).groupBy("class_new", group, "k").agg(F.sum("x").alias("s"))
-    total = sums.groupBy("class_new", "k").agg(F.sum("s").alias("t"))
-    groups = df.select(group).distinct()
-    rest = total.join(F.broadcast(groups)).join(sums, ["class_new", group, "k"], "left").select("class_new", group, "k", (F.col("t") - F.coalesce("s", F.lit(0.0))).alias("m"))
-    c = rest.groupBy(group, "class_new").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("m")).where(vec.l2norm("m") > 1e-6)
-    packed = c.groupBy(group).agg(F.collect_list(F.struct(F.col("class_new").alias("c"), vec.unit("m").alias("m"))).alias("_all"))
+    """Leave-one-group-out with centres: a group's centres without it are the sums of all rows less its own.
+
+    Sums are one vector for each class, and for each class and group; a group's row packs its own, so no group meets
+    another's.
+    """
+    summed = vector_to_array(Summarizer.sum(array_to_vector("v")))
+    own = df.groupBy(group, F.col("class_new").alias("c")).agg(summed.alias("s"))
+    total = df.groupBy(F.col("class_new").alias("c")).agg(summed.alias("t")).agg(F.collect_list(F.struct("c", "t")).alias("_total"))  # one row: the classes
+    own = own.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("c", "s"))).alias("_own"))
+    less = lambda x: F.when(F.map_contains_key("_own", x["c"]), F.zip_with(x["t"], F.try_element_at("_own", x["c"]), lambda p, q: p - q)).otherwise(x["t"])
+    rest = own.join(F.broadcast(total)).select(group, F.transform("_total", lambda x: F.struct(x["c"], less(x).alias("m"))).alias("_rest"))
+    packed = rest.select(group, F.transform(F.filter("_rest", lambda x: vec.l2norm(x["m"]) > 1e-6), lambda x: F.struct(x["c"], vec.unit(x["m"]).alias("m"))).alias("_all"))
     scored = F.transform("_all", lambda x: F.struct(F.round(vec.dot("_u", x["m"]), 9).alias("s"), (-x["c"]).alias("c")))
     return df.join(packed, group).withColumn("_u", vec.unit("v")).withColumn("pred", -F.array_max(scored)["c"]).drop("_all", "_u")
 
@@ -116,6 +119,14 @@ def baseline_compare(train: DataFrame, val: DataFrame) -> DataFrame:
     return j.withColumn("gain", F.col("features_oa") - F.col("coords_oa"))
 
 
+def forest_baseline(train: DataFrame, val: DataFrame, trees: int = 150, depth: int = 20) -> DataFrame:
+    """(features_oa, coords_oa, gain): the same forest on the vectors and on coordinates alone."""
+    xy = lambda d: d.withColumn("v", F.array("lon", "lat"))
+    oa = lambda d, n: d.agg(F.avg((F.col("pred") == F.col("class_new")).cast("int")).alias(n))
+    a, b = rf_eval(train, val, trees, depth=depth), rf_eval(xy(train), xy(val), trees, depth=depth)
+    return oa(a, "features_oa").join(F.broadcast(oa(b, "coords_oa"))).withColumn("gain", F.col("features_oa") - F.col("coords_oa"))
+
+
 def separability(df: DataFrame, label: str, folds: int = 5, fold: Column | None = None) -> DataFrame:
     """(fold, bal_acc) of a logistic regression between two classes (a linear separator)."""
     d = df.withColumns({"features": array_to_vector("v"), "_y": F.col(label).cast("double"), "_f": fold if fold is not None else F.pmod(F.xxhash64("row_id"), F.lit(folds)).cast("int")}).persist()
@@ -177,17 +188,18 @@ def centroid_distance(df: DataFrame, k: int = 3) -> DataFrame:
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("rank") <= k)
 
 
-def silhouette(df: DataFrame) -> float:
-    from pyspark.ml.evaluation import ClusteringEvaluator
+def silhouette(df: DataFrame) -> DataFrame:
+    """(n, silhouette): mean of (b - a) / max(a, b) over rows, with cosine distances; a class of one counts as 0.
 
-    d = df.select(array_to_vector("v").alias("features"), F.col("class_new").cast("double").alias("prediction"))
-    return ClusteringEvaluator(distanceMeasure="cosine").evaluate(d)
-
-
-def centre_model_rows(panel: DataFrame, min_n: int = 30) -> DataFrame:
-    return class_centres(panel, min_n)
-
-
-def forest_nodes(trees: int, depth: int) -> int:
-    """An upper bound of a forest's nodes, to choose depth by."""
-    return trees * int(math.pow(2, depth + 1) - 1)
+    The mean distance of a row to a class is 1 less its dot product with the class's mean unit vector, so classes are
+    summed once and no rows are paired.
+    """
+    d = df.select(F.col("class_new").alias("c"), vec.unit("v").alias("u"))
+    c = d.groupBy("c").agg(vector_to_array(Summarizer.sum(array_to_vector("u"))).alias("s"), F.count("*").alias("n"))
+    every = c.agg(F.collect_list(F.struct("c", "s", "n")).alias("_all"))  # one row: the classes
+    j = d.join(F.broadcast(every))
+    own = F.get(F.filter("_all", lambda x: x["c"] == F.col("c")), F.lit(0))
+    a = F.when(own["n"] > 1, 1.0 - (vec.dot("u", own["s"]) - vec.dot("u", "u")) / (own["n"] - 1))
+    b = F.array_min(F.transform(F.filter("_all", lambda x: x["c"] != F.col("c")), lambda x: 1.0 - vec.dot("u", x["s"]) / x["n"]))
+    s = F.when(a.isNull() | b.isNull(), 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+    return j.agg(F.count("*").alias("n"), F.avg(s).alias("silhouette"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, vec
+from ..sources.shared import cut
 
 YEARS = (2017, 2024)
 
@@ -58,12 +59,15 @@ def yearly_delta(panel: DataFrame) -> DataFrame:
 
 
 def robust_z(df: DataFrame, columns: dict[str, str], by: list[str], min_n: int = 100) -> DataFrame:
-    """Adds (x - median) / (1.4826 * MAD + 1e-9) of each group with at least `min_n` values, for {column: name} in two passes."""
+    """Adds (x - median) / (1.4826 * MAD + 1e-9) of each group with at least `min_n` values, for {column: name} in two passes.
+
+    Groups are few (classes by years), so their figures are broadcast and the rows stay where they are.
+    """
     mid = df.groupBy(*by).agg(*(F.expr(f"percentile({c}, 0.5)").alias(f"_med_{c}") for c in columns), *(F.count(c).alias(f"_n_{c}") for c in columns))
-    d = df.join(mid, by, "left")
+    d = df.join(F.broadcast(mid), by, "left")
     mad = d.groupBy(*by).agg(*(F.expr(f"percentile(abs({c} - _med_{c}), 0.5)").alias(f"_mad_{c}") for c in columns))
     z = {out: F.when(F.col(f"_n_{c}") >= min_n, (F.col(c) - F.col(f"_med_{c}")) / (F.lit(1.4826) * F.col(f"_mad_{c}") + 1e-9)) for c, out in columns.items()}
-    return d.join(mad, by, "left").withColumns(z).drop(*(f"{k}_{c}" for k in ("_med", "_n", "_mad") for c in columns))
+    return d.join(F.broadcast(mad), by, "left").withColumns(z).drop(*(f"{k}_{c}" for k in ("_med", "_n", "_mad") for c in columns))
 
 
 def class_percentiles(df: DataFrame, c: str = "cos_center", by=("class_new", "year"), min_n: int = 100, approx: bool = False) -> DataFrame:
@@ -92,8 +96,10 @@ def quality(panel: DataFrame, points: DataFrame, apply_window: bool = True, min_
     """Every point-year with its checks, status, reason and training weight.
 
     Centres are taken over all loaded points of a year, or with scope='window' over those inside their validity window;
-    yearly change always looks at all vectors; medians, percentiles and the ladder see the rows inside the window. The
-    vectors are read once.
+    yearly change always looks at all vectors; medians, percentiles and the ladder see the rows inside the window.
+
+    The vectors are read twice, for the centres and to compare with them. What is known then, without vectors, is written
+    to the shared folder; everything after reads only that.
     """
     d = with_validity(panel)
     meta = points.select("row_id", "lon", "lat", "tier", "src", "src_conf", "valid_from", "valid_to")
@@ -103,6 +109,7 @@ def quality(panel: DataFrame, points: DataFrame, apply_window: bool = True, min_
     else:
         d = with_deltas(cos_to_center(d, min_n)).drop("v").join(meta, "row_id")
         d = d.where(in_window(F.col("year"))) if apply_window else d
+    d = cut(d)
     d = robust_z(d, {c: f"{c}_z" for c in ("delta_prev", "delta_next")}, ["class_new", "year"], min_n_stats)
     p = class_percentiles(d, min_n=min_n_stats).drop("n")
     d = qc_ladder(d.join(F.broadcast(p), ["class_new", "year"], "left")).drop("p01", "p05", "valid_from", "valid_to")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from .clean import assign_ids
 from .joins import seeded, within_km
 
 
@@ -45,8 +46,9 @@ def hard_negatives(pos: DataFrame, pool: DataFrame, km: float = 2.0, seed: int =
     near = within_km(pool.withColumnRenamed("row_id", "a_id"), pos.select(F.col("row_id").alias("b_id"), "lon", "lat"), km).select(F.col("a_id").alias("row_id")).distinct()
     d = pool.join(pos.select("row_id"), "row_id", "left_anti").join(near.withColumn("_h", F.lit(True)), "row_id", "left")
     d = d.select("row_id", F.when(F.col("_h"), "hard").otherwise("background").alias("kind"))
+    d = d.withColumns({"_k": (F.col("kind") == "background").cast("int"), "_o": seeded("row_id", seed)})
     n = pos.count()
-    return d.orderBy((F.col("kind") == "background").cast("int"), seeded("row_id", seed), "row_id").limit(n)
+    return assign_ids(d, ["_k", "_o", "row_id"], "_n").where(F.col("_n") < n).select("row_id", "kind")
 
 
 def quota_audit(df: DataFrame, regions: DataFrame, classes: DataFrame, least: int = 500) -> DataFrame:

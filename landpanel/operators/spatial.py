@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.shared import cut
 from .joins import seeded, within_km
 
 
@@ -16,7 +17,7 @@ def cell_dedup(df: DataFrame, deg: float = 0.005, key: str = "row_id") -> DataFr
     return d.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_x", "_y", "_n")
 
 
-def thin(df: DataFrame, km: float = 0.25, key: str = "row_id", checkpoint: bool = True) -> DataFrame:
+def thin(df: DataFrame, km: float = 0.25, key: str = "row_id") -> DataFrame:
     """Points no two of which are within `km`: what a greedy pass in the seeded order would keep, found in parallel.
 
     In each round a point that comes first among its undecided neighbours stays and its neighbours go; a chain of
@@ -26,28 +27,17 @@ def thin(df: DataFrame, km: float = 0.25, key: str = "row_id", checkpoint: bool
     near = within_km(p.withColumnRenamed(key, "a_id"), p.withColumnRenamed(key, "b_id"), km).where("a_id <> b_id").select("a_id", "b_id")
     order = p.select(F.col(key).alias("a_id"), F.col("o").alias("ao")), p.select(F.col(key).alias("b_id"), F.col("o").alias("bo"))
     edges = near.join(order[0], "a_id").join(order[1], "b_id").select("a_id", "b_id", F.struct("ao", "a_id").alias("fa"), F.struct("bo", "b_id").alias("fb"))
-    edges, gone = _cut(edges, checkpoint), None
+    edges, gone = cut(edges), None
     while not edges.isEmpty():
         stay = edges.groupBy("a_id").agg(F.bool_and(F.col("fa") < F.col("fb")).alias("s")).where("s").select("a_id")
         out = edges.join(stay, "a_id", "left_semi").select(F.col("b_id").alias("a_id")).distinct()
-        out = _cut(out, checkpoint)
+        out = cut(out)
         gone = out if gone is None else gone.unionByName(out)
         both = stay.unionByName(out)
-        edges = _cut(edges.join(both, "a_id", "left_anti").join(both.withColumnRenamed("a_id", "b_id"), "b_id", "left_anti").select("a_id", "b_id", "fa", "fb"), checkpoint)
+        edges = cut(edges.join(both, "a_id", "left_anti").join(both.withColumnRenamed("a_id", "b_id"), "b_id", "left_anti").select("a_id", "b_id", "fa", "fb"))
     return df if gone is None else df.join(gone.withColumnRenamed("a_id", key), key, "left_anti")
 
 
-def _cut(df: DataFrame, checkpoint: bool) -> DataFrame:
-    if not checkpoint:
-        return df.persist()
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def focal(grid: DataFrame, radius: int = 1, code: int | None = None) -> DataFrame:
     """(row, col, code, n, same, share): neighbours inside the grid, those of the same code, and their share; with `code`, the share of that code."""
     step = F.sequence(F.lit(-radius), F.lit(radius))

@@ -131,8 +131,7 @@ def a21_risk_ratio(spark, sf_dir):
 
 @query()
 def a21_permutation_p(spark, sf_dir):
-    d = scored(spark, sf_dir).withColumn("k", F.col("row_id") * 10000 + F.col("year"))
-    return E.permutation_p(d, ["zone"], *sides(), perms=50, key="k")
+    return E.permutation_p(scored(spark, sf_dir), ["zone"], *sides())
 
 
 @query(f"WITH {OA_BY}, f AS (SELECT year, avg(CASE WHEN zone < 'p3' THEN oa END) AS a, avg(CASE WHEN zone >= 'p3' THEN oa END) AS b FROM o GROUP BY year) SELECT count(*) AS n, round(avg(a - b), 6) AS mean, round(stddev_samp(a - b), 6) AS sd, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t FROM f")
@@ -141,6 +140,25 @@ def a25_paired_t(spark, sf_dir):
     return rounded(E.paired_t(d.groupBy("year").agg(F.avg(F.when(F.col("zone") < "p3", F.col("oa"))).alias("a"), F.avg(F.when(F.col("zone") >= "p3", F.col("oa"))).alias("b"))), "mean", "sd", "t")
 
 
+def folds(spark, sf_dir):
+    d = predictions(spark, sf_dir).groupBy("zone", "year").agg(F.avg((F.col("truth") == F.col("pred")).cast("int")).alias("oa"))
+    return d.groupBy("year").agg(F.avg(F.when(F.col("zone") < "p3", F.col("oa"))).alias("a"), F.avg(F.when(F.col("zone") >= "p3", F.col("oa"))).alias("b"))
+
+
+def scattered(k: int) -> str:
+    x = f"((k % 2147483647 + {k}) * 2654435761 % 2147483647)"
+    y = f"(({x} * {x} + {k}) % 2147483647)"
+    return f"(({y} * {y} + {x}) % 2147483647 + 0.5::DOUBLE) / 2147483647.0::DOUBLE"
+
+
+@query(f"""WITH {OA_BY}, f AS (SELECT year, avg(CASE WHEN zone < 'p3' THEN oa END) AS a, avg(CASE WHEN zone >= 'p3' THEN oa END) AS b FROM o GROUP BY year),
+t AS (SELECT count(*) AS n, avg(a - b) AS mean, coalesce(stddev_samp(a - b), 0) AS sd FROM f), k AS (SELECT r, n, mean, sd, r * n + i AS k FROM t, range(20000) x(r), range(1000) y(i) WHERE i < n),
+m AS (SELECT r, n, mean, avg(mean + sd * (sqrt(-2.0::DOUBLE * ln({scattered(7)})) * cos(2.0::DOUBLE * 3.141592653589793::DOUBLE * ({scattered(104736)})))) AS m FROM k GROUP BY ALL)
+SELECT n, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY n, mean""")
+def a25_parametric_ci(spark, sf_dir):
+    return rounded(E.parametric_ci(folds(spark, sf_dir)), "mean", "lo", "hi")
+
+
 @query()
 def a25_bootstrap_ci(spark, sf_dir):
     return E.bootstrap_ci(scored(spark, sf_dir).withColumn("k", F.col("row_id") * 10000 + F.col("year")), "label", reps=100, key="k")
@@ -195,9 +213,9 @@ def a37_review_qc(spark, sf_dir):
     return rounded(E.review_qc(d, d.select("doc_id", F.col("answer2").alias("answer"), F.col("fine2").alias("fine")), "doc_id"), "agree3", "no_audit", "fine_agree")
 
 
-@query(f"WITH {CM} SELECT least(truth, pred) AS a, greatest(truth, pred) AS b, sum(n)::BIGINT AS n FROM cm WHERE truth <> pred GROUP BY ALL ORDER BY n DESC, a, b LIMIT 10")
+@query(f"WITH {CM} SELECT least(truth, pred) AS a, greatest(truth, pred) AS b, sum(n)::BIGINT AS n FROM cm WHERE truth <> pred GROUP BY ALL")
 def a38_confused_pairs(spark, sf_dir):
-    return E.confused_pairs(E.confusion(predictions(spark, sf_dir))).orderBy(F.desc("n"), "a", "b").limit(10)
+    return E.confused_pairs(E.confusion(predictions(spark, sf_dir))).orderBy(F.desc("n"), "a", "b")
 
 
 @query(f"WITH {PREDICTIONS}, f AS (SELECT truth FROM predictions GROUP BY truth HAVING count(*) >= 30), cms AS (SELECT 'fine' AS level, truth, pred, count(*) AS n FROM predictions WHERE truth IN (SELECT truth FROM f) GROUP BY ALL UNION ALL SELECT 'group', truth // 3, pred // 3, count(*) FROM predictions GROUP BY ALL UNION ALL SELECT 'top', truth // 6, pred // 6, count(*) FROM predictions GROUP BY ALL), {classes('level', 'cms')} SELECT level, {METRICS} FROM pc GROUP BY level")

@@ -8,7 +8,7 @@ from ..functions import geo
 from ..operators import evaluate as E
 from ..operators import joins
 from ..operators import model as M
-from .base import NORM, POINTS, points, query, rounded
+from .base import NORM, POINTS, SEEDED, points, query, rounded
 
 
 def split(spark, sf_dir):
@@ -38,7 +38,14 @@ def m3_regional_models(spark, sf_dir):
     return M.local_models(test, train.where("province IS NOT NULL"), ["province"]).select("row_id", "province", "pred")
 
 
-@query()
+@query(f"""WITH {POINTS}, tile AS (SELECT row_id, class_new, v, floor((lon - 73.0::DOUBLE) / 8)::BIGINT AS tx, floor((lat - 18.0::DOUBLE) / 8)::BIGINT AS ty, lon, lat, row_id % 2 = 0 AS learn FROM points),
+used AS (SELECT DISTINCT tx, ty FROM tile WHERE NOT learn),
+dealt AS (SELECT u.tx, u.ty, t.row_id, t.class_new, t.v, row_number() OVER (PARTITION BY u.tx, u.ty ORDER BY {SEEDED.format('t.row_id', 0)}, t.row_id) AS k FROM used u JOIN tile t ON t.learn
+  AND floor((t.lon - 73.0::DOUBLE - 8) / 8) <= u.tx AND floor((t.lon - 73.0::DOUBLE + 8) / 8) >= u.tx AND floor((t.lat - 18.0::DOUBLE - 8) / 8) <= u.ty AND floor((t.lat - 18.0::DOUBLE + 8) / 8) >= u.ty),
+m0 AS (SELECT tx, ty, class_new, i, avg(x) AS x FROM (SELECT tx, ty, class_new, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM dealt WHERE k <= 20000) GROUP BY ALL),
+m1 AS (SELECT tx, ty, class_new, list(x ORDER BY i) AS m FROM m0 GROUP BY ALL), m AS (SELECT tx, ty, class_new AS c, list_transform(m, lambda x: x / ({NORM.format('m')} + 1e-12)) AS m FROM m1),
+s AS (SELECT p.row_id, p.tx, p.ty, c, round(list_dot_product({UNIT}, m), 9) AS s FROM tile p JOIN m USING (tx, ty) WHERE NOT p.learn), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, c) AS r FROM s)
+SELECT row_id, tx, ty, c AS pred FROM r WHERE r = 1""")
 def m3_local_models(spark, sf_dir):
     train, test = split(spark, sf_dir)
     tx, ty = geo.tile_xy(F.col("lon"), F.col("lat"), 8.0)
@@ -52,7 +59,19 @@ def m6_logo(spark, sf_dir):
     return M.logo_eval(points(spark, sf_dir), "src").select("row_id", "src", "pred")
 
 
-@query()
+def centre_oa(name: str, v: str) -> str:
+    """CTE {name}: accuracy on odd rows of centres of even rows, on the vector `v` of points."""
+    unit = UNIT.replace("p.v", "p.w")
+    return f"""{name}p AS (SELECT row_id, class_new, {v} AS w FROM points), {name}0 AS (SELECT class_new, i, avg(x) AS x FROM (SELECT class_new, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM {name}p WHERE row_id % 2 = 0) GROUP BY ALL),
+{name}1 AS (SELECT class_new, list(x ORDER BY i) AS m FROM {name}0 GROUP BY ALL), {name}m AS (SELECT class_new AS c, list_transform(m, lambda x: x / ({NORM.format('m')} + 1e-12)) AS m FROM {name}1),
+{name}s AS (SELECT row_id, class_new, c, round(list_dot_product({unit}, m), 9) AS s FROM {name}p p CROSS JOIN {name}m WHERE row_id % 2 = 1), {name}r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, c) AS r FROM {name}s),
+{name} AS (SELECT avg((c = class_new)::INTEGER) AS oa FROM {name}r WHERE r = 1)"""
+
+
+XY = "[cos(radians(lat)) * cos(radians(lon)), cos(radians(lat)) * sin(radians(lon)), sin(radians(lat))]"
+
+
+@query(f"WITH {POINTS}, {centre_oa('f', 'v')}, {centre_oa('g', XY)} SELECT round(f.oa, 6) AS features_oa, round(g.oa, 6) AS coords_oa, round(f.oa - g.oa, 6) AS gain FROM f, g")
 def m7_baseline_compare(spark, sf_dir):
     train, test = split(spark, sf_dir)
     return rounded(M.baseline_compare(train, test), "features_oa", "coords_oa", "gain")
@@ -72,7 +91,7 @@ def forest_rows(spark, sf_dir):
 @query()
 def m1_random_forest(spark, sf_dir):
     train, test = forest_rows(spark, sf_dir)
-    return M.rf_eval(train, test, trees=20, depth=8).select("row_id", "class_new", "pred")
+    return M.rf_eval(train, test).select("row_id", "class_new", "pred")
 
 
 @query()
@@ -96,6 +115,20 @@ def m9_separability(spark, sf_dir):
     return rounded(M.separability(p, "y", 3), "bal_acc")
 
 
+@query(f"""WITH {POINTS}, u AS (SELECT row_id, class_new AS c, list_transform(v, lambda x: x / ({NORM.format('v')} + 1e-12)) AS u FROM points),
+d AS (SELECT a.row_id, a.c, b.c AS other, avg(1 - list_dot_product(a.u, b.u)) AS d, count(*) AS n FROM u a JOIN u b ON a.row_id <> b.row_id GROUP BY ALL),
+s AS (SELECT row_id, max(CASE WHEN c = other THEN d END) AS a, min(CASE WHEN c <> other THEN d END) AS b FROM d GROUP BY row_id)
+SELECT (SELECT count(*) FROM points) AS n, round(sum(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) / (SELECT count(*) FROM points), 6) AS silhouette FROM s""")
+def g11_silhouette(spark, sf_dir):
+    return rounded(M.silhouette(points(spark, sf_dir)), "silhouette")
+
+
+@query()
+def m7_forest_baseline(spark, sf_dir):
+    train, test = forest_rows(spark, sf_dir)
+    return rounded(M.forest_baseline(train, test), "features_oa", "coords_oa", "gain")
+
+
 @query()
 def g11_centroid_distance(spark, sf_dir):
     return rounded(M.centroid_distance(points(spark, sf_dir)), "distance")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import clean, diag, joins, textlog
-from ..sources import io
+from ..operators import clean, diag, evaluate, joins, textlog
+from ..sources import io, shared
 from ..sources.io import table
 from ..streaming import streams
 from .base import POINTS, PREDICTIONS, SEEDED, points, predictions, query, rounded
@@ -20,7 +19,7 @@ def s1_scan(spark, sf_dir):
 
 @query("SELECT count(*) AS n, round(sum(l_quantity), 4) AS q FROM lineitem WHERE year(l_shipdate) = 1995")
 def s2_scan_year(spark, sf_dir):
-    d = table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == 1995)
+    d = io.scan_between(spark, f"{sf_dir}/lineitem.parquet", "l_shipdate", "1995-01-01", "1996-01-01", ["l_quantity"])
     return rounded(d.agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q")), "q", digits=4)
 
 
@@ -30,6 +29,54 @@ def s8_sanitize(spark, sf_dir):
     return rounded(io.sanitize(d), "value")
 
 
+@query("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys, 1::BIGINT AS n_skipped FROM orders")
+def s3_scan_tolerant(spark, sf_dir):
+    """A copy of the orders beside a file that is no Parquet: all rows are read, the file is named."""
+    at, o = shared.place(spark, "tolerant"), table(spark, sf_dir, "orders").select("o_orderkey")
+    o.write.parquet(f"{at}/good")
+    o.limit(1).select(F.lit("no table").alias("value")).write.text(f"{at}/bad")
+    rows, skipped = io.scan_tolerant(spark, at, pattern="part-*", schema=o.schema)
+    return rows.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")).join(F.broadcast(skipped.agg(F.count("*").alias("n_skipped"))))
+
+
+@query(f"WITH {PREDICTIONS} SELECT truth, pred, count(*) AS n FROM predictions GROUP BY ALL")
+def s5_matrix_csv(spark, sf_dir):
+    """The confusion matrix written as CSV and read again."""
+    at = shared.place(spark, "matrix")
+    io.write_csv(evaluate.confusion(predictions(spark, sf_dir)), at)
+    return io.read_csv(spark, at, "truth int, pred int, n bigint")
+
+
+@query("SELECT true AS first, false AS again, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders")
+def s9_export_once(spark, sf_dir):
+    """Exported the first time, left alone the second."""
+    at, o = shared.place(spark, "export"), table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    first, again = io.export_if_changed(o, at), io.export_if_changed(o, at)
+    return spark.read.parquet(at).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")).select(F.lit(first).alias("first"), F.lit(again).alias("again"), "n", "keys")
+
+
+@query("SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) AS n_first, (SELECT count(*) FROM orders) AS n_second, (SELECT count(*) FROM orders) AS n_third, sum(o_orderkey)::BIGINT AS keys FROM orders")
+def x1_copy_new(spark, sf_dir):
+    """Files that arrive in two lots: each is copied once, and a third look copies nothing."""
+    at, o = shared.place(spark, "arrivals"), table(spark, sf_dir, "orders").select("o_orderkey")
+    n = []
+    for lot in ("o_orderkey % 3 <> 0", "o_orderkey % 3 = 0", None):
+        if lot:
+            o.where(lot).write.mode("append").parquet(f"{at}/in")
+        n.append(streams.copy_new(spark, f"{at}/in", f"{at}/out", f"{at}/progress", o.schema))
+    counts = [F.lit(x).cast("bigint").alias(name) for x, name in zip(n, ("n_first", "n_second", "n_third"), strict=True)]
+    return spark.read.parquet(f"{at}/out").agg(F.sum("o_orderkey").alias("keys")).select(*counts, "keys")
+
+
+@query(f"WITH {PREDICTIONS} SELECT year, count(*) AS n, count(*) FILTER (truth = pred) AS hits, count(DISTINCT zone) AS zones FROM predictions GROUP BY year")
+def m12_prediction_sink(spark, sf_dir):
+    """Predictions written by year, one year written again, and read back."""
+    at, p = shared.place(spark, "predictions"), predictions(spark, sf_dir).withColumnRenamed("truth", "class_new")
+    io.save_predictions(p, at)
+    io.save_predictions(p.where("year = 2020"), at)
+    return io.scan(spark, at).groupBy("year").agg(F.count("*").alias("n"), F.count_if(F.col("class_new") == F.col("pred")).alias("hits"), F.count_distinct("zone").alias("zones"))
+
+
 @query("SELECT (l_orderkey % 8)::INTEGER AS shard, count(*) AS n FROM lineitem GROUP BY 1")
 def s11_shard(spark, sf_dir):
     return io.shard(table(spark, sf_dir, "lineitem"), 8, "l_orderkey").groupBy("shard").agg(F.count("*").alias("n"))
@@ -40,7 +87,7 @@ def s10_file_manifest(spark, sf_dir):
     return io.file_manifest(spark, sf_dir, "*.parquet").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "bytes", "md5", "sha256")
 
 
-@query()
+@query("""SELECT '{"l_returnflag":"' || l_returnflag || '","n":' || count(*) || '}' AS value FROM lineitem GROUP BY l_returnflag""")
 def s6_report_json(spark, sf_dir):
     return io.report_json(table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n")))
 
@@ -357,5 +404,5 @@ def o2_first_n(spark, sf_dir):
 @query("WITH c AS (SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT l_suppkey, round(q, 4) AS q, round(sum(q) OVER (ORDER BY q, l_suppkey ROWS UNBOUNDED PRECEDING) / sum(q) OVER (), 6) AS share FROM c")
 def w9_cumulative_share(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"))
-    w = Window.orderBy("q", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
-    return rounded(rounded(c.select("l_suppkey", "q", (F.sum("q").over(w) / F.sum("q").over(Window.partitionBy())).alias("share")), "q", digits=4), "share")
+    d = clean.running(c, ["q", "l_suppkey"], {"before": F.col("q")}).join(F.broadcast(c.agg(F.sum("q").alias("t"))))
+    return rounded(rounded(d.select("l_suppkey", "q", ((F.col("before") + F.col("q")) / F.col("t")).alias("share")), "q", digits=4), "share")

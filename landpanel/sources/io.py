@@ -27,6 +27,14 @@ def scan_year(spark: SparkSession, path: str, year: int, cols: list[str] | None
     return scan(spark, path, cols).where(F.col(column) == year)
 
 
+def scan_between(spark: SparkSession, path: str, column: str, first: str, end: str, cols: list[str] | None = None) -> DataFrame:
+    """Rows with `column` from `first` to before `end`, times written as text: a range that file and row-group statistics can rule out."""
+    d = spark.read.parquet(path)
+    kind = d.schema[column].dataType
+    d = d.where((F.col(column) >= F.lit(first).cast(kind)) & (F.col(column) < F.lit(end).cast(kind)))
+    return d.select(*cols) if cols else d
+
+
 def scan_tolerant(spark: SparkSession, path: str, pattern: str = "*.parquet", schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, files skipped): unreadable files are left out and listed by comparing what was read with what is there."""
     r = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
