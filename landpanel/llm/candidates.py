@@ -26,10 +26,10 @@ from .graph import components
 BLOCK, BLOCKS = 96, 32
 
 
-def sets(keys: DataFrame, *ids: str) -> DataFrame:
+def sets(keys: DataFrame) -> DataFrame:
     """(key, hub): one key for each different set of two or more ids, and the set's smallest; sums combine before the shuffle."""
-    digests = [F.bit_xor(F.xxhash64(F.lit(k), *ids)).alias(f"s{k}") for k in (1, 2)]
-    same = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(ids[0]).alias("hub"), *digests).where(F.col("n") > 1)
+    digests = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"s{k}") for k in (1, 2)]
+    same = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub"), *digests).where(F.col("n") > 1)
     return same.groupBy("n", "hub", "s1", "s2").agg(F.min("key").alias("key")).select("key", "hub")
 
 
@@ -62,7 +62,7 @@ def connect(keys: DataFrame, weights: DataFrame, check: Callable[[DataFrame], Da
     `check` keeps the true links of pairs (a, b); `search` finds links (a, b) in tiles of members as `blocks` gives
     them; `weights` has (id, weight), a block weighs `heavy` at most; `more` has links known before.
     """
-    held = cut(attach(keys, cut(sets(keys, "id")), ["key"]))
+    held = cut(attach(keys, cut(sets(keys)), ["key"]))
     pairs = held.where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     found = cut(check(pairs))
     found = found if more is None else found.unionByName(more)

@@ -29,12 +29,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .candidates import connect, sets, tiles
+from .candidates import connect, tiles
 from .common import attach, by_blocks, cut
 from .sketch import _STEP, U, mix
 
 LEAST, EDITS = 24, 2
 BLOCK_LINES, BLOCK_CHARS = 96, 500_000
+#: Lines that a task remembers, lines that make a key hot, and one line in how many is looked at to find such keys.
+SEEN, HOT, SAMPLE = 200_000, 262_144, 128
 #: Base of the running sums and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -150,24 +152,61 @@ def occurrences(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
 
 
 def keyed(lines: DataFrame, edits: int) -> DataFrame:
-    """(h1, h2, key): all keys of the lines (h1, h2, line)."""
+    """(key, h1): all keys of the lines (h1, line). A task gives a line that it meets again no second time."""
 
     def run(batches):
         import pyarrow as pa
 
+        seen: set[int] = set()
         for batch in batches:
-            h1, h2 = (batch.column(k).to_numpy() for k in (0, 1))
-            at = 0
+            h1, at = batch.column(0).to_pylist(), 0
             while at < batch.num_rows:  # about a million characters at once
-                part, chars = [], 0
-                while at + len(part) < batch.num_rows and len(part) < 4096 and chars < 1_000_000:
-                    part.append(batch.column(2)[at + len(part)].as_py())
-                    chars += len(part[-1])
+                part, names, chars = [], [], 0
+                while at < batch.num_rows and len(part) < 4096 and chars < 1_000_000:
+                    if h1[at] not in seen:
+                        seen.add(h1[at])
+                        names.append(h1[at])
+                        part.append(batch.column(1)[at].as_py())
+                        chars += len(part[-1])
+                    at += 1
                 owner, key = line_keys(part, edits)
-                yield pa.RecordBatch.from_arrays([pa.array(h1[at + owner]), pa.array(h2[at + owner]), pa.array(key)], names=["h1", "h2", "key"])
-                at += len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(names, np.int64)[owner])], names=["key", "h1"])
+                if len(seen) > SEEN:
+                    seen.clear()
 
-    return lines.select("h1", "h2", "line").mapInArrow(run, "h1 bigint, h2 bigint, key bigint")
+    return lines.select("h1", "line").mapInArrow(run, "key bigint, h1 bigint")
+
+
+def shared(keys: DataFrame) -> DataFrame:
+    """The different rows (key, h1) of the keys that more than one h1 has: one shuffle, read as a sorted stream."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            key, h1 = (batch.column(k).to_numpy() for k in (0, 1))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])
+            if held is not None and len(key) and held[:2] == (key[0], h1[0]):
+                new[0] = False
+            key, h1 = key[new], h1[new]
+            if not len(key):
+                continue
+            if held is not None:
+                key, h1 = np.concatenate([[held[0]], key]), np.concatenate([[held[1]], h1])
+            after = key[1:] == key[:-1]
+            many = np.zeros(len(key), bool)
+            many[1:] |= after
+            many[:-1] |= after
+            many[0] |= held is not None and held[2]
+            held = (key[-1], h1[-1], bool(many[-1]))
+            if many[:-1].any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[:-1][many[:-1]]), pa.array(h1[:-1][many[:-1]])], names=["key", "h1"])
+        if held is not None and held[2]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([held[0]])), pa.array(np.array([held[1]]))], names=["key", "h1"])
+
+    return keys.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(run, "key bigint, h1 bigint")
 
 
 def packed(members: DataFrame) -> DataFrame:
@@ -277,34 +316,37 @@ def check(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return j.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def candidates(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, h1) of the lines that share a key with another.
+
+    A key that many lines hold is not put in one task: a sample of lines, by their hash, names the keys that about
+    `HOT` or more hold, and since these are surely shared their rows need no look at their neighbours.
+    """
+    keys = keyed(lines, edits)
+    hot = keyed(lines.where(F.pmod("h1", F.lit(SAMPLE)) == 0), edits).distinct().groupBy("key").count().where(F.col("count") >= max(2, HOT // SAMPLE)).select("key")
+    hot = cut(hot)
+    if hot.isEmpty():
+        return shared(keys)
+    keys = cut(attach(keys, hot.withColumn("hot", F.lit(True)), ["key"], how="left"))
+    return shared(keys.where(F.col("hot").isNull()).drop("hot")).unionByName(keys.where("hot").select("key", "h1").distinct())
+
+
 def near_lines(docs: DataFrame, distinct: DataFrame, least: int, edits: int) -> DataFrame:
     """(h1, h2, component) of the lines that have a near line."""
-    lines = occurrences(docs, least)
-    first = (F.col("_line_doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at"))
-    # of a repeated line only the first occurrence is looked at, so that rows of a key are different lines
-    again = distinct.where("n > 1").select("h1", "h2", "first")
-    once = attach(lines, again, ["h1", "h2"], how="left").where(F.col("first").isNull() | first)
-    once = once.dropDuplicates(["h1", "h2"]) if repeated(docs) else once
-    keys = cut(keyed(once, edits))
-    shared = attach(keys, cut(sets(keys, "h1", "h2").select("key")), ["key"])
-    # numbers without collisions for the lines that share a key; they are fixed once written
-    ids = cut(shared.select("h1", "h2").distinct().withColumn("id", F.monotonically_increasing_id()))
-    places = cut(attach(ids, distinct.select("h1", "h2", "first", "chars"), ["h1", "h2"]))
-    keys = cut(attach(shared, ids, ["h1", "h2"]).select("key", "id"))
+    found = cut(candidates(occurrences(docs, least), edits))
+    # lines with equal h1 are told apart by h2; the numbers have no collisions, and are fixed once written
+    some = attach(distinct, cut(found.select("h1").distinct()), ["h1"])
+    places = cut(some.select("h1", "h2", "first", "chars").withColumn("id", F.monotonically_increasing_id()))
+    keys = cut(attach(found, places.select("h1", "id"), ["h1"]).select("key", "id"))
 
     where = places.select("h1", "h2", "id", F.col("first.doc").alias("_line_doc"), F.col("first.at").alias("at"))
     some = attach(docs, cut(where.select(F.col("_line_doc").alias("doc_id")).distinct()), ["doc_id"], how="left_semi")
     texts = cut(attach(occurrences(some, least).select("h1", "h2", "_line_doc", "at", "line"), where, ["h1", "h2", "_line_doc", "at"]).select("id", "line").dropDuplicates(["id"]))
-    found = connect(
+    linked_ = connect(
         keys, places.select("id", F.col("chars").alias("weight")), lambda pairs: check(pairs, texts, edits),
         lambda members: links(cut(packed(attach(members, texts, ["id"]))), edits), heavy=BLOCK_CHARS, block=BLOCK_LINES,
     )
-    return attach(ids, cut(found), ["id"]).select("h1", "h2", "component")
-
-
-def repeated(docs: DataFrame) -> bool:
-    """Whether a doc_id stands in several rows."""
-    return not docs.groupBy("doc_id").count().where(F.col("doc_id").isNotNull() & (F.col("count") > 1)).isEmpty()
+    return attach(places.select("h1", "h2", "id"), cut(linked_), ["id"]).select("h1", "h2", "component")
 
 
 def dropped(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False) -> DataFrame:
@@ -316,15 +358,16 @@ def dropped(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool
     stays = cut(firsts.groupBy("component").agg(F.min("first").alias("stays")))
     near = attach(near, stays, ["component"]).select("h1", "h2", "stays")
     verdict = distinct.where("n > 1").select("h1", "h2", "first").join(near, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("stays", "first").alias("stays"))
-    gone = attach(lines.drop("line"), cut(verdict), ["h1", "h2"])
+    # both sides grow with the corpus, so they are always shuffled
+    gone = lines.drop("line").join(verdict.hint("merge"), ["h1", "h2"])
     gone = gone.where((F.col("_line_doc") != F.col("stays.doc")) | (F.col("at") != F.col("stays.at")))
     return gone.groupBy("_line_doc", "_line_text").agg(F.collect_set("at").alias("_line_drop"))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False) -> DataFrame:
     """The columns of `docs`, texts without their duplicate lines, and _line_count, _line_dropped and _line_chars (before)."""
-    gone = cut(dropped(docs, least, edits, short))
-    d = attach(docs.withColumns({"_line_doc": F.col("doc_id"), "_line_text": F.xxhash64("text")}), gone, ["_line_doc", "_line_text"], how="left")
+    gone = dropped(docs, least, edits, short)
+    d = docs.withColumns({"_line_doc": F.col("doc_id"), "_line_text": F.xxhash64("text")}).join(gone.hint("merge"), ["_line_doc", "_line_text"], "left")
     d = d.select(*docs.columns, "_line_drop")
     names, schema = docs.columns, docs.withColumns({c: F.lit(0).cast("bigint") for c in ("_line_count", "_line_dropped", "_line_chars")}).schema
 

@@ -256,6 +256,46 @@ def test_keys_join_all_near_lines():
         assert set(key[owner == 0]) & set(key[owner == 3])
 
 
+def test_shared_keys_in_small_batches_and_hot_ones(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(r.randint(0, 60), r.randint(0, 8)) for _ in range(120)] + [(100, 1)] * 9 + [(101, x) for x in range(20)]
+    by = {}
+    for k, h in rows:
+        by.setdefault(k, set()).add(h)
+    want = {(k, h) for k, v in by.items() if len(v) > 1 for h in v}
+    keys = spark.createDataFrame(rows, "key bigint, h1 bigint")
+    for n in (1, 2, 7, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        got = list(map(tuple, lines.shared(keys).collect()))
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert set(got) == want and len(got) == len(want)
+    text = [f"{x:04d} the very same ending of every line, near to none" for x in range(0, 4000, 37)] + ["a line that stands alone in this table"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "doc_id bigint, text string")
+    plain = lines.candidates(lines.occurrences(d, 24), 2).distinct().collect()
+    monkeypatch.setattr(lines, "HOT", 8)
+    monkeypatch.setattr(lines, "SAMPLE", 2)
+    assert sorted(plain) == sorted(lines.candidates(lines.occurrences(d, 24), 2).distinct().collect())
+
+
+def test_blocks_of_lines_equal_one_block(spark, monkeypatch):
+    """Near lines with ties and letters of all widths, in blocks so small that every key is cut."""
+    from test_whole_lines import brute_dedup
+
+    r, texts = random.Random(8), {}
+    base = ["".join(r.choice("abcdé😀 ") for _ in range(r.randint(24, 40))) for _ in range(12)]
+    for k in range(60):
+        mine = []
+        for _ in range(r.randint(0, 6)):
+            x = list(r.choice(base))
+            for _ in range(r.randint(0, 3)):
+                x[r.randrange(len(x))] = r.choice(["", "x", "é", "zz"])
+            mine.append("".join(x))
+        texts[k] = "\n".join(mine)
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    monkeypatch.setattr(lines, "BLOCK_LINES", 3)
+    assert {x.doc_id: x.text for x in lines.dedup_lines(d, short=True).collect()} == brute_dedup(texts)
+
+
 # 5
 
 
