@@ -199,8 +199,3 @@ def formatted(parts: DataFrame, longest: int = 1_000_000) -> DataFrame:
             yield out()
 
     return parts.select("conv_id", "part", "segment", "in_loss").mapInArrow(run, schema)
-
-
-def template_json(template: Template) -> str:
-    """The template as declared text."""
-    return json.dumps(template.__dict__, sort_keys=True)

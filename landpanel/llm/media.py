@@ -2,11 +2,13 @@
 
 `describe` walks the nested boxes of a container column, decodes the sample tables (sizes, chunk offsets, samples per
 chunk, durations, sync samples) and stores codec, duration and the byte ranges of the key frames without decoding any
-payload. `pack` writes a container around a payload, with 8-bit samples in frames of 192; `unpack` gives the payload
+payload. Containers in fragments are read too: the runs of samples behind the first index are added to its tables, with
+the defaults of the track and of the fragment. `pack` writes a container around a payload, with 8-bit samples in frames of 192; `unpack` gives the payload
 back from the byte ranges that the sample tables name.
 
-Defined results: a null or empty container, or one without a media track, has null codec and no samples; a box that is
-cut short or claims more bytes than there are ends the walk at that level; repeated and equal rows give equal results;
+Defined results: a null or empty container, or one without a media track, has null codec and no samples; of several
+tracks the first that can be read is described, and `tracks` gives all; a duration of 0 in the header is replaced by the
+sum of the samples' durations; a box that is cut short or claims more bytes than there are ends the walk at that level; repeated and equal rows give equal results;
 an empty table gives an empty result; other columns are not read. A container is one cell, so its size is bounded by a
 cell's; tables are decoded with NumPy in one pass.
 """
@@ -123,7 +125,7 @@ def read_track(data: memoryview, t: dict) -> dict | None:
     stts = numbers(data, t.get(b"stts"), ">u4", 8, 2)
     fixed, n = struct.unpack_from(">II", data, t[b"stsz"][0] + 4) if b"stsz" in t and t[b"stsz"][1] - t[b"stsz"][0] >= 12 else (0, 0)
     n = min(n, len(data))
-    sizes = np.full(n, fixed, np.int64) if fixed else numbers(data, t.get(b"stsz"), ">u4", 12, 1)[:, 0]
+    sizes = np.full(n, fixed, np.int64) if fixed else compact(data, t[b"stz2"]) if b"stz2" in t else numbers(data, t.get(b"stsz"), ">u4", 12, 1)[:, 0]
     offsets = numbers(data, t[b"co64"], ">u8", 8, 1)[:, 0] if b"co64" in t else numbers(data, t.get(b"stco"), ">u4", 8, 1)[:, 0]
     stsc = numbers(data, t.get(b"stsc"), ">u4", 8, 3)
     per = np.zeros(len(offsets), np.int64)
@@ -136,14 +138,103 @@ def read_track(data: memoryview, t: dict) -> dict | None:
     starts = offsets[chunk] + before[:-1] - before[first[chunk]]
     keys = numbers(data, t[b"stss"], ">u4", 8, 1)[:, 0] - 1 if b"stss" in t else np.arange(len(sizes))
     keys = keys[(keys >= 0) & (keys < len(sizes))]
-    return {"codec": codec, "scale": int(scale), "duration": int(duration), "timed": int((stts[:, 0] * stts[:, 1]).sum()), "starts": starts, "sizes": sizes, "keys": keys}
+    number = None
+    if b"tkhd" in t:
+        a, b = t[b"tkhd"]
+        at = a + (20 if b > a and data[a] == 1 else 12)
+        number = struct.unpack_from(">I", data, at)[0] if at + 4 <= b else None
+    return {"track": number, "codec": codec, "scale": int(scale), "duration": int(duration), "timed": int((stts[:, 0] * stts[:, 1]).sum()), "starts": starts, "sizes": sizes, "keys": keys}
+
+
+def compact(data: memoryview, span: tuple[int, int]) -> np.ndarray:
+    """The sizes of a compact table, of 4, 8 or 16 bits each."""
+    a, b = span
+    if b - a < 12:
+        return np.empty(0, np.int64)
+    bits, count = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+    if bits == 16:
+        return np.frombuffer(data, ">u2", min(count, (b - a - 12) // 2), a + 12).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8, b - a - 12, a + 12)
+    if bits == 4:
+        raw = np.stack([raw >> 4, raw & 15], axis=1).ravel()
+    return raw[:count].astype(np.int64) if bits in (4, 8) else np.empty(0, np.int64)
+
+
+def optional(data: memoryview, at: int, end: int, flags: int, fields: dict[int, str]) -> tuple[dict[int, int], int]:
+    """The fields of a box that its flags say are there, in order, and where they end."""
+    out = {}
+    for bit, kind in fields.items():
+        if flags & bit:
+            n = struct.calcsize(kind)
+            if at + n > end:
+                break
+            out[bit] = struct.unpack_from(kind, data, at)[0]
+            at += n
+    return out, at
+
+
+def runs(data: memoryview, defaults: dict[int, dict[int, int]]):
+    """(track, starts, sizes, durations, sync) of each run of samples in the fragments of a container."""
+    for kind, a, b in boxes(data, 0, len(data)):
+        if kind != b"moof":
+            continue
+        moof = at = a - 8
+        for part, c, d in boxes(data, a, b):
+            inner = list(boxes(data, c, d)) if part == b"traf" else []
+            head = next(((x, y) for k, x, y in inner if k == b"tfhd" and y - x >= 8), None)
+            if head is None:
+                continue
+            flags, track = struct.unpack_from(">II", data, head[0])
+            own, _ = optional(data, head[0] + 8, head[1], flags, {0x1: ">Q", 0x2: ">I", 0x8: ">I", 0x10: ">I", 0x20: ">I"})
+            given = {**defaults.get(track, {}), **{k: own[k] for k in (0x8, 0x10, 0x20) if k in own}}
+            base = own.get(0x1, moof if flags & 0x20000 else at)
+            at = base
+            for k, x, y in inner:
+                if k != b"trun" or y - x < 8:
+                    continue
+                flags, count = struct.unpack_from(">II", data, x)
+                flags &= 0xFFFFFF
+                top, x = optional(data, x + 8, y, flags, {0x1: ">i", 0x4: ">I"})
+                columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+                count = min(count, (y - x) // (4 * len(columns)) if columns else len(data))
+                rows = np.frombuffer(data, ">u4", count * len(columns), x).reshape(count, len(columns)).astype(np.int64)
+                take = lambda bit, default: rows[:, columns.index(bit)] if bit in columns else np.full(count, given.get(default, 0), np.int64)  # noqa: B023, E731
+                sizes, durations, marks = take(0x200, 0x10), take(0x100, 0x8), take(0x400, 0x20).copy()
+                if 0x4 in top and count:
+                    marks[0] = top[0x4]
+                at = base + top[0x1] if 0x1 in top else at
+                ends = at + np.cumsum(sizes)
+                yield track, ends - sizes, sizes, durations, marks & 0x10000 == 0
+                at = int(ends[-1]) if count else at
+
+
+def tracks(content: bytes | None) -> list[dict]:
+    """All tracks that can be read, with the samples of all fragments."""
+    data, found, top = memoryview(content or b""), [], {}
+    walk(data, 0, len(data), top, found)
+    out = [r for t in found if (r := read_track(data, t))]
+    defaults = {}
+    for kind, a, b in boxes(data, 0, len(data)):
+        for inner, c, d in boxes(data, a, b) if kind == b"moov" else ():
+            for k, x, y in boxes(data, c, d) if inner == b"mvex" else ():
+                if k == b"trex" and y - x >= 24:
+                    track, _, duration, size, marks = struct.unpack_from(">5I", data, x + 4)
+                    defaults[track] = {0x8: duration, 0x10: size, 0x20: marks}
+    by = {t["track"]: t for t in out}
+    for track, starts, sizes, durations, sync in runs(data, defaults):
+        if track in by:
+            t = by[track]
+            t["keys"] = np.concatenate([t["keys"], len(t["sizes"]) + np.flatnonzero(sync)])
+            t["starts"], t["sizes"] = np.concatenate([t["starts"], starts]), np.concatenate([t["sizes"], sizes])
+            t["timed"] += int(durations.sum())
+    for t in out:
+        t["duration"] = t["duration"] or t["timed"]
+    return out
 
 
 def read(content: bytes | None) -> dict | None:
     """The first track that can be read."""
-    data, tracks = memoryview(content or b""), []
-    walk(data, 0, len(data), {}, tracks)
-    return next((r for t in tracks if (r := read_track(data, t))), None)
+    return next(iter(tracks(content)), None)
 
 
 def unpack_payload(content: bytes) -> bytes:

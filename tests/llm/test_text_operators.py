@@ -450,6 +450,32 @@ def test_containers_round_trip_and_survive_damage(spark):
     assert media.read(None) is None and media.read(b"\0\0\0\1moov") is None
 
 
+def test_fragments_and_compact_sizes():
+    import struct
+
+    box, full = media.box, media.full
+    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(8))), full(b"stts", struct.pack(">I", 0)), full(b"stsc", struct.pack(">I", 0)), full(b"stsz", struct.pack(">II", 0, 0)), full(b"stco", struct.pack(">I", 0)))
+    trak = lambda k: box(b"trak", full(b"tkhd", struct.pack(">IIII", 0, 0, k, 0), bytes(60)), box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), box(b"minf", stbl)))
+    moov = box(b"moov", trak(1), trak(2), box(b"mvex", *(full(b"trex", struct.pack(">5I", k, 1, 40, 7, 0x10000)) for k in (1, 2))))
+
+    def moof(offset):
+        one = box(b"traf", full(b"tfhd", struct.pack(">I", 1), flags=0x20000), full(b"trun", struct.pack(">IiI", 3, offset, 0), struct.pack(">3I", 10, 20, 30), flags=0x205))
+        two = box(b"traf", full(b"tfhd", struct.pack(">II", 2, 25), flags=0x20008), full(b"trun", struct.pack(">Ii", 2, offset + 60), flags=0x1))
+        return box(b"moof", full(b"mfhd", struct.pack(">I", 1)), one, two)
+
+    part = moof(len(moof(0)) + 8)
+    media_ = bytes(range(74))
+    data = moov + part + box(b"mdat", media_)
+    a, b = media.tracks(data)
+    got = [[data[s : s + n] for s, n in zip(t["starts"].tolist(), t["sizes"].tolist())] for t in (a, b)]
+    assert got == [[media_[:10], media_[10:30], media_[30:60]], [media_[60:67], media_[67:74]]]
+    assert (a["duration"], b["duration"], a["keys"].tolist(), b["keys"].tolist()) == (120, 50, [0], [])
+    for cut in range(0, len(data), 5):
+        media.tracks(data[:cut])
+    sizes = lambda bits, raw, n: media.compact(memoryview(bytes(7) + bytes([bits]) + struct.pack(">I", n) + raw), (0, 12 + len(raw))).tolist()
+    assert sizes(4, b"\x12\x30", 3) == [1, 2, 3] and sizes(8, b"\x05\x06", 2) == [5, 6] and sizes(16, b"\x01\x00\x00\x02", 2) == [256, 2]
+
+
 def test_media_digests(spark):
     texts = ["", "a" * 192, "é" * 500, None, "a" * 192]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
