@@ -107,6 +107,22 @@ for _f in (g8_downsample_nearest, a27_focal, a27_purity, a28_area_by_class, a29_
     SQL[f"{_f.__name__}_whole"] = SQL[_f.__name__].replace(GRID, WHOLE_GRID)
 
 
+PATCHES = "orders0 AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), grid AS (SELECT k % 90 AS row, k // 90 AS col, (CASE WHEN (k * 2654435761) % 97 = 0 THEN 9 ELSE ((k % 90) // 15 + (k // 90) // 15) % 4 END)::INTEGER AS code FROM orders0)"
+
+
+def patches(spark, sf_dir):
+    """A cell for each order in patches of 15 x 15 cells of one code, with a stray cell here and there."""
+    k = F.col("l_orderkey")
+    code = F.when(k * 2654435761 % 97 == 0, 9).otherwise((F.floor(k % 90 / 15) + F.floor(F.floor(k / 90) / 15)) % 4)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey").distinct().select((k % 90).alias("row"), F.floor(k / 90).cast("bigint").alias("col"), code.cast("int").alias("code"))
+
+
+@query(f"WITH {PATCHES}, a AS ({FOCAL.format(1)}), b AS ({FOCAL.format(4)}) SELECT a.row, a.col, a.code FROM a JOIN b USING (row, col) WHERE a.same = a.n AND b.same / b.n >= 0.7::DOUBLE")
+def a27_purity_strict(spark, sf_dir):
+    """The operator's own windows and shares: 3 x 3 all of one code, 9 x 9 at least 0.7 of it."""
+    return spatial.purity(patches(spark, sf_dir))
+
+
 CUST = f"cust AS (SELECT c_custkey AS b_id, {lonlat('(c_custkey + 7)')} FROM customer)"
 
 
@@ -146,6 +162,13 @@ def j10_borrow(spark, sf_dir):
     return joins.borrow(tiles, points(spark, sf_dir).select("row_id", "lon", "lat"), k=5)
 
 
+@query(f"WITH {POINTS}, t AS (SELECT tx, ty FROM range(0, 31) a(tx), range(0, 18) b(ty)), j AS (SELECT tx, ty, row_id, row_number() OVER (PARTITION BY tx, ty ORDER BY {SEEDED.format('row_id', 0)}, row_id) AS r FROM t JOIN points ON floor((lon - 73.0::DOUBLE - 2) / 2) <= tx AND floor((lon - 73.0::DOUBLE + 2) / 2) >= tx AND floor((lat - 18.0::DOUBLE - 2) / 2) <= ty AND floor((lat - 18.0::DOUBLE + 2) / 2) >= ty) SELECT tx, ty, row_id FROM j WHERE r <= 20000")
+def j10_borrow_all(spark, sf_dir):
+    """All tiles, with the operator's own limit."""
+    tiles = spark.range(0, 31).select(F.col("id").alias("tx"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(17).cast("bigint"))).alias("ty"))
+    return joins.borrow(tiles, points(spark, sf_dir).select("row_id", "lon", "lat"))
+
+
 def regions(spark, sf_dir):
     """Every nation a box, every third with its north-east corner cut off."""
     k = F.col("n_nationkey")
