@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..sources.shared import cut
 from . import evaluate
 
 
@@ -129,7 +130,8 @@ def forest_baseline(train: DataFrame, val: DataFrame, trees: int = 150, depth: i
 
 def separability(df: DataFrame, label: str, folds: int = 5, fold: Column | None = None) -> DataFrame:
     """(fold, bal_acc) of a logistic regression between two classes (a linear separator)."""
-    d = df.withColumns({"features": array_to_vector("v"), "_y": F.col(label).cast("double"), "_f": fold if fold is not None else F.pmod(F.xxhash64("row_id"), F.lit(folds)).cast("int")}).persist()
+    d = df.withColumns({"features": array_to_vector("v"), "_y": F.col(label).cast("double"), "_f": fold if fold is not None else F.pmod(F.xxhash64("row_id"), F.lit(folds)).cast("int")})
+    d = cut(d.drop("features")).withColumn("features", array_to_vector("v"))  # read once for every fold
     out = None
     for k in range(folds):
         m = LogisticRegression(labelCol="_y", featuresCol="features", regParam=0.01, maxIter=25).fit(d.where(F.col("_f") != k))

@@ -14,24 +14,40 @@ def replay_log(events: DataFrame, key: str = "path") -> DataFrame:
     """(key, final, n_write, n_edit, n_warn): the state after all successful events in order of ts.
 
     Columns: key, ts, op ('write' or 'edit'), content, old, new, ok. An edit without a base or whose old text does not
-    occur is a warning and changes nothing; it replaces the first occurrence. One key's history is an array.
+    occur is a warning and changes nothing; it replaces the first occurrence. What an edit does depends on all before it,
+    so a key's events are read by one task, as a sorted stream of which one event and one text are held.
     """
-    e = F.struct("ts", "op", "content", "old", "new")
-    hist = events.where("ok").groupBy(key).agg(F.sort_array(F.collect_list(e)).alias("h"))
-    state = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("w"), F.lit(0).alias("e"), F.lit(0).alias("x"))
-
-    def step(a, v):
-        at = F.call_function("instr", a["t"], v["old"])
-        fits = F.coalesce(at > 0, F.lit(False))
-        edited = F.concat(F.substring(a["t"], F.lit(1), at - 1), v["new"], F.substring(a["t"], at + F.length(v["old"]), F.length(a["t"])))
-        write, edit = v["op"] == "write", v["op"] == "edit"
-        return F.struct(
-            F.when(write, v["content"]).when(edit & fits, edited).otherwise(a["t"]).alias("t"),
-            (a["w"] + write.cast("int")).alias("w"), (a["e"] + (edit & fits).cast("int")).alias("e"), (a["x"] + (edit & ~fits).cast("int")).alias("x"),
-        )
-
-    s = hist.withColumn("s", F.aggregate("h", state, step))
-    return s.select(key, F.col("s.t").alias("final"), F.col("s.w").alias("n_write"), F.col("s.e").alias("n_edit"), F.col("s.x").alias("n_warn"))
+    kind = events.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema, last, s = None, None, None
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((last[0], *s), schema, strict=True)], names=[key, "final", "n_write", "n_edit", "n_warn"])
+
+        for batch in batches:
+            schema = schema or (batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.int32())
+            for at in range(0, batch.num_rows, 256):
+                for name, op, content, old, new in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if last is None or name != last[0]:
+                        if last is not None:
+                            yield row()
+                        last, s = (name,), [None, 0, 0, 0]
+                    if op == "write":
+                        s[0], s[1] = content, s[1] + 1
+                    elif op == "edit":
+                        place = -1 if s[0] is None or old is None else s[0].find(old)
+                        if place < 0:
+                            s[3] += 1
+                        else:
+                            s[0], s[2] = None if new is None else s[0][:place] + new + s[0][place + len(old) :], s[2] + 1
+        if last is not None:
+            yield row()
+
+    e = events.where("ok").repartition(key).sortWithinPartitions(key, "ts", "op", "content", "old", "new")
+    return e.select(key, "op", "content", "old", "new").mapInArrow(run, f"{key} {kind}, final string, n_write int, n_edit int, n_warn int")
 
 
 def freshness(changes: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:
