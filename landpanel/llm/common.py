@@ -102,8 +102,16 @@ _HELD: dict = {}
 
 
 def only(name: str, forget) -> None:
-    """Say that operator `name` works in this Python process: what the memos of others hold is let go."""
+    """Say that operator `name` works in this Python process: what the memos of others hold is let go, back to the system."""
     if name not in _HELD:
-        for other in list(_HELD):
+        others = list(_HELD)
+        for other in others:
             _HELD.pop(other)()
         _HELD[name] = forget
+        if others:
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()

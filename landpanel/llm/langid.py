@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, by_blocks
+from .common import attach, by_blocks, only
 from .mixing import order_key
 
 PLACES = 1 << 18
@@ -75,6 +75,7 @@ class Model:
         return matrix(sets, self.vocabulary) @ self.weights
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        only("language", letters.cache_clear)
         flags = np.zeros(PLACES, bool)
         sets = {i: presence(c, flags) for i, t in enumerate(texts) if t and (c := coded(t)).any()} if self.langs else {}
         good, out = list(sets), [("und", 0.0)] * len(texts)
@@ -135,7 +136,7 @@ def held_out(name: str = "doc_id") -> Column:
 def train(docs: DataFrame, per_lang: int = 300, longest: int = 20_000, **how) -> Model:
     rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     over = F.greatest(F.length("text") - longest, F.lit(0))
-    ids = rows.select("doc_id", "lang", over.alias("over"), order_key().alias("o"), F.xxhash64("text").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
+    ids = rows.select("doc_id", "lang", over.alias("over"), order_key().alias("o"), F.xxhash64("text").alias("h")).withColumn("part", F.pmod("h", F.lit(16)))
     for by in (("lang", "part"), ("lang",)):
         first = Window.partitionBy(*by).orderBy("over", "o", "doc_id", "h")
         ids = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_lang).drop("_n")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import connect, tiles
-from .common import attach, by_blocks, cut
+from .common import attach, cut, only
 from .sketch import _STEP, U, mix
 
 LEAST, EDITS = 24, 2
@@ -157,6 +157,7 @@ def keyed(lines: DataFrame, edits: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        only("lines", powers.cache_clear)
         seen: set[int] = set()
         for batch in batches:
             h1, at = batch.column(0).to_pylist(), 0
@@ -374,7 +375,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             text, drop, counts = batch.column(names.index("text")), batch.column(len(names)), ([], [], [])
             out = []
             for x, gone in zip(text, drop, strict=True):
