@@ -13,6 +13,10 @@ Queries and rows are packed into blocks, and each pair of a block of queries wit
 work: two matrix products. Packed blocks meet by an equi-join on the query block's number, to which the row blocks are
 dealt; cutoffs travel in the same way, by query block. No step gathers a query's candidates anywhere.
 
+Of candidates with the same vector only the k + 1 with the smallest ids are searched: they have one score for each query,
+ties go to the smaller id, and a query leaves out itself at most. So a vector that a third of all rows share gives a
+query k + 1 candidates, not a third of the rows; the k + 1 are found before the shuffle, in each part of the table.
+
 Defined results: vectors that are null, hold a null or a non-finite component, or have another number of components
 than most, and rows with null id, take no part; components are floor(256 x) as integers, exact in double arithmetic up to 2^53; ties go to the smaller
 id; of rows with equal id the least vector counts; with fewer
@@ -115,13 +119,15 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
     v = quantised(vectors, id_col, vec_col, scale)
     width = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     v = cut(v.where(F.size("v") == (width[0][0] if width else 0)).groupBy("id").agg(F.min("v").alias("v")))
-    n = v.count()
+    alike = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id")
+    rows = cut(v.withColumn("_nth", F.row_number().over(alike)).where(F.col("_nth") <= k + 1).drop("_nth"))
+    n = rows.count()
     nq = v.where(F.col("id") % every == 0).count()
     query_blocks, row_blocks = max(1, -(-nq // QUERIES)), max(1, -(-n // ROWS))
     spread = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20))
     q = v.where(F.col("id") % every == 0)
     q = cut(packed(q.withColumn("qb", spread(F.col("id")) % query_blocks), "qb").withColumnsRenamed({"ids": "qids", "m": "qm"}))
-    r = cut(packed(v.withColumn("rb", F.pmod(F.monotonically_increasing_id(), F.lit(row_blocks))), "rb"))
+    r = cut(packed(rows.withColumn("rb", F.pmod(F.monotonically_increasing_id(), F.lit(row_blocks))), "rb"))
     # every block of rows goes to every block of queries: the stated query set against all rows, in blocks
     dealt = r.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint"))).alias("qb"), "rb", F.col("ids").alias("rids"), F.col("m").alias("rm"))
     dealt = attach(dealt, q, ["qb"]).repartition(F.col("qb"), F.col("rb"))
@@ -138,7 +144,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
     left = second.mapInArrow(phase2, "query bigint, id bigint")
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda a, x: a + x)
     asked = v.where(F.col("id") % every == 0).select(F.col("id").alias("query"), F.col("v").alias("qv"))
-    full = attach(left.join(v.hint("merge"), "id"), asked, ["query"]).select("query", "id", dot.alias("score"))
+    full = attach(left.join(rows.hint("merge"), "id"), asked, ["query"]).select("query", "id", dot.alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 

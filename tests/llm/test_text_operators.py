@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -434,6 +435,21 @@ def test_top_k_with_ties_nulls_and_few_candidates(spark):
     assert sorted(tuple(x) for x in topk.top_k(clash).collect()) == sorted(want)
 
 
+def test_top_k_of_a_vector_that_most_rows_share(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, [2.0, 1.0, 3.0] if i % 3 else [r.uniform(-3, 3) for _ in range(3)]) for i in range(400)]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for q, a in whole[::50]:
+        s = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q)[:5]
+        want += [(q, k + 1, i, -n) for k, (n, i) in enumerate(s)]
+    seen = []
+    monkeypatch.setattr(topk, "packed", lambda df, number, packed=topk.packed: seen.append(df) or packed(df, number))
+    assert sorted(tuple(x) for x in topk.top_k(d).collect()) == sorted(want)
+    assert max(x[0] for x in seen[1].groupBy("v").agg(F.count("*").alias("n")).select("n").collect()) == 6
+
+
 # 9
 
 
