@@ -88,5 +88,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(segments(rows.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_language, op4_line_dedup, op5_secrets, op6_pieces, op7_token_counts, op8_topk, op9_media, op10_chat)}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_language, op4_line_dedup, op5_secrets, op6_pieces, op7_token_counts, op8_topk, op9_media, op10_chat, op11_lexical, op12_exact, op13_spelling)}
 from .sql import SQL  # noqa: E402, F401

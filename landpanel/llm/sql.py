@@ -66,3 +66,53 @@ r AS (SELECT DISTINCT a AS id, a AS to_id FROM u UNION SELECT r.id, u.b FROM r J
 k AS (SELECT id, min(to_id) AS component FROM r GROUP BY id)
 SELECT n.doc_id, n.n AS n_shingles, coalesce(component, doc_id)::BIGINT AS component_id, doc_id = coalesce(component, doc_id) AS kept
 FROM n LEFT JOIN k ON k.id = n.doc_id"""
+
+SQL["op12_exact"] = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT *, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g"""
+
+SQL["op11_lexical"] = r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+t AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS q FROM i GROUP BY ALL),
+c AS (SELECT f.doc_id, f.term, t.w * ((1000000000 * f.tf) // (1000 * f.tf + 12 * (100 - 25 + (25 * n.n * s.docs) // s.terms))) AS part
+      FROM f JOIN n USING (doc_id) JOIN t USING (term), s),
+r AS (SELECT item_id, doc_id, sum(q * part)::BIGINT AS score FROM q JOIN c USING (term) GROUP BY item_id, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20"""
+
+SQL["op13_spelling"] = r"""
+WITH RECURSIVE c AS (
+  SELECT list(x ORDER BY n) AS crc FROM (
+    SELECT n, list_reduce(list_prepend(n::BIGINT, range(8)::BIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END) AS x
+    FROM range(256) t(n))),
+r AS (
+  SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents) GROUP BY ALL),
+b AS (SELECT w, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM r WHERE len(w) >= 5),
+h AS (
+  SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT)),
+         lambda a, y: xor(a // 256, crc[xor(a, y) % 256 + 1]))) AS h FROM b, c),
+a AS (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % len(w)] || w[h % len(w) + 2:] ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM a WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+g AS (SELECT word, n, p, word[1:p - 1] || word[p + 1:] AS form FROM v, range(1, 1000) t(p) WHERE p <= len(word)),
+e AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM g x JOIN g y ON x.p = y.p AND x.form = y.form AND len(x.word) = len(y.word) AND x.word <> y.word
+  UNION SELECT g.word, v.word, v.n FROM g JOIN v ON g.form = v.word
+  UNION SELECT v.word, g.word, g.n FROM g JOIN v ON g.form = v.word),
+k AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, struct_pack(a := -m, b := hex(encode(other)))) AS other FROM e GROUP BY word),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN other END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n
+  FROM v LEFT JOIN k USING (word)),
+o AS (SELECT word, word AS root, form AS step FROM f UNION ALL SELECT o.word, o.step, f.form FROM o JOIN f ON f.word = o.step)
+SELECT f.word, f.form, o.root, f.n, f.n_near, f.form_n FROM f JOIN o ON o.word = f.word AND o.step IS NULL"""

@@ -19,12 +19,12 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     same(QUERIES[name](spark, sf_dir), connect(sf_dir), SQL[name])
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_and_the_pipeline_are_registered():
     names = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op8_topk", "op10_chat"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op8_topk", "op10_chat", "op11_lexical", "op13_spelling"}))
 def test_one_row_a_document(spark, sf_dir, name):
     d = QUERIES[name](spark, sf_dir)
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
