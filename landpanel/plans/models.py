@@ -8,6 +8,7 @@ from ..functions import geo
 from ..operators import evaluate as E
 from ..operators import joins
 from ..operators import model as M
+from ..operators.forest import local_forests
 from .base import NORM, POINTS, SEEDED, points, query, rounded
 
 
@@ -137,3 +138,13 @@ def m7_forest_baseline(spark, sf_dir):
 @query()
 def g11_centroid_distance(spark, sf_dir):
     return rounded(M.centroid_distance(points(spark, sf_dir)), "distance")
+
+
+@query()
+def m3_local_forests(spark, sf_dir):
+    """A forest of 100 trees for each tile of 2 degrees, from at most 20,000 rows within 2 degrees around it."""
+    train, test = split(spark, sf_dir)
+    tx, ty = geo.tile_xy(F.col("lon"), F.col("lat"))
+    tiled = test.withColumns({"tx": tx, "ty": ty})
+    sample = joins.borrow(tiled.select("tx", "ty"), train.select("row_id", "lon", "lat"))
+    return local_forests(tiled, sample.join(train, "row_id"), ["tx", "ty"]).select("row_id", "tx", "ty", "pred")
