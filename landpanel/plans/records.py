@@ -8,7 +8,7 @@ from ..functions import scalar
 from ..operators import clean, diag, evaluate, joins, textlog
 from ..sources import io, shared
 from ..sources.io import table
-from ..streaming import streams
+from ..streaming import ledger, streams
 from .base import POINTS, PREDICTIONS, SEEDED, points, predictions, query, rounded
 
 
@@ -391,6 +391,48 @@ def x3_finished_once(spark, sf_dir):
     return streams.finished_once(table(spark, sf_dir, "events"), "user_id").agg(F.count("*").alias("n"))
 
 
+LOTS = """lots AS (SELECT *, least(3, floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 864000000000)::INTEGER + (event_id % 23 = 5)::INTEGER) AS lot FROM events),
+marks AS (SELECT l AS lot, (SELECT max(epoch_ms(ts)) - 3600000 FROM lots WHERE lot < l) AS mark FROM range(0, 5) t(l)),
+attempts AS (SELECT event_type AS owner, user_id::VARCHAR AS task, ts, value > 20 AS ok, lot, mark FROM lots JOIN marks USING (lot))"""
+
+
+def lots(spark, sf_dir) -> list:
+    """Attempts in four lots of files: ten days each, but every 23rd comes a lot late."""
+    e = table(spark, sf_dir, "events")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    first = e.agg(F.min(t)).first()[0] or 0
+    late = F.floor((t - first) / 864_000_000_000).cast("int") + (F.col("event_id") % 23 == 5).cast("int")
+    d = e.select("ts", F.col("event_type").alias("owner"), F.col("user_id").cast("string").alias("task"), (F.col("value") > 20).alias("ok"), F.least(F.lit(3), late).alias("lot"))
+    return [d.where(F.col("lot") == k).drop("lot") for k in range(4)]
+
+
+@query(f"WITH {LOTS} SELECT date_trunc('day', ts)::TIMESTAMP AS start, owner, count(*) AS n, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_fail FROM attempts WHERE mark IS NULL OR epoch_ms(date_trunc('day', ts)) + 86400000 > mark GROUP BY ALL")
+def x2_progress_stream(spark, sf_dir):
+    """Days and owners counted by a stream over four lots, restarted for each; what comes too late for its day is dropped."""
+    d = ledger.progress_in_lots(spark, lots(spark, sf_dir), shared.place(spark, "progress"))
+    return d.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"""WITH {LOTS}, kept AS (SELECT * FROM attempts WHERE mark IS NULL OR epoch_us(ts) > mark * 1000),
+per AS (SELECT owner, task, min(lot) AS lot, arg_min(epoch_ms(ts), (lot, ts)) + 259200000 AS due, min(lot) FILTER (ok) AS done, count(*) FILTER (ok) AS good, count(*) FILTER (NOT coalesce(ok, false)) AS bad FROM kept GROUP BY ALL),
+aged AS (SELECT owner, task, good, bad, (SELECT min(m.lot) - 1 FROM marks m WHERE m.lot > per.lot AND m.mark > due) AS gone, done FROM per),
+targets AS (SELECT event_type AS owner, count(DISTINCT user_id) AS target FROM events GROUP BY 1),
+sums AS (SELECT owner, sum((good > 0)::INTEGER)::BIGINT AS n_ok, sum(greatest(good - 1, 0))::BIGINT AS n_repeat, sum(bad)::BIGINT AS n_fail, sum((gone IS NOT NULL AND (done IS NULL OR done > gone))::INTEGER)::BIGINT AS n_overdue FROM aged GROUP BY owner)
+SELECT owner, coalesce(n_ok, 0) AS n_ok, coalesce(n_repeat, 0) AS n_repeat, coalesce(n_fail, 0) AS n_fail, coalesce(n_overdue, 0) AS n_overdue, target, round(n_ok / target, 6) AS share FROM targets LEFT JOIN sums USING (owner)""")
+def x2_ledger_stream(spark, sf_dir):
+    """Tasks finished, retried, failed and overdue for each owner, against the number of its tasks."""
+    targets = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("owner")).agg(F.count_distinct("user_id").alias("target"))
+    path = ledger.in_lots(spark, lots(spark, sf_dir), shared.place(spark, "ledger"), ledger.outcomes)
+    return rounded(ledger.measured(spark, path, targets), "share")
+
+
+@query("SELECT event_type AS owner, user_id::VARCHAR AS task FROM events GROUP BY ALL")
+def x3_finished_stream(spark, sf_dir):
+    """Each task of an owner once, by a stream over four lots with a watermark that keeps all."""
+    once = lambda live: streams.finished_once(live.withColumn("key", F.to_json(F.struct("owner", "task"))), "key", late="400 days").select("owner", "task")
+    return spark.read.parquet(ledger.in_lots(spark, lots(spark, sf_dir), shared.place(spark, "finished"), once)).drop("batch")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
 def x4_missing_outputs(spark, sf_dir):
     return streams.missing_outputs(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")

@@ -11,6 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def scan(spark: SparkSession, path: str, cols: list[str] | None = None, schema: StructType | None = None) -> DataFrame:
     """Parquet with only the columns asked for; a declared schema is checked at load."""
     d = spark.read.parquet(path)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import exists
+
 
 def arrivals(spark: SparkSession, path: str, schema, pattern: str = "*.parquet") -> DataFrame:
     """A stream of newly arrived files; a checkpoint remembers what was taken."""
@@ -14,10 +16,15 @@ def arrivals(spark: SparkSession, path: str, schema, pattern: str = "*.parquet")
 
 
 def copy_new(spark: SparkSession, source: str, target: str, checkpoint: str, schema) -> int:
-    """Append the rows of files that have not been taken before; how many rows the target has now."""
+    """Append the rows of files that have not been taken before; how many rows the target has now.
+
+    Before the first file, and before the folder itself, has arrived there is nothing to take.
+    """
+    if not exists(spark, source):
+        return 0
     q = arrivals(spark, source, schema).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(target).count()
+    return spark.read.schema(schema).parquet(target).count() if exists(spark, target) else 0
 
 
 def watermarked(events: DataFrame, ts: str, late: str) -> DataFrame:
@@ -38,8 +45,12 @@ def run_once(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], No
 
 
 def finished_once(events: DataFrame, key: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Each key once: a repeated success within the watermark changes nothing."""
-    return watermarked(events, ts, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    """Each key once: a repeated success within the watermark changes nothing. In a batch the earliest row of a key stays."""
+    if events.isStreaming:
+        return watermarked(events, ts, late).dropDuplicatesWithinWatermark([key])
+    rest = [F.col(c) for c in events.columns if c not in (key, ts)]
+    first = events.groupBy(key).agg(F.min(F.struct(F.col(ts).isNull().alias("_n"), F.col(ts), *rest)).alias("_r"))
+    return first.select(*(F.col(c) if c == key else F.col(f"_r.{c}").alias(c) for c in events.columns))
 
 
 def missing_outputs(expected: DataFrame, written: DataFrame, key: str) -> DataFrame:
