@@ -64,10 +64,13 @@ def banded_verdict(score: Column, edges: Sequence[float] = (0.9, 0.7, 0.5, 0.3),
 
 
 def combine_sources(base: DataFrame, sources: Mapping[str, DataFrame], key: str, missing: int = -1) -> DataFrame:
-    """Left joins of one-column sources (key, value); what a source lacks is `missing`, so no row is lost to another's gaps."""
+    """Left joins of one-column sources (key, value); what a source lacks is `missing`, so no row is lost to another's gaps.
+
+    Of a key's values in one source the smallest counts.
+    """
     out = base
     for name, s in sources.items():
-        out = out.join(s.dropDuplicates([key]).select(key, F.col("value").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(missing)))
+        out = out.join(s.groupBy(key).agg(F.min("value").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(missing)))
     return out
 
 
@@ -141,11 +144,13 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) ->
 
 
 def split_check(original: DataFrame, *parts: DataFrame) -> DataFrame:
-    """(n_missing, n_extra): multiset difference between a table and the union of its parts."""
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return original.exceptAll(both).agg(F.count("*").alias("n_missing")).join(F.broadcast(both.exceptAll(original).agg(F.count("*").alias("n_extra"))))
+    """(n_missing, n_extra): multiset difference between a table and the union of its parts, in one aggregation."""
+    signed = original.withColumn("_sign", F.lit(1).cast("bigint"))
+    for p in parts:
+        signed = signed.unionByName(p.withColumn("_sign", F.lit(-1).cast("bigint")))
+    more = signed.groupBy(*original.columns).agg(F.sum("_sign").alias("_n"))
+    count = lambda c: F.coalesce(F.sum(F.greatest(c, F.lit(0))), F.lit(0)).cast("bigint")
+    return more.agg(count(F.col("_n")).alias("n_missing"), count(-F.col("_n")).alias("n_extra"))
 
 
 def layers(main: Column, mixed: Column) -> Column:

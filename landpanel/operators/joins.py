@@ -14,17 +14,30 @@ KM_PER_DEG = geo.EARTH_KM * math.pi / 180
 HALF_ROUND_KM = geo.EARTH_KM * math.pi
 
 
+def one_row(df: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row of each key: the first by `order`, nulls last, then by the other columns, so the same in every run."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    first = [F.struct(F.col(c).isNull(), F.col(c)) for c in order or []]
+    least = F.min(F.struct(*(x.alias(f"_o{k}") for k, x in enumerate(first)), *rest)).alias("_r")
+    return df.groupBy(*key).agg(least).select(*(F.col(c) if c in key else F.col(f"_r.`{c}`").alias(c) for c in df.columns))
+
+
 def recover_ids(pool: DataFrame, library: DataFrame, digits: int | None = None) -> DataFrame:
-    """Left join on exact (lon, lat), or on positions rounded to `digits`; the library's columns win, matched tells misses."""
+    """Left join on exact (lon, lat), or on positions rounded to `digits`; the library's columns win, matched tells misses.
+
+    Of library rows on one position the one with the smallest row_id is taken.
+    """
     k = (lambda c: F.col(c)) if digits is None else (lambda c: F.round(c, digits).cast("decimal(12,7)"))
-    lib = library.withColumns({"_x": k("lon"), "_y": k("lat")}).dropDuplicates(["_x", "_y"]).drop("lon", "lat").withColumn("matched", F.lit(True))
+    lib = one_row(library.withColumns({"_x": k("lon"), "_y": k("lat")}), ["_x", "_y"], [c for c in ("row_id",) if c in library.columns]).drop("lon", "lat").withColumn("matched", F.lit(True))
     own = [c for c in pool.columns if c in ("lon", "lat") or c not in lib.columns]
     return pool.select(*own).withColumns({"_x": k("lon"), "_y": k("lat")}).join(lib, ["_x", "_y"], "left").drop("_x", "_y").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
-def lookup(df: DataFrame, dim: DataFrame, key: list[str]) -> DataFrame:
-    """N:1 even if the dimension repeats keys: it is made unique first; adaptive execution broadcasts it when small."""
-    return df.join(dim.dropDuplicates(key), key, "left")
+def lookup(df: DataFrame, dim: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """N:1 even if the dimension repeats keys: its first row by `order` counts; adaptive execution broadcasts it when small."""
+    return df.join(one_row(dim, key, order), key, "left")
 
 
 def ns_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -155,9 +168,19 @@ def seeded(key: str, seed: int = 0) -> Column:
 
 
 def edges_of(polygons: DataFrame, ring: str = "ring") -> DataFrame:
-    """(region, x1, y1, x2, y2) from (region, ring: array of (x, y)), the last corner joined to the first."""
-    nxt = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1)))
-    e = polygons.select("region", F.explode(F.arrays_zip(F.col(ring).alias("a"), nxt.alias("b"))).alias("e"))
+    """(region, x1, y1, x2, y2) from (region, ring: array of (x, y)), the last corner joined to the first.
+
+    A region may have several rows: rings inside others are holes. A ring may cross 180 degrees, written with longitudes
+    that run on (170, 190) or jump (170, -170): steps of more than 180 degrees are taken the short way round.
+    """
+    step = lambda at, x: at + F.pmod(x - at + 180.0, F.lit(360.0)) - 180.0
+    start = F.struct(F.element_at(ring, 1)["x"].cast("double").alias("x"), F.array().cast("array<struct<x:double,y:double>>").alias("done"))
+    on = F.aggregate(ring, start, lambda s, p: F.struct(step(s["x"], p["x"].cast("double")).alias("x"), F.concat(s["done"], F.array(F.struct(step(s["x"], p["x"].cast("double")).alias("x"), p["y"].cast("double").alias("y")))).alias("done")), lambda s: s["done"])
+    jumps = F.exists(F.zip_with(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), lambda p, q: F.abs(q["x"] - p["x"])), lambda d: d > 180.0)
+    plain = F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    d = polygons.where(F.size(ring) > 0).select("region", F.when(jumps, on).otherwise(plain).alias("_ring"))
+    nxt = F.concat(F.slice("_ring", F.lit(2), F.greatest(F.size("_ring") - 1, F.lit(0))), F.slice("_ring", F.lit(1), F.lit(1)))
+    e = d.select("region", F.explode(F.arrays_zip(F.col("_ring").alias("a"), nxt.alias("b"))).alias("e"))
     return e.select("region", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
 
 
@@ -206,16 +229,102 @@ def nearest_edge(a: DataFrame, edges: DataFrame, km: float = 50.0, grow: float =
         km *= grow
 
 
-def attribute_region(points: DataFrame, edges: DataFrame, size: float = 1.0) -> DataFrame:
+#: Sides of the cells of a cover in degrees, each a whole number of the next.
+COVER = (30.0, 6.0, 1.5, 0.375, 0.09375)
+
+
+def crossings(px: Column, py: Column, right: Column, low: Column) -> Column:
+    """How often the edge (x1, y1, x2, y2) is crossed on the way from a point east to `right`, then south to `low`."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    at_y = x1 + (x2 - x1) * F.try_divide(py - y1, y2 - y1)
+    at_x = y1 + (y2 - y1) * F.try_divide(right - x1, x2 - x1)
+    east = ((y1 > py) != (y2 > py)) & (px < at_y) & (at_y <= right)
+    south = ((x1 > right) != (x2 > right)) & (low < at_x) & (at_x <= py)
+    return F.coalesce(east.cast("int"), F.lit(0)) + F.coalesce(south.cast("int"), F.lit(0))
+
+
+def touches(west: Column, south: Column, size: float) -> Column:
+    """Whether the edge may meet a cell: its part in the cell's latitudes reaches into its longitudes."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    pad = 1e-9
+    lo, hi = F.greatest(F.least(y1, y2), south - pad), F.least(F.greatest(y1, y2), south + size + pad)
+    at = lambda y, other: F.coalesce(x1 + (x2 - x1) * F.try_divide(y - y1, y2 - y1), other)
+    a, b = at(lo, x1), at(hi, x2)
+    return (lo <= hi) & (F.least(a, b) <= west + size + pad) & (F.greatest(a, b) >= west - pad)
+
+
+def polygon_cover(edges: DataFrame, most: int = 32) -> DataFrame:
+    """(level, x, y, region, odd, edges): the cells of COVER that polygons fill (no edges) or whose edges must be tested.
+
+    A cell is divided while more than `most` edges meet it. Whether its south-east corner is inside (odd) follows from its
+    parent's corner and the edges of the parent that lie between, so each level is one aggregation over edges and the
+    cells they meet. Polygons that reach over 180 degrees stand on both sides. Parity makes holes of inner rings.
+    """
+    reach = edges.groupBy("region").agg(F.min(F.least("x1", "x2")).alias("_w"), F.max(F.greatest("x1", "x2")).alias("_e"))
+    turns = F.array_compact(F.array(F.lit(0.0), F.when(F.col("_w") < -180.0, F.lit(360.0)), F.when(F.col("_e") >= 180.0, F.lit(-360.0))))
+    here = edges.join(reach, "region").withColumn("_t", F.explode(turns)).select("region", (F.col("x1") + F.col("_t")).alias("x1"), "y1", (F.col("x2") + F.col("_t")).alias("x2"), "y2")
+    up, corner_x, corner_y = None, F.lit(1000.0), F.lit(-1000.0)  # the first corner is outside everything
+    done = None
+    for level, size in enumerate(COVER):
+        if level == 0:
+            xs, ys = F.array(*map(F.lit, range(round(360 / size)))), F.array(*map(F.lit, range(round(180 / size))))
+            cells = here.withColumn("_x", F.explode(xs)).withColumn("_y", F.explode(ys))
+        else:
+            times = round(COVER[level - 1] / size)
+            steps = F.array(*map(F.lit, range(times)))
+            corner_x, corner_y = (F.col("_px") + 1) * COVER[level - 1] - 180.0, F.col("_py") * COVER[level - 1] - 90.0
+            cells = here.withColumn("_x", F.explode(F.transform(steps, lambda k: F.col("_px") * times + k))).withColumn("_y", F.explode(F.transform(steps, lambda k: F.col("_py") * times + k)))
+        west, south = F.col("_x") * size - 180.0, F.col("_y") * size - 90.0
+        cells = cells.withColumns({"_cross": crossings(west + size, south, corner_x, corner_y), "_meets": touches(west, south, size)})
+        keys = ["region", "_x", "_y"]
+        of = cells.groupBy(*keys).agg(F.sum("_cross").alias("c"), F.count_if("_meets").alias("n"))
+        if up is not None:
+            times = round(COVER[level - 1] / size)
+            of = of.withColumns({"_px": F.floor(F.col("_x") / times).cast("int"), "_py": F.floor(F.col("_y") / times).cast("int")}).join(up, ["region", "_px", "_py"])
+        odd = (F.col("c") + (F.col("_odd").cast("int") if up is not None else F.lit(0))) % 2 == 1
+        of = cut(of.select(*keys, "n", odd.alias("odd")).where("n > 0 OR odd"))
+        last = level == len(COVER) - 1
+        split = (F.col("n") > most) & F.lit(not last)
+        held = cells.where("_meets").join(of.where((F.col("n") > 0) & ~split), keys).groupBy(*keys, "odd").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+        full = of.where("n = 0").select(*keys, "odd", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>").alias("edges"))
+        found = full.unionByName(held).select(F.lit(level).alias("level"), F.col("_x").alias("x"), F.col("_y").alias("y"), "region", "odd", "edges")
+        done = found if done is None else done.unionByName(found)
+        more = of.where(split).select("region", F.col("_x").alias("_px"), F.col("_y").alias("_py"), F.col("odd").alias("_odd"))
+        if last or more.isEmpty():
+            return done
+        up = cut(more)
+        here = cut(cells.where("_meets").select("region", "x1", "y1", "x2", "y2", F.col("_x").alias("_px"), F.col("_y").alias("_py")).join(up.drop("_odd"), ["region", "_px", "_py"]))
+    return done
+
+
+def inside_regions(points: DataFrame, edges: DataFrame, most: int = 32) -> DataFrame:
+    """(row_id, region) of all polygons that hold a point: the point's cell of each level is joined to the cover."""
+    lon = F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0
+    p = points.where((F.abs("lon") < 1e6) & (F.abs("lat") <= 90.0)).select("row_id", lon.alias("lon"), F.col("lat").cast("double").alias("lat"))
+    at = lambda c, o, size, n: F.least(F.lit(n - 1), F.floor((F.col(c) + o) / size).cast("int"))
+    keys = [F.struct(F.lit(k).alias("level"), at("lon", 180.0, size, round(360 / size)).alias("x"), at("lat", 90.0, size, round(180 / size)).alias("y")) for k, size in enumerate(COVER)]
+    j = p.withColumn("_k", F.explode(F.array(*keys))).select("row_id", "lon", "lat", "_k.level", "_k.x", "_k.y").join(polygon_cover(edges, most), ["level", "x", "y"])
+    size = F.element_at(F.array(*map(F.lit, COVER)), F.col("level") + 1)
+    right, low = (F.col("x") + 1) * size - 180.0, F.col("y") * size - 90.0
+
+    def crossed(e: Column) -> Column:
+        at_y = e["x1"] + (e["x2"] - e["x1"]) * F.try_divide(F.col("lat") - e["y1"], e["y2"] - e["y1"])
+        at_x = e["y1"] + (e["y2"] - e["y1"]) * F.try_divide(right - e["x1"], e["x2"] - e["x1"])
+        east = ((e["y1"] > F.col("lat")) != (e["y2"] > F.col("lat"))) & (F.col("lon") < at_y) & (at_y <= right)
+        south = ((e["x1"] > right) != (e["x2"] > right)) & (low < at_x) & (at_x <= F.col("lat"))
+        return F.coalesce(east.cast("int"), F.lit(0)) + F.coalesce(south.cast("int"), F.lit(0))
+
+    n = F.aggregate("edges", F.col("odd").cast("int"), lambda s, e: s + crossed(e))
+    return j.where(n % 2 == 1).select("row_id", "region")
+
+
+def attribute_region(points: DataFrame, edges: DataFrame, most: int = 32) -> DataFrame:
     """(row_id, region, inside, edge_km): the polygon that holds a point, else the one with the nearest edge and its distance.
 
-    An edge can cross a ray to the east only of points in its band of latitudes; bands of `size` degrees are the join
-    key, and an odd number of crossings is inside. The smallest region wins where polygons overlap.
+    Cells that a polygon fills are resolved by an equi-join; in cells that edges meet, these edges alone are tested. The
+    smallest region wins where polygons overlap.
     """
-    e = edges.withColumn("_b", F.explode(F.sequence(geo.cell(F.least("y1", "y2"), size), geo.cell(F.greatest("y1", "y2"), size))))
-    p = points.select("row_id", "lon", "lat").withColumn("_b", geo.cell(F.col("lat"), size))
-    crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * F.try_divide(F.col("lat") - F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1"))
-    inside = p.join(e, "_b").where(crosses).groupBy("row_id", "region").agg((F.count("*") % 2).alias("odd")).where("odd = 1").groupBy("row_id").agg(F.min("region").alias("region"))
+    inside = inside_regions(points, edges, most).groupBy("row_id").agg(F.min("region").alias("region"))
     done = points.select("row_id", "lon", "lat").join(inside, "row_id", "left")
     out = nearest_edge(done.where("region IS NULL"), edges).select("row_id", F.col("region").alias("_near"), "km")
     return done.join(out, "row_id", "left").select("row_id", F.coalesce("region", "_near").alias("region"), F.col("region").isNotNull().alias("inside"), F.when(F.col("region").isNull(), F.col("km")).alias("edge_km"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,14 +43,54 @@ def scan_between(spark: SparkSession, path: str, column: str, first: str, end: s
     return d.select(*cols) if cols else d
 
 
-def scan_tolerant(spark: SparkSession, path: str, pattern: str = "*.parquet", schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, files skipped): unreadable files are left out and listed by comparing what was read with what is there."""
+def footer_rows(spark: SparkSession, files: list[str]) -> list[tuple[str, int | None]]:
+    """(file, rows that its footer declares, or None if it has no readable footer): footers alone are opened, many at a time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def rows(file: str) -> tuple[str, int | None]:
+        try:
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf))
+        except Py4JJavaError:
+            return file, None
+        try:
+            return file, reader.getRecordCount()
+        finally:
+            reader.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(rows, files))
+
+
+def hashed(df: DataFrame, columns: list[str], *salt: Column) -> Column:
+    """A 64-bit hash of the columns' values; maps, which have no order, by their text."""
+    kinds = df.schema
+    return F.xxhash64(*salt, *(F.to_json(F.col(f"`{c}`")) if kinds[c].dataType.typeName() == "map" else F.col(f"`{c}`") for c in columns))
+
+
+def scan_tolerant(spark: SparkSession, path: str, pattern: str = "*.parquet", schema: StructType | None = None, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, files skipped): files without a readable footer, or that give fewer rows than it declares, are left out and listed.
+
+    A valid file without rows is not listed. To find files that break half-way their pages are read once more than for the
+    rows themselves; without `whole` footers alone are looked at. What travels to the driver is the list of files, as in
+    any scan.
+    """
     r = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    there = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
+    declared = spark.createDataFrame(footer_rows(spark, [x.path for x in there.collect()]), "file string, rows bigint")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    if schema is None and declared.where("rows IS NOT NULL").isEmpty():
+        return spark.createDataFrame([], "value string"), declared.select(plain("file").alias("file"))
     d = (r.schema(schema) if schema else r).parquet(path)
-    there = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
-    read = d.select(F.col("_metadata.file_path").alias("file")).distinct()
-    plain = F.regexp_replace("file", "^file:/+", "/")
-    return d, there.select(plain.alias("file")).join(read.select(plain.alias("file")), "file", "left_anti")
+    if not whole:
+        broken = cut(declared.where("rows IS NULL").select(plain("file").alias("file")))
+        return d, broken
+    # a hash of all columns, since a count alone comes from the footers
+    read = d.groupBy(F.col("_metadata.file_path").alias("_f")).agg(F.count("*").alias("n"), F.max(hashed(d, d.columns)).alias("h")).select(plain("_f").alias("file"), F.when(F.col("h").isNotNull(), F.col("n")).alias("n"))
+    broken = cut(declared.select(plain("file").alias("file"), "rows").join(read, "file", "left").where("rows IS NULL OR rows > coalesce(n, 0)").select("file"))
+    kept = d.withColumn("_f", plain(F.col("_metadata.file_path"))).join(broken.withColumnRenamed("file", "_f"), "_f", "left_anti").drop("_f")
+    return kept, broken
 
 
 def save(df: DataFrame, path: str, by: str | None = "year", mode: str = "overwrite") -> None:
@@ -97,16 +140,48 @@ def sanitize(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def fingerprint(df: DataFrame) -> str:
+    """Rows and two sums of 64-bit hashes of the rows: equal for equal rows in any order, in one pass without a shuffle of rows."""
+    told = [F.concat(F.lit(i), *(F.col(f"`{c}`").isNull().cast("string") for c in df.columns)) for i in ("a", "b")]  # hashes skip nulls, so say where they are
+    sums = [F.sum(hashed(df, df.columns, t).cast("decimal(38,0)")).alias(f"h{k}") for k, t in enumerate(told)]
+    n = df.agg(F.count("*").alias("n"), *sums).first()
+    names = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema)
+    return f"{n.n} {n.h0} {n.h1} {names}"
+
+
 def export_if_changed(df: DataFrame, path: str) -> bool:
-    """Write unless the target holds as many rows; true if it was written."""
+    """Write unless the target holds the same rows; true if it was written.
+
+    What the target holds is told by the fingerprint beside it. New rows are written next to the target and take its
+    place by a rename; the fingerprint follows last, so a run that dies between is repeated.
+    """
     spark = df.sparkSession
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")) and spark.read.parquet(path).count() == df.count():
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    mark, now = f"{path}.fingerprint", fingerprint(df)
+    if fs.exists(at(f"{path}/_SUCCESS")) and fs.exists(at(mark)) and spark.read.text(mark, wholetext=True).first()[0] == now:
         return False
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(at(mark), False)
+    fs.delete(at(path), True)
+    fs.rename(at(f"{path}.new"), at(path))
+    out = fs.create(at(mark), True)
+    out.write(bytearray(now.encode()))
+    out.close()
     return True
 
 
+def export_until_idle(make, path: str, idle: int = 2, rounds: int = 100) -> int:
+    """Export `make()` again and again until nothing has changed in `idle` rounds running; how often it was written."""
+    written = quiet = 0
+    for _ in range(rounds):
+        done = export_if_changed(make(), path)
+        written, quiet = written + done, 0 if done else quiet + 1
+        if quiet == idle:
+            break
+    return written
+
+
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*", heavy: int | None = None) -> DataFrame:
     """(path, bytes, mtime, md5, sha256): files above `heavy` bytes are registered without reading them."""
     d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
