@@ -10,10 +10,12 @@ pairs. A banded bit-parallel edit distance decides. No pairs are written out, an
 The first occurrence of a line, by doc_id and line number, stays, and so does the first of each connected group of near
 lines; all others are dropped from their texts.
 
-Lines shorter than `least` characters have no near lines, since an edit changes their meaning; with `short`, as in the
-query and the pipeline, their exact repeats are dropped like those of longer lines, else they always stay.
+How many edits two lines may be apart follows the length of the shorter one: all `edits` from `least` characters on, below
+that one for every least / edits characters, so one from 12 characters and none under 12, where an edit makes another
+word. With `short`, as in the query and the pipeline, exact repeats are dropped at any length, else those of lines below
+12 characters stay.
 
-Defined results: lines end at \\n; blank lines (white space alone) shorter than `least` characters always stay; null
+Defined results: lines end at \\n; blank lines (white space alone, or nothing) always stay, whatever their length; null
 text stays null; texts without a dropped line stay as they are; rows equal in doc_id and text are one document, so a
 line's first occurrence stays in each of them; rows without a doc_id take no part and stay whole; an empty table gives
 an empty result. Columns whose names begin with `_line` are not allowed, all others are carried along. Lines are told
@@ -58,6 +60,16 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return [(d, i, s) for d in range(edits + 1) for i in range(edits + 1) for s in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
 
 
+def allowed(length: int, edits: int, least: int) -> int:
+    """How many edits a line of this length may be away from a line that is as long or longer."""
+    return min(edits, length * edits // least)
+
+
+def schemes(length: int, edits: int, least: int) -> set[int]:
+    """The numbers of edits for which a line gives keys: its own, and those of the shorter lines that it may be near to."""
+    return {e for d in range(edits + 1) if (e := allowed(length - d, edits, least)) and e >= d}
+
+
 @lru_cache(maxsize=2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64."""
@@ -98,6 +110,17 @@ def line_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
     return row[new], key[new]
 
 
+def banded_keys(lines: list[str], edits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which line, key) of the keys of each line for every number of edits that its length asks for."""
+    found = []
+    for e in range(1, edits + 1):
+        which = np.array([k for k, x in enumerate(lines) if e in schemes(len(x), edits, least)], np.int64)
+        if len(which):
+            owner, key = line_keys([lines[k] for k in which], e)
+            found.append((which[owner], key))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Edits between two lines if at most `most`, else most + 1: bit-parallel, in a band of 2 * most + 1 diagonals.
 
@@ -142,16 +165,16 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def occurrences(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
-    """(_line_doc, _line_text, at, h1, h2, line): the lines of `least` characters or more, by document.
+    """(_line_doc, _line_text, at, h1, h2, line): the lines of `least` characters or more that are not blank, by document.
 
-    With `short` also the shorter ones that are not blank.
+    With `short` also the shorter ones.
     """
     d = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("_line_doc"), F.xxhash64("text").alias("_line_text"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    long = F.length("line") >= least
-    return d.where(long | F.regexp("line", F.lit(r"\S")) if short else long).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    told = F.regexp("line", F.lit(r"\S"))
+    return d.where(told if short else told & (F.length("line") >= least)).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def keyed(lines: DataFrame, edits: int) -> DataFrame:
+def keyed(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(key, h1): all keys of the lines (h1, line). A task gives a line that it meets again no second time."""
 
     def run(batches):
@@ -170,7 +193,7 @@ def keyed(lines: DataFrame, edits: int) -> DataFrame:
                         part.append(batch.column(1)[at].as_py())
                         chars += len(part[-1])
                     at += 1
-                owner, key = line_keys(part, edits)
+                owner, key = banded_keys(part, edits, least)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(names, np.int64)[owner])], names=["key", "h1"])
                 if len(seen) > SEEN:
                     seen.clear()
@@ -238,8 +261,8 @@ def packed(members: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def linked(ids: list[int], lines: list[str], edits: int, named: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect all lines within `edits` edits of each other; lines of one name are connected already."""
+def linked(ids: list[int], lines: list[str], edits: int, least: int, named: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all lines as near as the shorter one allows; lines of one name are connected already."""
     order = sorted(range(len(lines)), key=lambda x: (len(lines[x]), ids[x]))
     first: dict[int, int] = {}
     root = [first.setdefault(name, x) for x, name in enumerate(named)] if named else list(range(len(lines)))
@@ -251,27 +274,32 @@ def linked(ids: list[int], lines: list[str], edits: int, named: list[int] | None
         return x
 
     index: dict[tuple[int, int, str], list[int]] = {}
-    plan, out = probes(edits), []
+    plan = {e: [[(i, s) for d, i, s in probes(e) if d == less] for less in range(edits + 1)] for e in range(1, edits + 1)}
+    out = []
     for y in order:
         line, tried = lines[y], {y}
         n = len(line)
-        for d, i, shift in plan:
-            if n - d <= edits:
+        for d in range(edits + 1):
+            e = allowed(n - d, edits, least)  # what a line that is d shorter allows
+            if e < d or not e or n - d <= e:
                 continue
-            start, size = segments(n - d, edits)[i]
-            for x in index.get((n - d, i, line[start + shift : start + shift + size]), ()):
-                if x not in tried:
-                    tried.add(x)
-                    a, b = find(x), find(y)
-                    if a != b and edit_distance(lines[x], line, edits) <= edits:
-                        root[a] = b
-                        out.append((ids[x], ids[y]))
-        for i, (start, size) in enumerate(segments(n, edits)):
+            cuts = segments(n - d, e)
+            for i, shift in plan[e][d]:
+                start, size = cuts[i]
+                for x in index.get((n - d, i, line[start + shift : start + shift + size]), ()):
+                    if x not in tried:
+                        tried.add(x)
+                        a, b = find(x), find(y)
+                        if a != b and edit_distance(lines[x], line, e) <= e:
+                            root[a] = b
+                            out.append((ids[x], ids[y]))
+        e = allowed(n, edits, least)
+        for i, (start, size) in enumerate(segments(n, e) if e else ()):
             index.setdefault((n, i, line[start : start + size]), []).append(y)
     return out
 
 
-def links(blocks: DataFrame, edits: int) -> DataFrame:
+def links(blocks: DataFrame, edits: int, least: int) -> DataFrame:
     """(a, b): links inside and between the blocks that meet."""
 
     def run(batches):
@@ -283,7 +311,7 @@ def links(blocks: DataFrame, edits: int) -> DataFrame:
             ids = [int(x) for b in held for x in np.frombuffer(b[0], "<i8")]
             named = [int(x) for b in held for x in np.frombuffer(b[1], "<i8")]
             lines = [x for b in held for x in zlib.decompress(b[2]).decode("utf-8", "surrogatepass").split("\n")]
-            found = linked(ids, lines, edits, named)
+            found = linked(ids, lines, edits, least, named)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -300,8 +328,12 @@ def links(blocks: DataFrame, edits: int) -> DataFrame:
     return tiles(blocks).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").select(*cols).mapInArrow(run, "a bigint, b bigint")
 
 
-def check(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """The pairs (a, b) within `edits` edits."""
+def check(pairs: DataFrame, texts: DataFrame, edits: int, least: int) -> DataFrame:
+    """The pairs (a, b) within the edits that the shorter line allows."""
+
+    def near(x: str, y: str) -> bool:
+        e = allowed(min(len(x), len(y)), edits, least)
+        return e > 0 and edit_distance(x, y, e) <= e
 
     def run(batches):
         import pyarrow as pa
@@ -309,7 +341,7 @@ def check(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
         for batch in batches:
             found = []
             for at in range(0, batch.num_rows, 512):
-                found += [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True) if edit_distance(x, y, edits) <= edits]
+                found += [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True) if near(x, y)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     j = attach(pairs, texts.select(F.col("id").alias("b"), F.col("line").alias("y")), ["b"])
@@ -317,14 +349,14 @@ def check(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return j.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def candidates(lines: DataFrame, edits: int) -> DataFrame:
+def candidates(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(key, h1) of the lines that share a key with another.
 
     A key that many lines hold is not put in one task: a sample of lines, by their hash, names the keys that about
     `HOT` or more hold, and since these are surely shared their rows need no look at their neighbours.
     """
-    keys = keyed(lines, edits)
-    hot = keyed(lines.where(F.pmod("h1", F.lit(SAMPLE)) == 0), edits).distinct().groupBy("key").count().where(F.col("count") >= max(2, HOT // SAMPLE)).select("key")
+    keys = keyed(lines, edits, least)
+    hot = keyed(lines.where(F.pmod("h1", F.lit(SAMPLE)) == 0), edits, least).distinct().groupBy("key").count().where(F.col("count") >= max(2, HOT // SAMPLE)).select("key")
     hot = cut(hot)
     if hot.isEmpty():
         return shared(keys)
@@ -334,7 +366,8 @@ def candidates(lines: DataFrame, edits: int) -> DataFrame:
 
 def near_lines(docs: DataFrame, distinct: DataFrame, least: int, edits: int) -> DataFrame:
     """(h1, h2, component) of the lines that have a near line."""
-    found = cut(candidates(occurrences(docs, least), edits))
+    shortest = -(-least // edits)  # below it no edit is allowed
+    found = cut(candidates(occurrences(docs, shortest), edits, least))
     # lines with equal h1 are told apart by h2; the numbers have no collisions, and are fixed once written
     some = attach(distinct, cut(found.select("h1").distinct()), ["h1"])
     places = cut(some.select("h1", "h2", "first", "chars").withColumn("id", F.monotonically_increasing_id()))
@@ -342,19 +375,20 @@ def near_lines(docs: DataFrame, distinct: DataFrame, least: int, edits: int) ->
 
     where = places.select("h1", "h2", "id", F.col("first.doc").alias("_line_doc"), F.col("first.at").alias("at"))
     some = attach(docs, cut(where.select(F.col("_line_doc").alias("doc_id")).distinct()), ["doc_id"], how="left_semi")
-    texts = cut(attach(occurrences(some, least).select("h1", "h2", "_line_doc", "at", "line"), where, ["h1", "h2", "_line_doc", "at"]).select("id", "line").dropDuplicates(["id"]))
+    texts = cut(attach(occurrences(some, shortest).select("h1", "h2", "_line_doc", "at", "line"), where, ["h1", "h2", "_line_doc", "at"]).select("id", "line").dropDuplicates(["id"]))
     linked_ = connect(
-        keys, places.select("id", F.col("chars").alias("weight")), lambda pairs: check(pairs, texts, edits),
-        lambda members: links(cut(packed(attach(members, texts, ["id"]))), edits), heavy=BLOCK_CHARS, block=BLOCK_LINES,
+        keys, places.select("id", F.col("chars").alias("weight")), lambda pairs: check(pairs, texts, edits, least),
+        lambda members: links(cut(packed(attach(members, texts, ["id"]))), edits, least), heavy=BLOCK_CHARS, block=BLOCK_LINES,
     )
     return attach(places.select("h1", "h2", "id"), cut(linked_), ["id"]).select("h1", "h2", "component")
 
 
 def dropped(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short: bool = False) -> DataFrame:
     """(_line_doc, _line_text, _line_drop): for each document that loses lines, their numbers from 0."""
-    lines = occurrences(docs, least, short)
+    shortest = -(-least // edits)
+    lines = occurrences(docs, shortest, short)
     distinct = cut(lines.groupBy("h1", "h2").agg(F.min(F.struct(F.col("_line_doc").alias("doc"), "at")).alias("first"), F.count("*").alias("n"), F.max(F.length("line")).alias("chars")))
-    near = cut(near_lines(docs, distinct.where(F.col("chars") >= least), least, edits))
+    near = cut(near_lines(docs, distinct.where(F.col("chars") >= shortest), least, edits))
     firsts = attach(near, distinct.select("h1", "h2", "first"), ["h1", "h2"])
     stays = cut(firsts.groupBy("component").agg(F.min("first").alias("stays")))
     near = attach(near, stays, ["component"]).select("h1", "h2", "stays")

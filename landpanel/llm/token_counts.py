@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import by_blocks, only, text_or_empty
 
 MEMO = 300_000
-HUGE = 65_536
+HUGE = 8_192
 OVERLAP = 256
 #: A place after ASCII white space at which something other than white space begins.
 STABLE = re.compile(r"(?<=[\x20\x09-\x0D])[^\s]")
@@ -52,7 +52,7 @@ class Counter:
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
-        self.encoder, self.memo, self.older, self.limit = Tokenizer.from_file(path), {}, {}, memo
+        self.encoder, self.memo, self.older, self.limit, self.chunks = Tokenizer.from_file(path), {}, {}, memo, 1
         self.encoder.no_truncation()
         self.encoder.no_padding()
         self.splits = splits_at_white_space(json.loads(self.encoder.to_str()))
@@ -71,7 +71,8 @@ class Counter:
         return list(zip((s for s, _ in e.offsets), e.ids, strict=True))
 
     def huge(self, text: str, chunk: int = HUGE, overlap: int = OVERLAP) -> int:
-        """Tokens of a text, from chunks spliced at stable places."""
+        """Tokens of a text, from chunks spliced at stable places; `chunks` then says how many there were."""
+        self.chunks = 1
         total, start, n = 0, 0, len(text)  # everything before `start` is counted, and `start` is stable
         end = min(n, start + chunk)
         held = self.offsets(text[start:end])
@@ -83,6 +84,7 @@ class Counter:
                 after = self.offsets(text[begin:after_end])
                 splice = self.common(text, start, held, begin, after, end)
                 if splice is not None:
+                    self.chunks += 1
                     total += sum(s + start < splice for s, _ in held)
                     held, start, end = [(s + begin - splice, i) for s, i in after if s + begin >= splice], splice, after_end
                     break
@@ -144,7 +146,7 @@ class Counter:
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) for every row."""
+    """(id, n_bytes, n_tokens, over_limit, n_chunks) for every row; n_chunks is 1 for a text that is not huge."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def block(rows):
@@ -156,8 +158,9 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 2048, id_col: str = "
         few = c.small([t if len(t) < huge else "" for _, t in rows]) if c.splits else c.whole([t for _, t in rows])
         out = []
         for (key, text), n in zip(rows, few, strict=True):
+            c.chunks = 1
             n = c.huge(text, huge) if len(text) >= huge and c.splits else n
-            out.append((key, len(text.encode("utf-8", "surrogatepass")), n, n > limit))
+            out.append((key, len(text.encode("utf-8", "surrogatepass")), n, n > limit, c.chunks))
         return out
 
-    return by_blocks(docs.select(id_col, text_or_empty(text_col).alias(text_col)), [id_col, text_col], f"{id_col} {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean", block)
+    return by_blocks(docs.select(id_col, text_or_empty(text_col).alias(text_col)), [id_col, text_col], f"{id_col} {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, n_chunks int", block)

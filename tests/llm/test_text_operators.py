@@ -272,10 +272,10 @@ def test_shared_keys_in_small_batches_and_hot_ones(spark, monkeypatch):
         assert set(got) == want and len(got) == len(want)
     text = [f"{x:04d} the very same ending of every line, near to none" for x in range(0, 4000, 37)] + ["a line that stands alone in this table"]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "doc_id bigint, text string")
-    plain = lines.candidates(lines.occurrences(d, 24), 2).distinct().collect()
+    plain = lines.candidates(lines.occurrences(d, 12), 2, 24).distinct().collect()
     monkeypatch.setattr(lines, "HOT", 8)
     monkeypatch.setattr(lines, "SAMPLE", 2)
-    assert sorted(plain) == sorted(lines.candidates(lines.occurrences(d, 24), 2).distinct().collect())
+    assert sorted(plain) == sorted(lines.candidates(lines.occurrences(d, 12), 2, 24).distinct().collect())
 
 
 def test_blocks_of_lines_equal_one_block(spark, monkeypatch):
@@ -283,7 +283,7 @@ def test_blocks_of_lines_equal_one_block(spark, monkeypatch):
     from test_whole_lines import brute_dedup
 
     r, texts = random.Random(8), {}
-    base = ["".join(r.choice("abcdé😀 ") for _ in range(r.randint(24, 40))) for _ in range(12)]
+    base = ["".join(r.choice("abcdé😀 ") for _ in range(r.randint(9, 40))) for _ in range(30)]
     for k in range(60):
         mine = []
         for _ in range(r.randint(0, 6)):

@@ -9,11 +9,11 @@ from landpanel.llm.queries import QUERIES
 
 
 def brute_dedup(texts):
-    """{doc_id: text without repeats} by comparing all lines of 24 characters or more, and equal shorter ones."""
+    """{doc_id: text without repeats} by comparing all lines: two edits from 24 characters on, one from 12, none below."""
     first = {}
     for k in sorted(x for x, t in texts.items() if t is not None):
         for at, line in enumerate(texts[k].split("\n")):
-            if len(line) >= 24 or line.strip(" \t\n\r\x0b\x0c"):
+            if line.strip(" \t\n\r\x0b\x0c"):
                 first.setdefault(line, (k, at))
     root = {x: x for x in first}
 
@@ -24,13 +24,14 @@ def brute_dedup(texts):
 
     by_length = {}
     for x in first:
-        if len(x) >= 24:
+        if len(x) >= 12:
             by_length.setdefault(len(x), []).append((x, Counter(x)))
     for n, those in by_length.items():
-        for d in range(3):
+        e = 2 if n >= 24 else 1
+        for d in range(e + 1):
             for i, (x, cx) in enumerate(those):
                 for y, cy in those[i + 1 :] if d == 0 else by_length.get(n + d, ()):
-                    if (cx - cy).total() <= 2 and (cy - cx).total() <= 2 and lines.edit_distance(x, y, 2) <= 2:
+                    if (cx - cy).total() <= e and (cy - cx).total() <= e and lines.edit_distance(x, y, e) <= e:
                         root[find(x)] = find(y)
     stays = {}
     for x, place in first.items():
@@ -56,3 +57,15 @@ def test_short_repeats_go_in_query_and_pipeline_and_blank_lines_stay(spark, tmp_
     assert got == {k: (n, hashlib.sha256(want[k].encode()).hexdigest()) for k, n in ((1, 0), (2, 1), (3, 1))}
     left = {r.doc_id: (r.text, r.n_chars) for r in dict(corpus_pipeline.STAGES)["lines"](spark, docs, str(tmp_path)).collect()}
     assert left == {1: (want[1], 12), 2: (want[2], len(want[2]))}
+
+
+def test_edits_follow_the_length_and_blank_lines_stay(spark):
+    base = "abcdefghijklmnopqrstuvwxyz"
+    rows = [
+        (1, "\n".join([base[:11], base[:12], base[:23], base[:24], " " * 30, "", "\t" * 5])),
+        (2, base[:10] + "X"), (3, base[:11] + "X"), (4, base[:10] + "XY"), (5, base[:21] + "XY"), (6, base[:22] + "X"), (7, base[:22] + "XY"),
+        (8, base[:23] + "Q" + "R"), (9, base[:12] + "Q"), (10, base[:12] + "QR"), (11, " " * 30 + "\n\n" + "\t" * 5),
+    ]
+    got = {r.doc_id: r._line_dropped for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), short=True).collect()}
+    want = {k: len(rows[k - 1][1].split("\n")) - len(t.split("\n")) if t else 1 for k, t in brute_dedup(dict(rows)).items()}
+    assert got == want and got[2] == 0 and got[3] == 1 and got[4] == 0 and got[6] == 1 and got[7] == 1 and got[11] == 0
