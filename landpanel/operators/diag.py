@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
 from .joins import nearest
+from .quantiles import quantiles
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:
@@ -59,8 +60,10 @@ def extremes(df: DataFrame, by: str, top: int = 5) -> DataFrame:
 
 def distance_profile(a: DataFrame, b: DataFrame, edges: Sequence[float] = (1.0, 5.0, 10.0)) -> DataFrame:
     """(n, median_km, under_1, under_5, under_10): distances to the nearest point of b."""
-    d = nearest(a, b)
-    return d.agg(F.count("*").alias("n"), F.expr("percentile(km, 0.5)").alias("median_km"), *(F.avg((F.col("km") < e).cast("int")).alias(f"under_{e:g}") for e in edges))
+    d = nearest(a, b)  # rounds written to the shared folder
+    half = quantiles(d, [], {"km": ("km", [0.5])}).select(F.get("p_km", F.lit(0)).alias("median_km"))
+    shares = d.agg(F.count("*").alias("n"), *(F.avg((F.col("km") < e).cast("int")).alias(f"under_{e:g}") for e in edges))
+    return shares.join(F.broadcast(half)).select("n", "median_km", *(f"under_{e:g}" for e in edges))  # one row each
 
 
 def unit_coverage(tiles: DataFrame, points: DataFrame, positive: Column, key: str = "tile") -> DataFrame:

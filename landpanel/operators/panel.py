@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, vec
 from ..sources.shared import cut
+from .quantiles import MOST, estimated, quantiles, sketches
 
 YEARS = (2017, 2024)
 
@@ -58,22 +59,28 @@ def yearly_delta(panel: DataFrame) -> DataFrame:
     return panel.select("row_id", "year", "v").join(a, ["row_id", "year"]).select("row_id", "year", vec.nan_to_null(vec.l2distance("v", "u")).alias("delta"))
 
 
-def robust_z(df: DataFrame, columns: dict[str, str], by: list[str], min_n: int = 100) -> DataFrame:
+def robust_z(df: DataFrame, columns: dict[str, str], by: list[str], min_n: int = 100, most: int = MOST) -> DataFrame:
     """Adds (x - median) / (1.4826 * MAD + 1e-9) of each group with at least `min_n` values, for {column: name} in two passes.
 
     Groups are few (classes by years), so their figures are broadcast and the rows stay where they are.
     """
-    mid = df.groupBy(*by).agg(*(F.expr(f"percentile({c}, 0.5)").alias(f"_med_{c}") for c in columns), *(F.count(c).alias(f"_n_{c}") for c in columns))
+    half = lambda value: {c: (value(c), [0.5]) for c in columns}
+    mid = quantiles(df, by, half(F.col), most)
+    mid = mid.select(*by, *(F.get(f"p_{c}", F.lit(0)).alias(f"_med_{c}") for c in columns), *(F.col(f"n_{c}").alias(f"_n_{c}") for c in columns))
     d = df.join(F.broadcast(mid), by, "left")
-    mad = d.groupBy(*by).agg(*(F.expr(f"percentile(abs({c} - _med_{c}), 0.5)").alias(f"_mad_{c}") for c in columns))
+    mad = quantiles(d, by, half(lambda c: F.abs(F.col(c) - F.col(f"_med_{c}"))), most)
+    mad = mad.select(*by, *(F.get(f"p_{c}", F.lit(0)).alias(f"_mad_{c}") for c in columns))
     z = {out: F.when(F.col(f"_n_{c}") >= min_n, (F.col(c) - F.col(f"_med_{c}")) / (F.lit(1.4826) * F.col(f"_mad_{c}") + 1e-9)) for c, out in columns.items()}
     return d.join(F.broadcast(mad), by, "left").withColumns(z).drop(*(f"{k}_{c}" for k in ("_med", "_n", "_mad") for c in columns))
 
 
-def class_percentiles(df: DataFrame, c: str = "cos_center", by=("class_new", "year"), min_n: int = 100, approx: bool = False) -> DataFrame:
-    """(by, n, p01, p05) by linear interpolation; approx=True trades exactness for a bounded sketch."""
-    f = "approx_percentile" if approx else "percentile"
-    p = df.groupBy(*by).agg(F.count(c).alias("n"), F.expr(f"{f}({c}, array(0.01D, 0.05D))").alias("p"))
+def class_percentiles(df: DataFrame, c: str = "cos_center", by=("class_new", "year"), min_n: int = 100, approx: bool = False, most: int = MOST) -> DataFrame:
+    """(by, n, p01, p05) by linear interpolation; approx=True reads them from mergeable sketches."""
+    shares = (0.01, 0.05)
+    if approx:
+        p = estimated(sketches(df, by, c), shares)
+    else:
+        p = quantiles(df, by, {"c": (c, shares)}, most).select(*by, F.col("n_c").alias("n"), F.col("p_c").alias("p"))
     return p.where(F.col("n") >= min_n).select(*by, "n", F.get("p", F.lit(0)).alias("p01"), F.get("p", F.lit(1)).alias("p05"))
 
 
