@@ -101,12 +101,23 @@ def dedup(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFra
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], ranges: int = 256) -> DataFrame:
+#: Rows that one window without partition may see, and rows of a range beyond that.
+PLAIN, RANGE = 100_000, 250_000
+
+
+def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], ranges: int | None = None) -> DataFrame:
     """Adds, for each name, the sum of a column over the rows before, in a total order, without one task for all rows.
 
-    A range sort whose parts are numbered and written once; sums of the parts, which are `ranges` at most, added up; then
-    running sums inside each part.
+    A range sort into parts that are numbered and written once; sums of the parts, added up; then running sums inside each
+    part. There are as many parts as the rows ask for, so the table of their sums has a row for each `RANGE` rows; up to
+    `PLAIN` rows take one window.
     """
+    if ranges is None:
+        n = df.count()
+        ranges = -(-n // RANGE) if n > PLAIN else 0
+    if not ranges:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()})
     d = df.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id())
     d = cut(d.withColumns({f"_v_{n}": c for n, c in sums.items()}))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +128,7 @@ def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], ran
     return d.withColumns({n: F.col(f"_s_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums}).drop("_p", *(f"_{k}_{n}" for n in sums for k in "vs"))
 
 
-def assign_ids(df: DataFrame, order: Sequence[str], name: str = "new_id", ranges: int = 256) -> DataFrame:
+def assign_ids(df: DataFrame, order: Sequence[str], name: str = "new_id", ranges: int | None = None) -> DataFrame:
     """Dense ids from 0 in a total order, without one task for all rows."""
     return running(df, order, {name: F.lit(1).cast("bigint")}, ranges)
 

@@ -8,33 +8,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from .clean import running
 
 
-def replay_log(events: DataFrame, key: str = "path") -> DataFrame:
+def replay_log(events: DataFrame, key: str = "path", ranges: int | None = None) -> DataFrame:
     """(key, final, n_write, n_edit, n_warn): the state after all successful events in order of ts.
 
     Columns: key, ts, op ('write' or 'edit'), content, old, new, ok. An edit without a base or whose old text does not
-    occur is a warning and changes nothing; it replaces the first occurrence. What an edit does depends on all before it,
-    so a key's events are read by one task, as a sorted stream of which one event and one text are held.
+    occur is a warning and changes nothing; it replaces the first occurrence. A write forgets what was before it, so a
+    key's history falls apart at its writes: the number of writes so far, a running sum over ranges, tells the segment of
+    an event, and each segment is folded by itself, as a sorted stream of which one event and one text are held. Counts
+    are sums over segments; the text is the last segment's. A key with a third of all events is spread over tasks by its
+    writes.
     """
     kind = events.schema[key].dataType.simpleString()
+    columns = [key, "_seg", "final", "n_write", "n_edit", "n_warn"]
 
     def run(batches):
         import pyarrow as pa
 
-        schema, last, s = None, None, None
+        schema, last, s, done = None, None, None, []
 
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((last[0], *s), schema, strict=True)], names=[key, "final", "n_write", "n_edit", "n_warn"])
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), schema, strict=True)], names=columns)
 
         for batch in batches:
-            schema = schema or (batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.int32())
+            schema = schema or (batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             for at in range(0, batch.num_rows, 256):
-                for name, op, content, old, new in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    if last is None or name != last[0]:
+                for name, seg, op, content, old, new in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if last != (name, seg):
                         if last is not None:
-                            yield row()
-                        last, s = (name,), [None, 0, 0, 0]
+                            done.append((*last, *s))
+                        last, s = (name, seg), [None, 0, 0, 0]
                     if op == "write":
                         s[0], s[1] = content, s[1] + 1
                     elif op == "edit":
@@ -43,11 +48,21 @@ def replay_log(events: DataFrame, key: str = "path") -> DataFrame:
                             s[3] += 1
                         else:
                             s[0], s[2] = None if new is None else s[0][:place] + new + s[0][place + len(old) :], s[2] + 1
+                if len(done) >= 1024:
+                    yield rows()
+                    done = []
         if last is not None:
-            yield row()
-
-    e = events.where("ok").repartition(key).sortWithinPartitions(key, "ts", "op", "content", "old", "new")
-    return e.select(key, "op", "content", "old", "new").mapInArrow(run, f"{key} {kind}, final string, n_write int, n_edit int, n_warn int")
+            done.append((*last, *s))
+        if done:
+            yield rows()
+
+    order = ["ts", "op", "content", "old", "new"]
+    e = running(events.where("ok").select(key, *order), [key, *order], {"_seg": (F.col("op") == "write").cast("bigint")}, ranges)
+    e = e.withColumn("_seg", F.col("_seg") + (F.col("op") == "write").cast("bigint"))
+    e = e.repartition(key, "_seg").sortWithinPartitions(key, "_seg", *order)
+    folded = e.select(key, "_seg", "op", "content", "old", "new").mapInArrow(run, f"{key} {kind}, _seg bigint, final string, n_write bigint, n_edit bigint, n_warn bigint")
+    total = [F.sum(c).cast("int").alias(c) for c in ("n_write", "n_edit", "n_warn")]
+    return folded.groupBy(key).agg(F.max(F.struct("_seg", "final")).alias("_f"), *total).select(key, "_f.final", "n_write", "n_edit", "n_warn")
 
 
 def freshness(changes: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,37 @@ def test_csv_and_json_round_trip(spark, tmp_path):
     assert io.read_csv(spark, str(tmp_path / "c"), "truth int, pred int, n bigint").first() == d.first()
     (tmp_path / "h.json").write_text('{"block_keys":\n [1, 2, 5]}')
     assert sorted(r[0] for r in io.holdout_keys(spark, str(tmp_path / "h.json")).collect()) == [1, 2, 5]
+
+
+def plain_replay(events):
+    out = {}
+    for path, _, op, content, old, new, ok in sorted(events, key=lambda e: (e[0], e[1], e[2])):
+        if not ok:
+            continue
+        s = out.setdefault(path, [None, 0, 0, 0])
+        if op == "write":
+            s[0], s[1] = content, s[1] + 1
+        elif s[0] is not None and old in s[0]:
+            s[0], s[2] = s[0].replace(old, new, 1), s[2] + 1
+        else:
+            s[3] += 1
+    return {k: tuple(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_a_hot_key_is_replayed_by_segments(spark, ranges):
+    r = random.Random(4)
+    e = []
+    for t in range(3000):
+        path = "hot" if t % 3 == 0 else f"k{r.randrange(60)}"
+        write = r.random() < 0.1
+        e.append((path, t, "write" if write else "edit", "".join(r.choice("abc") for _ in range(8)) if write else None, None if write else r.choice("abcx"), None if write else r.choice("abcxy"), r.random() < 0.95))
+    d = spark.createDataFrame(e, "path string, ts int, op string, content string, old string, new string, ok boolean").repartition(5)
+    got = {x.path: (x.final, x.n_write, x.n_edit, x.n_warn) for x in textlog.replay_log(d, ranges=ranges).collect()}
+    assert got == plain_replay(e) and got["hot"][1] > 50
+
+
+def test_running_sums_by_ranges_equal_one_window(spark):
+    d = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(900)).alias("k"), "id")
+    rows = lambda n: sorted(map(tuple, clean.running(d, ["k", "id"], {"s": F.col("id"), "n": F.lit(1)}, n).collect()))
+    assert rows(None) == rows(9) == rows(1)
