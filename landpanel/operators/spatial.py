@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources.shared import cut
-from .joins import seeded, within_km
+from . import raster
+from .joins import KM_PER_DEG, seeded
 
 
 def cell_dedup(df: DataFrame, deg: float = 0.005, key: str = "row_id") -> DataFrame:
@@ -20,38 +23,65 @@ def cell_dedup(df: DataFrame, deg: float = 0.005, key: str = "row_id") -> DataFr
 def thin(df: DataFrame, km: float = 0.25, key: str = "row_id") -> DataFrame:
     """Points no two of which are within `km`: what a greedy pass in the seeded order would keep, found in parallel.
 
-    In each round a point that comes first among its undecided neighbours stays and its neighbours go; a chain of
-    decreasing order bounds the rounds. Only points with a neighbour take part.
+    Two points of one cell are always within `km`, so a cell keeps one point at most. In each round the first point of
+    each cell stays if it comes before the first ones of all cells that hold points within `km` of the cell, and the
+    points within `km` of it go. No pairs of points are written out: a point meets at most one kept point of each cell
+    around. Rows without a position stay.
     """
-    p = df.select(key, "lon", "lat", seeded(key).alias("o"))
-    near = within_km(p.withColumnRenamed(key, "a_id"), p.withColumnRenamed(key, "b_id"), km).where("a_id <> b_id").select("a_id", "b_id")
-    order = p.select(F.col(key).alias("a_id"), F.col("o").alias("ao")), p.select(F.col(key).alias("b_id"), F.col("o").alias("bo"))
-    edges = near.join(order[0], "a_id").join(order[1], "b_id").select("a_id", "b_id", F.struct("ao", "a_id").alias("fa"), F.struct("bo", "b_id").alias("fb"))
-    edges, gone = cut(edges), None
-    while not edges.isEmpty():
-        stay = edges.groupBy("a_id").agg(F.bool_and(F.col("fa") < F.col("fb")).alias("s")).where("s").select("a_id")
-        out = edges.join(stay, "a_id", "left_semi").select(F.col("b_id").alias("a_id")).distinct()
-        out = cut(out)
-        gone = out if gone is None else gone.unionByName(out)
-        both = stay.unionByName(out)
-        edges = cut(edges.join(both, "a_id", "left_anti").join(both.withColumnRenamed("a_id", "b_id"), "b_id", "left_anti").select("a_id", "b_id", "fa", "fb"))
-    return df if gone is None else df.join(gone.withColumnRenamed("a_id", key), key, "left_anti")
+    side = min(180.0, km / KM_PER_DEG * 0.999 / math.sqrt(2))
+    there = (F.abs("lon") < 1e6) & (F.abs("lat") <= 90.0)
+    y = F.floor((F.col("lat") + 90.0) / side).cast("bigint")
+    low = y * side - 90.0
+    wide = F.when((low <= 0) & (low + side >= 0), F.lit(0.0)).otherwise(F.least(F.abs(low), F.abs(low + side)))
+    # cells are no wider than high at their widest; how many columns a row of cells has
+    columns = lambda w: F.greatest(F.lit(1), F.ceil(360.0 * F.cos(F.radians(w)) / side)).cast("bigint")
+    x = F.least(columns(wide) - 1, F.floor(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) / 360.0 * columns(wide)).cast("bigint"))
+    p = df.where(there).select(F.col(key).alias("id"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.struct(seeded(key).alias("o"), F.col(key).alias("id")).alias("first"), x.alias("x"), y.alias("y"))
+    alive, kept = cut(p), None
+    last = math.ceil(180.0 / side)
+    rows = F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("y") - 2), F.least(F.lit(last).cast("bigint"), F.col("y") + 2))
+    reach = min(km / KM_PER_DEG, 180.0) + 1e-9
+
+    def around(lo_lon: Column, hi_lon: Column, far: Column) -> Column:
+        """The cells of the rows around that a circle of `km` about points between two longitudes can meet."""
+        turn = F.when(far + reach >= 90.0, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(min(reach, 90.0)))) / F.cos(F.radians(far))))) + 1e-9)
+
+        def across(r: Column) -> Column:
+            a = r * side - 90.0
+            n = columns(F.when((a <= 0) & (a + side >= 0), F.lit(0.0)).otherwise(F.least(F.abs(a), F.abs(a + side))))
+            at = lambda v: F.floor((v + 180.0) / 360.0 * n).cast("bigint")
+            left, right = at(lo_lon - turn), at(hi_lon + turn)
+            xs = F.when(right - left + 1 >= n, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.transform(F.sequence(left, F.greatest(left, right)), lambda v: F.pmod(v, n)))
+            return F.transform(xs, lambda v: F.struct(v.alias("x"), r.alias("y")))
+
+        return F.array_distinct(F.flatten(F.transform(rows, across)))
+
+    own = F.col("lon")
+    while not alive.isEmpty():
+        cells = cut(alive.groupBy("x", "y").agg(F.min(F.struct("first", "id", "lon", "lat")).alias("m")))
+        cell_low = F.col("y") * side - 90.0
+        w = F.when((cell_low <= 0) & (cell_low + side >= 0), F.lit(0.0)).otherwise(F.least(F.abs(cell_low), F.abs(cell_low + side)))
+        west, width = F.col("x") * 360.0 / columns(w) - 180.0, 360.0 / columns(w)
+        told = cells.select("m.first", F.explode(around(west, west + width, F.greatest(F.abs(cell_low), F.abs(cell_low + side)))).alias("c")).groupBy("c.x", "c.y").agg(F.min("first").alias("least"))
+        stay = cut(cells.join(told, ["x", "y"]).where(F.col("least") >= F.col("m.first")).select("m.id", "m.lon", "m.lat", "y"))
+        kept = stay.select("id") if kept is None else kept.unionByName(stay.select("id"))
+        near = stay.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.explode(around(own, own, F.abs("lat"))).alias("c")).select("_lon", "_lat", "c.x", "c.y")
+        gone = alive.join(near, ["x", "y"]).where(geo.haversine_km(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")) <= km).select("id")
+        alive = cut(alive.join(gone.unionByName(stay.select("id")), "id", "left_anti").select(alive.columns))
+    placeless = df.where(~F.coalesce(there, F.lit(False)))
+    return placeless if kept is None else df.join(kept.withColumnRenamed("id", key), key, "left_semi").unionByName(placeless)
 
 
 def focal(grid: DataFrame, radius: int = 1, code: int | None = None) -> DataFrame:
     """(row, col, code, n, same, share): neighbours inside the grid, those of the same code, and their share; with `code`, the share of that code."""
-    step = F.sequence(F.lit(-radius), F.lit(radius))
-    dealt = grid.select("row", "col", "code", F.explode(F.flatten(F.transform(step, lambda a: F.transform(step, lambda b: F.struct(a.alias("r"), b.alias("c")))))).alias("o"))
-    dealt = dealt.select((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), F.col("code").alias("other"))
-    hit = F.col("other") == (F.col("code") if code is None else F.lit(code))
-    d = grid.join(dealt, ["row", "col"]).groupBy("row", "col", "code").agg(F.count("*").alias("n"), F.count_if(hit).alias("same"))
+    d = raster.square_windows(grid, [radius], code).withColumnsRenamed({f"n_{radius}": "n", f"same_{radius}": "same"})
     return d.withColumn("share", F.col("same") / F.col("n"))
 
 
 def purity(grid: DataFrame, inner: int = 1, outer: int = 4, share: float = 0.7) -> DataFrame:
-    """Cells whose inner window is all of one code and whose outer window has at least `share` of it."""
-    a = focal(grid, inner).where("n = same").select("row", "col", "code")
-    return a.join(focal(grid, outer).where(F.col("share") >= share).select("row", "col"), ["row", "col"])
+    """Cells whose inner window is all of one code and whose outer window has at least `share` of it; both in one pass."""
+    d = raster.square_windows(grid, [inner, outer])
+    return d.where((F.col(f"n_{inner}") == F.col(f"same_{inner}")) & (F.col(f"same_{outer}") / F.col(f"n_{outer}") >= share)).select("row", "col", "code")
 
 
 def downsample_nearest(grid: DataFrame, factor: int) -> DataFrame:

@@ -61,11 +61,6 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("row_id", "year", F.col("class_new").alias("truth"), pred.alias("pred"), F.coalesce("province", F.lit("other")).alias("zone"), "src", "tier", ((k * 37 + y * 11) % 101 / F.lit(100.0)).alias("score"), "lon", "lat")
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A class grid from order lines."""
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 90).alias("row"), (F.col("l_partkey") % 80).alias("col")).agg(F.min(F.col("l_suppkey") % 4).cast("int").alias("code"))
-
-
 def whole_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A class grid with a cell for each order: columns grow with the table, the code is that of the order's first line."""
     first = F.min_by(F.col("l_suppkey") % 4, F.struct("l_linenumber", "l_partkey", "l_suppkey")).cast("int")
@@ -101,8 +96,6 @@ predictions AS (
          coalesce(province, 'other') AS zone, src, tier, ((row_id * 37 + y.year * 11) % 101) / 100.0::DOUBLE AS score, lon, lat
   FROM points, range(2017, 2025) y(year))"""
 
-GRID = "grid AS (SELECT l_orderkey % 90 AS row, l_partkey % 80 AS col, min(l_suppkey % 4)::INTEGER AS code FROM lineitem GROUP BY ALL)"
-
 WHOLE_GRID = "grid AS (SELECT l_orderkey % 90 AS row, l_orderkey // 90 AS col, arg_min(l_suppkey % 4, (l_linenumber, l_partkey, l_suppkey))::INTEGER AS code FROM lineitem GROUP BY ALL)"
 
 ORDER_POINTS = f"order_points AS (SELECT o_orderkey AS row_id, {lonlat('o_orderkey')}, o_custkey AS cust, o_orderstatus, o_totalprice AS price FROM orders)"

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import diag, joins, model, sampling, spatial
+from ..operators import diag, joins, model, raster, sampling, spatial
 from ..sources.io import table
-from .base import GRID, HAVERSINE, ORDER_POINTS, POINTS, QUERIES, SEEDED, SQL, WHOLE_GRID, grid, lonlat, order_points, points, query, rounded, whole_grid
+from .base import HAVERSINE, ORDER_POINTS, POINTS, SEEDED, WHOLE_GRID, lonlat, order_points, points, query, rounded, whole_grid
 
 N, C, RHO0 = geo.albers_constants()
 ALBERS = f"""alb0 AS (SELECT *, sin(radians(lat)) AS s FROM points),
@@ -57,9 +55,9 @@ def g7_thin(spark, sf_dir):
     return spatial.thin(points(spark, sf_dir).select("row_id", "lon", "lat"), 150.0).select("row_id")
 
 
-@query(f"WITH {GRID} SELECT row // 3 AS row, col // 3 AS col, code FROM grid WHERE row % 3 = 1 AND col % 3 = 1")
-def g8_downsample_nearest(spark, sf_dir, of=grid):
-    return spatial.downsample_nearest(of(spark, sf_dir), 3)
+@query(f"WITH {WHOLE_GRID} SELECT row // 3 AS row, col // 3 AS col, code FROM grid WHERE row % 3 = 1 AND col % 3 = 1")
+def g8_downsample_nearest(spark, sf_dir):
+    return spatial.downsample_nearest(whole_grid(spark, sf_dir), 3)
 
 
 @query(f"WITH {POINTS} SELECT row_id, floor((90 - lat) / 0.25::DOUBLE)::BIGINT AS row, floor((lon + 180) / 0.25::DOUBLE)::BIGINT AS col FROM points")
@@ -71,40 +69,27 @@ def g9_cell_index(spark, sf_dir):
 FOCAL = "SELECT a.row, a.col, a.code, count(*) AS n, count(*) FILTER (a.code = b.code) AS same FROM grid a JOIN grid b ON b.row BETWEEN a.row - {0} AND a.row + {0} AND b.col BETWEEN a.col - {0} AND a.col + {0} GROUP BY ALL"
 
 
-@query(f"WITH {GRID}, f AS ({FOCAL.format(1)}) SELECT *, round(same / n, 6) AS share FROM f")
-def a27_focal(spark, sf_dir, of=grid):
-    return rounded(spatial.focal(of(spark, sf_dir), 1), "share")
-
-
-@query(f"WITH {GRID}, a AS ({FOCAL.format(1)}), b AS ({FOCAL.format(2)}) SELECT a.row, a.col, a.code FROM a JOIN b USING (row, col) WHERE a.same >= a.n - 3 AND b.same >= 0.4 * b.n")
-def a27_purity(spark, sf_dir, of=grid):
-    g = of(spark, sf_dir)
-    a = spatial.focal(g, 1).where("same >= n - 3").select("row", "col", "code")
-    return a.join(spatial.focal(g, 2).where("same >= 0.4 * n").select("row", "col"), ["row", "col"])
+@query(f"WITH {WHOLE_GRID}, f AS ({FOCAL.format(1)}) SELECT *, round(same / n, 6) AS share FROM f")
+def a27_focal(spark, sf_dir):
+    return rounded(spatial.focal(whole_grid(spark, sf_dir), 1), "share")
 
 
 PIXEL = "pow(6371.0088::DOUBLE * radians(0.25::DOUBLE), 2) * cos(radians(50 - row * 0.25::DOUBLE))"
 
 
-@query(f"WITH {GRID} SELECT code, count(*) AS pixels, round(sum({PIXEL}), 4) AS km2 FROM grid GROUP BY code")
-def a28_area_by_class(spark, sf_dir, of=grid):
-    return rounded(spatial.area_by_class(of(spark, sf_dir), 0.25, 50 - F.col("row") * F.lit(0.25)), "km2", digits=4)
-
-
-@query(f"WITH {GRID} SELECT round(avg((code = 1)::INTEGER), 6) AS pixel_share, round(sum(CASE WHEN code = 1 THEN {PIXEL} ELSE 0 END) / sum({PIXEL}), 6) AS km2_share FROM grid")
-def a29_coverage_dual(spark, sf_dir, of=grid):
-    return rounded(spatial.coverage_dual(of(spark, sf_dir), F.col("code") == 1, 0.25, 50 - F.col("row") * F.lit(0.25)), "pixel_share", "km2_share")
+@query(f"WITH {WHOLE_GRID} SELECT code, count(*) AS pixels, round(sum({PIXEL}), 4) AS km2 FROM grid GROUP BY code")
+def a28_area_by_class(spark, sf_dir):
+    return rounded(spatial.area_by_class(whole_grid(spark, sf_dir), 0.25, 50 - F.col("row") * F.lit(0.25)), "km2", digits=4)
 
 
-@query(f"WITH {GRID}, p AS (SELECT (a.col % 10 = 9) AS e, (a.code <> b.code)::INTEGER AS d FROM grid a JOIN grid b ON b.row = a.row AND b.col = a.col + 1 UNION ALL SELECT (a.row % 10 = 9), (a.code <> b.code)::INTEGER FROM grid a JOIN grid b ON b.col = a.col AND b.row = a.row + 1) SELECT round(avg(d) FILTER (e), 6) AS edge, round(avg(d) FILTER (NOT e), 6) AS inside, round(avg(d) FILTER (e) / avg(d) FILTER (NOT e), 6) AS ratio FROM p")
-def a42_seam_ratio(spark, sf_dir, of=grid):
-    return rounded(spatial.seam_ratio(of(spark, sf_dir), 10), "edge", "inside", "ratio")
+@query(f"WITH {WHOLE_GRID} SELECT round(avg((code = 1)::INTEGER), 6) AS pixel_share, round(sum(CASE WHEN code = 1 THEN {PIXEL} ELSE 0 END) / sum({PIXEL}), 6) AS km2_share FROM grid")
+def a29_coverage_dual(spark, sf_dir):
+    return rounded(spatial.coverage_dual(whole_grid(spark, sf_dir), F.col("code") == 1, 0.25, 50 - F.col("row") * F.lit(0.25)), "pixel_share", "km2_share")
 
 
-# the same queries over the grid that grows with the table
-for _f in (g8_downsample_nearest, a27_focal, a27_purity, a28_area_by_class, a29_coverage_dual, a42_seam_ratio):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, of=whole_grid)
-    SQL[f"{_f.__name__}_whole"] = SQL[_f.__name__].replace(GRID, WHOLE_GRID)
+@query(f"WITH {WHOLE_GRID}, p AS (SELECT (a.col % 10 = 9) AS e, (a.code <> b.code)::INTEGER AS d FROM grid a JOIN grid b ON b.row = a.row AND b.col = a.col + 1 UNION ALL SELECT (a.row % 10 = 9), (a.code <> b.code)::INTEGER FROM grid a JOIN grid b ON b.col = a.col AND b.row = a.row + 1) SELECT round(avg(d) FILTER (e), 6) AS edge, round(avg(d) FILTER (NOT e), 6) AS inside, round(avg(d) FILTER (e) / avg(d) FILTER (NOT e), 6) AS ratio FROM p")
+def a42_seam_ratio(spark, sf_dir):
+    return rounded(spatial.seam_ratio(whole_grid(spark, sf_dir), 10), "edge", "inside", "ratio")
 
 
 PATCHES = "orders0 AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), grid AS (SELECT k % 90 AS row, k // 90 AS col, (CASE WHEN (k * 2654435761) % 97 = 0 THEN 9 ELSE ((k % 90) // 15 + (k // 90) // 15) % 4 END)::INTEGER AS code FROM orders0)"
@@ -118,11 +103,35 @@ def patches(spark, sf_dir):
 
 
 @query(f"WITH {PATCHES}, a AS ({FOCAL.format(1)}), b AS ({FOCAL.format(4)}) SELECT a.row, a.col, a.code FROM a JOIN b USING (row, col) WHERE a.same = a.n AND b.same / b.n >= 0.7::DOUBLE")
-def a27_purity_strict(spark, sf_dir):
+def a27_purity(spark, sf_dir):
     """The operator's own windows and shares: 3 x 3 all of one code, 9 x 9 at least 0.7 of it."""
     return spatial.purity(patches(spark, sf_dir))
 
 
+@query(f"""WITH {PATCHES}, o AS (SELECT y.i AS y, x.i AS x, greatest(abs(y.i), abs(x.i)) AS far FROM range(-9, 10) y(i), range(-9, 10) x(i)),
+d AS (SELECT a.row, a.col, a.code, min(o.far) FILTER (b.code IS NULL OR b.code <> a.code) AS far FROM grid a CROSS JOIN o LEFT JOIN grid b ON b.row = a.row + o.y AND b.col = a.col + o.x GROUP BY ALL)
+SELECT row, col, code, far - 1 AS depth FROM d""")
+def a27_core_depth(spark, sf_dir):
+    """How many erosions each cell survives; rounds of four, so patches of 15 cells need two."""
+    return raster.core_depth(patches(spark, sf_dir), halo=4)
+
+
+@query(f"""WITH {PATCHES}, o AS (SELECT y.i * k.i AS y, x.i * k.i AS x, y.i * 3 + x.i AS way FROM range(-1, 2) y(i), range(-1, 2) x(i), range(1, 4) k(i) WHERE y.i <> 0 OR x.i <> 0)
+SELECT a.row, a.col, a.code, count(DISTINCT o.way) FILTER (b.code = 9) AS seen FROM grid a CROSS JOIN o LEFT JOIN grid b ON b.row = a.row + o.y AND b.col = a.col + o.x GROUP BY a.row, a.col, a.code""")
+def a27_directions(spark, sf_dir):
+    """In how many of eight directions a stray cell lies within three steps."""
+    return raster.directions(patches(spark, sf_dir), 9, 3)
+
+
+@query(f"""WITH {PATCHES}, m AS (SELECT *, radians(60 - row * 0.25::DOUBLE) AS phi FROM grid), o AS (SELECT y.i AS y, x.i AS x FROM range(-2, 3) y(i), range(-5, 6) x(i))
+SELECT a.row, a.col, a.code, count(b.code) AS n, count(*) FILTER (b.code = 1) AS hits, round(count(*) FILTER (b.code = 1) / count(b.code), 6) AS share
+FROM m a CROSS JOIN o JOIN grid b ON b.row = a.row + o.y AND b.col = a.col + o.x
+WHERE pow(o.y * 27798.73166113975::DOUBLE, 2) + pow(o.x * (27798.73166113975::DOUBLE * cos(a.phi)), 2) <= pow(65000, 2) GROUP BY a.row, a.col, a.code""")
+def a27_share_within(spark, sf_dir):
+    """Share of a code within 65 km, on rows from 60 to 38 degrees north, where the window has two rows and up to four columns to a side."""
+    return rounded(raster.share_within(patches(spark, sf_dir), 1, 65_000.0, 0.25, 60.0), "share")
+
+
 CUST = f"cust AS (SELECT c_custkey AS b_id, {lonlat('(c_custkey + 7)')} FROM customer)"
 
 
@@ -156,14 +165,8 @@ def a18_distance_profile(spark, sf_dir):
     return rounded(diag.distance_profile(points(spark, sf_dir).select(F.col("row_id").alias("a_id"), "lon", "lat"), customers(spark, sf_dir), (10.0, 50.0)), "median_km", "under_10", "under_50")
 
 
-@query(f"WITH {POINTS}, t AS (SELECT tx, ty FROM range(0, 31) a(tx), range(0, 17) b(ty) WHERE (tx + ty) % 3 = 0), j AS (SELECT tx, ty, row_id, row_number() OVER (PARTITION BY tx, ty ORDER BY {SEEDED.format('row_id', 0)}, row_id) AS r FROM t JOIN points ON floor((lon - 73.0::DOUBLE - 2) / 2) <= tx AND floor((lon - 73.0::DOUBLE + 2) / 2) >= tx AND floor((lat - 18.0::DOUBLE - 2) / 2) <= ty AND floor((lat - 18.0::DOUBLE + 2) / 2) >= ty) SELECT tx, ty, row_id FROM j WHERE r <= 5")
-def j10_borrow(spark, sf_dir):
-    tiles = spark.range(0, 31).select(F.col("id").alias("tx"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(16).cast("bigint"))).alias("ty")).where("(tx + ty) % 3 = 0")
-    return joins.borrow(tiles, points(spark, sf_dir).select("row_id", "lon", "lat"), k=5)
-
-
 @query(f"WITH {POINTS}, t AS (SELECT tx, ty FROM range(0, 31) a(tx), range(0, 18) b(ty)), j AS (SELECT tx, ty, row_id, row_number() OVER (PARTITION BY tx, ty ORDER BY {SEEDED.format('row_id', 0)}, row_id) AS r FROM t JOIN points ON floor((lon - 73.0::DOUBLE - 2) / 2) <= tx AND floor((lon - 73.0::DOUBLE + 2) / 2) >= tx AND floor((lat - 18.0::DOUBLE - 2) / 2) <= ty AND floor((lat - 18.0::DOUBLE + 2) / 2) >= ty) SELECT tx, ty, row_id FROM j WHERE r <= 20000")
-def j10_borrow_all(spark, sf_dir):
+def j10_borrow(spark, sf_dir):
     """All tiles, with the operator's own limit."""
     tiles = spark.range(0, 31).select(F.col("id").alias("tx"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(17).cast("bigint"))).alias("ty"))
     return joins.borrow(tiles, points(spark, sf_dir).select("row_id", "lon", "lat"))
@@ -178,15 +181,6 @@ def regions(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("region"), ring.alias("ring"))
 
 
-@query(f"""WITH {POINTS}, b AS (SELECT n_name AS region, n_nationkey % 3 = 0 AS c, 73.0::DOUBLE + (n_nationkey % 5) * 12.0::DOUBLE AS x, 18.0::DOUBLE + floor(n_nationkey / 5) * 7.0::DOUBLE AS y FROM nation),
-i AS (SELECT row_id, min(region) AS region FROM points JOIN b ON lon >= x AND lon < x + 11 AND lat >= y AND lat < y + 6.5 AND (NOT c OR lat < y + 3 OR lon < x + 11 - (lat - y - 3) / 3.5::DOUBLE * 5) GROUP BY row_id)
-SELECT count(*) AS n, count(region) AS n_inside, count(DISTINCT region) AS n_regions, sum(CASE WHEN region IS NOT NULL THEN row_id ELSE 0 END)::BIGINT AS id_sum FROM points LEFT JOIN i USING (row_id)""")
-def j13_attribute_region(spark, sf_dir):
-    d = joins.attribute_region(points(spark, sf_dir), joins.edges_of(regions(spark, sf_dir)))
-    inside = F.when(F.col("inside"), F.col("region"))
-    return d.agg(F.count("*").alias("n"), F.count(inside).alias("n_inside"), F.count_distinct(inside).alias("n_regions"), F.sum(F.when(F.col("inside"), F.col("row_id")).otherwise(0)).alias("id_sum"))
-
-
 FOOT = HAVERSINE.format("lon", "lat", "(x1 + t * (x2 - x1))", "(y1 + t * (y2 - y1))")
 
 
@@ -201,7 +195,7 @@ m AS (SELECT row_id, region, round({FOOT}, 6) AS km FROM d),
 n AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY km, region) AS r FROM m)
 SELECT row_id, coalesce(i.region, n.region) AS region, i.region IS NOT NULL AS inside, CASE WHEN i.region IS NULL THEN n.km END AS edge_km
 FROM points LEFT JOIN i USING (row_id) LEFT JOIN (SELECT row_id, region, km FROM n WHERE r = 1) n USING (row_id)""")
-def j13_nearest_region(spark, sf_dir):
+def j13_attribute_region(spark, sf_dir):
     return joins.attribute_region(points(spark, sf_dir), joins.edges_of(regions(spark, sf_dir)))
 
 
