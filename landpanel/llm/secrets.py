@@ -1,20 +1,27 @@
 """Operator 5: secret scans by patterns and by character Markov models, in DataFrame operations alone.
 
-Three patterns give the base spans. The method adds spans of its own: every token of 16 or more key-like characters that
+Three patterns give the base spans. The method adds spans of its own: every token of 12 or more key-like characters that
 touches no base span is scored by the mean log-likelihood ratio of its character pairs under two first-order models, one
 of random strings and one of ordinary identifiers; those above a threshold become spans of kind `markov`.
 
-Both models are trained from labelled samples. Random strings are the values of all base spans of the corpus, and for
-each of five usual alphabets (base64, base64 in one case, letters and digits in one or both cases) `drawn` strings cut
-from digests of the numbers from 0; every kind has the same weight. Ordinary identifiers are the words of 4 or more
-key-like characters, outside base spans and without a mixture of letters and digits, of a bounded sample of documents
-(`ordinary_docs`, those first in a fixed scattering of doc_id), alone and joined in threes as identifiers are (camelCase,
-snake_case, with hyphens and slashes). A model mixes character pairs with pairs of character classes, each class uniform
-inside. Of both samples a part is held out; the threshold stands between the means of the held-out identifiers, of
-which one in a thousand may lie above it, and those of the held-out random strings. Only pair counts, at most
-7 x 68 x 68 numbers, and the threshold reach the driver.
+A token's mix says whether it has small letters, capitals and digits. Each mix has models of its own, so letters alone are
+held against words and constants in capitals against capitals, and each mix and class of length (under 16, under 24, more)
+has a threshold of its own, since the mean of few pairs scatters more. A mix that no random sample shows, such as digits
+with hyphens, is never flagged.
 
-Matches are found in one pass; their places are running sums of the gaps between them, over the matches of one text.
+Both models are trained from labelled samples. Random strings are the values of all base spans of the corpus, and for
+each of seven usual alphabets (base64, base64 in one case, letters and digits in one or both cases, letters of one case)
+`drawn` strings cut from digests of the numbers from 0. Ordinary identifiers are the words of 4 to 11 key-like
+characters, too short to be scored themselves, outside base spans and without a mixture of letters and digits, of a
+bounded sample of documents (`ordinary_docs`, those first in a fixed scattering of doc_id), and the words of WORDS, alone and joined in threes as
+identifiers are (camelCase, snake_case, capitals, hyphens, slashes, with a number, with a date). Kinds of samples have
+the same weight. A model mixes character pairs with pairs of character classes, each class uniform inside. Of both samples
+a part is held out; a threshold stands between the means of the held-out identifiers, of which one in two thousand may
+lie above it, and those of the held-out random strings. Only pair counts, at most 7 x 17 x 68 x 68 numbers, and the
+thresholds reach the driver.
+
+Spark's regular expressions find the matches, in two to four walks over a text for each pattern that occurs in it; their
+places are running sums of the gaps between them, over the matches of one text.
 
 Defined results: null text is the empty text and has no spans; equal texts get equal spans; a corpus without base spans
 trains the random model from the drawn strings alone; one without words trains the other from its priors; repeated rows
@@ -36,9 +43,30 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: A maximal run that is too short holds no longer one, so the least length may stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{12,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
+#: Ordinary words of programs and files, in any order: samples that do not depend on the language of the corpus.
+WORDS = """
+abort account action active address admin agent alert align allow amount analysis angle append apply archive argument array assign async attempt author available average
+backup balance base batch before begin binary block border branch bridge browser buffer build button bytes cache calendar call cancel catalog category center change channel
+check child circle class clean client clock close cluster code collect color column command comment commit common compare compile complete compute config connect content
+context control convert copy core count create current custom data database date debug default define delete deploy depth detail device digest direct disable display
+document domain download draft driver dynamic editor element email enable encode engine entry error event exact example exception execute export extend extract factory
+failure feature fetch field filter final find finish first flag flush folder follow footer force format frame from function future gateway general generate global graph
+group handler hash header height helper hidden history host image import include index initial input insert instance integer internal invalid issue item iterator join
+kernel language last layer layout leader length level library limit line link list listen load local lock logger login lookup machine main manager mapping master match
+maximum member memory menu merge message method metric middle minimum missing model module monitor month mount move multiple name native network next node normal notice
+number object offset online open operator option order origin output owner package page panel parent parse partition password path pattern payment pending person phone
+pixel place player plugin point policy pool port position prefix prepare present previous primary print private process product profile program project property protocol
+provider public publish query queue quick random range rating reader ready receive record recover reduce refresh region register release remote remove render repeat
+replace report request require reset resize resolve resource response restart result resume retry return review right role root rotate route rule running sample save
+scale schedule schema scope score script scroll search second section secure select sender separate sequence server service session setting setup shadow shape share shift
+short signal simple single size snapshot socket sort source space special split stack stage standard start state static status step stop storage store stream string style
+submit subject success suffix summary support switch symbol sync system table target task team template temporary test text theme thread threshold ticket time timeout title
+toggle token total trace track traffic transaction transfer transform trigger type unique unit update upload user valid value variable vector verify version video view
+virtual visible wait warning watch weight widget width window word worker workspace wrapper write year zone
+"""
 MATCH = "array<struct<kind: int, k: int, gap: int, size: int, value: string>>"
 SPAN = "array<struct<start: int, kind: int, end: int>>"
 
@@ -88,60 +116,95 @@ def ratios(counts: list, mix: float = 0.5) -> list[tuple[str, float]]:
     return [(a + b, math.log(models[0](a, b) / models[1](a, b))) for a in ALPHABET for b in ALPHABET]
 
 
+def mix(value: Column) -> Column:
+    """1 for small letters, 2 for capitals, 4 for digits, added up."""
+    return sum((F.regexp(value, F.lit(f"[{k}]")).cast("int") * n for k, n in (("a-z", 1), ("A-Z", 2), ("0-9", 4))), F.lit(0))
+
+
+def length_class(value: Column) -> Column:
+    return F.when(F.length(value) < 16, 0).when(F.length(value) < 24, 1).otherwise(2)
+
+
 def drawn(spark, n: int) -> DataFrame:
-    """(sample, value): n random strings of 24 to 40 characters for each alphabet, cut from digests of numbers."""
+    """(sample, value): n random strings of 12 to 40 characters for each alphabet, cut from digests of numbers."""
     raw = F.base64(F.unhex(F.sha2(F.concat(F.lit("drawn "), F.col("id").cast("string")), 256)))
     plain = F.regexp_replace(raw, "[+/=]", "")
     kinds = {"base64": raw, "url": F.translate(raw, "+/=", "-_"), "mixed": plain, "upper": F.upper(plain), "lower": F.lower(plain)}
+    kinds |= {"letters": F.regexp_replace(F.lower(plain), "[0-9]", ""), "capitals": F.regexp_replace(F.upper(plain), "[0-9]", ""), "both": F.regexp_replace(plain, "[0-9]", "")}
     d = spark.range(n).select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("sample"), v.alias("value")) for k, v in kinds.items()))).alias("x"))
-    return d.select("x.sample", F.substring("x.value", F.lit(1), (F.lit(24) + F.col("id") % 17).cast("int")).alias("value"))
+    return d.select("x.sample", F.substring("x.value", F.lit(1), (F.lit(12) + F.col("id") % 29).cast("int")).alias("value"))
+
+
+def joined(words: DataFrame) -> DataFrame:
+    """(sample, value): identifiers made of three words (a, b, c) of a row, in the usual ways."""
+    a, b, c = (F.coalesce(F.col(k), F.lit("")) for k in "abc")
+    cap = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
+    with_ = lambda sep, *x: F.concat_ws(sep, *(F.when(k != "", k) for k in x))
+    number = F.pmod(F.xxhash64(a, b), F.lit(100)).cast("string")
+    day = F.date_add(F.lit("1990-01-01").cast("date"), F.pmod(F.xxhash64(a, b, c), F.lit(20_000)).cast("int"))
+    stamp, clock = F.date_format(day, "yyyyMMdd"), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), F.date_format(F.timestamp_seconds(F.pmod(F.xxhash64(c, a), F.lit(86_400))), "HH-mm-ss"), F.lit("Z"))
+    snake = with_("_", a, b, c)
+    whole = {
+        "words": (a, b, c), "camel": (F.concat(a, cap(b), cap(c)), F.concat(cap(a), cap(b), cap(c))), "joined": (snake, with_("-", a, b, c), with_("/", a, b, c)),
+        "capitals": (F.upper(snake), F.upper(with_("-", a, b, c)), F.upper(F.concat(a, b, c))), "run on": (F.concat(a, b, c), F.concat(a, b)),
+        "numbered": (F.concat(snake, number), F.concat_ws("_", a, number, b), F.concat(F.upper(snake), F.lit("_"), number), F.concat(a, cap(b), cap(c), number), F.concat_ws("-", a, F.concat(F.lit("v"), number), b)),
+        "marked": (F.concat_ws("-", F.upper(a), F.concat(F.lit("v"), number), F.upper(b)), F.concat(F.upper(a), F.lit("_"), b, number), F.concat(a, number, F.upper(b)), F.concat(F.upper(a), F.lit("x"), number, F.upper(b))),
+        "dated": (with_("-", stamp, a, b), with_("_", a, stamp), F.concat_ws("-", clock, b), F.concat_ws("/", a, F.date_format(day, "yyyy/MM/dd"), b), F.concat(cap(a), cap(b), stamp), F.upper(with_("_", a, b, stamp))),
+    }
+    return words.select(F.explode(F.array(*(F.struct(F.lit(k).alias("sample"), F.array(*v).alias("v")) for k, v in whole.items()))).alias("x")).select("x.sample", F.explode("x.v").alias("value"))
 
 
 def ordinary(docs: DataFrame, text: Column, n: int) -> DataFrame:
-    """(sample, value): words of the first `n` documents, and identifiers made of three words that stand in a row."""
+    """(sample, value): words of the first `n` documents and of WORDS, and identifiers made of them."""
     first = docs.select(order_key().alias("o"), "doc_id").orderBy("o", "doc_id").limit(n).select("doc_id").distinct()
     some = attach(docs, first, ["doc_id"], how="left_semi").select(F.regexp_replace(text, f"{ASSIGN}|{ACCESS}|{HEX}", " ").alias("text"))
-    # a maximal run of key-like characters that is all letters or holds none
-    word = F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9+/_=-])(?:[A-Za-z+/_=-]{4,}|[0-9+/_=-]{4,})(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    # a maximal run of key-like characters that is all letters or holds none; what may be a secret is no sample
+    word = F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9+/_=-])(?:[A-Za-z+/_=-]{4,11}|[0-9+/_=-]{4,11})(?![A-Za-z0-9+/_=-])"), F.lit(0))
     after = [F.slice(word, F.lit(k), F.lit(1 << 30)) for k in (2, 3)]
-    w = some.select(F.posexplode(F.arrays_zip(word.alias("a"), *(x.alias(n) for x, n in zip(after, "bc", strict=True)))).alias("i", "x")).where(F.col("i") % 3 == 0).select("x.*")
-    b, c = (F.coalesce(k, F.lit("")) for k in "bc")
-    cap = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
-    whole = {"words": F.array("a", b, c), "camel": F.array(F.concat("a", cap(b), cap(c)), F.concat(cap(F.col("a")), cap(b), cap(c))), "joined": F.array(F.concat_ws("_", "a", b, c), F.concat_ws("-", "a", b, c), F.concat_ws("/", "a", b, c))}
-    return w.select(F.explode(F.array(*(F.struct(F.lit(k).alias("sample"), v.alias("v")) for k, v in whole.items()))).alias("x")).select("x.sample", F.explode("x.v").alias("value"))
+    threes = some.select(F.posexplode(F.arrays_zip(word.alias("a"), *(x.alias(n) for x, n in zip(after, "bc", strict=True)))).alias("i", "x")).where(F.col("i") % 3 == 0).select("x.*")
+    words = WORDS.split()
+    at = lambda k, step: F.get(F.array(*map(F.lit, words)), F.pmod(F.col("id") * step + k, F.lit(len(words))).cast("int"))
+    own = docs.sparkSession.range(4 * len(words)).select(at(0, 1).alias("a"), at(1, 7).alias("b"), at(2, 13).alias("c"))
+    corpus, fixed = joined(threes), joined(own).withColumn("sample", F.concat(F.lit("fixed "), "sample"))
+    return corpus.unionByName(fixed)
 
 
-def fit(samples: DataFrame) -> tuple[list[tuple[str, float]], float]:
-    """The ratio of each pair, and the threshold on their mean, from labelled samples (label, sample, value).
+def fit(samples: DataFrame) -> tuple[list[tuple[int, str, float]], list[tuple[int, int, float]]]:
+    """(mix, pair, ratio) and (mix, length class, threshold on the mean), from labelled samples (label, sample, value).
 
-    One value in five, by its hash, is held out for the threshold. Kinds of samples weigh the same within a label.
+    One value in five, by its hash, is held out for the thresholds. Kinds of samples weigh the same within a label and mix.
     """
-    s = cut(samples.withColumn("held", F.pmod(F.xxhash64("value"), F.lit(5)) == 0))
+    s = cut(samples.withColumns({"held": F.pmod(F.xxhash64("value"), F.lit(5)) == 0, "mix": mix(F.col("value"))}))
     known = F.col("pair").rlike("^[A-Za-z0-9+/_=.-]{2}$")
-    counts = s.where(~F.col("held")).select("label", "sample", F.explode(pairs(F.col("value"))).alias("pair")).where(known).groupBy("label", "sample", "pair").agg(F.count("*").alias("n")).collect()
+    counts = s.where(~F.col("held")).select("label", "sample", "mix", F.explode(pairs(F.col("value"))).alias("pair")).where(known).groupBy("label", "sample", "mix", "pair").agg(F.count("*").alias("n")).collect()
     total: dict = {}
     for r in counts:
-        total[r.label, r["sample"]] = total.get((r.label, r["sample"]), 0) + r.n
-    llr = ratios([(r.label, r.pair, 10_000 * r.n / total[r.label, r["sample"]]) for r in counts])
-    held = s.where(F.col("held") & (F.length("value") >= 16)).select(F.monotonically_increasing_id().alias("row"), "label", "value")
-    means = scored(cut(held), llr, "row", "label").groupBy("label").agg(F.expr("percentile(score, array(0.01D, 0.999D))").alias("p")).collect()
-    p = {r.label: r.p for r in means}
-    if 0 in p and 1 in p:  # between one in a thousand identifiers and one in a hundred random strings
-        return llr, max(p[0][1], (p[0][1] + p[1][0]) / 2)
-    return llr, 0.5 * p[1][0] if 1 in p else 0.0
-
-
-def scored(values: DataFrame, llr: list[tuple[str, float]], *keys: str) -> DataFrame:
-    """(keys, score): the mean ratio of the pairs of each value."""
-    table = values.sparkSession.createDataFrame(llr, "pair string, llr double")
-    one = values.select(*keys, F.explode(pairs(F.col("value"))).alias("pair")).join(F.broadcast(table), "pair")  # 68 x 68 rows
-    return one.groupBy(*keys).agg((F.sum(F.round("llr", 9)) / F.count("*")).alias("score"))
+        total[r.label, r["sample"], r.mix] = total.get((r.label, r["sample"], r.mix), 0) + r.n
+    llr = []
+    for m in sorted({r.mix for r in counts}):
+        llr += [(m, p, x) for p, x in ratios([(r.label, r.pair, 10_000 * r.n / total[r.label, r["sample"], m]) for r in counts if r.mix == m])]
+    held = s.where(F.col("held") & (F.length("value") >= 12)).select(F.monotonically_increasing_id().alias("row"), "label", "value")
+    means = scored(cut(held), llr, "row", "label").groupBy("label", "mix", "size").agg(F.expr("percentile(score, array(0.02D, 0.9995D))").alias("p")).collect()
+    p = {(r.label, r.mix, r["size"]): r.p for r in means}
+    limits = []
+    for (label, m, size), (low, _) in p.items():
+        if label == 1:
+            high = p[0, m, size][1] if (0, m, size) in p else 0.0  # between nearly all identifiers and nearly all random strings
+            limits.append((m, size, max(high, (high + low) / 2)))
+    return llr, limits
+
+
+def scored(values: DataFrame, llr: list[tuple[int, str, float]], *keys: str) -> DataFrame:
+    """(keys, mix, size, score): the mean ratio of the pairs of each value, its mix and its class of length."""
+    table = values.sparkSession.createDataFrame(llr, "mix int, pair string, llr double")
+    one = values.select(*keys, mix(F.col("value")).alias("mix"), length_class(F.col("value")).alias("size"), F.explode(pairs(F.col("value"))).alias("pair")).join(F.broadcast(table), ["mix", "pair"])  # 7 x 68 x 68 rows
+    return one.groupBy(*keys, "mix", "size").agg((F.sum(F.round("llr", 9)) / F.count("*")).alias("score"))
 
 
 def scan(docs: DataFrame, threshold: float | None = None, ordinary_docs: int = 400, random_strings: int = 500, text_col: str = "text") -> DataFrame:
     """doc_id, and the base spans and all spans of its text as arrays of (start, kind, end), sorted.
 
-    `threshold` on the mean ratio is taken from held-out samples unless it is given.
+    The thresholds on the mean ratio are taken from held-out samples unless one is given for all.
     """
     text = text_or_empty(text_col)
     found = F.concat(matches(text, ASSIGN, 0, 2), matches(text, ACCESS, 1), matches(text, HEX, 2), matches(text, TOKEN, 3))
@@ -161,8 +224,11 @@ def scan(docs: DataFrame, threshold: float | None = None, ordinary_docs: int = 4
 
     random = each.where(base).select(F.get(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("sample"), "value").unionByName(drawn(docs.sparkSession, random_strings))
     samples = random.withColumn("label", F.lit(1)).unionByName(ordinary(docs, text, ordinary_docs).withColumn("label", F.lit(0)))
-    llr, held_out = fit(samples)
-    markov = scored(each.where(~base), llr, "row", "start", "end").where(F.col("score") > (held_out if threshold is None else threshold))
+    llr, limits = fit(samples)
+    if threshold is not None:
+        limits = [(m, size, threshold) for m in range(8) for size in range(3)]
+    least = docs.sparkSession.createDataFrame(limits, "mix int, size int, least double")
+    markov = scored(each.where(~base), llr, "row", "start", "end").join(F.broadcast(least), ["mix", "size"]).where(F.col("score") > F.col("least"))  # 24 rows
     spans = each.where(base).select("row", "start", "kind", "end").unionByName(markov.select("row", "start", F.lit(3).alias("kind"), "end"))
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).cast(SPAN).alias("spans"))
     out = attach(rows.select("row", "doc_id"), cut(spans), ["row"], how="left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))

@@ -340,6 +340,41 @@ def test_models_find_planted_keys_and_leave_identifiers(spark):
     assert sum(bool(got[-10_001 - i]) for i in range(len(names))) < 0.01 * len(names)
 
 
+OUTSIDE = """
+MAX_RETRY_ATTEMPTS_BEFORE_FAILURE SELECT_COUNT_FROM_TABLE_WHERE 2024-05-17T12-00-00Z-build getUserAccountBalance AbstractSingletonProxyFactoryBean handleIncomingWebhookRequest
+/usr/local/share/applications kubernetes-cluster-autoscaler internationalization DEFAULT_CONNECTION_TIMEOUT_SECONDS release-2023-11-30-hotfix com/example/project/service src/main/resources/templates
+node_modules/typescript/lib IllegalArgumentException NullPointerException readTimeoutMilliseconds parse_http_response_headers test_user_can_reset_password is_authenticated_or_read_only
+backup_20231105_database photo-2019-08-23-evening invoice_number_000123 chapter-12-introduction HTTP_STATUS_NOT_FOUND enable_experimental_features calculateMonthlyPayment
+understanding-distributed-systems responsibilities characteristically XMLHttpRequestEventTarget createElementWithAttributes gradient_accumulation_steps learning_rate_scheduler
+ERROR_INVALID_PARAMETER_VALUE GL_COLOR_BUFFER_BIT pull-request-template continuous-integration-pipeline docker-compose-override UTF8_GENERAL_CASE_INSENSITIVE
+""".split()
+
+
+@pytest.mark.parametrize("alphabet,length", [("abcdefghijklmnopqrstuvwxyz", 24), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 24), ("abcdefghijklmnopqrstuvwxyz", 32), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 15), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16)])
+def test_random_tokens_of_each_mix_are_found(planted_secrets, alphabet, length):
+    got = planted_secrets[alphabet, length]
+    assert sum(got) >= 0.9 * len(got), sum(got) / len(got)
+
+
+def test_identifiers_from_outside_the_corpus_are_left_alone(planted_secrets):
+    assert sum(planted_secrets["outside"]) < 0.01 * len(OUTSIDE) + 1 and sum(planted_secrets["outside"]) <= 1, [n for n, x in zip(OUTSIDE, planted_secrets["outside"], strict=True) if x]
+
+
+@pytest.fixture(scope="module")
+def planted_secrets(spark, sf_dir):
+    r, rows, where = random.Random(31), [], {}
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for kind in ((lower, 24), (upper, 24), (lower, 32), (lower + upper + digits, 15), (upper + digits, 16)):
+        where[kind] = range(len(rows), len(rows) + 60)
+        rows += ["".join(r.choice(kind[0]) for _ in range(kind[1])) for _ in range(60)]
+    where["outside"] = range(len(rows), len(rows) + len(OUTSIDE))
+    rows += OUTSIDE
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(-1 - i, f"the word {x} stands here") for i, x in enumerate(rows)], "doc_id bigint, text string")
+    got = {x.doc_id: [tuple(s) for s in x.spans] for x in secrets.scan(docs.unionByName(more)).where("doc_id < 0").collect()}
+    return {k: [any(s[1] == 3 for s in got[-1 - i]) for i in ids] for k, ids in where.items()}
+
+
 def test_many_matches_take_linear_time(spark):
     d = spark.createDataFrame([(1, "0123456789abcdef " * 30_000)], "doc_id bigint, text string")
     row = secrets.scan(d, ordinary_docs=1).first()
