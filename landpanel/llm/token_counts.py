@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import by_blocks, only, text_or_empty
 
 MEMO = 300_000
-HUGE = 8_192
+HUGE = 16_384
 OVERLAP = 256
 #: A place after ASCII white space at which something other than white space begins.
 STABLE = re.compile(r"(?<=[\x20\x09-\x0D])[^\s]")
