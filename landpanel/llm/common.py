@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,3 +117,5 @@ def only(name: str, forget) -> None:
 
             gc.collect()
             pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library keeps freed memory for itself
+                ctypes.CDLL(None).malloc_trim(0)

@@ -403,26 +403,14 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, short:
     """The columns of `docs`, texts without their duplicate lines, and _line_count, _line_dropped and _line_chars (before)."""
     gone = dropped(docs, least, edits, short)
     d = docs.withColumns({"_line_doc": F.col("doc_id"), "_line_text": F.xxhash64("text")}).join(gone.hint("merge"), ["_line_doc", "_line_text"], "left")
-    d = d.select(*docs.columns, "_line_drop")
-    names, schema = docs.columns, docs.withColumns({c: F.lit(0).cast("bigint") for c in ("_line_count", "_line_dropped", "_line_chars")}).schema
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            text, drop, counts = batch.column(names.index("text")), batch.column(len(names)), ([], [], [])
-            out = []
-            for x, gone in zip(text, drop, strict=True):
-                whole = x.as_py() if x.is_valid else None
-                parts = None if whole is None else whole.split("\n")
-                left = whole
-                if gone.is_valid:
-                    without = set(gone.as_py())
-                    left = "\n".join([p for i, p in enumerate(parts) if i not in without])
-                out.append(left)
-                for c, n in zip(counts, (len(parts or ()), len(parts or ()) and len(gone.as_py() or ()), len(whole or "")), strict=True):
-                    c.append(n)
-            columns = [pa.array(out, text.type) if c == "text" else batch.column(k) for k, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)], names=[f.name for f in schema])
-
-    return d.mapInArrow(run, schema)
+    # the lines become a column of their own before they are picked from, so each text is split once
+    d = d.select(*docs.columns, "_line_drop", F.explode(F.array(F.split("text", "\n"))).alias("_line_parts"))
+    told, n = F.col("text").isNotNull(), F.size("_line_parts")
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_line_drop"))
+    left = F.array_join(F.transform(stay, lambda i: F.get("_line_parts", i)), "\n")
+    count = lambda ok, c: F.when(ok, c).otherwise(F.lit(0)).cast("bigint")
+    cut_off = told & F.col("_line_drop").isNotNull()
+    return d.select(
+        *(F.when(cut_off, left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        count(told, n).alias("_line_count"), count(cut_off, F.size("_line_drop")).alias("_line_dropped"), count(told, F.length("text")).alias("_line_chars"),
+    )
