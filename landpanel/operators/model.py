@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..sources.shared import cut
 from . import evaluate
+from .linear import pooled_covariance
 
 
 def nearest_centroid(test: DataFrame, train: DataFrame, by: list[str] | None = None, min_n: int = 1) -> DataFrame:
@@ -128,18 +128,6 @@ def forest_baseline(train: DataFrame, val: DataFrame, trees: int = 150, depth: i
     return oa(a, "features_oa").join(F.broadcast(oa(b, "coords_oa"))).withColumn("gain", F.col("features_oa") - F.col("coords_oa"))
 
 
-def separability(df: DataFrame, label: str, folds: int = 5, fold: Column | None = None) -> DataFrame:
-    """(fold, bal_acc) of a logistic regression between two classes (a linear separator)."""
-    d = df.withColumns({"features": array_to_vector("v"), "_y": F.col(label).cast("double"), "_f": fold if fold is not None else F.pmod(F.xxhash64("row_id"), F.lit(folds)).cast("int")})
-    d = cut(d.drop("features")).withColumn("features", array_to_vector("v"))  # read once for every fold
-    out = None
-    for k in range(folds):
-        m = LogisticRegression(labelCol="_y", featuresCol="features", regParam=0.01, maxIter=25).fit(d.where(F.col("_f") != k))
-        p = m.transform(d.where(F.col("_f") == k)).groupBy("_y").agg(F.avg((F.col("prediction") == F.col("_y")).cast("int")).alias("r")).agg(F.lit(k).alias("fold"), F.avg("r").alias("bal_acc"))
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
 def override(first: Column, second: Column, weak: Sequence[int], hosts: Sequence[int]) -> Column:
     """The second model's class where it is a weak class and the first gave one of its hosts."""
     return F.when(first.isin(*hosts) & second.isin(*weak), second).otherwise(first)
@@ -155,14 +143,6 @@ def score_and_band(df: DataFrame, train: DataFrame, positive: int) -> DataFrame:
     return j.withColumn("score", 1 / (1 + F.exp(-4 * (vec.dot(u, "_p") - vec.dot(u, "_q"))))).drop("_p", "_q").withColumn("band", scalar.band(F.col("score")))
 
 
-def pooled_covariance(df: DataFrame) -> DataFrame:
-    """(i, j, cov): within-class covariance of the vectors; d x d sums with map-side combining."""
-    c = df.join(class_means(df), "class_new").withColumn("r", F.zip_with("v", "m", lambda x, y: x - y))
-    rows = c.select(F.posexplode("r").alias("i", "x"), "r").select("i", "x", F.posexplode("r").alias("j", "y"))
-    n = df.agg((F.count("*") - F.count_distinct("class_new")).alias("n"))
-    return rows.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).join(F.broadcast(n)).select("i", "j", (F.col("s") / F.col("n")).alias("cov"))
-
-
 def class_means(df: DataFrame) -> DataFrame:
     return df.groupBy("class_new").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("m"))
 

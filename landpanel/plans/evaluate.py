@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import clean, diag, sampling
@@ -159,9 +161,17 @@ def a25_parametric_ci(spark, sf_dir):
     return rounded(E.parametric_ci(folds(spark, sf_dir)), "mean", "lo", "hi")
 
 
-@query()
+POISSON = " + ".join(f"(u > {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r}::DOUBLE)::INTEGER" for k in range(8))
+
+
+@query(f"""WITH {PREDICTIONS}, s AS (SELECT (row_id * 10000 + year) % 2147483647 AS n, (truth = pred)::INTEGER AS label FROM predictions),
+a AS (SELECT r, label, 7 + r * 104729 AS k, (n + 7 + r * 104729) * 2654435761 % 2147483647 AS a FROM s, range(1, 1001) t(r)),
+b AS (SELECT r, label, a, (a * a + k) % 2147483647 AS b FROM a), u AS (SELECT r, label, ((b * b + a) % 2147483647 + 0.5::DOUBLE) / 2147483647.0::DOUBLE AS u FROM b),
+m AS (SELECT r, sum(label * w) / sum(w)::DOUBLE AS m FROM (SELECT r, label, {POISSON} AS w FROM u) GROUP BY r)
+SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
 def a25_bootstrap_ci(spark, sf_dir):
-    return E.bootstrap_ci(scored(spark, sf_dir).withColumn("k", F.col("row_id") * 10000 + F.col("year")), "label", reps=100, key="k")
+    d = predictions(spark, sf_dir).select((F.col("row_id") * 10000 + F.col("year")).alias("k"), (F.col("truth") == F.col("pred")).cast("int").alias("hit"))
+    return rounded(E.bootstrap_ci(d, "hit", key="k"), "mean", "lo", "hi")
 
 
 @query(f"WITH {PREDICTIONS}, s AS (SELECT zone, count(*) AS n, avg((truth = pred)::INTEGER) AS p, length(zone)::DOUBLE + count(DISTINCT src) AS w0 FROM predictions GROUP BY zone), w AS (SELECT *, w0 / sum(w0) OVER () AS w FROM s), r AS (SELECT sum(w * p) AS oa, sqrt(sum(w * w * p * (1 - p) / greatest(n - 1, 1))) AS se FROM w) SELECT round(oa, 6) AS oa, round(se, 6) AS se, round(greatest(0, oa - 1.96::DOUBLE * se), 6) AS lo, round(least(1, oa + 1.96::DOUBLE * se), 6) AS hi FROM r")

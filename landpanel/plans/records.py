@@ -23,6 +23,18 @@ def s2_scan_year(spark, sf_dir):
     return rounded(d.agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q")), "q", digits=4)
 
 
+@query("SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n, round(sum(o_totalprice), 2) AS price, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders WHERE year(o_orderdate) IN (1993, 1996) GROUP BY 1")
+def s2_scan_index(spark, sf_dir):
+    """Chunk files of two or three years each; an index names those that hold the years asked for."""
+    at, y = shared.place(spark, "chunks"), F.year("o_orderdate")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", y.cast("int").alias("year"))
+    chunk = F.floor((F.col("year") - 1992 + F.pmod("o_orderkey", F.lit(2))) / 2).cast("int")
+    o.withColumn("chunk_id", chunk).repartition("chunk_id").write.partitionBy("chunk_id").parquet(at)
+    io.build_index(spark, at, f"{at}.index", key="o_orderkey")
+    d = io.scan_indexed(spark, at, f"{at}.index", [1993, 1996], key="o_orderkey")
+    return rounded(d.groupBy("year").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("price"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")), "price", digits=2)
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE round(value, 6) END AS value FROM events")
 def s8_sanitize(spark, sf_dir):
     d = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, float("inf")).otherwise(F.col("value")).alias("value"))
@@ -353,6 +365,13 @@ def t6_phrase_scan(spark, sf_dir):
     return textlog.phrase_scan(table(spark, sf_dir, "documents"), ["password", "thion", "License"], "doc_id")
 
 
+@query("WITH p AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-zA-Z]{6,}')) AS phrase FROM benchmark), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) SELECT doc_id, line_no::INTEGER AS line_no, phrase FROM l, p WHERE contains(line, phrase)")
+def t6_phrase_table(spark, sf_dir):
+    """Lines that hold one of some thousand words of the benchmark."""
+    phrases = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{6,}"), F.lit(0))).alias("phrase"))
+    return textlog.phrase_table_scan(table(spark, sf_dir, "documents"), phrases, "doc_id")
+
+
 @query("WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(url, 'https?://[^/]+')) AS path FROM pages), m AS (SELECT DISTINCT regexp_extract(url, 'https?://[^/]+') AS path FROM pages WHERE page_id % 2 = 0) SELECT path FROM n WHERE path NOT IN (SELECT path FROM m)")
 def t8_missing_paths(spark, sf_dir):
     p = table(spark, sf_dir, "pages")

@@ -35,6 +35,39 @@ def scan_year(spark: SparkSession, path: str, year: int, cols: list[str] | None
     return scan(spark, path, cols).where(F.col(column) == year)
 
 
+def build_index(spark: SparkSession, path: str, index: str, column: str = "year", key: str = "row_id") -> None:
+    """Write (file, value, n, first, last): which values of `column` each file of `path` holds, how many rows and which range of keys.
+
+    One pass over two columns; files that the index has already are not read again.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
+    if exists(spark, index):
+        files = files.join(spark.read.parquet(index).select("file").distinct(), "file", "left_anti")
+    new = [r.file for r in files.collect()]
+    if not new:
+        return
+    d = spark.read.parquet(*new)
+    rows = d.groupBy(F.input_file_name().alias("file"), F.col(column).alias("value")).agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last"))
+    plain = F.regexp_replace("file", "^file:/+", "file:/")
+    rows.withColumn("file", plain).write.mode("append").parquet(index)
+
+
+def scan_indexed(spark: SparkSession, path: str, index: str, values: list, cols: list[str] | None = None, column: str = "year", key: str = "row_id", keys: tuple | None = None) -> DataFrame:
+    """The rows with one of `values`, and a key in the closed range `keys`, from the files alone that the index names for them.
+
+    The files are chosen before the plan is made; inside them the column decides, never the file's first row.
+    """
+    i = spark.read.parquet(index).where(F.col("value").isin(*values))
+    if keys is not None:
+        i = i.where((F.col("last") >= keys[0]) & (F.col("first") <= keys[1]))
+    files = [r.file for r in i.select("file").distinct().collect()]
+    d = spark.read.parquet(*files) if files else spark.read.parquet(path).limit(0)
+    d = d.where(F.col(column).isin(*values))
+    if keys is not None:
+        d = d.where(F.col(key).between(*keys))
+    return d.select(*cols) if cols else d
+
+
 def scan_between(spark: SparkSession, path: str, column: str, first: str, end: str, cols: list[str] | None = None) -> DataFrame:
     """Rows with `column` from `first` to before `end`, times written as text: a range that file and row-group statistics can rule out."""
     d = spark.read.parquet(path)
