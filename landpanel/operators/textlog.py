@@ -99,6 +99,22 @@ def extract_metrics(df: DataFrame, line: str = "line", pattern: str = r"^y(\d{4}
     return df.where(F.col(line).rlike(pattern)).select(g(1).cast("int").alias("year"), F.expr(f"try_cast(regexp_extract({line}, r'{pattern}', 2) AS double)").alias("oa"), F.expr(f"try_cast(regexp_extract({line}, r'{pattern}', 3) AS double)").alias("macro_f1"))
 
 
+def rewrite_changes(df: DataFrame, table: Sequence[tuple[str, str]], banned: Sequence[str], key: str, text: str = "text") -> DataFrame:
+    """(key, changed, replaced, left): the texts that a rewrite changes or leaves with a banned phrase.
+
+    `replaced` has, in the table's order, how many places each pair rewrote in what the pairs before it had made; `left`
+    lists the banned phrases that are still there. A pair may rewrite a place and change nothing.
+    """
+    d, counts = df.select(key, F.col(text).alias("_t0")), []
+    for k, (old, new) in enumerate(table):
+        gone = F.length(f"_t{k}") - F.length(F.replace(F.col(f"_t{k}"), F.lit(old), F.lit("")))
+        d = d.withColumn(f"_n{k}", F.floor(gone / len(old)).cast("bigint")).withColumn(f"_t{k + 1}", F.replace(F.col(f"_t{k}"), F.lit(old), F.lit(new)))
+        counts.append(f"_n{k}")
+    last = F.col(f"_t{len(table)}")
+    d = d.select(key, (last != F.col("_t0")).alias("changed"), F.array(*counts).alias("replaced"), leftovers(last, banned).alias("left"))
+    return d.where(F.col("changed") | (F.size("left") > 0))
+
+
 def phrase_scan(df: DataFrame, phrases: Sequence[str], key: str, text: str = "text") -> DataFrame:
     """(key, line_no, phrase): lines that hold one of a few listed phrases."""
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))

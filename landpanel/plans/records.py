@@ -23,15 +23,15 @@ def s2_scan_year(spark, sf_dir):
     return rounded(d.agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q")), "q", digits=4)
 
 
-@query("SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n, round(sum(o_totalprice), 2) AS price, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders WHERE year(o_orderdate) IN (1993, 1996) GROUP BY 1")
+@query("SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n, round(sum(o_totalprice), 2) AS price, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders WHERE year(o_orderdate) IN (1996, 1999) GROUP BY 1")
 def s2_scan_index(spark, sf_dir):
     """Chunk files of two or three years each; an index names those that hold the years asked for."""
     at, y = shared.place(spark, "chunks"), F.year("o_orderdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", y.cast("int").alias("year"))
-    chunk = F.floor((F.col("year") - 1992 + F.pmod("o_orderkey", F.lit(2))) / 2).cast("int")
+    chunk = F.floor((F.col("year") - 1995 + F.pmod("o_orderkey", F.lit(2))) / 2).cast("int")
     o.withColumn("chunk_id", chunk).repartition("chunk_id").write.partitionBy("chunk_id").parquet(at)
     io.build_index(spark, at, f"{at}.index", key="o_orderkey")
-    d = io.scan_indexed(spark, at, f"{at}.index", [1993, 1996], key="o_orderkey")
+    d = io.scan_indexed(spark, at, f"{at}.index", [1996, 1999], key="o_orderkey")
     return rounded(d.groupBy("year").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("price"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")), "price", digits=2)
 
 
@@ -353,6 +353,14 @@ def t4_rewrite_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("text_md5"), (F.size(textlog.leftovers(t, ["THE"])) > 0).alias("has_left"))
 
 
+@query("""WITH a AS (SELECT doc_id, text, replace(text, 'the', 'THE') AS t1, (length(text) - length(replace(text, 'the', ''))) // 3 AS n1 FROM documents),
+b AS (SELECT *, replace(t1, 'THEr', 'there') AS t2, (length(t1) - length(replace(t1, 'THEr', ''))) // 4 AS n2 FROM a)
+SELECT doc_id, t2 <> text AS changed, n1 AS n_first, n2 AS n_second, contains(t2, 'THE') AS has_left FROM b WHERE t2 <> text OR contains(t2, 'THE')""")
+def t4_change_list(spark, sf_dir):
+    d = textlog.rewrite_changes(table(spark, sf_dir, "documents"), [("the", "THE"), ("THEr", "there")], ["THE"], "doc_id")
+    return d.select("doc_id", "changed", F.get("replaced", F.lit(0)).alias("n_first"), F.get("replaced", F.lit(1)).alias("n_second"), (F.size("left") > 0).alias("has_left"))
+
+
 @query("SELECT (2000 + o_custkey % 30)::INTEGER AS year, (o_orderkey % 1000 / 1000.0::DOUBLE)::DOUBLE AS oa, (o_custkey % 100 / 100.0::DOUBLE)::DOUBLE AS macro_f1 FROM orders WHERE o_orderkey % 3 <> 0")
 def t5_extract_metrics(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")

@@ -215,11 +215,14 @@ def export_until_idle(make, path: str, idle: int = 2, rounds: int = 100) -> int:
     return written
 
 
-def file_manifest(spark: SparkSession, path: str, pattern: str = "*", heavy: int | None = None) -> DataFrame:
-    """(path, bytes, mtime, md5, sha256): files above `heavy` bytes are registered without reading them."""
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*", heavy: int = 1 << 30) -> DataFrame:
+    """(path, bytes, mtime, md5, sha256): files above `heavy` bytes are registered without reading them, with null digests.
+
+    A file's content is one cell of a row, which holds 2 GB at most.
+    """
     d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     base = d.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
-    small = d if heavy is None else d.where(F.col("length") <= heavy)
+    small = d.where(F.col("length") <= heavy)
     digests = small.select("path", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
     return base.join(digests, "path", "left")
 

@@ -55,3 +55,17 @@ def test_only_files_that_the_index_names_are_read(spark, tmp_path):
     rows.where("year = 2024").withColumn("year", F.lit(2030)).coalesce(1).write.mode("append").parquet(at)
     io.build_index(spark, at, index)  # new files alone are read
     assert io.scan_indexed(spark, at, index, [2030]).count() == 1000 and spark.read.parquet(index).agg(F.sum("n")).first()[0] == 9005
+
+
+def test_a_rewrite_lists_its_changes_and_what_is_left(spark):
+    rows = [(1, "the other the"), (2, "none"), (3, "TH THE"), (4, None), (5, "aaa the"), (6, "")]
+    d = spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: (r.changed, list(r.replaced), list(r.left)) for r in textlog.rewrite_changes(d, [("the", "THE"), ("THEr", "there"), ("aa", "aa")], ["THE", "zz"], "id").collect()}
+    assert got == {1: (True, [3, 1, 0], ["THE"]), 3: (False, [0, 0, 0], ["THE"]), 5: (True, [1, 0, 1], ["THE"])}
+
+
+def test_heavy_files_are_registered_without_digest(spark, tmp_path):
+    for name, n in (("a", 10), ("b", 5000)):
+        (tmp_path / name).write_bytes(b"x" * n)
+    got = {r.path[-1]: (r.bytes, r.md5 is None) for r in io.file_manifest(spark, str(tmp_path), heavy=100).collect()}
+    assert got == {"a": (10, False), "b": (5000, True)}
