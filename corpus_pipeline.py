@@ -82,11 +82,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what stands between them is written to the shared folder."""
-    docs, at = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over `documents`; what stands between them is written to the shared folder.
+
+    A stage's input goes once its output is written whole, so only the last stage's input stays.
+    """
+    docs, at, before = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{at}/{k}-{name}")
-            docs = spark.read.parquet(f"{at}/{k}-{name}")
+            here = f"{at}/{k}-{name}"
+            docs.write.parquet(here)
+            docs = spark.read.parquet(here)
+            if before:
+                old = spark._jvm.org.apache.hadoop.fs.Path(before)
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            before = here
     return docs
