@@ -110,28 +110,37 @@ def near_cells(west: Column, east: Column, south: Column, north: Column, km: flo
     return F.flatten(F.transform(rows, across))
 
 
+def in_cells(d: DataFrame, key: str, name: str, lon: str, lat: str, km: float, deal: bool) -> DataFrame:
+    """(name, lon, lat, _x, _y): rows with a position in their cell, or dealt to all cells within `km`."""
+    size = min(180.0, max(km / KM_PER_DEG, 1e-6))
+    x, y = F.col("lon"), F.col("lat")
+    cells = F.explode(near_cells(x, x, y, y, km, size)) if deal else cell_of(x, y, size)
+    d = d.where((F.abs(x) < 1e6) & (F.abs(y) <= 90.0)).select(F.col(key).alias(name), x.alias(lon), y.alias(lat), cells.alias("_c"))
+    return d.select(name, lon, lat, F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y"))
+
+
+def near_any(a: DataFrame, b: DataFrame, km: float, a_key: str = "a_id", b_key: str = "b_id") -> DataFrame:
+    """(a_key) of the rows of `a` that have a row of `b` within `km`: a semi join, which ends at a row's first hit and writes out no pairs."""
+    left = in_cells(a, a_key, a_key, "_lon", "_lat", km, False)
+    right = in_cells(b, b_key, "_b", "_lon2", "_lat2", km, True).withColumnsRenamed({"_x": "_x2", "_y": "_y2"})
+    close = geo.haversine_km(F.col("_lon"), F.col("_lat"), F.col("_lon2"), F.col("_lat2")) <= km
+    return left.join(right, (F.col("_x") == F.col("_x2")) & (F.col("_y") == F.col("_y2")) & close, "left_semi").select(a_key)
+
+
 def within_km(a: DataFrame, b: DataFrame, km: float, a_key: str = "a_id", b_key: str = "b_id", deal: str = "b") -> DataFrame:
     """(a_id, b_id, km) of all pairs at most `km` apart: the side named by `deal` is dealt to the cells it can reach, the other stands in one cell.
 
     Rows without a finite position have no pairs.
     """
-    size = min(180.0, max(km / KM_PER_DEG, 1e-6))
-
-    def side(d: DataFrame, key: str, name: str, lon: str, lat: str) -> DataFrame:
-        x, y = F.col("lon"), F.col("lat")
-        d = d.where((F.abs(x) < 1e6) & (F.abs(y) <= 90.0))
-        cells = F.explode(near_cells(x, x, y, y, km, size)) if deal == name[0] else cell_of(x, y, size)
-        return d.select(F.col(key).alias(name), x.alias(lon), y.alias(lat), cells.alias("_c")).select(name, lon, lat, F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y"))
-
-    j = side(a, a_key, "a_id", "_lon", "_lat").join(side(b, b_key, "b_id", "_lon2", "_lat2"), ["_x", "_y"])
+    left, right = (in_cells(d, k, n, x, y, km, deal == n[0]) for d, k, n, x, y in ((a, a_key, "a_id", "_lon", "_lat"), (b, b_key, "b_id", "_lon2", "_lat2")))
+    j = left.join(right, ["_x", "_y"])
     j = j.withColumn("km", geo.haversine_km(F.col("_lon"), F.col("_lat"), F.col("_lon2"), F.col("_lat2")))
     return j.where(F.col("km") <= km).select("a_id", "b_id", "km")
 
 
 def min_distance_from(a: DataFrame, b: DataFrame, km: float, a_key: str = "a_id", b_key: str = "b_id") -> DataFrame:
     """Rows of `a` that are farther than `km` from every row of `b`."""
-    close = within_km(a, b, km, a_key, b_key).select(F.col("a_id").alias(a_key)).distinct()
-    return a.join(close, a_key, "left_anti")
+    return a.join(near_any(a, b, km, a_key, b_key), a_key, "left_anti")
 
 
 def nearest(a: DataFrame, b: DataFrame, km: float = 25.0, grow: float = 4.0, a_key: str = "a_id", b_key: str = "b_id") -> DataFrame:

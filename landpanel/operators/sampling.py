@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from .clean import assign_ids
-from .joins import seeded, within_km
+from .joins import near_any, seeded
 
 
 def cap_per_group(df: DataFrame, by: list[str], k: int | Column, seed: int = 0, key: str = "row_id") -> DataFrame:
@@ -43,7 +43,7 @@ def quota_sample(df: DataFrame, quotas: DataFrame, by: str, seed: int = 0, key:
 
 def hard_negatives(pos: DataFrame, pool: DataFrame, km: float = 2.0, seed: int = 0) -> DataFrame:
     """(row_id, kind): as many negatives as positives, those of other classes near positives first, the rest from the background."""
-    near = within_km(pool.withColumnRenamed("row_id", "a_id"), pos.select(F.col("row_id").alias("b_id"), "lon", "lat"), km).select(F.col("a_id").alias("row_id")).distinct()
+    near = near_any(pool, pos.select(F.col("row_id").alias("b_id"), "lon", "lat"), km, "row_id").distinct()
     d = pool.join(pos.select("row_id"), "row_id", "left_anti").join(near.withColumn("_h", F.lit(True)), "row_id", "left")
     d = d.select("row_id", F.when(F.col("_h"), "hard").otherwise("background").alias("kind"))
     d = d.withColumns({"_k": (F.col("kind") == "background").cast("int"), "_o": seeded("row_id", seed)})

@@ -69,3 +69,14 @@ def test_cells_near_the_poles_stay_few(spark):
     d = spark.range(0, 90).select(F.lit(20.0).alias("lon"), (F.col("id") + 0.5).alias("lat"))
     n = F.size(joins.near_cells(F.col("lon"), F.col("lon"), F.col("lat"), F.col("lat"), 1.0, 1.0 / joins.KM_PER_DEG))
     assert d.agg(F.max(n)).first()[0] <= 16
+
+
+def test_near_any_is_the_rows_of_the_pairs(spark):
+    r = random.Random(6)
+    side = lambda n, key: spark.createDataFrame([(i, r.choice([179.99, -179.99, 10.0]) + r.uniform(-0.2, 0.2), r.uniform(-0.3, 0.3)) for i in range(n)] + [(-1, None, 1.0)], f"{key} bigint, lon double, lat double")
+    a, b = side(200, "a_id").cache(), side(80, "b_id").cache()
+    for km in (3.0, 20.0):
+        want = {x.a_id for x in joins.within_km(a, b, km).collect()}
+        got = [x.a_id for x in joins.near_any(a, b, km).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+        assert {x.a_id for x in joins.min_distance_from(a, b, km).collect()} == {x.a_id for x in a.collect()} - want
