@@ -48,8 +48,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan, written
 
     found = scan(table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))]
-    return found.select("doc_id", *count, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"), F.size(F.filter("spans", lambda s: s["kind"] == 3)).cast("bigint").alias("n_markov"))
+
+    def count(k: int):  # a second argument of the lambda, also one with a default, would be the element's index
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))]
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"), F.size(F.filter("spans", lambda s: s["kind"] == 3)).cast("bigint").alias("n_markov"))
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
