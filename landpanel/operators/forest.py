@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
+from .subtrees import SHARE, work
 
 #: Weights are counted in parts of this size.
 UNIT = 1024
+#: Rows of a node that one task may grow further.
+MOST = 200_000
 
 
 def bin_edges(train: DataFrame, bins: int = 32, accuracy: int = 100_000) -> DataFrame:
@@ -136,9 +139,66 @@ def votes(model: DataFrame, test: DataFrame, by: list[str], key: list[str], tree
     return best.select(*by, *key, (-F.col("b.p")).alias("pred"), (F.col("b.count") / F.col("_all")).alias("share"))
 
 
+def vote_forests(train: DataFrame, test: DataFrame, by: Sequence[str], key: Sequence[str], trees: int = 100, depth: int = 20, least: int = 2, seed: int = 42, features: int | None = None, weight: str | None = None, most: int = MOST, soft: bool = False) -> DataFrame:
+    """(by, key, pred, share): as `votes` of the forests of `grow`, without a table of their nodes; `soft` adds up the leaves' shares of classes.
+
+    Nodes of more than `most` rows are split by `best_splits`, all at one depth in one pass. What lies below a node of fewer
+    rows is grown by the task that gets its rows, and the rows to classify follow them. No tree reaches the driver.
+    """
+    by, key = list(by), list(key)
+    w = F.round(F.col(weight) * UNIT).cast("bigint") if weight else F.lit(UNIT).cast("bigint")
+    train = cut(train.select(*by, "row_id", F.col("class_new").cast("int").alias("y"), w.alias("w"), "b"))
+    most_rows, groups, d = train.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.size("b")).alias("d")).agg(F.max("n"), F.count("*"), F.max("d")).first()
+    test = cut(test.select(*by, *key, "b"))
+    if not most_rows:
+        return test.select(*by, *key, F.lit(0).alias("pred"), F.lit(0.0).alias("share")).limit(0)
+    m = features or max(1, round(d**0.5))
+    tasks = 4 * train.sparkSession.sparkContext.defaultParallelism
+    told = None
+    if most_rows <= most:
+        per = -(-trees // min(trees, max(1, -(-tasks // groups))))
+        starts = F.explode(F.array(*(F.struct(F.lit(a).alias("t0"), F.lit(min(a + per, trees)).alias("t1")) for a in range(0, trees, per)))).alias("_s")
+        spread = lambda x: x.select("*", starts).select(*x.columns, "_s.t0", "_s.t1", F.lit(0).cast("bigint").alias("node"))
+        train, test = spread(train), spread(test)
+    else:
+        each = F.explode(F.array(*map(F.lit, range(trees))))
+        at = train.withColumn("tree", each).withColumn("n", drawn(seed, *by, "row_id", "tree").cast("bigint")).where("n > 0 AND w > 0")
+        at, down = at.withColumn("node", F.lit(0).cast("bigint")), test.withColumn("tree", each).withColumn("node", F.lit(0).cast("bigint"))
+        keys, small, few = [*by, "tree", "node"], None, None
+        for level in range(depth + 1):
+            at, down = cut(at), cut(down)
+            big = cut(at.groupBy(*keys).count().where(F.col("count") > most).select(*keys))
+            done, rest = at.join(big, keys, "left_anti"), down.join(big, keys, "left_anti")
+            small, few = (done, rest) if small is None else (small.unionByName(done), few.unionByName(rest))
+            if big.isEmpty():
+                break
+            at, down = at.join(big, keys), down.join(big, keys)
+            splits = cut(best_splits(at.withColumn("w", F.col("n") * F.col("w")), by, d, m, least if level < depth else 1 << 60, seed))
+            leaves = splits.where("f IS NULL").select(*keys, "pred")
+            if soft:
+                whole = at.join(leaves.drop("pred"), keys).groupBy(*keys, F.col("y").alias("pred")).agg(F.sum(F.col("n") * F.col("w")).alias("s"))
+                leaves = whole.withColumn("n", F.rint(F.col("s") / F.sum("s").over(Window.partitionBy(*keys)) * SHARE).cast("bigint")).drop("s")
+            else:
+                leaves = leaves.withColumn("n", F.lit(1).cast("bigint"))
+            here = cut(down.join(leaves, keys).select(*by, *key, "pred", "n"))
+            told = here if told is None else told.unionByName(here)
+            at, down = routed(at, splits, by), routed(down, splits, by)
+        one = lambda x: x.withColumnsRenamed({"tree": "t0"}).withColumn("t1", F.col("t0") + 1)
+        train, test = one(small.drop("n")), one(few)
+    unit = F.to_json(F.struct(*by, "t0", "node"), {"ignoreNullFields": "false"}).alias("unit")
+    same = ["t0", "t1", "node", F.xxhash64(F.lit(seed), *by).alias("h0")]
+    k = F.struct(*by, *key).alias("k")
+    kind, none = dict(test.select(k).dtypes)["k"], F.lit(0)
+    rows = train.select(unit, *same, none.alias("kind"), F.xxhash64(F.lit(seed), *by, "row_id").alias("h"), "y", "w", "b", F.lit(None).cast(kind).alias("k"))
+    rows = rows.unionByName(test.select(unit, *same, F.lit(1).alias("kind"), none.cast("bigint").alias("h"), none.alias("y"), none.cast("bigint").alias("w"), "b", k))
+    out = rows.repartition(tasks, "unit").sortWithinPartitions("unit", "kind").mapInArrow(work(depth, least, m, soft), f"k {kind}, pred int, n bigint").select("k.*", "pred", "n")
+    n = (out if told is None else out.unionByName(told)).groupBy(*by, *key, "pred").agg(F.sum("n").alias("n"))
+    best = n.groupBy(*by, *key).agg(F.max(F.struct("n", (-F.col("pred")).alias("p"))).alias("b"), F.sum("n").alias("_all"))
+    return best.select(*by, *key, (-F.col("b.p")).alias("pred"), (F.col("b.n") / F.col("_all")).alias("share"))
+
+
 def local_forests(test: DataFrame, samples: DataFrame, by: Sequence[str], trees: int = 100, depth: int = 20, least: int = 2, bins: int = 32, seed: int = 42) -> DataFrame:
     """(by, row_id, pred, share): each group's rows are classified by a forest of that group's own sample."""
-    by = list(by)
-    edges = cut(bin_edges(samples.dropDuplicates(["row_id"]), bins))
-    model = grow(binned(samples, edges), by, trees, depth, least, seed)
-    return votes(model, binned(test, edges), by, ["row_id"], trees)
+    samples = cut(samples.select(*by, "row_id", "class_new", "v"))
+    edges = cut(bin_edges(samples.select("row_id", "v").dropDuplicates(["row_id"]), bins))
+    return vote_forests(binned(samples, edges), binned(test, edges), by, ["row_id"], trees, depth, least, seed)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from landpanel.operators.forest import UNIT, bin_edges, binned, chosen_features, drawn, grow, local_forests, votes
+from landpanel.operators.forest import UNIT, bin_edges, binned, chosen_features, drawn, grow, local_forests, vote_forests, votes
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +95,15 @@ def test_empty_groups_and_one_class(spark, sample):
     one = sample.where("class_new = 1")
     assert {r.pred for r in local_forests(sample.where("g = 0"), one.where("g = 0"), ["g"], trees=4).collect()} == {1}
     assert local_forests(sample.where("g = 1"), one.where("g = 0"), ["g"], trees=4).count() == 0
+
+
+@pytest.mark.parametrize("most", [200_000, 12])
+@pytest.mark.parametrize("depth", [3, 20])
+def test_units_of_few_rows_vote_as_the_whole_forest(spark, sample, depth, most):
+    b = binned(sample.withColumn("c", 0.5 + F.col("row_id") % 3), bin_edges(sample, 8)).cache()
+    args = {"trees": 7, "depth": depth, "weight": "c"}
+    want = votes(grow(b, ["g"], **args), b, ["g"], ["row_id"], 7).collect()
+    got = vote_forests(b, b, ["g"], ["row_id"], most=most, **args).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 80
+    soft = vote_forests(b, b, ["g"], ["row_id"], most=most, soft=True, **args)
+    assert soft.join(b, ["g", "row_id"]).where("pred = class_new").count() > 60
