@@ -1,4 +1,4 @@
-"""Classifiers: class-centre models in one aggregation, forests and linear separators with Spark ML, held-out evaluation."""
+"""Classifiers: class-centre models in one aggregation, forests, linear separators with Spark ML, held-out evaluation."""
 
 from __future__ import annotations
 
@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..sources.shared import cut
 from . import evaluate
+from .forest import bin_edges, binned, vote_forests
 from .linear import pooled_covariance
 
 
@@ -58,25 +60,38 @@ def predict(model, test: DataFrame, labels: Sequence[int], out: str = "pred") ->
     return d.withColumn(out, F.get(F.array(*map(F.lit, labels)), F.col("prediction").cast("int"))).drop("features", "_y", "rawPrediction", "probability", "prediction")
 
 
-def rf_eval(train: DataFrame, val: DataFrame, trees: int = 150, seed: int = 42, depth: int = 20) -> DataFrame:
-    """val with pred, from a forest fitted on training rows with finite vectors and weights."""
-    ok = F.forall("v", vec.finite)
+def rf_eval(train: DataFrame, val: DataFrame, trees: int = 150, seed: int = 42, depth: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """val with pred, from a forest fitted on training rows with finite vectors and weights, one for each group of `by`.
+
+    Square-root features, leaves of 2, row weights, balanced classes, and the class with the largest sum of leaf shares, as
+    in `fit_forest`; but a deep forest's nodes are many, so they stay in the tasks that grow them (`forest.vote_forests`).
+    Rows of groups without training rows are missing.
+    """
+    by, ok = list(by), F.forall("v", vec.finite)
     train = train.where(ok).withColumn("train_weight", F.when(vec.finite(F.col("train_weight")), F.col("train_weight")).otherwise(1.0))
-    labels = sorted(r[0] for r in train.select("class_new").distinct().collect())
-    return predict(fit_forest(train, labels, trees, seed, depth), val.where(ok), labels)
+    # balanced within each group: N / (k * n_c)
+    n = train.groupBy(*by, "class_new").agg(F.count("*").alias("_n"))
+    every = n.groupBy(*by).agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
+    n = n.join(F.broadcast(every), by) if by else n.join(F.broadcast(every))
+    rows = train.join(F.broadcast(n), [*by, "class_new"]).withColumn("w", F.col("train_weight") * F.col("_all") / (F.col("_k") * F.col("_n")))  # groups x classes
+    rows = cut(rows.select(*by, "row_id", "class_new", "v", "w"))
+    val = cut(val.where(ok).withColumn("_id", F.monotonically_increasing_id()))
+    edges = cut(bin_edges(rows))
+    told = vote_forests(binned(rows, edges), binned(val.select(*by, "_id", "v"), edges), by, ["_id"], trees, depth, 2, seed, weight="w", soft=True)
+    return val.join(told.select("_id", "pred"), "_id").drop("_id")
 
 
 def spatial_eval(train: DataFrame, val: DataFrame, keys: DataFrame, block: Column, years: Sequence[int], trees: int = 150, depth: int = 20, validate_only: bool = False) -> DataFrame:
-    """Predictions (row_id, year, class_new, pred, src, zone) for rows in held-out blocks; with validate_only their counts only."""
+    """Predictions (row_id, year, class_new, pred, src, zone) for rows in held-out blocks; with validate_only their counts only.
+
+    The years' forests are grown together; the edges of their bins are those of all years.
+    """
     outside, inside = holdout_split(train, keys, block)[0], holdout_split(val, keys, block)[1]
     if validate_only:
         a = outside.groupBy("year").agg(F.count("*").alias("n_train"))
         return a.join(inside.groupBy("year").agg(F.count("*").alias("n_val")), "year", "full")
-    out = None
-    for y in years:
-        p = rf_eval(outside.where(F.col("year") == y), inside.where(F.col("year") == y), trees, depth=depth).select("row_id", "year", "class_new", "pred", "src", "zone")
-        out = p if out is None else out.unionByName(p)
-    return out
+    asked = F.col("year").isin(*years)
+    return rf_eval(outside.where(asked), inside.where(asked), trees, depth=depth, by=["year"]).select("row_id", "year", "class_new", "pred", "src", "zone")
 
 
 def ensemble(train: DataFrame, val: DataFrame, seeds: Sequence[int], trees: int = 20, depth: int = 10) -> DataFrame:

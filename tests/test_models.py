@@ -42,6 +42,18 @@ def test_held_out_blocks_do_not_train(spark, blobs):
     assert sum(a + b for a, b in counts.values()) == 120
 
 
+def test_deep_forests_are_never_held_by_the_driver(blobs, monkeypatch):
+    def fit(*_, **__):
+        raise AssertionError("a forest of 150 deep trees on the driver")
+
+    monkeypatch.setattr(model, "fit_forest", fit)
+    train, val = blobs.where("row_id % 2 = 0"), blobs.where("row_id % 2 = 1")
+    assert model.rf_eval(train, val, trees=12, by=["year"]).count() == 0  # odd years have no training rows
+    both = model.rf_eval(blobs, blobs, trees=12, depth=20, by=["year"])
+    one = model.rf_eval(blobs.where("year = 2020"), blobs.where("year = 2020"), trees=12, depth=20)
+    assert both.count() == 120 and both.where("pred = class_new").count() >= 114 and one.where("pred = class_new").count() >= 57
+
+
 def test_leaving_a_group_out_equals_plain_means(blobs):
     rows = blobs.collect()
     got = {r.row_id: r.pred for r in model.logo_eval(blobs, "grp").collect()}
