@@ -119,12 +119,36 @@ def in_cells(d: DataFrame, key: str, name: str, lon: str, lat: str, km: float, d
     return d.select(name, lon, lat, F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y"))
 
 
+def sure_cell(lon: Column, lat: Column, km: float) -> Column:
+    """The cell of a point, a third of `km` high, if any two points in it are within `km` by its sides alone; else null."""
+    size = km / KM_PER_DEG / 3
+    cell = cell_of(lon, lat, size)
+    low = cell["y"] * size - 90.0
+    near = F.when((low <= 0.0) & (low + size >= 0.0), F.lit(0.0)).otherwise(F.least(F.abs(low), F.abs(low + size)))
+    wide = F.lit(360.0) / columns_of(cell["y"], size) * F.cos(F.radians(near))
+    return F.when((wide + size) * KM_PER_DEG <= km * (1 - 1e-9), cell)
+
+
 def near_any(a: DataFrame, b: DataFrame, km: float, a_key: str = "a_id", b_key: str = "b_id") -> DataFrame:
-    """(a_key) of the rows of `a` that have a row of `b` within `km`: a semi join, which ends at a row's first hit and writes out no pairs."""
+    """(a_key) of the rows of `a` that have a row of `b` within `km`: a semi join, which ends at a row's first hit and writes out no pairs.
+
+    Rows whose small cell holds a row of `b` are done without a distance; those left are measured against the rows of `b`
+    that can be near them.
+    """
+    found = None
+    if km > 1e-3:
+        held = lambda d: d.where((F.abs("lon") < 1e6) & (F.abs("lat") <= 90.0)).withColumn("_s", sure_cell(F.col("lon"), F.col("lat"), km))
+        full = cut(held(b.select("lon", "lat")).where("_s IS NOT NULL").select("_s").distinct())
+        own = held(a.select(a_key, "lon", "lat"))
+        found = own.join(full, "_s", "left_semi").select(a_key)
+        a = cut(own.join(full, "_s", "left_anti").drop("_s"))
     left = in_cells(a, a_key, a_key, "_lon", "_lat", km, False)
     right = in_cells(b, b_key, "_b", "_lon2", "_lat2", km, True).withColumnsRenamed({"_x": "_x2", "_y": "_y2"})
+    if found is not None:
+        right = right.join(left.select(F.col("_x").alias("_x2"), F.col("_y").alias("_y2")).distinct(), ["_x2", "_y2"], "left_semi")
     close = geo.haversine_km(F.col("_lon"), F.col("_lat"), F.col("_lon2"), F.col("_lat2")) <= km
-    return left.join(right, (F.col("_x") == F.col("_x2")) & (F.col("_y") == F.col("_y2")) & close, "left_semi").select(a_key)
+    far = left.join(right, (F.col("_x") == F.col("_x2")) & (F.col("_y") == F.col("_y2")) & close, "left_semi").select(a_key)
+    return far if found is None else found.unionByName(far)
 
 
 def within_km(a: DataFrame, b: DataFrame, km: float, a_key: str = "a_id", b_key: str = "b_id", deal: str = "b") -> DataFrame:
@@ -339,7 +363,23 @@ def attribute_region(points: DataFrame, edges: DataFrame, most: int = 32) -> Dat
     return done.join(out, "row_id", "left").select("row_id", F.coalesce("region", "_near").alias("region"), F.col("region").isNotNull().alias("inside"), F.when(F.col("region").isNull(), F.col("km")).alias("edge_km"))
 
 
-def matched_controls(a: DataFrame, b: DataFrame, km: float = 3.0, k: int = 1) -> DataFrame:
-    """(a_id, b_id, km): the k nearest points of arm B for each point of arm A, within `km`."""
+def matched_controls(a: DataFrame, b: DataFrame, km: float = 3.0, k: int = 1, first: float = 1 / 32, grow: float = 2.0) -> DataFrame:
+    """(a_id, b_id, km): the k nearest points of arm B for each point of arm A, within `km`.
+
+    Rings grow from a part of `km`. A point with k hits in a ring is done, since the ring holds all that is nearer, so in
+    dense places few pairs are made.
+    """
     w = Window.partitionBy("a_id").orderBy("km", "b_id")
-    return within_km(a, b, km).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    left, at, found = cut(a.where((F.abs("lon") < 1e6) & (F.abs("lat") <= 90.0)).select("a_id", "lon", "lat")), km * first, None
+    while True:
+        last = at * grow > km
+        hit = cut(within_km(left, b, km if last else at, deal="a").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k))
+        served = hit.where(F.col("_n") == k).select("a_id")
+        kept = (hit if last else hit.join(served, "a_id", "left_semi")).drop("_n")
+        found = kept if found is None else found.unionByName(kept)
+        if last:
+            return found
+        left = cut(left.join(served, "a_id", "left_anti"))
+        if left.isEmpty():
+            return found
+        at *= grow

@@ -80,3 +80,18 @@ def test_near_any_is_the_rows_of_the_pairs(spark):
         got = [x.a_id for x in joins.near_any(a, b, km).collect()]
         assert len(got) == len(set(got)) and set(got) == want and want
         assert {x.a_id for x in joins.min_distance_from(a, b, km).collect()} == {x.a_id for x in a.collect()} - want
+
+
+def test_crowded_places_make_few_pairs(spark):
+    from pyspark.sql import Window
+
+
+    r = random.Random(3)
+    place = lambda: (r.choice([r.uniform(-180, 180), r.choice([-179.5, 0.0, 179.5]) + r.uniform(-0.5, 0.5)]), r.choice([r.uniform(-90, 90), r.uniform(-1, 1), 90 - r.random()]))
+    a, b = (spark.createDataFrame([(i, *place()) for i in range(n)], f"{key} bigint, lon double, lat double").cache() for n, key in ((300, "a_id"), (250, "b_id")))
+    d = a.crossJoin(b.toDF("b_id", "x", "y")).withColumn("km", geo.haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))).where("km <= 300").cache()
+    assert sorted(joins.near_any(a, b, 300.0).collect()) == sorted(d.select("a_id").distinct().collect())
+    want = d.withColumn("n", F.row_number().over(Window.partitionBy("a_id").orderBy("km", "b_id"))).where("n <= 2").select("a_id", "b_id", "km")
+    assert sorted(joins.matched_controls(a, b, 300.0, 2, first=1 / 8).select("a_id", "b_id", "km").collect()) == sorted(want.collect())
+    # points in a cell's middle are sure of each other without a distance
+    assert spark.range(1).select(joins.sure_cell(F.lit(80.1), F.lit(30.1), 60.0).alias("s")).first().s is not None
