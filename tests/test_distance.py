@@ -85,7 +85,6 @@ def test_near_any_is_the_rows_of_the_pairs(spark):
 def test_crowded_places_make_few_pairs(spark):
     from pyspark.sql import Window
 
-
     r = random.Random(3)
     place = lambda: (r.choice([r.uniform(-180, 180), r.choice([-179.5, 0.0, 179.5]) + r.uniform(-0.5, 0.5)]), r.choice([r.uniform(-90, 90), r.uniform(-1, 1), 90 - r.random()]))
     a, b = (spark.createDataFrame([(i, *place()) for i in range(n)], f"{key} bigint, lon double, lat double").cache() for n, key in ((300, "a_id"), (250, "b_id")))
