@@ -142,6 +142,8 @@ def near_any(a: DataFrame, b: DataFrame, km: float, a_key: str = "a_id", b_key:
         own = held(a.select(a_key, "lon", "lat"))
         found = own.join(full, "_s", "left_semi").select(a_key)
         a = cut(own.join(full, "_s", "left_anti").drop("_s"))
+        if a.isEmpty():
+            return found
     left = in_cells(a, a_key, a_key, "_lon", "_lat", km, False)
     right = in_cells(b, b_key, "_b", "_lon2", "_lat2", km, True).withColumnsRenamed({"_x": "_x2", "_y": "_y2"})
     if found is not None:
