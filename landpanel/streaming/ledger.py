@@ -2,50 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .streams import progress, watermarked
+from .streams import progress
 
 KINDS = ("ok", "repeat", "fail", "overdue")
 
 
-def outcomes(events: DataFrame, late: str = "1 hour", overdue_ms: int = 3 * 86_400_000) -> DataFrame:
-    """(owner, task, kind, n) of a stream of attempts (owner, task, ts, ok).
+class Kept(NamedTuple):
+    """Rows of a stream, and the sink that keeps them: `write(folder)` is called with each batch and its number."""
+
+    rows: DataFrame
+    write: Callable[[str], Callable[[DataFrame, int], None]]
+
+
+def step(rows: DataFrame, held: DataFrame | None, overdue_ms: int, mark: int | None = None) -> DataFrame:
+    """(owner, task, first, done, told, and a count for each of KINDS): each task's state after the attempts `rows`.
+
+    `held` has the states before, `mark` is the watermark after the rows, in milliseconds. One grouping for all tasks.
+    """
+    ok, none = F.coalesce("ok", F.lit(False)), F.lit(None)
+    d = rows.select("owner", "task", F.unix_millis("ts").alias("ms"), ok.cast("bigint").alias("good"), (~ok).cast("bigint").alias("bad"), none.cast("bigint").alias("first"), F.lit(False).alias("done"), F.lit(False).alias("told"))
+    if held is not None:
+        d = d.unionByName(held.select("owner", "task", none.cast("bigint").alias("ms"), F.lit(0).cast("bigint").alias("good"), F.lit(0).cast("bigint").alias("bad"), "first", "done", "told"))
+    d = d.groupBy("owner", "task").agg(F.coalesce(F.max("first"), F.min("ms")).alias("first"), F.sum("good").alias("good"), F.sum("bad").alias("fail"), F.bool_or("done").alias("was"), F.bool_or("told").alias("before"))
+    d = d.withColumns({"done": F.col("was") | (F.col("good") > 0), "ok": (~F.col("was") & (F.col("good") > 0)).cast("bigint")})
+    due = F.coalesce(F.col("first") + overdue_ms < F.lit(mark).cast("bigint"), F.lit(False))
+    d = d.withColumns({"repeat": F.col("good") - F.col("ok"), "overdue": (due & ~F.col("done") & ~F.col("before")).cast("bigint")})
+    return d.select("owner", "task", "first", "done", (F.col("before") | (F.col("overdue") > 0)).alias("told"), *KINDS)
+
+
+def news(states: DataFrame) -> DataFrame:
+    """(owner, task, kind, n) of the states after a step."""
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in KINDS))
+    return states.select("owner", "task", F.inline(F.filter(each, lambda x: x["n"] > 0)))
+
+
+def outcomes(events: DataFrame, late: str = "1 hour", overdue_ms: int = 3 * 86_400_000) -> Kept | DataFrame:
+    """(owner, task, kind, n) of a stream of attempts (owner, task, ts, ok); of a table at once.
 
     A task's first success is `ok`, further ones are `repeat`, so a finished task counts once however often it is retried.
     Failures are `fail`. A task without success `overdue_ms` after the first attempt of the batch that brought it is reported
-    `overdue` once, by a timer of event time. Attempts behind the watermark are dropped. A task's state is three values.
+    `overdue` once, when the watermark has passed that time. Attempts behind the watermark, `late` before the newest
+    attempt of all batches before, are dropped. A task's state is three values. The states of all tasks are a table that a
+    batch reads and writes anew, so no task takes a step of its own; those before the last batch stay, for its repetition.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def settle(key, frames, state):
-        import pandas as pd
-
-        first, done, told = state.get if state.exists else (None, False, False)
-        out = []
-        if state.hasTimedOut:
-            out, told = [("overdue", 1)], True
-        else:
-            good = bad = 0
-            earliest = None
-            for frame in frames:  # parts of the task's attempts, so a hot task is never held whole
-                good, bad = good + int(frame["ok"].sum()), bad + int((~frame["ok"]).sum())
-                low = int(frame["ms"].min())
-                earliest = low if earliest is None else min(earliest, low)
-            first = earliest if first is None else first
-            if good and not done:
-                out, good, done = [("ok", 1)], good - 1, True
-            out += [(kind, n) for kind, n in (("repeat", good), ("fail", bad)) if n]
-        state.update((first, done, told))
-        if not done and not told:
-            state.setTimeoutTimestamp(max(first + overdue_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"owner": [key[0]] * len(out), "task": [key[1]] * len(out), "kind": [k for k, _ in out], "n": [n for _, n in out]})
-
-    d = watermarked(events, "ts", late).select("owner", "task", "ts", F.unix_millis("ts").alias("ms"), F.coalesce("ok", F.lit(False)).alias("ok"))
-    return d.groupBy("owner", "task").applyInPandasWithState(settle, "owner string, task string, kind string, n bigint", "first bigint, done boolean, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    if not events.isStreaming:
+        return news(step(events, None, overdue_ms))
+
+    def write(folder: str):
+        keep = into(f"{folder}/out")
+
+        def settle(batch: DataFrame, number: int) -> None:
+            spark, (old, new) = batch.sparkSession, (f"{folder}/{{}}/{k % 2}" for k in (number - 1, number))
+            mark_of = lambda d: d.select(F.unix_millis(F.timestamp_millis("newest") - F.expr(f"interval {late}"))).first()[0]
+            newest = batch.agg(F.unix_millis(F.max(F.col("ts").cast("timestamp"))).alias("newest"))
+            held = mark = None
+            if number:
+                held, seen = (spark.read.parquet(old.format(k)) for k in ("tasks", "newest"))
+                mark, newest = mark_of(seen), newest.unionByName(seen).agg(F.max("newest").alias("newest"))
+            newest.coalesce(1).write.mode("overwrite").parquet(new.format("newest"))
+            rows = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+            if mark is not None:
+                rows = rows.where(F.col("ts") > F.timestamp_millis(F.lit(mark)))
+            after = mark_of(spark.read.parquet(new.format("newest")))
+            step(rows, held, overdue_ms, after).write.mode("overwrite").parquet(new.format("tasks"))
+            keep(news(spark.read.parquet(new.format("tasks"))), number)
+
+        return settle
+
+    return Kept(events, write)
 
 
 def into(path: str):
@@ -60,12 +90,15 @@ def into(path: str):
 def in_lots(spark: SparkSession, lots: Iterable[DataFrame], folder: str, stream, mode: str = "append") -> str:
     """Write one lot of files after the other and run `stream` on what is new, each time anew from its checkpoint.
 
-    `stream` maps the streaming table to the one that is kept; the path of its batches is returned.
+    `stream` maps the streaming table to the one that is kept, or to rows with a sink of their own (`Kept`); the path of the
+    kept batches is returned.
     """
     for lot in lots:
         lot.write.mode("append").parquet(f"{folder}/in")
         live = spark.readStream.schema(lot.schema).parquet(f"{folder}/in")
-        query = stream(live).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(into(f"{folder}/out")).trigger(availableNow=True)
+        kept = stream(live)
+        rows, sink = (kept.rows, kept.write(folder)) if isinstance(kept, Kept) else (kept, into(f"{folder}/out"))
+        query = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(sink).trigger(availableNow=True)
         query.start().awaitTermination()
     return f"{folder}/out"
 

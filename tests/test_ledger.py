@@ -33,6 +33,27 @@ def test_a_lot_without_rows_and_a_restart_without_news_change_nothing(spark, tmp
     assert sorted((r.kind, r.n) for r in spark.read.parquet(path).collect()) == [("fail", 1), ("ok", 1)]
 
 
+def test_all_tasks_of_a_batch_are_settled_at_once(spark, tmp_path):
+    first = lot(spark, [("a", f"t{k}", k % 5, k % 3 == 0) for k in range(300)])
+    second = lot(spark, [("a", f"t{k}", 100, k % 3 == 1) for k in range(300)]).unionByName(first.where("task = 't0'").withColumn("ts", F.lit(None).cast("timestamp")))
+    path = ledger.in_lots(spark, [first, second], str(tmp_path / "s"), ledger.outcomes)
+    got = {r.kind: (r.tasks, r.n) for r in spark.read.parquet(path).groupBy("kind").agg(F.count_distinct("task").alias("tasks"), F.sum("n").alias("n")).collect()}
+    # without a time there is no telling whether an attempt is late: it is dropped once there is a watermark
+    assert got == {"ok": (200, 200), "fail": (300, 400), "overdue": (100, 100)}
+    plan = ledger.step(first, None, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_a_repeated_batch_of_attempts_leaves_the_ledger_as_it_was(spark, tmp_path):
+    live = spark.readStream.schema(SCHEMA).parquet(str(tmp_path))
+    write = ledger.outcomes(live).write(str(tmp_path / "s"))
+    lots = [lot(spark, [("a", "x", 0, True), ("a", "y", 1, False)]), lot(spark, [("a", "x", 2, True), ("a", "y", 90, False)]), lot(spark, [("a", "y", 95, True)])]
+    for number in (0, 0, 1, 1, 2, 2):
+        write(lots[number], number)
+    told = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "s/out")).groupBy("task", "kind").agg(F.sum("n")).collect())
+    assert told == [("x", "ok", 1), ("x", "repeat", 1), ("y", "fail", 2), ("y", "ok", 1), ("y", "overdue", 1)]
+
+
 def test_a_repeated_batch_replaces_itself_and_the_last_one_counts(spark, tmp_path):
     write = ledger.into(str(tmp_path / "out"))
     for number, n in ((0, 1), (1, 5), (1, 7)):
