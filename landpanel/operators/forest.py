@@ -12,14 +12,15 @@ from math import factorial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ByteType, StructField, StructType
 
 from ..sources.shared import cut
-from .subtrees import SHARE, work
+from .subtrees import SHARE, bins_of, work
 
 #: Weights are counted in parts of this size.
 UNIT = 1024
 #: Rows of a node that one task may grow further.
-MOST = 200_000
+MOST = 600_000
 
 
 def bin_edges(train: DataFrame, bins: int = 32, accuracy: int = 100_000) -> DataFrame:
@@ -31,8 +32,8 @@ def bin_edges(train: DataFrame, bins: int = 32, accuracy: int = 100_000) -> Data
 
 def binned(df: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds b: the bin of each component, the number of edges below it. `edges` is one row of components x bins."""
-    below = lambda x, e: F.size(F.filter(e, lambda y: y < x)).cast("tinyint")
-    return df.join(F.broadcast(edges)).withColumn("b", F.zip_with("v", "edges", below)).drop("edges")
+    schema = StructType([*df.schema, StructField("b", ArrayType(ByteType()))])
+    return df.mapInArrow(bins_of(edges.first()[0] or []), schema)
 
 
 def drawn(seed: int, *keys: Column | str) -> Column:
@@ -191,7 +192,8 @@ def vote_forests(train: DataFrame, test: DataFrame, by: Sequence[str], key: Sequ
     kind, none = dict(test.select(k).dtypes)["k"], F.lit(0)
     rows = train.select(unit, *same, none.alias("kind"), F.xxhash64(F.lit(seed), *by, "row_id").alias("h"), "y", "w", "b", F.lit(None).cast(kind).alias("k"))
     rows = rows.unionByName(test.select(unit, *same, F.lit(1).alias("kind"), none.cast("bigint").alias("h"), none.alias("y"), none.cast("bigint").alias("w"), "b", k))
-    out = rows.repartition(tasks, "unit").sortWithinPartitions("unit", "kind").mapInArrow(work(depth, least, m, soft), f"k {kind}, pred int, n bigint").select("k.*", "pred", "n")
+    # more parts than units, so that few tasks get more than one
+    out = rows.repartition(4 * tasks, "unit").sortWithinPartitions("unit", "kind").mapInArrow(work(depth, least, m, soft), f"k {kind}, pred int, n bigint").select("k.*", "pred", "n")
     n = (out if told is None else out.unionByName(told)).groupBy(*by, *key, "pred").agg(F.sum("n").alias("n"))
     best = n.groupBy(*by, *key).agg(F.max(F.struct("n", (-F.col("pred")).alias("p"))).alias("b"), F.sum("n").alias("_all"))
     return best.select(*by, *key, (-F.col("b.p")).alias("pred"), (F.col("b.n") / F.col("_all")).alias("share"))

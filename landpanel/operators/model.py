@@ -74,8 +74,10 @@ def rf_eval(train: DataFrame, val: DataFrame, trees: int = 150, seed: int = 42,
     every = n.groupBy(*by).agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     n = n.join(F.broadcast(every), by) if by else n.join(F.broadcast(every))
     rows = train.join(F.broadcast(n), [*by, "class_new"]).withColumn("w", F.col("train_weight") * F.col("_all") / (F.col("_k") * F.col("_n")))  # groups x classes
-    rows = cut(rows.select(*by, "row_id", "class_new", "v", "w"))
-    val = cut(val.where(ok).withColumn("_id", F.monotonically_increasing_id()))
+    # rows are few bytes and much work, so they are dealt to all cores whatever their files and blocks
+    tasks = 4 * train.sparkSession.sparkContext.defaultParallelism
+    rows = cut(rows.select(*by, "row_id", "class_new", "v", "w").repartition(tasks, *by, "row_id"))
+    val = cut(val.where(ok).repartition(tasks, *by, "row_id").withColumn("_id", F.monotonically_increasing_id()))
     edges = cut(bin_edges(rows, accuracy=10_000))  # 32 bins a component
     told = vote_forests(binned(rows, edges), binned(val.select(*by, "_id", "v"), edges), by, ["_id"], trees, depth, 2, seed, weight="w", soft=True)
     return val.join(told.select("_id", "pred"), "_id").drop("_id")

@@ -107,3 +107,21 @@ def test_units_of_few_rows_vote_as_the_whole_forest(spark, sample, depth, most):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 80
     soft = vote_forests(b, b, ["g"], ["row_id"], most=most, soft=True, **args)
     assert soft.join(b, ["g", "row_id"]).where("pred = class_new").count() > 60
+
+
+def test_bins_are_the_edges_below_a_value(spark):
+    rows = [(1, [0.0, -1.0]), (2, [0.5, 2.0]), (3, [None, float("inf")]), (4, [float("nan"), 0.25]), (5, None), (6, []), (7, [3.0])]
+    d = spark.createDataFrame(rows, "row_id int, v array<double>").repartition(3)
+    edges = spark.createDataFrame([([[0.0, 0.5, 1.0], [0.0, 0.25]],)], "edges array<array<double>>")
+    got = {r.row_id: r.b for r in binned(d, edges).collect()}
+    assert got == {1: [0, 0], 2: [1, 2], 3: [0, 2], 4: [3, 1], 5: None, 6: [], 7: [3]}
+
+
+def test_held_out_rows_are_dealt_to_all_cores(spark, sample, monkeypatch):
+    from landpanel.operators import model
+
+    parts, cut = [], model.cut
+    monkeypatch.setattr(model, "cut", lambda d: parts.append(d.rdd.getNumPartitions()) or cut(d))
+    d = sample.withColumn("train_weight", F.lit(1.0)).coalesce(1)  # one block of one file
+    assert model.rf_eval(d, d, trees=2, depth=3, by=["g"]).count() == 80
+    assert min(parts[:2]) == 4 * spark.sparkContext.defaultParallelism
