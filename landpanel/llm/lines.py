@@ -121,47 +121,44 @@ def banded_keys(lines: list[str], edits: int, least: int) -> tuple[np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def reach(a: str, i: int, b: str, j: int) -> int:
+    """How many characters from a[i] and b[j] on are equal, by slices that double and then halve."""
+    n, at, step = min(len(a) - i, len(b) - j), 0, 1
+    while at < n and a[i + at : i + at + step] == b[j + at : j + at + step]:
+        at, step = at + step, 2 * step
+    if at >= n:
+        return n
+    while step > 1:
+        step //= 2
+        if a[i + at : i + at + step] == b[j + at : j + at + step]:
+            at += step
+    return min(at, n)
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
-    """Edits between two lines if at most `most`, else most + 1: bit-parallel, in a band of 2 * most + 1 diagonals.
+    """Edits between two lines if at most `most`, else most + 1: on each diagonal the furthest row that e edits reach.
 
-    Equal beginnings and ends are taken off first. A column's vertical differences inside the band are two bit
-    vectors that slide down one row a step.
+    Each step compares slices, so a pair takes some most * most comparisons whatever the lines' length.
     """
-    if abs(len(a) - len(b)) > most:
+    n, end = len(a), len(b) - len(a)
+    if abs(end) > most:
         return most + 1
-    lo, n = 0, min(len(a), len(b))
-    while lo < n and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    if not a or not b:
-        return len(a) + len(b)
-    if len(a) > len(b):
-        a, b = b, a
-    # rows are a, columns are b; the window of column j covers rows j - most to j + most
-    width = 2 * most + 1
-    mask, top = (1 << width) - 1, 1 << (width - 1)
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << (i + most)
-    plus, minus = (mask >> most) << most, 0
-    score, last = min(most, len(a)), len(a) - 1  # the value at the lowest row of the band, kept along the band's lower edge
-    for j, c in enumerate(b):
-        match = where.get(c, 0) >> j & mask
-        d0 = ((match & plus) + plus ^ plus) | match | minus
-        hp = minus | ~(d0 | plus) & mask
-        hn = d0 & plus
-        if j + most <= last:
-            score += 0 if d0 & top else 1
-        else:  # the lower edge left the table: follow the last row instead
-            at = 1 << (last - j + most)
-            score += bool(hp & at) - bool(hn & at)
-        d0 &= mask
-        x = d0 >> 1
-        plus, minus = (hn | ~(x | hp)) & mask, hp & x
-    return min(score, most + 1)
+    far = {0: reach(a, 0, b, 0)}
+    if far.get(end) == n:
+        return 0
+    for e in range(1, most + 1):
+        new, left = {}, most - e  # diagonals from which the end is still within reach
+        for k in range(max(-e, end - left), min(e, end + left) + 1):
+            # a replaced character, one more in b, one more in a
+            i = max(far.get(k, -2) + 1, far.get(k - 1, -2), far.get(k + 1, -2) + 1)
+            i = min(i, n, len(b) - k)
+            if i < 0 or i + k < 0:
+                continue
+            new[k] = i + reach(a, i, b, i + k)
+        if new.get(end) == n:
+            return e
+        far = new
+    return most + 1
 
 
 def occurrences(docs: DataFrame, least: int, short: bool = False) -> DataFrame:

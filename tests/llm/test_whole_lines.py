@@ -69,3 +69,16 @@ def test_edits_follow_the_length_and_blank_lines_stay(spark):
     got = {r.doc_id: r._line_dropped for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), short=True).collect()}
     want = {k: len(rows[k - 1][1].split("\n")) - len(t.split("\n")) if t else 1 for k, t in brute_dedup(dict(rows)).items()}
     assert got == want and got[2] == 0 and got[3] == 1 and got[4] == 0 and got[6] == 1 and got[7] == 1 and got[11] == 0
+
+
+def test_long_lines_with_edits_at_both_ends_are_compared_in_few_steps():
+    from time import process_time
+
+    from landpanel.llm.lines import edit_distance
+
+    line = "".join(chr(97 + k * k % 23) for k in range(100_000))
+    start = process_time()
+    for _ in range(100):
+        assert edit_distance("x" + line + "y", "z" + line, 2) == 2
+        assert edit_distance("x" + line + "yy", "z" + line, 2) == 3
+    assert process_time() - start < 3  # character by character it is some 20 million steps
