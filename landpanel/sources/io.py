@@ -215,16 +215,40 @@ def export_until_idle(make, path: str, idle: int = 2, rounds: int = 100) -> int:
     return written
 
 
-def file_manifest(spark: SparkSession, path: str, pattern: str = "*", heavy: int = 1 << 30) -> DataFrame:
-    """(path, bytes, mtime, md5, sha256): files above `heavy` bytes are registered without reading them, with null digests.
+def digest(spark: SparkSession, path: str, algorithm: str) -> Column:
+    """The hexadecimal digest of the file that the column `path` names, read as a stream by the task that holds the row.
 
-    A file's content is one cell of a row, which holds 2 GB at most.
+    A buffer is in memory, never the content, so a file may have any size. The calls are Catalyst's own, on classes that
+    Spark brings, and open every file system that Spark reads. Opening is declared non-deterministic: two digests must not
+    share a stream, and no plan may read a file twice for one of them.
+    """
+    jvm = spark._jvm
+    e, column = jvm.org.apache.spark.sql.catalyst.expressions, jvm.org.apache.spark.sql.classic.ExpressionUtils
+    cls = jvm.java.lang.Class.forName
+    kind = lambda name: jvm.org.apache.spark.sql.types.ObjectType(cls(name))
+    seq = lambda *x: jvm.PythonUtils.toSeq(list(x))
+    literal = lambda value, name: e.Literal(value, kind(name))
+    new = lambda name, *args: e.objects.NewInstance(cls(name), seq(*args), seq(), True, kind(name), jvm.scala.Option.empty())
+    call = lambda on, name, gives, *args, sure=True: e.objects.Invoke(on, name, kind(gives), seq(*args), seq(), True, True, sure)
+    settings = jvm.org.apache.spark.util.SerializableConfiguration(spark._jsparkSession.sessionState().newHadoopConf())
+    conf = call(literal(settings, "org.apache.spark.util.SerializableConfiguration"), "value", "org.apache.hadoop.conf.Configuration")
+    file = new("org.apache.hadoop.fs.Path", call(column.expression(F.col(path)._jc), "toString", "java.lang.String"))
+    fs = call(file, "getFileSystem", "org.apache.hadoop.fs.FileSystem", conf)
+    stream = new("org.apache.commons.io.input.AutoCloseInputStream", call(fs, "open", "org.apache.hadoop.fs.FSDataInputStream", file, sure=False))
+    told = call(new("org.apache.commons.codec.digest.DigestUtils", literal(algorithm, "java.lang.String")), "digestAsHex", "java.lang.String", stream)
+    text = e.objects.StaticInvoke(cls("org.apache.spark.unsafe.types.UTF8String"), jvm.org.apache.spark.sql.types.DataType.fromDDL("string"), "fromString", seq(told), seq(), True, True, True, jvm.scala.Option.empty())
+    return Column(column.column(text))
+
+
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*", heavy: int | None = 1 << 30) -> DataFrame:
+    """(path, bytes, mtime, md5, sha256): files above `heavy` bytes are registered without reading them, with null digests; None reads all.
+
+    Files are read as streams, once for each digest, each by one task; large ones have a task of their own.
     """
     d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     base = d.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
-    small = d.where(F.col("length") <= heavy)
-    digests = small.select("path", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
-    return base.join(digests, "path", "left")
+    told = {name: digest(spark, "path", algorithm) for name, algorithm in (("md5", "MD5"), ("sha256", "SHA-256"))}
+    return base.withColumns(told if heavy is None else {name: F.when(F.col("bytes") <= heavy, c) for name, c in told.items()})
 
 
 def shard(df: DataFrame, n: int, c: str = "chunk_id") -> DataFrame:

@@ -1,6 +1,8 @@
+import hashlib
 import os
 
 from landpanel.operators import clean
+from landpanel.plans import QUERIES
 from landpanel.sources import io
 
 
@@ -52,3 +54,29 @@ def test_split_check_counts_both_ways(spark):
     assert tuple(clean.split_check(a, b, c).first()) == (1, 2)
     assert tuple(clean.split_check(a, a.limit(0), a).first()) == (0, 0)
     assert tuple(clean.split_check(a.limit(0), a.limit(0)).first()) == (0, 0)
+
+
+def test_digests_hold_no_content(spark, tmp_path):
+    made = {"long.parquet": os.urandom(3_000_001), "one.parquet": b"\0", "a b%20#+.parquet": b"\xef\xbb\xbfabc\r\n", "c.txt.gz": b"not packed\n"}
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    want = {name: (len(x), hashlib.md5(x).hexdigest(), hashlib.sha256(x).hexdigest()) for name, x in made.items()}
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "5")  # Spark refuses to hold more of a file
+    try:
+        got = {os.path.basename(r.path): (r.bytes, r.md5, r.sha256) for r in io.file_manifest(spark, str(tmp_path)).collect()}
+        assert got == want
+        names = {r.name: (r.bytes, r.md5, r.sha256) for r in QUERIES["s10_file_manifest"](spark, str(tmp_path)).collect()}
+        assert names == {name: x for name, x in want.items() if name.endswith(".parquet")}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_a_manifest_without_limit_reads_heavy_files(spark, tmp_path):
+    heavy = (1 << 30) + 7
+    with open(tmp_path / "x.parquet", "wb") as f:
+        f.truncate(heavy)  # without blocks on the disk
+    h = hashlib.md5()
+    for n in [1 << 20] * (1 << 10) + [7]:
+        h.update(bytes(n))
+    assert io.file_manifest(spark, str(tmp_path)).first().md5 is None
+    assert QUERIES["s10_file_manifest"](spark, str(tmp_path)).select("bytes", "md5").first() == (heavy, h.hexdigest())
